@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import common, langid, mixing, ngram_join, packing, toxicity
 
 
-def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -17,8 +18,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return judged.select("doc_id", common.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", common.held_out("doc_id", 5, 0).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
 def queries() -> dict:
