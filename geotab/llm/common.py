@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -45,12 +46,6 @@ def own(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
-def parts_for(df: DataFrame, least: int) -> DataFrame:
-    """Spread df over at least as many tasks as the cluster has cores (small inputs come as one file)."""
-    n = max(least, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n) if df.rdd.getNumPartitions() < min(4, n) else df
-
-
 # ---------------------------------------------------------------- words
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -215,3 +210,59 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+# ---------------------------------------------------------------- groups in blocks
+
+BLOCK = 256
+MOST_BLOCKS, LARGEST_BLOCK = 64, 8192
+
+
+def _blocks(members: Column) -> Column:
+    """Number of blocks for a group of so many members."""
+    small = F.least(F.ceil(members / BLOCK), F.lit(MOST_BLOCKS))
+    return F.greatest(small, F.ceil(members / LARGEST_BLOCK)).cast("int")
+
+
+def spread(df: DataFrame, members: str, key: str) -> DataFrame:
+    """A row of a group for each pair of blocks it belongs to: _i <= _j, and its own block _own."""
+    df = df.withColumn("_nb", _blocks(F.col(members))).withColumn("_own", F.pmod(F.xxhash64(key, F.lit("block")), F.col("_nb")).cast("int"))
+    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return df.withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_o", "_nb")
+
+
+def whole_groups(batches, keys: list[str], rows: int = 4000, size: int = 1 << 25):
+    """Tables that hold whole groups of a partition sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    count = bytes_ = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        bytes_ += batch.nbytes
+        if count < rows and bytes_ < size:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        first = starts_of(table, keys)[-1]
+        if first:
+            yield table.slice(0, first)
+        tail = table.slice(first).combine_chunks()
+        held, count, bytes_ = tail.to_batches(), 0, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a new group begins."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        c = table.column(k).combine_chunks()
+        new[1:] |= ~pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
+    """Binary values of equal length as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)

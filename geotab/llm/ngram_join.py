@@ -27,10 +27,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, local_roots, mix64, own, shingles
+from .common import chunks, components, cut, local_roots, matrix, mix64, own, shingles, spread, starts_of, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -38,8 +38,6 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 CHUNK = 16
 TOLERANCE = 1e-4
-BLOCK = 256
-MOST_BLOCKS, LARGEST_BLOCK = 64, 8192
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,56 +102,6 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in out], names=["cls", "sig", "shingles"])
 
 
-def _blocks(members: Column) -> Column:
-    """Number of blocks for a group of so many members."""
-    small = F.least(F.ceil(members / BLOCK), F.lit(MOST_BLOCKS))
-    return F.greatest(small, F.ceil(members / LARGEST_BLOCK)).cast("int")
-
-
-def spread(df: DataFrame, members: str, key: str) -> DataFrame:
-    """A row of a group for each pair of blocks it belongs to: _i <= _j, and its own block _own."""
-    df = df.withColumn("_nb", _blocks(F.col(members))).withColumn("_own", F.pmod(F.xxhash64(key, F.lit("block")), F.col("_nb")).cast("int"))
-    df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return df.withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_o", "_nb")
-
-
-def whole_groups(batches, keys: list[str], rows: int = 4000, size: int = 1 << 25):
-    """Tables that hold whole groups of a partition sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    count = bytes_ = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        count += batch.num_rows
-        bytes_ += batch.nbytes
-        if count < rows and bytes_ < size:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        first = starts_of(table, keys)[-1]
-        if first:
-            yield table.slice(0, first)
-        tail = table.slice(first).combine_chunks()
-        held, count, bytes_ = tail.to_batches(), 0, 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """Where a new group begins."""
-    new = np.zeros(table.num_rows, bool)
-    new[0] = True
-    for k in keys:
-        c = table.column(k).combine_chunks()
-        new[1:] |= ~pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
-    return np.flatnonzero(new)
-
-
-def _matrix(column: pa.ChunkedArray, kind, width: int) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, kind).reshape(-1, width)
-
-
 def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: list[int]) -> np.ndarray:
     """Which pairs (a[i], b[i]) are not dropped by the incremental comparison."""
     left = np.arange(len(a))
@@ -190,7 +138,7 @@ def _candidates(batches, need: list[int]):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for table in whole_groups(batches, _BUCKET, 20_000):
         start = starts_of(table, _BUCKET)
-        sig = _matrix(table.column("sig"), np.uint32, HASHES)
+        sig = matrix(table.column("sig"), np.uint32, HASHES)
         own_ = table.column("_own").to_numpy()
         cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
         found = [(a[k], b[k]) for a, b in pairs_of(start, len(sig), own_, cross) if len(k := surviving(sig, a, b, need))]
@@ -236,7 +184,7 @@ def _verify(batches, need: list[int], threshold: float):
                 part = part.take(pa.array(first))
                 cls = [cls[i] for i in first]
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles").combine_chunks()]
-            sig = _matrix(part.column("sig"), np.uint32, HASHES)
+            sig = matrix(part.column("sig"), np.uint32, HASHES)
             own_, weight = part.column("_own").to_numpy(), part.column("n").to_numpy()
             n = len(cls)
             cross = np.full(n, part.column("_i")[0].as_py() != part.column("_j")[0].as_py())

@@ -5,7 +5,7 @@ it spans, spans of at most SPAN letters; so `idxiot` stays close to `idiot`. Let
 only count: punctuation inside a word is skipped, and runs of single letters are read as one word.
 
 Training (bounded samples of labelled documents by a hash of the id): words that are significantly tied to
-toxic documents are the witnesses, each also with an inserted letter; words of clean documents are the
+toxic documents, and the most telling of one of them, are the witnesses, each also with an inserted letter; words of clean documents are the
 counter-examples. Landmarks are picked farthest first, Nystroem features of the normalised kernel
 feed a squared-hinge machine, and a second round adds the hardest words of clean documents. As the
 kernel has an explicit feature for each subsequence, the landmarks' expansion folds into one weight
@@ -101,7 +101,7 @@ def farthest(words: list[str], count: int) -> list[str]:
     return [words[k] for k in chosen]
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a linear squared-hinge machine (last: the offset), by Newton steps."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
@@ -238,20 +238,23 @@ def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = Non
         return Model(None)
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / count[1])).otherwise(min(1.0, bound[0] / count[0]))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) / 1e6 < share)
-    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id").select("text", "toxic"), "labelled")
+    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "labelled")
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return Model(None)
     raw = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))))
-    words = sample.select("toxic", raw.alias("word")).where(F.length("word") > 2)
-    words = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
+    said = sample.select("row", "toxic", raw.alias("word")).where(F.length("word") > 2)
+    words = said.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
     nt, nn = float(total[1]), float(total[0])
     e = (F.col("t") + F.col("n")) * (nt / (nt + nn))
     g = 2 * (F.col("t") * F.log(F.greatest("t", F.lit(1e-9)) / e) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (F.col("t") + F.col("n") - e))).otherwise(0))
     words = cut(words.withColumn("tie", F.when(F.col("t") > e, F.sqrt(F.greatest(g, F.lit(0.0)))).otherwise(0.0)), "words")
     half = TRAIN_WORDS // 2
-    strong = (F.col("tie") > 3.8) & (F.col("t") >= 4) & (F.col("t") / nt > 8 * F.col("n") / nn)
-    positive = words.where(strong).orderBy(F.desc("tie"), "word").limit(half // 2).toPandas()
+    strong = (F.col("tie") > 4.5) & (F.col("t") >= 5) & (F.col("t") / nt > 8 * F.col("n") / nn)
+    # a document speaks for its most telling word only: words that merely share its copies fall away
+    ties = said.where("toxic = 1").join(words.where(strong).select("word", "tie"), "word")
+    witness = ties.groupBy("row").agg(F.max(F.struct("tie", "word")).alias("best")).groupBy("best.word", "best.tie").count()
+    positive = witness.orderBy(F.desc("count"), F.desc("tie"), "word").limit(half // 2).toPandas()
     if positive.empty:
         positive = words.where("tie > 0").orderBy(F.desc("tie"), "word").limit(8).toPandas()
     if positive.empty:
