@@ -88,7 +88,11 @@ def _features(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["cls", "sig"])
 
 
-def _sets(texts: pa.Array) -> pa.Array:
+def _sets(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+    """Class, signature and distinct shingles of texts that are of the wanted class; nulls for others.
+
+    The wanted class is an argument so that the sets are made after the join that picks the texts.
+    """
     out: list[list] = [[None] * len(texts) for _ in range(3)]
     for first, data, off in chunks(pc.utf8_lower(texts)):
         row, hashes = shingles(data, off, WORDS)
@@ -99,6 +103,9 @@ def _sets(texts: pa.Array) -> pa.Array:
             for i, r in enumerate((rows + first).tolist()):
                 out[0][r], out[1][r] = ids[i].tobytes(), values[i].tobytes()
                 out[2][r] = np.unique(hashes[ends[i] : ends[i + 1]]).tobytes()
+    for i, want in enumerate(wanted.to_pylist()):
+        if out[0][i] != want:
+            out[0][i] = out[1][i] = out[2][i] = None
     return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in out], names=["cls", "sig", "shingles"])
 
 
@@ -237,8 +244,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     wanted = group.join(sizes, "component").join(classes.select("cls", "rep", "n"), "cls")
     wanted = wanted.select(F.col("cls").alias("want"), F.col("component").alias("grp"), "members", "n", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
     texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
-    sets = texts.join(wanted, ["id", "h"]).withColumn("_f", F.arrow_udf(_sets, "cls binary, sig binary, shingles binary")("text"))
-    sets = sets.select("grp", "members", "n", "want", "_f.cls", "_f.sig", "_f.shingles").where("cls = want").drop("want")
+    sets = texts.join(wanted, ["id", "h"]).withColumn("_f", F.arrow_udf(_sets, "cls binary, sig binary, shingles binary")("text", "want"))
+    sets = sets.select("grp", "members", "n", "_f.cls", "_f.sig", "_f.shingles").where("cls is not null")
     sets = spread(sets, "members", "cls").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "cls")
     checked = cut(
         sets.select(*_GROUP, "_own", "n", "cls", "sig", "shingles").mapInArrow(lambda it: _verify(it, need, threshold), "cls binary, root binary, links long"),
