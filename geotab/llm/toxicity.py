@@ -238,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = Non
         return Model(None)
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / count[1])).otherwise(min(1.0, bound[0] / count[0]))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) / 1e6 < share)
-    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "labelled")
+    # the sample has about sum(bound) ids whatever the input's size, so it may be broadcast
+    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "labelled")
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return Model(None)
