@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import queries as _plans
+
 
 def queries() -> dict:
-    return {}
+    return _plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _plans.oracle_sql()
