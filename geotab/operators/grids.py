@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import settle
+
 XYZ = ("x", "y", "z")
 
 
@@ -111,39 +113,47 @@ def iso_crossings(values: DataFrame, iso: float) -> DataFrame:
 _TETS = [(0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)]
 
 
+def _cut_table() -> list[list[tuple]]:
+    """Triangles of a tetrahedron by the mask of its vertices below the value; corners are edges (a, b) of it."""
+    table: list[list[tuple]] = []
+    for mask in range(16):
+        low = [v for v in range(4) if mask >> v & 1]
+        high = [v for v in range(4) if v not in low]
+        if len(low) == 2:
+            (a, b), (p, q) = low, high
+            quad = [(a, p), (a, q), (b, q), (b, p)]
+            table.append([tuple(quad[:3]), (quad[0], quad[2], quad[3])])
+        elif len(low) in (1, 3):
+            lone, rest = (low, high) if len(low) == 1 else (high, low)
+            table.append([tuple((lone[0], v) for v in rest)])
+        else:
+            table.append([])
+    return table
+
+
 def iso_triangles(values: DataFrame, iso: float) -> DataFrame:
-    """Triangles of an iso-surface by marching tetrahedra: tri, corner, and a key of the grid edge each corner lies on."""
+    """Triangles of an iso-surface by marching tetrahedra: tet, tri, corner, and a key of the grid edge each corner lies on."""
     c = values.select("i", "j", "k", F.col("value").alias("v0"))
     for n in range(1, 8):
         o = [n >> a & 1 for a in range(3)]
         c = c.join(values.select(*[(F.col(a) - d).cast("int").alias(a) for a, d in zip("ijk", o)], F.col("value").alias(f"v{n}")), ["i", "j", "k"])
-    low = [F.col(f"v{n}") < iso for n in range(8)]
-    c = c.where((F.least(*[f"v{n}" for n in range(8)]) < iso) & (F.greatest(*[f"v{n}" for n in range(8)]) >= iso))
-
-    def corner(a: int, b: int) -> Column:
-        a, b = min(a, b), max(a, b)
-        t = F.try_divide(iso - F.col(f"v{a}"), F.col(f"v{b}") - F.col(f"v{a}"))
-        at = [(F.col(d) + (a >> s & 1) + t * ((b >> s & 1) - (a >> s & 1))).alias(x) for s, (d, x) in enumerate(zip("ijk", XYZ))]
-        key = F.concat_ws("/", *[(F.col(d) + (n >> s & 1)).cast("string") for n in (a, b) for s, d in enumerate("ijk")])
-        return F.struct(key.alias("edge"), *at)
-
-    none = F.array().cast("array<array<struct<edge:string,x:double,y:double,z:double>>>")
-    per_tet = []
-    for tet in _TETS:
-        below = [low[v] for v in tet]
-        n = sum((b.cast("int") for b in below), F.lit(0))
-        made = none
-        for lone in range(4):  # one vertex against three
-            o = [v for v in range(4) if v != lone]
-            tri = F.array(F.array(*[corner(tet[lone], tet[v]) for v in o]))
-            made = F.when(((n == 1) & below[lone]) | ((n == 3) & ~below[lone]), tri).otherwise(made)
-        for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)):  # two against two
-            p, q = [v for v in range(4) if v not in (a, b)]
-            quad = [corner(tet[a], tet[p]), corner(tet[a], tet[q]), corner(tet[b], tet[q]), corner(tet[b], tet[p])]
-            made = F.when((n == 2) & below[a] & below[b], F.array(F.array(quad[0], quad[1], quad[2]), F.array(quad[0], quad[2], quad[3]))).otherwise(made)
-        per_tet.append(made)
-    t = c.select("i", "j", "k", F.posexplode(F.flatten(F.array(*per_tet))).alias("tri", "_t"))
-    return t.select("i", "j", "k", "tri", F.posexplode("_t").alias("corner", "_c")).select("i", "j", "k", "tri", "corner", "_c.*")
+    names = [f"v{n}" for n in range(8)]
+    c = c.where((F.least(*names) < iso) & (F.greatest(*names) >= iso)).select("i", "j", "k", F.array(*names).alias("v"))
+    ints = lambda xs: F.array(*[F.lit(x) for x in xs])
+    t = c.select("*", F.posexplode(F.array(*[ints(x) for x in _TETS])).alias("tet", "w"))
+    mask = sum((F.when(F.get("v", F.get("w", F.lit(n))) < iso, 1 << n).otherwise(0) for n in range(4)), F.lit(0))
+    none = F.array().cast("array<array<array<int>>>")
+    cases = F.array(*[F.array(*[F.array(*[ints(e) for e in tri]) for tri in tris]) if tris else none for tris in _cut_table()])
+    t = t.select("i", "j", "k", "v", "w", "tet", F.posexplode(F.get(cases, mask)).alias("tri", "edges"))
+    t = t.select("i", "j", "k", "v", "w", "tet", "tri", F.posexplode("edges").alias("corner", "e"))
+    ends = [F.get("w", F.get("e", F.lit(n))) for n in (0, 1)]
+    t = t.withColumns({"a": F.least(*ends), "b": F.greatest(*ends)})
+    at = lambda n, s: F.shiftright(F.col(n), s).bitwiseAND(F.lit(1))
+    share = (iso - F.get("v", F.col("a"))) / (F.get("v", F.col("b")) - F.get("v", F.col("a")))
+    t = t.withColumn("t", share)
+    key = F.concat_ws("/", *[(F.col(d) + at(n, s)).cast("string") for n in "ab" for s, d in enumerate("ijk")])
+    xyz = [(F.col(d) + at("a", s) + F.col("t") * (at("b", s) - at("a", s))).alias(x) for s, (d, x) in enumerate(zip("ijk", XYZ))]
+    return t.select("i", "j", "k", "tet", "tri", "corner", key.alias("edge"), *xyz)
 
 
 def grid_to_section(values: DataFrame, sections: DataFrame, spacing: float, rows: int, cols: int, origin=(0.0, 0.0, 0.0), step=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -163,7 +173,7 @@ def drape_regular(points: DataFrame, dem: DataFrame, x0: float, y0: float, dx: f
 
 
 def drape_irregular(points: DataFrame, nodes: DataFrame, cell: float, rounds: int = 24) -> DataFrame:
-    """z of points from the nearest node in XY, ties to the smaller node id; cells are doubled for points without a sure answer."""
+    """z of points from the nearest node in XY, ties to the smaller node id; cells grow fourfold for points without a sure answer."""
     extent = nodes.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
     if extent[0] is None:
         return points.withColumn("z", F.lit(None).cast("double"))
@@ -178,12 +188,13 @@ def drape_irregular(points: DataFrame, nodes: DataFrame, cell: float, rounds: in
         d = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
         near = p.join(n, ["_cx", "_cy"]).groupBy("uid", "point_id").agg(F.min(F.struct(d.alias("d"), "node", "nz")).alias("m"))
         near = near.where(F.col("m.d") <= cell) if cell <= limit else near
+        near = settle(near, "near")
         got = todo.join(near, ["uid", "point_id"]).withColumn("z", F.col("m.nz")).drop("m")
         done = got if done is None else done.unionByName(got)
-        todo = todo.join(near.select("uid", "point_id"), ["uid", "point_id"], "left_anti")
+        todo = settle(todo.join(near.select("uid", "point_id"), ["uid", "point_id"], "left_anti"), "todo")
         if cell > limit or todo.isEmpty():
             return done
-        cell *= 2
+        cell *= 4
     raise RuntimeError("points without a nearest node")
 
 
@@ -193,17 +204,33 @@ _SCALE = {6875: 0.9985000001, 6876: 1.0}
 
 
 def _kruger():
+    """Fourth-order coefficients of the published series in the third flattening."""
     f = 1 / 298.257223563
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    alpha = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140,
+        49561 * n**4 / 161280,
+    )
+    beta = (
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    )
+    delta = (
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    )
     return n, a, alpha, beta, delta
 
 
 def tm_to_geographic(x: Column, y: Column, code: int) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees of Transverse Mercator coordinates (third-order series)."""
+    """Longitude and latitude in degrees of Transverse Mercator coordinates (fourth-order series)."""
     lon0, east = TM_CODES[code]
     n, a, _, beta, delta = _kruger()
     k = _SCALE.get(code, 0.9996) * a

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
-from .graph import components
+from .graph import components, settle
 from .orient import eigen3
 
 XYZ = ("x", "y", "z")
@@ -168,9 +168,7 @@ def calibration(points: DataFrame, *keys: str) -> DataFrame:
     from .orient import srf
 
     plane = best_fit_plane(points, *keys)
-    off = F.abs(project_to_plane(points, plane, *keys)["distance"])
     d = project_to_plane(points, plane, *keys).withColumn("off", F.abs("distance")).groupBy(*keys).agg(F.avg("off").alias("mean_distance"), F.stddev_pop("off").alias("std_distance"))
-    del off
     s = srf(points.select(*keys, F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z")), *keys)
     return s.join(d, list(keys))
 
@@ -255,13 +253,14 @@ def knn(points: DataFrame, k: int = 15, cell: float | None = None, rounds: int =
         d = F.sqrt(sum(((F.col("a" + c) - F.col("b" + c)) ** 2 for c in XYZ), F.lit(0.0)))
         near = left.join(right, ["uid", "_cx", "_cy", "_cz"]).where("a <> b").withColumn("distance", d)
         near = near.withColumn("rank", F.row_number().over(Window.partitionBy("uid", "a").orderBy("distance", "b"))).where(F.col("rank") <= F.col("want"))
+        near = settle(near, "near")
         full = near.groupBy("uid", "a").agg(F.count_if(F.col("distance") <= cell).alias("sure"), F.max("want").alias("want")).where("sure >= want").select("uid", "a")
         near = near.select("uid", "a", "b", "distance", "rank")
         if cell > 2 * extent:
             return near if done is None else done.unionByName(near)
         ready = near.join(full, ["uid", "a"], "left_semi")
         done = ready if done is None else done.unionByName(ready)
-        todo = todo.join(full.withColumnRenamed("a", "point_id"), ["uid", "point_id"], "left_anti")
+        todo = settle(todo.join(full.withColumnRenamed("a", "point_id"), ["uid", "point_id"], "left_anti"), "todo")
         if todo.where("want > 0").isEmpty():
             return done
         cell *= 2

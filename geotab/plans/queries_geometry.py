@@ -1 +1,631 @@
 """More registered queries: windows, sorts, sets, geometry, clusters, sources."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import catalog, grids, lines, mesh, orient, points, sections, wells
+from ..operators.graph import _folder, settle
+from ..sources import gocad, text
+from .queries import _BASIS, _CORNERS, _CROSS, _MD, _SEG, R, query, r, w360
+
+# ------------------------------------------------------------------ W: windows
+
+
+@query("w1_auto_cells", "fx_lines", f"SELECT uid, cell_id, p0, p1 FROM ({_SEG}) s")
+def _(ls):
+    return lines.segments(ls).select("uid", F.col("cell_id").cast("long").alias("cell_id"), "p0", "p1")
+
+
+@query("w2_measured_depth", "fx_trace", f"SELECT well, seq, {R('md')} AS md FROM ({_MD}) t")
+def _(t):
+    return wells.trace_depth(t).select("well", "seq", r("md"))
+
+
+_STAIRS = "SELECT uid, seq, floor(x / 3) AS x, 0.0 AS y, 0.0 AS z FROM fx_lines"
+
+
+@query("w3_dedupe_consecutive", "fx_lines", f"SELECT uid, seq, x FROM (SELECT *, lag(x) OVER (PARTITION BY uid ORDER BY seq) AS b FROM ({_STAIRS}) s) q WHERE b IS NULL OR b <> x")
+def _(ls):
+    s = ls.withColumns({"x": F.floor(F.col("x") / 3).cast("double"), "y": F.lit(0.0)})
+    return lines.dedupe_consecutive(s).select("uid", "seq", "x")
+
+
+@query("w3_dedupe_within", "fx_lines")
+def _(ls):
+    return lines.dedupe_consecutive(ls, 20.0).select("uid", "seq", r("x"), r("y"))
+
+
+@query(
+    "w4_orient_left_right", "fx_lines",
+    "SELECT uid, CASE WHEN f > l OR f = l THEN row_number() OVER (PARTITION BY uid ORDER BY seq DESC) ELSE row_number() OVER (PARTITION BY uid ORDER BY seq) END AS seq, y FROM "
+    "(SELECT *, first(y) OVER w AS f, last(y) OVER w AS l FROM fx_lines WINDOW w AS (PARTITION BY uid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) q WHERE f <> l OR f > l",
+)
+def _(ls):
+    return lines.orient_left_right(ls, "y", "x").join(ls.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid"), "uid", "left_semi").select("uid", "seq", "y")
+
+
+@query("w5_resample_distance", "fx_lines")
+def _(ls):
+    return lines.resample_distance(ls, 500.0).select("uid", "seq", r("x"), r("y"))
+
+
+_LMD = "SELECT uid, seq, x, y, sum(d) OVER (PARTITION BY uid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS md FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS d FROM fx_lines WINDOW w AS (PARTITION BY uid ORDER BY seq)) t"
+
+
+@query(
+    "w6_resample_count", "fx_lines",
+    f"SELECT m.uid, m.k AS seq, round(s.x + least(1.0, (m.at - s.md) / (s.md2 - s.md)) * (s.x2 - s.x), 4) AS x FROM (SELECT uid, k, max(md) * k / 4 AS at FROM ({_LMD}) l, range(5) t(k) GROUP BY uid, k HAVING max(md) > 0) m "
+    f"ASOF JOIN (SELECT *, lead(md) OVER w AS md2, lead(x) OVER w AS x2 FROM ({_LMD}) l WINDOW w AS (PARTITION BY uid ORDER BY seq) QUALIFY lead(md) OVER w > md) s ON s.uid = m.uid AND m.at >= s.md",
+)
+def _(ls):
+    return lines.resample_count(ls, 5).select("uid", "seq", F.round("x", 4).alias("x"))
+
+
+@query(
+    "w7_split_at_vertex", "fx_lines",
+    "WITH c AS (SELECT uid, arg_min(seq, {'d': (x - 7.2) * (x - 7.2) + (y - 40) * (y - 40), 's': seq}) AS cut, min(seq) AS a, max(seq) AS b FROM fx_lines GROUP BY uid), "
+    "p AS (SELECT l.uid, l.seq, CASE WHEN cut > a AND cut < b THEN cut END AS cut FROM fx_lines l JOIN c ON c.uid = l.uid) "
+    "SELECT uid, seq, 0 AS part FROM p WHERE cut IS NULL OR seq <= cut UNION ALL SELECT uid, seq, 1 FROM p WHERE seq >= cut",
+)
+def _(ls):
+    p = ls.select("uid").distinct().withColumns({"px": F.lit(7.2), "py": F.lit(40.0), "pz": F.lit(0.0)})
+    return lines.split_at_vertex(ls, p).select("uid", "seq", "part")
+
+
+@query(
+    "w8_line_normals", "fx_lines",
+    f"SELECT uid, seq, {R('avg(nx)')} AS nx, {R('avg(ny)')} AS ny FROM (SELECT uid, unnest([p0, p1]) AS seq, (y2 - y1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS nx, -(x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS ny FROM ({_SEG}) s) q GROUP BY uid, seq",
+)
+def _(ls):
+    return lines.line_normals(ls, 0.0, 0.0, 1.0).select("uid", "seq", r("nx"), r("ny"))
+
+
+@query("w9_unique_names", "fx_entities", "SELECT CAST(uid AS BIGINT) AS id, name || repeat('_(1)', CAST(row_number() OVER (PARTITION BY name ORDER BY CAST(uid AS BIGINT)) AS INTEGER)) AS name FROM fx_entities")
+def _(e):
+    return catalog.unique_names(e.select(F.col("uid").cast("long").alias("id"), "name"), e.select("name"))
+
+
+@query("w10_dense_vertex_ids", "fx_mesh_points", "SELECT uid, point_id, dense_rank() OVER (PARTITION BY uid ORDER BY x, y, z) AS n FROM fx_mesh_points")
+def _(p):
+    from pyspark.sql import Window
+
+    return p.select("uid", "point_id", F.dense_rank().over(Window.partitionBy("uid").orderBy("x", "y", "z")).cast("long").alias("n"))
+
+
+# ------------------------------------------------------------------ T: sort, limit, top-k
+
+
+@query("t1_legend_by_time", "fx_legend", "SELECT time, role, feature, scenario FROM fx_legend ORDER BY time, role, feature, scenario")
+def _(l):
+    return catalog.legend_by_time(l).select("time", "role", "feature", "scenario")
+
+
+@query("t2_sort_line_nodes", "fx_lines", "SELECT uid, seq, seq AS point_id FROM fx_lines WHERE uid IN (SELECT uid FROM fx_lines GROUP BY uid HAVING count(*) > 1)")
+def _(ls):
+    return lines.sort_line_nodes(lines.segments(ls).select("uid", "cell_id", "p0", "p1")).select("uid", F.col("seq").cast("long").alias("seq"), F.col("point_id").cast("long").alias("point_id"))
+
+
+@query("t3_table_sort", "fx_entities", "SELECT uid, role, feature FROM fx_entities ORDER BY role, feature, uid")
+def _(e):
+    return e.select("uid", "role", "feature").orderBy("role", "feature", "uid")
+
+
+@query("t4_preview", "fx_points")
+def _(p):
+    return text.preview(p, 50)
+
+
+@query("t5_row_range", "fx_points", "SELECT point_id, x FROM fx_points WHERE point_id BETWEEN 100 AND 400")
+def _(p):
+    return text.row_range(p, 100, 400, "point_id").select("point_id", "x")
+
+
+@query("t6_longest_part", "fx_lines")
+def _(ls):
+    parts = ls.withColumn("part", F.floor(F.col("seq") / 20).cast("int"))
+    return lines.longest_part(parts).select("uid", "part", F.round("total", 3).alias("total"))
+
+
+# ------------------------------------------------------------------ U: set operations
+
+
+@query("u1_merge_entities", "fx_points", "SELECT 'merged' AS uid, point_id + CASE uid WHEN 2 THEN (SELECT max(point_id) + 1 FROM fx_points WHERE uid = 1) ELSE 0 END AS point_id, x FROM fx_points WHERE uid IN (1, 2)")
+def _(p):
+    e = p.select(F.col("uid").cast("string").alias("uid")).distinct().withColumns({"topology": F.lit("VertexSet"), "parent_uid": F.lit("")})
+    return catalog.merge_entities(p.withColumn("uid", F.col("uid").cast("string")), e, ["1", "2"], "merged", "VertexSet", "").select("uid", "point_id", "x")
+
+
+@query("u2_double_axial", "fx_vectors", f"SELECT point_id, {R('x')} AS x FROM fx_vectors UNION ALL SELECT point_id, {R('-x')} FROM fx_vectors")
+def _(v):
+    return orient.double_axial(v).select("point_id", r("x"))
+
+
+@query("u3_append_clouds", "fx_points fx_oriented", "SELECT point_id, x, NULL::DOUBLE AS dip FROM fx_points UNION ALL SELECT point_id, x, dip FROM fx_oriented")
+def _(p, o):
+    return catalog.append(p, o).select("point_id", "x", "dip")
+
+
+@query("u4_select_uids", "fx_entities", "SELECT uid FROM fx_entities WHERE size_no > 10 EXCEPT SELECT uid FROM fx_entities WHERE topology = 'TriSurf'")
+def _(e):
+    return e.where("size_no > 10").select("uid").exceptAll(e.where("topology = 'TriSurf'").select("uid"))
+
+
+@query("u5_clone_entities", "fx_entities", "SELECT md5(uid || '/copy') AS uid, name FROM fx_entities WHERE size_no > 40")
+def _(e):
+    return catalog.clone(e.where("size_no > 40")).select("uid", "name")
+
+
+@query(
+    "u6_remove_entities", "fx_entities",
+    "SELECT uid, CASE WHEN CAST(uid AS BIGINT) % 3 = 1 THEN '' ELSE CAST(CAST(uid AS BIGINT) - CAST(uid AS BIGINT) % 3 + 2 AS VARCHAR) END AS textures FROM fx_entities WHERE CAST(uid AS BIGINT) % 3 <> 0",
+)
+def _(e):
+    n = F.col("uid").cast("long")
+    other = F.when(n % 3 == 1, F.array((n - 1).cast("string"))).otherwise(F.array((n - n % 3).cast("string"), (n - n % 3 + 2).cast("string")))
+    return catalog.remove(e.withColumn("textures", other), e.where(n % 3 == 0)).select("uid", F.concat_ws(",", "textures").alias("textures"))
+
+
+@query(
+    "u7_split_by_label", "fx_points",
+    "SELECT CAST(uid AS VARCHAR) || '_' || CAST(dense_rank() OVER (PARTITION BY uid ORDER BY z % 3) - 1 AS VARCHAR) AS new_uid, point_id FROM fx_points",
+)
+def _(p):
+    return catalog.split_by_label(p.withColumn("label", F.col("z") % 3), "label").select("new_uid", "point_id")
+
+
+@query(
+    "u8_modelling_input", "fx_entities fx_legend fx_points",
+    "SELECT p.point_id, nullif(l.time, -999999.0) AS time, l.sequence FROM fx_points p JOIN fx_entities e ON CAST(e.uid AS BIGINT) = p.uid JOIN fx_legend l ON l.role = e.role AND l.feature = e.feature AND l.scenario = e.scenario",
+)
+def _(e, l, p):
+    p = p.withColumns({"uid": F.col("uid").cast("string"), "empty": F.lit(None).cast("double")})
+    return catalog.modelling_input(p, e, l, ["x", "empty"]).drop("uid", "x", "y", "z").select("point_id", "time", "sequence")
+
+
+# ------------------------------------------------------------------ M: geometry
+
+
+@query("m1_translate", "fx_points", f"SELECT point_id, {R('x + 10')} AS x, {R('y - 5')} AS y FROM fx_points")
+def _(p):
+    return lines.translate(p, 10.0, -5.0).select("point_id", r("x"), r("y"))
+
+
+@query(
+    "m2_rotate_lines", "fx_lines",
+    "SELECT l.uid, l.seq, round(cx + (x - cx) * cos(radians(30)) - (y - cy) * sin(radians(30)), 4) AS x FROM fx_lines l JOIN (SELECT uid, sum((x1 + x2) / 2 * d) / sum(d) AS cx, sum((y1 + y2) / 2 * d) / sum(d) AS cy FROM "
+    f"(SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS d FROM ({_SEG}) s) q GROUP BY uid) c ON c.uid = l.uid",
+)
+def _(ls):
+    return lines.rotate_lines(ls, 30.0).select("uid", "seq", F.round("x", 4).alias("x"))
+
+
+_UVW = ", ".join(R(" + ".join(f"({c} - origin_{c}) * {n}{c}" for c in "xyz")) + f" AS {n}" for n in "uvw")
+
+
+@query("m3_world_to_plane", "fx_points fx_sections", f"SELECT p.point_id, b.uid AS section, {_UVW} FROM fx_points p CROSS JOIN ({_BASIS}) b")
+def _(p, s):
+    return sections.world_to_plane(p, s).select("point_id", "section", r("u"), r("v"), r("w"))
+
+
+@query("m3_plane_to_world", "fx_points fx_sections", f"SELECT p.point_id, b.uid AS section, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z FROM fx_points p CROSS JOIN fx_sections b")
+def _(p, s):
+    uvw = sections.world_to_plane(p, s).drop("x", "y", "z")
+    return sections.plane_to_world(uvw, s).select("point_id", "section", r("x"), r("y"), r("z"))
+
+
+@query("m4_along_section", "fx_points fx_sections", f"SELECT p.point_id, s.uid AS section, {R('(x - origin_x) * sin(radians(strike)) + (y - origin_y) * cos(radians(strike))')} AS along FROM fx_points p CROSS JOIN fx_sections s")
+def _(p, s):
+    return sections.along_section(p, s).select("point_id", "section", r("along"))
+
+
+_AX = ["sin(radians(tr)) * cos(radians(pl))", "cos(radians(tr)) * cos(radians(pl))", "-sin(radians(pl))"]
+_PROJ = (
+    f"SELECT *, -((x - origin_x) * wx + (y - origin_y) * wy + (z - origin_z) * wz) / nullif(ax * wx + ay * wy + az * wz, 0) AS t FROM (SELECT p.point_id, p.x, p.y, p.z, b.*, {_AX[0]} AS ax, {_AX[1]} AS ay, {_AX[2]} AS az FROM fx_points p CROSS JOIN "
+    f"(SELECT *, {w360('strike + 90')} AS tr, 90 - dip AS pl FROM ({_BASIS}) b0) b) q"
+)
+
+
+@query("m5_project_to_section", "fx_points fx_sections", f"SELECT point_id, uid AS section, {R('x + t * ax')} AS x, {R('y + t * ay')} AS y, {R('z + t * az')} AS z, {R('abs(t)')} AS distance FROM ({_PROJ}) p WHERE abs(t) <= 40")
+def _(p, s):
+    return sections.project(p, s, max_dist=40.0).select("point_id", "section", r("x"), r("y"), r("z"), r("distance"))
+
+
+@query("m5_project_lines", "fx_lines fx_sections")
+def _(ls, s):
+    return sections.project(ls, s, max_dist=30.0, part="uid").groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("lines"))
+
+
+@query("m6_parallel_sections", "fx_sections", f"SELECT uid, CAST(c AS INTEGER) AS copy, {R('origin_x + c * 50 * sin(radians(strike - 90))')} AS origin_x, {R('origin_y + c * 50 * cos(radians(strike - 90))')} AS origin_y FROM fx_sections, range(4) t(c)")
+def _(s):
+    return sections.parallel(s, 4, 50.0).select("uid", "copy", r("origin_x"), r("origin_y"))
+
+
+@query(
+    "m7_section_frame", "fx_sections",
+    f"SELECT uid, c AS corner, {R('origin_x + length * a * ux + height * b * vx')} AS x, {R('origin_z + length * a * uz + height * b * vz')} AS z, {R('origin_z - height * sin(radians(dip))')} AS bottom FROM ({_BASIS}) b, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) t(c, a, b)",
+)
+def _(s):
+    return sections.frame(s).select("uid", "corner", r("x"), r("z"), r("bottom"))
+
+
+_EDGES = "SELECT uid, cell_id, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT uid, cell_id, p0 AS a, p1 AS b FROM fx_triangles UNION ALL SELECT uid, cell_id, p1, p2 FROM fx_triangles UNION ALL SELECT uid, cell_id, p2, p0 FROM fx_triangles) e"
+
+
+@query("m8_boundary_edges", "fx_triangles", f"SELECT uid, a, b FROM ({_EDGES}) e GROUP BY uid, a, b HAVING count(*) = 1")
+def _(t):
+    return mesh.boundary_edges(t).select("uid", "a", "b")
+
+
+@query("m9_boundary_loops", "fx_triangles")
+def _(t):
+    return mesh.boundary_loops(t).groupBy("uid", "ring").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m10_clean_topology", "fx_mesh_points fx_triangles", "SELECT uid, min(point_id) AS point_id, x FROM (SELECT uid, point_id, floor(x / 20) AS x, floor(y / 20) AS y FROM fx_mesh_points) q GROUP BY uid, x, y")
+def _(p, t):
+    p = p.withColumns({"x": F.floor(F.col("x") / 20).cast("double"), "y": F.floor(F.col("y") / 20).cast("double"), "z": F.lit(0.0)})
+    return mesh.clean_topology(p, t)[0].select("uid", "point_id", "x")
+
+
+_TNORM = f"SELECT uid, cell_id, p0, p1, p2, cx / s AS nx, cy / s AS ny, cz / s AS nz FROM (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS s FROM ({_CROSS}) c) q"
+
+
+@query("m12_triangle_normals", "fx_mesh_points fx_triangles", f"SELECT uid, cell_id, {R('nx')} AS nx, {R('ny')} AS ny, {R('nz')} AS nz FROM ({_TNORM}) t")
+def _(p, t):
+    return mesh.triangle_normals(p, t).select("uid", "cell_id", r("nx"), r("ny"), r("nz"))
+
+
+@query(
+    "m12_vertex_normals", "fx_mesh_points fx_triangles",
+    f"SELECT uid, point_id, {R('sx / sqrt(sx * sx + sy * sy + sz * sz)')} AS nx, {R('sz / sqrt(sx * sx + sy * sy + sz * sz)')} AS nz FROM (SELECT uid, point_id, sum(nx) AS sx, sum(ny) AS sy, sum(nz) AS sz FROM (SELECT uid, unnest([p0, p1, p2]) AS point_id, nx, ny, nz FROM ({_TNORM}) t) u GROUP BY uid, point_id) q",
+)
+def _(p, t):
+    return mesh.vertex_normals(p, t).select("uid", "point_id", r("nx"), r("nz"))
+
+
+@query("m11_clip_triangles", "fx_mesh_points fx_triangles", f"SELECT uid, sum(CASE WHEN n IN (0, 3) THEN 1 ELSE 3 END) AS pieces FROM (SELECT uid, CAST(z0 >= 25.5 AS INT) + CAST(z1 >= 25.5 AS INT) + CAST(z2 >= 25.5 AS INT) AS n FROM ({_CORNERS}) c) q GROUP BY uid")
+def _(p, t):
+    c = mesh.clip(p.withColumn("s", F.col("z") - 25.5), t, "s")
+    return c.where("corner = 0").groupBy("uid").agg(F.count(F.lit(1)).alias("pieces"))
+
+
+@query("m11_clip_area", "fx_mesh_points fx_triangles", f"SELECT uid, round(sum(abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 2), 3) AS area FROM ({_CORNERS}) c GROUP BY uid")
+def _(p, t):
+    c = mesh.clip(p.withColumn("s", F.col("z") - 25.5), t, "s").groupBy("uid", "cell_id", "piece").pivot("corner", [0, 1, 2]).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    a = F.abs((F.col("1_x") - F.col("0_x")) * (F.col("2_y") - F.col("0_y")) - (F.col("1_y") - F.col("0_y")) * (F.col("2_x") - F.col("0_x"))) / 2
+    return c.groupBy("uid").agg(F.round(F.sum(a), 3).alias("area"))
+
+
+@query("m13_dilate_boundary", "fx_mesh_points fx_triangles")
+def _(p, t):
+    return mesh.dilate_boundary(p, t, 1.0).select("uid", "point_id", r("x"), r("y"), r("z"))
+
+
+@query("m14_subdivide_linear", "fx_mesh_points fx_triangles", "SELECT uid, 4 * count(*) AS triangles, count(DISTINCT cell_id * 4) * 4 AS ids FROM fx_triangles GROUP BY uid")
+def _(p, t):
+    t = mesh.subdivide(p, t)[1]
+    return t.groupBy("uid").agg(F.count(F.lit(1)).alias("triangles"), F.countDistinct("cell_id").alias("ids"))
+
+
+_RIM = f"SELECT DISTINCT uid, unnest([a, b]) AS point_id FROM (SELECT uid, a, b FROM ({_EDGES}) e GROUP BY uid, a, b HAVING count(*) = 1) r"
+
+
+@query(
+    "m15_smooth_laplacian", "fx_mesh_points fx_triangles",
+    f"SELECT p.uid, p.point_id, {R('CASE WHEN r.point_id IS NOT NULL OR n.mz IS NULL THEN p.z ELSE p.z + 0.1 * (n.mz - p.z) END')} AS z FROM fx_mesh_points p LEFT JOIN ({_RIM}) r ON r.uid = p.uid AND r.point_id = p.point_id "
+    f"LEFT JOIN (SELECT e.uid, e.a, avg(q.z) AS mz FROM (SELECT DISTINCT uid, a, b FROM ({_EDGES}) e UNION SELECT DISTINCT uid, b, a FROM ({_EDGES}) e) e JOIN fx_mesh_points q ON q.uid = e.uid AND q.point_id = e.b GROUP BY e.uid, e.a) n ON n.uid = p.uid AND n.a = p.point_id",
+)
+def _(p, t):
+    return mesh.smooth(p, t, iterations=1).select("uid", "point_id", r("z"))
+
+
+@query(
+    "m16_extrude_lines", "fx_lines",
+    f"SELECT uid, cell_id, {R('z1 + az * -20')} AS low, {R('x2 + ax * 30')} AS far FROM (SELECT *, sin(radians(60)) * cos(radians(40)) AS ax, -sin(radians(40)) AS az FROM ({_SEG}) s) q",
+)
+def _(ls):
+    t = lines.extrude_lines(ls, 60.0, 40.0, 30.0, -20.0)
+    low = F.max(F.when((F.col("half") == 0) & (F.col("corner") == 0), F.col("z")))
+    far = F.max(F.when((F.col("half") == 0) & (F.col("corner") == 2), F.col("x")))
+    return t.groupBy("uid", F.col("cell_id").cast("long").alias("cell_id")).agg(r(low, "low"), r(far, "far"))
+
+
+@query("m17_simplify_lines", "fx_lines")
+def _(ls):
+    return lines.simplify_lines(ls, 30.0).select("uid", "seq", r("x"), r("y"))
+
+
+@query("m18_offset_lines", "fx_lines")
+def _(ls):
+    a = lines.offset_lines(ls, 2.0).withColumn("kind", F.lit("mitre"))
+    b = lines.offset_lines(ls, 2.0, "round").withColumn("kind", F.lit("round"))
+    return a.unionByName(b).groupBy("kind", "uid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("y"), 4).alias("low"))
+
+
+@query("m19_merge_lines", "fx_lines", "SELECT count(*) AS n, max(seq) AS last FROM (SELECT row_number() OVER () AS seq FROM fx_lines WHERE uid IN (1, 2, 3)) q")
+def _(ls):
+    return lines.merge_lines(ls, [1, 2, 3], "merged").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+
+
+@query(
+    "m20_extract_slices", "fx_grid",
+    "SELECT s.slice, g.j, g.k, " + R("sum(g.value * w) / sum(w)") + " AS value FROM (SELECT slice, CAST(least(8, floor(slice * 9.0 / 6)) AS INTEGER) AS k0, slice * 9.0 / 6 - least(8, floor(slice * 9.0 / 6)) AS f FROM range(7) t(slice)) s "
+    "JOIN (SELECT *, 0 AS side FROM fx_grid UNION ALL SELECT *, 1 FROM fx_grid) g ON g.i = s.k0 + g.side CROSS JOIN LATERAL (SELECT CASE WHEN g.side = 0 THEN 1 - s.f ELSE s.f END AS w) x WHERE w > 0 GROUP BY s.slice, g.j, g.k",
+)
+def _(g):
+    return grids.extract_slices(g, "i", 7, 10).select(F.col("slice").cast("long").alias("slice"), "j", "k", r("value"))
+
+
+@query(
+    "m21_iso_crossings", "fx_grid",
+    " UNION ALL ".join(f"SELECT '{a}' AS axis, g.i, g.j, g.k, {R(f'g.{a} + (25.5 - g.value) / (h.value - g.value)')} AS at FROM fx_grid g JOIN fx_grid h ON " + " AND ".join(f"h.{c} = g.{c}" + (" + 1" if c == a else "") for c in "ijk") + " WHERE (g.value < 25.5) <> (h.value < 25.5)" for a in "ijk"),
+)
+def _(g):
+    at = F.when(F.col("axis") == "i", F.col("x")).when(F.col("axis") == "j", F.col("y")).otherwise(F.col("z"))
+    return grids.iso_crossings(g, 25.5).select("axis", "i", "j", "k", r(at, "at"))
+
+
+@query("m22_iso_triangles", "fx_grid")
+def _(g):
+    return grids.iso_triangles(g, 25.5).select("i", "j", "k", "tet", "tri", "corner", "edge", r("x"), r("y"), r("z"))
+
+
+@query("m23_aligned_frame", "fx_points", f"SELECT point_id, {R('(x - 100) * cos(radians(25)) + (y - 50) * sin(radians(25))')} AS x, {R('(y - 50) * cos(radians(25)) - (x - 100) * sin(radians(25))')} AS y FROM fx_points")
+def _(p):
+    return points.to_aligned(p, 25.0, 100.0, 50.0).select("point_id", r("x"), r("y"))
+
+
+@query("m23_aligned_round_trip", "fx_points", f"SELECT point_id, {R('x')} AS x, {R('y')} AS y FROM fx_points")
+def _(p):
+    return points.to_world(points.to_aligned(p, 25.0, 100.0, 50.0), 25.0, 100.0, 50.0).select("point_id", r("x"), r("y"))
+
+
+def _grids(s):
+    """A small grid at each section, turned by its strike."""
+    a = F.radians("strike")
+    turn = F.array(F.cos(a), -F.sin(a), F.lit(0.0), F.sin(a), F.cos(a), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return s.select("uid", F.array("origin_x", "origin_y", "origin_z").alias("origin"), F.array(*map(F.lit, (2.0, 3.0, 4.0))).alias("spacing"), F.array(*map(F.lit, (4, 3, 2))).alias("dims"), turn.alias("direction"))
+
+
+@query(
+    "m24_grid_nodes", "fx_sections",
+    f"SELECT uid, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, {R('origin_x + cos(radians(strike)) * (i + 0.5) * 2 - sin(radians(strike)) * (j + 0.5) * 3')} AS x, {R('origin_z + (k + 0.5) * 4')} AS z FROM fx_sections, range(4) a(i), range(3) b(j), range(2) c(k)",
+)
+def _(s):
+    return grids.grid_nodes(_grids(s)).select("uid", "i", "j", "k", r("x"), r("z"))
+
+
+@query("m26_voxet_box", "fx_sections", f"SELECT uid, CAST(n AS INTEGER) AS corner, {R('origin_x + cos(radians(strike)) * (n % 2) * 8 - sin(radians(strike)) * (floor(n / 2) % 2) * 9')} AS x, {R('origin_z + floor(n / 4) * 8')} AS z FROM fx_sections, range(8) t(n)")
+def _(s):
+    return grids.voxet_box(_grids(s)).select("uid", "corner", r("x"), r("z"))
+
+
+def _utm(p):
+    return p.select("point_id", (F.col("x") * 100 + 450_000).alias("x"), (F.col("y") * 1000 + 4_700_000).alias("y"))
+
+
+@query("m25_reproject_tm", "fx_points")
+def _(p):
+    return grids.reproject_tm(_utm(p), 32632, 32633).select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("m25_reproject_round_trip", "fx_points", "SELECT point_id, round(x * 100 + 450000, 3) AS x, round(y * 1000 + 4700000, 3) AS y FROM fx_points")
+def _(p):
+    there = grids.reproject_tm(_utm(p), 32632, 6709)
+    return grids.reproject_tm(there, 6709, 32632).select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("m27_project_to_plane", "fx_points", f"SELECT point_id, {R('x - d * 0.6')} AS x, {R('z - d * -0.8')} AS z, {R('d')} AS distance FROM (SELECT *, 0.6 * x - 0.8 * z + 10 AS d FROM fx_points) q")
+def _(p):
+    planes = p.select("uid").distinct().withColumns({"a": F.lit(0.6), "b": F.lit(0.0), "c": F.lit(-0.8), "d": F.lit(10.0)})
+    return points.project_to_plane(p, planes, "uid").select("point_id", r("x"), r("z"), r("distance"))
+
+
+def _rects(s):
+    return s.select("uid", *[(F.col("origin_x") + dx).alias(f"x{i}") for i, dx in ((1, 0.0), (2, 10.0), (3, 12.0))], *[F.lit(dy).alias(f"y{i}") for i, dy in ((1, 0.0), (2, 0.0), (3, 7.0))])
+
+
+@query("m28_boundary_box", "fx_sections", "SELECT uid, CAST(n AS BIGINT) AS point_id, origin_x + CASE n % 4 WHEN 1 THEN 10.0 WHEN 2 THEN 10.0 ELSE 0.0 END AS x, CASE WHEN n % 4 >= 2 THEN 7.0 ELSE 0.0 END AS y, CASE WHEN n < 4 THEN 5.0 ELSE -5.0 END AS z FROM fx_sections, range(8) t(n)")
+def _(s):
+    return grids.boundary_box(grids.three_point_box(_rects(s)), 5.0, -5.0, volume=True)
+
+
+@query("m28_box_triangles", "fx_sections", "SELECT uid, 12 AS n FROM fx_sections")
+def _(s):
+    return grids.box_triangles(s).groupBy("uid").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+# ------------------------------------------------------------------ G: graphs and clusters
+
+
+@query("g1_connected_parts", "fx_triangles")
+def _(t):
+    return mesh.connected_parts(settle(t.select("uid", F.array("p0", "p1", "p2").alias("ids"))))
+
+
+@query(
+    "g2_radius_clusters", "fx_points",
+    "WITH RECURSIVE e AS (SELECT a.uid, a.point_id AS a, b.point_id AS b FROM fx_points a JOIN fx_points b ON a.uid = b.uid AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 20), "
+    "c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b), m AS (SELECT a, min(b) AS low FROM c GROUP BY a) "
+    "SELECT p.point_id, dense_rank() OVER (PARTITION BY p.uid ORDER BY m.low) - 1 AS cluster_id FROM m JOIN fx_points p ON p.point_id = m.a",
+)
+def _(p):
+    return points.radius_clusters(p, 20.0).select("point_id", "cluster_id")
+
+
+@query("g3_remove_radius_outliers", "fx_points", "SELECT a.point_id, count(*) AS neighbors FROM fx_points a JOIN fx_points b ON a.uid = b.uid AND a.point_id <> b.point_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 60 GROUP BY a.point_id HAVING count(*) >= 2")
+def _(p):
+    return points.remove_radius_outliers(p, 60.0, 2).select("point_id", "neighbors")
+
+
+@query("g4_segment", "fx_oriented")
+def _(p):
+    return points.segment(p, 0, 360, 10, 80, 50.0, 3).select("uid", "point_id", "cluster_id")
+
+
+@query("g5_pca_normals", "fx_points")
+def _(p):
+    return points.pca_normals(p, 8).select("uid", "point_id", r("nx"), r("ny"), r("nz"))
+
+
+_SEEDS = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, -1.0)]
+
+
+@query("g6_kmedoids", "fx_vectors")
+def _(v):
+    return orient.kmedoids(orient.flip_down(v), _SEEDS, axial=True, rounds=5).select("point_id", "cluster")
+
+
+@query("g7_kmeans", "fx_vectors")
+def _(v):
+    return orient.kmeans(orient.flip_down(v), _SEEDS, rounds=30).select("point_id", "cluster")
+
+
+@query("g7_kmeans_assign", "fx_vectors", "SELECT point_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM (SELECT point_id, (x - 1) * (x - 1) + y * y + z * z AS d0, x * x + (y - 1) * (y - 1) + z * z AS d1, x * x + y * y + (z + 1) * (z + 1) AS d2 FROM fx_vectors) q")
+def _(v):
+    return orient.assign(v, _SEEDS).select("point_id", "cluster")
+
+
+@query("g8_save_clusters", "fx_vectors", "SELECT point_id, CASE WHEN point_id % 2 = 0 THEN 7 END AS cl FROM fx_vectors")
+def _(v):
+    labels = v.where("point_id % 2 = 0").select("uid", "point_id", F.lit(7).alias("cluster"))
+    return orient.save_clusters(v, labels, "cl").select("point_id", "cl")
+
+
+@query("g9_nearest_pick", "fx_vectors", "SELECT s AS seed, arg_min(point_id, {'d': (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz), 'p': point_id}) AS point_id FROM fx_vectors, (VALUES (0, 1.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0), (2, 0.0, 0.0, -1.0)) t(s, sx, sy, sz) GROUP BY s")
+def _(v):
+    seeds = v.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(_SEEDS)], "seed int, x double, y double, z double")
+    return orient.nearest_pick(v, seeds).select("seed", "point_id")
+
+
+# ------------------------------------------------------------------ S: sources and sinks
+
+
+def _path(df, name: str) -> str:
+    return f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_points_text_round_trip", "fx_points", f"SELECT CAST(point_id AS DOUBLE) AS id, {R('x')} AS x, y, z FROM fx_points")
+def _(p):
+    path = _path(p, "points")
+    p.select("point_id", "x", "y", "z").write.option("sep", ";").csv(path)
+    return text.read_points_text(p.sparkSession, path, ["id", "x", "y", "z"]).select("id", r("x"), "y", "z")
+
+
+@query("s2_points_ply_round_trip", "fx_points", f"SELECT {R('x')} AS x, y, z FROM fx_points")
+def _(p):
+    path = _path(p, "ply")
+    head = ["ply", "format ascii 1.0", "element vertex 0", "property double x", "property double y", "property double z", "end_header"]
+    h = p.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, head))).alias("value"))
+    h.coalesce(1).union(p.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]))).write.text(path)
+    return text.read_points_ply_ascii(p.sparkSession, path).select(r("x"), "y", "z")
+
+
+def _model(p, t):
+    e = p.select("uid").distinct().select("uid", F.lit("top").alias("role"), F.concat(F.lit("f"), F.col("uid").cast("string")).alias("feature"), F.lit("TriSurf").alias("topology"), F.col("uid").cast("double").alias("time"))
+    return e, p, t
+
+
+@query("s3_gocad_round_trip", "fx_mesh_points fx_triangles", "SELECT CAST(uid AS VARCHAR) AS name, count(*) AS n, sum(p1) AS p1 FROM fx_triangles GROUP BY uid")
+def _(p, t):
+    e, p, t = _model(p.withColumn("point_id", F.col("point_id")), t)
+    path = _path(p, "gocad")
+    gocad.write_gocad(e, p, path, triangles=t)
+    got = gocad.read_gocad(p.sparkSession, path + "/*")
+    ids = got["entities"].select("uid", "name")
+    back = got["triangles"].join(ids, "uid").join(got["points"].select("uid", F.col("point_id").alias("p1"), (F.col("y") + F.col("x") / 10).alias("id1")), ["uid", "p1"])
+    return back.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("id1").cast("long").alias("p1"))
+
+
+@query("s4_gocad_lines", "fx_mesh_points fx_triangles", "SELECT uid, 1 + (SELECT count(*) FROM fx_mesh_points m WHERE m.uid = t.uid) + count(*) + 1 AS n FROM fx_triangles t GROUP BY uid")
+def _(p, t):
+    return gocad.gocad_lines(*_model(p, t)).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_entity_tables_round_trip", "fx_entities fx_legend", "SELECT uid, name, role FROM fx_entities")
+def _(e, l):
+    path = _path(e, "project")
+    text.write_entity_tables({"entities": e, "legend": l}, path)
+    got = text.read_entity_tables(e.sparkSession, path, {"entities": "uid string, name string, role string"})
+    return got["entities"]
+
+
+@query("s6_conform_schema", "fx_entities", "SELECT uid, parent_uid, 'undef' AS scenario2 FROM fx_entities")
+def _(e):
+    old = e.select("uid", F.col("parent_uid").alias("x_section"), "topology")
+    return catalog.conform(old, {"uid": F.lit(""), "parent_uid": F.lit(""), "scenario2": F.lit("undef")})
+
+
+@query("s7_export_points", "fx_vectors", f"SELECT point_id, {R('x')} AS n0, {R('90 - degrees(asin(greatest(-1.0, least(1.0, -z))))')} AS dip FROM fx_vectors")
+def _(v):
+    flat = text.flat_points(v.select("uid", "point_id", F.array("x", "y", "z").alias("Normals")))
+    return flat.select("point_id", r("Normals_0", "n0"), r("dip"))
+
+
+@query("s8_surface_vertices", "fx_mesh_points fx_triangles", f"SELECT p.uid, count(*) AS n, count(r.point_id) AS n_border FROM fx_mesh_points p LEFT JOIN ({_RIM}) r ON r.uid = p.uid AND r.point_id = p.point_id GROUP BY p.uid")
+def _(p, t):
+    return text.export_surface_vertices(p, t, _path(p, "vertices"))
+
+
+@query("s9_landxml", "fx_mesh_points fx_triangles", "SELECT uid, 3 + (SELECT count(*) FROM fx_mesh_points m WHERE m.uid = t.uid) + count(*) AS n FROM fx_triangles t GROUP BY uid")
+def _(p, t):
+    return text.landxml_lines(p, t).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_stl", "fx_mesh_points fx_triangles", "SELECT uid, 2 + count(*) AS n FROM fx_triangles GROUP BY uid")
+def _(p, t):
+    return text.stl_lines(p, t).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s10_obj", "fx_mesh_points fx_triangles", "SELECT uid, 'f ' || (p0 + 1) || ' ' || (p1 + 1) || ' ' || (p2 + 1) AS value FROM fx_triangles WHERE uid = 0")
+def _(p, t):
+    return text.obj_lines(p, t).where("uid = 0 and part = 1").select("uid", "value")
+
+
+@query("s11_dem_from_raster", "fx_dem", "SELECT d.uid, d.r, d.c, 100 + c * 10.0 AS x, CASE WHEN z <> m THEN z END AS z FROM fx_dem d JOIN (SELECT uid, max(z) AS m FROM fx_dem GROUP BY uid) q ON q.uid = d.uid")
+def _(d):
+    raster = d.select("uid", "r", "c", F.col("z").alias("value"), F.lit(100.0).alias("x0"), F.lit(900.0).alias("y0"), F.lit(10.0).alias("dx"), F.lit(10.0).alias("dy"))
+    return grids.dem_from_raster(raster).select("uid", "r", "c", "x", "z")
+
+
+@query("s12_map_pixels", "fx_dem", f"SELECT uid, r, c, {R('c * 20.0')} AS x, {R('500 - r * 50.0')} AS y, 1 AS bands FROM fx_dem")
+def _(d):
+    raster = d.withColumn("bands", F.array("z", "z"))
+    return grids.map_pixels(raster, (0, 200, 0, 500), 10, 10).select("uid", "r", "c", r("x"), r("y"), F.size("bands").alias("bands"))
+
+
+@query("s13_section_pixels", "fx_dem fx_sections", f"SELECT d.r, d.c, b.uid AS section, {R('origin_x + c * 20 * ux + r * 10 * vx')} AS x, {R('origin_z + c * 20 * uz + r * 10 * vz')} AS z FROM fx_dem d CROSS JOIN ({_BASIS}) b WHERE d.uid = 0")
+def _(d, s):
+    raster = d.where("uid = 0").select("r", "c", F.col("z").alias("value"))
+    return grids.section_pixels(raster, s, 0.0, 0.0, 200.0, 100.0, 10, 10).select("r", "c", "section", r("x"), r("z"))
+
+
+def _traces(e):
+    return e.select(F.lit("v").alias("uid"), F.col("vec_id").alias("trace_no"), (F.col("vec_id") / 20).cast("int").alias("inline"), (F.col("vec_id") % 20).cast("int").alias("xline"), F.lit(0.0).alias("cdp_x"), F.lit(0.0).alias("cdp_y"), F.col("embedding").alias("samples"))
+
+
+@query("s14_seismic_volume", "embeddings", f"SELECT vec_id // 20 AS inline, vec_id % 20 AS xline, CAST(k AS INTEGER) AS k, {R('(-(64 * 4.0) + k * (64 * 4.0) / 63) / 8')} AS z, {R('CAST(embedding[64 - k] AS DOUBLE)')} AS value FROM embeddings, range(64) t(k)")
+def _(e):
+    v = grids.seismic_volume(_traces(e), 4.0)
+    return v.select(F.col("inline").cast("long").alias("inline"), F.col("xline").cast("long").alias("xline"), "k", r("z"), r(F.col("value").cast("double"), "value"))
+
+
+@query("s15_trace_headers", "embeddings", "SELECT vec_id AS trace_no, vec_id // s + 1 AS inline, vec_id % s + 1 AS xline FROM embeddings, (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS s FROM embeddings) q WHERE vec_id < s * s")
+def _(e):
+    return grids.regularize_trace_headers(_traces(e).drop("inline", "xline")).select("trace_no", "inline", "xline")
+
+
+@query("s16_well_tables", "fx_wells", "SELECT well, seq, 1000 - dx AS x, 2000 - dy AS y, 300 - dz AS z FROM fx_wells")
+def _(w):
+    info = w.select("well").distinct().withColumns({"easting": F.lit(1000.0), "northing": F.lit(2000.0), "elev": F.lit(300.0)})
+    return wells.well_geometry(info, w.select("well", "seq", "dx", "dy", "dz"))
+
+
+@query("s17_vector_features", "fx_points", "SELECT point_id AS feature_id, CAST(k AS INTEGER) AS seq, x + k AS x, 0.0 AS z FROM fx_points, range(2) t(k)")
+def _(p):
+    f = p.select(F.col("point_id").alias("feature_id"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y"))).alias("coords"))
+    return text.vector_features(f).select("feature_id", "seq", "x", "z")
+

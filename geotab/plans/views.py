@@ -94,6 +94,8 @@ def twin(query: str, *names: str) -> str:
     for n in names:
         sql(n, seen)
     head = ", ".join(f"{n} AS ({v})" for n, v in seen.items())
+    if query.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {query.lstrip()[15:]}"
     if query.lstrip().upper().startswith("WITH "):
         return f"WITH {head}, {query.lstrip()[5:]}" if head else query
     return f"WITH {head} {query}" if head else query

@@ -83,7 +83,8 @@ def read_gocad(spark: SparkSession, path: str, parent_uid: str | None = None) ->
                     yield part
 
     r = files.mapInPandas(parse, RECORDS)
-    uid = F.concat_ws("#", F.element_at(F.split("file", "/"), -1), F.col("object").cast("string")).alias("uid")
+    folders = F.split("file", "/")  # names alone may repeat in other folders
+    uid = F.concat_ws("#", F.array_join(F.slice(folders, -2, 2), "/"), F.col("object").cast("string")).alias("uid")
     e = r.where("kind = 'object'")
     entities = e.select(uid, "name", role_from_type(F.coalesce("type", F.lit("undef"))).alias("role"), F.coalesce("feature", F.lit("undef")).alias("feature"), F.lit(parent_uid).alias("parent_uid"), F.col("prop_names").alias("properties_names"), F.col("id").alias("n_points"))
     points = r.where("kind = 'point'").select(uid, F.col("id").alias("point_id"), "x", "y", "z", "props")

@@ -48,16 +48,15 @@ def read_points_text(spark: SparkSession, path: str, columns: list[str], separat
 def read_points_ply_ascii(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of ASCII PLY files with one header: its properties name the columns.
 
-    The header is a few lines at the front of the first file; vertex rows are those with as many
-    numbers as there are vertex properties.
+    Header lines start with a letter, vertex rows with a number; the few header lines of the first
+    file by name are read ahead. Vertex rows are those with as many numbers as there are vertex properties.
     """
-    head: list[str] = []
-    for (line,) in spark.read.text(path).limit(200).collect():
-        head.append(line.strip())
-        if line.strip() == "end_header":
-            break
-    else:
+    words = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    words = words.where(F.col("value").rlike("^[a-z]"))
+    head = [r[0].strip() for r in words.orderBy("file", "n").limit(200).collect()]
+    if "end_header" not in head:
         raise ValueError("no PLY header")
+    head = head[: head.index("end_header") + 1]
     if not head or head[0] != "ply" or not any(h.startswith("format ascii") for h in head):
         raise ValueError("not an ASCII PLY file")
     columns, element = [], ""
