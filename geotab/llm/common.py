@@ -36,6 +36,26 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Arrow batches of few megabytes in df's session, whatever the length of its texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def give_back() -> None:
+    """Return the memory a worker has freed to the machine; workers are reused by later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
 def held_out(col: str, mod: int, value: int):
     """crc32 of the id as text, modulo mod, is value; a null id counts as not held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % mod == value, F.lit(False))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE = 200
 LAYOUTS = 800
 STEPS = 200
@@ -407,6 +409,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """pages (html, ...) with text and n_chars."""
+    bounded_batches(pages)
 
     @F.arrow_udf("text string, n_chars long")
     def run(source: pa.Array) -> pa.Array:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, mix64, own
+from .common import bounded_batches, chunks, give_back, held_out, mix64, own
 
 BOUND = 3000
 LANGUAGES = 1024
@@ -84,6 +84,7 @@ def _count(batches):
             [pa.array(names[(pair >> np.uint64(32)).astype(np.int64)], pa.string()), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))],
             schema=schema,
         )
+    give_back()
 
 
 class Model:
@@ -142,6 +143,7 @@ class Model:
 
 def train(docs: DataFrame, bound: int = BOUND, mod: int = 4, out: int = 2) -> Model:
     """A model of docs (doc_id, text, lang) without the held-out ids."""
+    bounded_batches(docs)
     d = own(docs, "doc_id", "text", "lang").where(~held_out("doc_id", mod, out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(counts)
@@ -164,6 +166,7 @@ def train(docs: DataFrame, bound: int = BOUND, mod: int = 4, out: int = 2) -> Mo
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and lang_score of the whole text."""
+    bounded_batches(docs)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang_pred string, score double")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, local_roots, matrix, mix64, own, shingles, spread, starts_of, whole_groups
+from .common import bounded_batches, chunks, components, cut, give_back, local_roots, matrix, mix64, own, shingles, spread, starts_of, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -155,6 +155,7 @@ def _candidates(batches, need: list[int]):
             cls = table.column("cls")
             pairs = pa.table([cls.take(pa.array(linked)), cls.take(pa.array(root[linked]))], names=["a", "b"])
             yield from pairs.group_by(["a", "b"]).aggregate([]).cast(schema).combine_chunks().to_batches()
+    give_back()
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -214,6 +215,7 @@ def _verify(batches, need: list[int], threshold: float):
                 out[2].append(int(links[i]))
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
+    give_back()
 
 
 def _need(threshold: float, tolerance: float) -> list[int]:
@@ -224,6 +226,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     """One row for each of docs (doc_id, text): doc_id, n_links (other documents at least threshold
     similar), component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
     need = _need(threshold, tolerance)
+    bounded_batches(docs)
     docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rep = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
     rows = cut(docs.withColumn("_f", F.arrow_udf(_features, "cls binary, sig binary")("text")).select("doc_id", rep.alias("rep"), "_f.cls", "_f.sig"), "minhash")

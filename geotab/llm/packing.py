@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, own
+from .common import bounded_batches, cut, give_back, own
 
 TIERS = (2048, 1024, 512, 256)
 SHARD = 2048
 STEP = 64
 END = 1
-CACHE = 1_500_000
+#: Words cached at most within a task, and beyond which a task's cache is not left to the next.
+CACHE, KEPT = 800_000, 100_000
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
 
@@ -160,6 +161,9 @@ def _route(batches, path: str, top: int, shards: int):
                 rows, held = [], 0
         if rows:
             yield _batch(rows, _routed())
+    if len(tok.words) > KEPT:
+        tok.clear()
+        give_back()
 
 
 def _routed() -> pa.Schema:
@@ -262,6 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, shard_docs: int = SHARD)
     if any(t & (t - 1) or t < 2 for t in tiers):
         raise ValueError("tiers must be powers of two")
     docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bounded_batches(docs)
     shards = max(1, -(-docs.count() // shard_docs))
     kind = "<u2" if tokens(tokenizer).kind.itemsize == 2 else "<u4"
     tokens.cache_clear()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, held_out, mix64, own, word_hashes
+from .common import bounded_batches, chunks, cut, held_out, mix64, own, word_hashes
 
 ROUNDS = 3
 STEPS = 5
@@ -162,6 +162,7 @@ def _step(features: DataFrame, mine: str, widths: dict, w: dict, weight, sure, p
 
 def features_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, y (1, 0 or null), fold, content, meta of all docs."""
+    bounded_batches(docs)
     d = own(docs, "doc_id", "text", "source", "lang", "n_chars").select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, own
+from .common import bounded_batches, cut, give_back, held_out, own
 
 BOUND = {1: 6000, 0: 9000}
 DECAY = 0.6
@@ -32,7 +32,8 @@ SPAN = 6
 LANDMARKS = 128
 TRAIN_WORDS = 6000
 FLOOR = -0.5
-CACHE = 1_500_000
+#: Words whose values a task keeps at most.
+CACHE = 400_000
 
 _DIM = 1 << 18
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -190,6 +191,7 @@ class Model:
             return FLOOR
         if len(self.seen) > CACHE:
             self._clear()
+            give_back()
         n = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
         if self.seen.new:
             self._learn()
@@ -206,6 +208,8 @@ class Model:
 
 
 def _highest(docs: DataFrame, model: Model) -> DataFrame:
+    bounded_batches(docs)
+
     @F.arrow_udf("double")
     def value(text: pa.Array) -> pa.Array:
         return pa.array([model.highest(t.as_py()) for t in text], pa.float64())
