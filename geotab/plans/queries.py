@@ -324,11 +324,11 @@ def _(e):
 
 @query(
     "p15_texture_coords", "fx_points",
-    f"SELECT point_id, CASE WHEN x BETWEEN 10 AND 110 AND y BETWEEN 20 AND 220 THEN {R('(x - 10) / 100')} END AS u, CASE WHEN x BETWEEN 10 AND 110 AND y BETWEEN 20 AND 220 THEN {R('(y - 20) / 200')} END AS v FROM fx_points",
+    f"SELECT point_id, CASE WHEN x BETWEEN 10 AND 110 AND y BETWEEN 20 AND 220 THEN round((x - 10) / 100, 9) END AS u, CASE WHEN x BETWEEN 10 AND 110 AND y BETWEEN 20 AND 220 THEN round((y - 20) / 200, 9) END AS v FROM fx_points",
 )
 def _(p):
     images = p.sparkSession.range(1).select(F.lit("img").alias("image"), F.lit(10.0).alias("x0"), F.lit(110.0).alias("x1"), F.lit(220.0).alias("y0"), F.lit(20.0).alias("y1"))
-    return points.texture_coords(p, images).select("point_id", r("u"), r("v"))
+    return points.texture_coords(p, images).select("point_id", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
 @query("p16_export_selection", "fx_entities", "SELECT uid FROM fx_entities WHERE collection = 'geol' AND topology IN ('TriSurf', 'PolyLine')")
@@ -687,7 +687,7 @@ def _dist(e: str) -> str:
     f"(SELECT s.*, b.uid AS section, {_dist('1')} AS d1, {_dist('2')} AS d2 FROM ({_SEG}) s CROSS JOIN ({_BASIS}) b) q WHERE (d1 <= 0 AND d2 > 0) OR (d1 > 0 AND d2 <= 0)) z",
 )
 def _(ls, s):
-    return sections.cut_lines(lines.segments(ls), s).select("uid", "cell_id", "section", r("x"), r("y"), r("z"))
+    return sections.cut_lines(lines.segments(ls), s).select("uid", F.col("cell_id").cast("long").alias("cell_id"), "section", r("x"), r("y"), r("z"))
 
 
 def _mesh_sections(s):
@@ -728,7 +728,7 @@ def _(d, s):
 )
 def _(g, s):
     s = s.withColumns({"origin_x": (F.col("uid") % 5).cast("double"), "origin_y": F.lit(4.0), "origin_z": F.lit(1.0)})
-    return grids.grid_to_section(g, s, 0.7, 3, 8).select("section", "row", "col", "value")
+    return grids.grid_to_section(g, s, 0.7, 3, 8).select("section", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
 
 
 @query("j18_split_by_surface", "fx_mesh_points fx_triangles")

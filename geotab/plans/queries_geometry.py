@@ -228,9 +228,13 @@ _PROJ = (
 )
 
 
-@query("m5_project_to_section", "fx_points fx_sections", f"SELECT point_id, uid AS section, {R('x + t * ax')} AS x, {R('y + t * ay')} AS y, {R('z + t * az')} AS z, {R('abs(t)')} AS distance FROM ({_PROJ}) p WHERE abs(t) <= 40")
+@query(
+    "m5_project_to_section", "fx_points fx_sections",
+    f"SELECT point_id, uid AS section, round(x + t * ax, 5) + 0.0 AS x, round(y + t * ay, 5) + 0.0 AS y, round(z + t * az, 5) + 0.0 AS z, round(abs(t), 5) AS distance FROM ({_PROJ}) p WHERE abs(t) <= 40",
+)
 def _(p, s):
-    return sections.project(p, s, max_dist=40.0).select("point_id", "section", r("x"), r("y"), r("z"), r("distance"))
+    q = sections.project(p, s, max_dist=40.0)
+    return q.select("point_id", "section", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "distance")])
 
 
 @query("m5_project_lines", "fx_lines fx_sections")
@@ -286,7 +290,7 @@ def _(p, t):
     return mesh.vertex_normals(p, t).select("uid", "point_id", r("nx"), r("nz"))
 
 
-@query("m11_clip_triangles", "fx_mesh_points fx_triangles", f"SELECT uid, sum(CASE WHEN n IN (0, 3) THEN 1 ELSE 3 END) AS pieces FROM (SELECT uid, CAST(z0 >= 25.5 AS INT) + CAST(z1 >= 25.5 AS INT) + CAST(z2 >= 25.5 AS INT) AS n FROM ({_CORNERS}) c) q GROUP BY uid")
+@query("m11_clip_triangles", "fx_mesh_points fx_triangles", f"SELECT uid, CAST(sum(CASE WHEN n IN (0, 3) THEN 1 ELSE 3 END) AS BIGINT) AS pieces FROM (SELECT uid, CAST(z0 >= 25.5 AS INT) + CAST(z1 >= 25.5 AS INT) + CAST(z2 >= 25.5 AS INT) AS n FROM ({_CORNERS}) c) q GROUP BY uid")
 def _(p, t):
     c = mesh.clip(p.withColumn("s", F.col("z") - 25.5), t, "s")
     return c.where("corner = 0").groupBy("uid").agg(F.count(F.lit(1)).alias("pieces"))
@@ -529,7 +533,7 @@ def _model(p, t):
     return e, p, t
 
 
-@query("s3_gocad_round_trip", "fx_mesh_points fx_triangles", "SELECT CAST(uid AS VARCHAR) AS name, count(*) AS n, sum(p1) AS p1 FROM fx_triangles GROUP BY uid")
+@query("s3_gocad_round_trip", "fx_mesh_points fx_triangles", "SELECT CAST(uid AS VARCHAR) AS name, count(*) AS n, CAST(sum(p1) AS BIGINT) AS p1 FROM fx_triangles GROUP BY uid")
 def _(p, t):
     e, p, t = _model(p.withColumn("point_id", F.col("point_id")), t)
     path = _path(p, "gocad")
