@@ -230,11 +230,11 @@ _PROJ = (
 
 @query(
     "m5_project_to_section", "fx_points fx_sections",
-    f"SELECT point_id, uid AS section, round(x + t * ax, 5) + 0.0 AS x, round(y + t * ay, 5) + 0.0 AS y, round(z + t * az, 5) + 0.0 AS z, round(abs(t), 5) AS distance FROM ({_PROJ}) p WHERE abs(t) <= 40",
+    f"SELECT point_id, uid AS section, round(x + t * ax, 7) + 0.0 AS x, round(y + t * ay, 7) + 0.0 AS y, round(z + t * az, 7) + 0.0 AS z, round(abs(t), 7) AS distance FROM ({_PROJ}) p WHERE abs(t) <= 5",
 )
 def _(p, s):
-    q = sections.project(p, s, max_dist=40.0)
-    return q.select("point_id", "section", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "distance")])
+    q = sections.project(p, s, max_dist=5.0)
+    return q.select("point_id", "section", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "distance")])
 
 
 @query("m5_project_lines", "fx_lines fx_sections")
