@@ -402,9 +402,11 @@ def fit(sources: list[str], layouts: int = LAYOUTS, steps: int = STEPS) -> Model
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
     """Potentials from a bounded sample of pages (page_id, html)."""
-    rows = pages.where("html is not null").select("page_id", F.substring("html", 1, 60_000).alias("html"))
-    chosen = rows.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).toPandas()
-    return fit(list(chosen["html"]))
+    rows = pages.where("html is not null and page_id is not null")
+    # ids first: a sorted limit brings a row of each kind from every task to the driver
+    ids = [r[0] for r in rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    chosen = rows.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).toPandas() if ids else None
+    return fit([] if chosen is None else list(chosen.sort_values("page_id")["html"]))
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:
