@@ -111,7 +111,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     v = v.where(F.size("embedding") == most["dim"])
     # copies would be useless as pivots, so more are drawn than are used
-    drawn = v.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(8 * PIVOTS).toPandas()
+    chance = F.pmod(F.xxhash64("vec_id", F.lit("chance")), F.lit(1_000_000)) / 1e6
+    likely = v.where(chance < max(1e-6, min(1.0, 32 * PIVOTS / most["n"])))
+    drawn = likely.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(8 * PIVOTS).toPandas()
     pivots = np.array(list(dict.fromkeys(tuple(x) for x in drawn["embedding"]))[:PIVOTS], np.float64)
     depth = min(DEPTH, len(pivots))
     shards = max(-(-most["n"] // SHARD_ROWS), min(LEAST_SHARDS, -(-most["n"] // SMALL_SHARD)))
