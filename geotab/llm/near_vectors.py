@@ -38,6 +38,11 @@ def valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def vector_kind(vectors: DataFrame) -> str:
+    """Type in which embeddings are carried: double if they come so, else float."""
+    return "array<double>" if dict(vectors.dtypes).get("embedding") == "array<double>" else "array<float>"
+
+
 def passes_for(largest: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes that leave a pair at the threshold unmet with probability miss."""
     same = 1 - acos(threshold) / pi
@@ -61,8 +66,9 @@ _STRETCH = ["pass", "label", "dim"]
 
 
 def _coded(batches, passes: int):
-    schema = pa.schema([("pass", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("vector", pa.list_(pa.float32()))])
     for batch in batches:
+        kind = batch.schema.field("vector").type
+        schema = pa.schema([("pass", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("vector", kind)])
         dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims):
             part = batch.filter(pa.array(dims == dim))
@@ -136,7 +142,8 @@ def _counted(batches, threshold: float):
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id, kept for each of vectors (vec_id, embedding, label)."""
     v = own(vectors, "vec_id", "embedding", "label")
-    v = v.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("string"))
+    kind = vector_kind(vectors)
+    v = v.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label").cast("string"))
     ok = valid(F.col("embedding")) & F.col("label").isNotNull()
     v = v.withColumn("k1", F.when(ok, F.xxhash64("embedding"))).withColumn("k2", F.when(ok, F.xxhash64(F.lit(7), "embedding")))
     copies = v.where("k1 is not null").groupBy("label", "k1", "k2").agg(
@@ -147,7 +154,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
     passes = passes_for(largest or 1, threshold, window)
 
     coded = copies.select("label", "dim", "node", "vector").mapInArrow(
-        lambda it: _coded(it, passes), "pass int, label string, dim int, code long, node long, vector array<float>"
+        lambda it: _coded(it, passes), f"pass int, label string, dim int, code long, node long, vector {kind}"
     )
     tasks = max(copies.sparkSession.sparkContext.defaultParallelism, (total or 0) * passes // 20_000)
     order = coded.repartitionByRange(tasks, *_ORDER).sortWithinPartitions(*_ORDER)

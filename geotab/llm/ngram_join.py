@@ -270,5 +270,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without the documents whose group has a smaller id, and without repeated rows."""
     kept = join(docs, **how).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
-    d = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64("text"))
-    return d.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    d = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    return d.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")

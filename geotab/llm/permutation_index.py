@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import own, starts_of, whole_groups
-from .near_vectors import dense, valid
+from .near_vectors import dense, valid, vector_kind
 
 PIVOTS = 256
 DEPTH = 64
@@ -103,7 +103,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, share: float = SH
     """The k nearest of all other vectors (vec_id, embedding) for each whose id is divisible by every:
     query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    v = own(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"))
+    v = own(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), F.col("embedding").cast(vector_kind(vectors)))
     v = v.where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     dims = v.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
     most = dims.orderBy(F.desc("n"), "dim").first()

@@ -91,7 +91,7 @@ def test_pruning_bound_is_the_posterior():
 
 
 def test_keep_one_keeps_columns_and_drops_copies(spark):
-    d = docs_of(spark, ["a b c d e f", "a b c d e f", "other words are here now", None], ids=[3, 1, 2, None], cls=["x", "y", "z", "w"])
+    d = docs_of(spark, ["a b c d e f", "a b c d e f", "other words are here now", None], ids=[3, 1, 2, None], cls=["x", "y", "z", "w"], _id=["1"] * 4)
     d = d.union(d.where("doc_id = 2"))
     got = ngram_join.keep_one(d)
     assert got.columns == d.columns and sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == [1, 2] and got.where("doc_id is null").count() == 1
