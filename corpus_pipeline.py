@@ -15,17 +15,22 @@ from geotab.llm import common, langid, mixing, ngram_join, packing, toxicity
 from geotab.llm.queries import tokenizer
 
 
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one column _doc beside the columns an operator reads, so that no name of docs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in no language that the model knows."""
-    judged = langid.identify(docs, langid.train(docs))
+    judged = langid.identify(_whole(docs, "text"), langid.train(docs))
     known = (F.col("lang_pred") != "und") & (F.col("lang_score") >= langid.LEAST)
-    return judged.where(known).select(*docs.columns)
+    return judged.where(known).select("_doc.*")
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents predicted toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("toxic_predicted = 0").select(*docs.columns)
+    return toxicity.score(_whole(docs, "text"), model).where("toxic_predicted = 0").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus, a row for each copy taken."""
-    return mixing.expand(mixing.mix(docs), docs.columns)
+    copies = mixing.expand(mixing.mix(_whole(docs, "doc_id", "text", "source", "n_chars")), ["_doc", "text", "n_chars"])
+    changed = {"text", "n_chars"}
+    return copies.select(*[F.col(c) if c in changed else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
