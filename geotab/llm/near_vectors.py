@@ -174,3 +174,15 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
     alone = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), alone.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: SQL twin over all pairs of a label.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS n, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+o AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.n AS a, b.n AS b FROM o a JOIN o b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+c(n, m) AS (SELECT n, n FROM v UNION SELECT c.n, p.b FROM c JOIN p ON p.a = c.m),
+g AS (SELECT c.n, min(v.vec_id) AS component_id FROM c JOIN v ON v.n = c.m GROUP BY c.n),
+l AS (SELECT a AS n, count(*) AS k FROM p GROUP BY a)
+SELECT v.vec_id, coalesce(l.k, 0) AS n_links, g.component_id, v.vec_id IS NOT DISTINCT FROM g.component_id AS kept FROM v JOIN g ON g.n = v.n LEFT JOIN l ON l.n = v.n
+"""

@@ -273,3 +273,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     d = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     return d.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")
+
+
+#: SQL twin over all pairs with a common shingle.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS h FROM d),
+z AS (SELECT n, count(*) AS c FROM s GROUP BY n),
+p AS (SELECT a.n AS a, b.n AS b FROM s a JOIN s b ON a.h = b.h AND a.n <> b.n JOIN z x ON x.n = a.n JOIN z y ON y.n = b.n GROUP BY a.n, b.n, x.c, y.c HAVING count(*) * 1.8 >= 0.8 * (x.c + y.c) - 1e-9),
+c(n, m) AS (SELECT n, n FROM d UNION SELECT c.n, p.b FROM c JOIN p ON p.a = c.m),
+g AS (SELECT c.n, min(d.doc_id) AS component_id FROM c JOIN d ON d.n = c.m GROUP BY c.n),
+l AS (SELECT a AS n, count(*) AS k FROM p GROUP BY a)
+SELECT d.doc_id, coalesce(l.k, 0) AS n_links, g.component_id, d.doc_id IS NOT DISTINCT FROM g.component_id AS kept FROM d JOIN g ON g.n = d.n LEFT JOIN l ON l.n = d.n
+"""

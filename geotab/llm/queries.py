@@ -70,4 +70,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the result."""
-    return {"op3_url_filter": url_filter.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_near_vectors": near_vectors.ORACLE, "op3_url_filter": url_filter.ORACLE}
