@@ -26,7 +26,7 @@ def boundary_edges(triangles: DataFrame) -> DataFrame:
 
 def connected_parts(cells: DataFrame) -> DataFrame:
     """region_id of every point of cells (uid, array ids): parts of connectivity, numbered from 0 by smallest point."""
-    e = cells.select("uid", F.explode(F.transform(F.slice("ids", 2, 100), lambda i: i)).alias("b"), F.get("ids", F.lit(0)).alias("a"))
+    e = cells.select("uid", F.explode(F.slice("ids", F.lit(2), F.size("ids"))).alias("b"), F.get("ids", F.lit(0)).alias("a"))
     key = lambda c: F.struct("uid", F.col(c).alias("id"))
     g = components(e.select(key("a").alias("a"), key("b").alias("b")))
     g = g.select("node.uid", F.col("node.id").alias("point_id"), F.col("component.id").alias("low"))

@@ -288,7 +288,6 @@ def radius_clusters(points: DataFrame, r: float) -> DataFrame:
         return _numbered(p.join(low, ["uid", "_cell"]).drop("_cell"))
     edge = r / sqrt(3)
     p = _cells(points, edge).withColumn("_cell", F.concat_ws("/", F.col("uid").cast("string"), "_cx", "_cy", "_cz")).drop("_cx", "_cy", "_cz")
-    low = p.groupBy("_cell").agg(F.min("point_id").alias("_first"), F.first("uid").alias("_uid"))
     q = points.join(p.select("uid", "point_id", "_cell"), ["uid", "point_id"])
     pairs = radius_neighbors(points, r)
     cell = q.select("uid", F.col("point_id"), "_cell")
@@ -297,7 +296,6 @@ def radius_clusters(points: DataFrame, r: float) -> DataFrame:
     g = components(e)
     q = q.join(g.withColumnRenamed("node", "_cell"), "_cell", "left").withColumn("_g", F.coalesce("component", "_cell")).drop("component")
     least = q.groupBy("uid", "_g").agg(F.min("point_id").alias("_low"))
-    del low
     return _numbered(q.join(least, ["uid", "_g"]).drop("_g", "_cell"))
 
 
