@@ -129,6 +129,43 @@ def test_near_vectors_match_brute_force(vectors):
     assert got.kept.tolist()[: len(x)] == (root == np.arange(len(x))).tolist() and got.kept[len(x) :].all()
 
 
+def test_star_of_more_vectors_than_windows_hold(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    off = rng.normal(size=(3000, 64))
+    off -= (off @ centre)[:, None] * centre
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.vstack((0.982 * centre + math.sqrt(1 - 0.982**2) * off, centre[None], rng.normal(size=(1500, 64))))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = near_vectors.dedup(df).orderBy("vec_id").toPandas()
+    assert got.n_links.tolist() == link.sum(1).tolist()
+    assert got.component_id.tolist() == common.local_roots(*np.nonzero(link), len(x)).tolist()
+
+
+def test_cover_is_that_of_whole_runs():
+    rng = np.random.default_rng(9)
+    code = np.sort(np.concatenate((rng.integers(-(2**63), 2**63 - 1, 300), np.full(90, 5))))
+    table = pa.table({"code": code})
+    cover = near_vectors._cover(table, np.array([0, 200, 390]), 0, 390, True, 0.98, 8)
+    same = 1 - math.acos(0.98) / math.pi
+    for i, c in enumerate(cover):
+        low, high = (0, 200) if i < 200 else (200, 390)
+        if i < 8 or i + 8 >= 390:
+            assert c == 0
+            continue
+        for bits in range(65):
+            run = [j for j in range(low, high) if int(code[j]) >> (64 - bits) == int(code[i]) >> (64 - bits) or not bits]
+            if i - 8 < run[0] and run[-1] < i + 8:
+                assert bits and c == pytest.approx(-math.log1p(-(same**bits)))
+                break
+        else:
+            assert c == 0
+
+
 def test_passes_grow_with_the_largest_label():
     assert near_vectors.passes_for(100) <= near_vectors.passes_for(10_000) <= near_vectors.passes_for(10**9)
 
