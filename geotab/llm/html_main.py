@@ -11,7 +11,8 @@ known to be content or not (article bodies; menus, headers, footers, sidebars, n
 related links, reader comments).
 
 Defined cases: null or empty html gives an empty text; markup that ends early is read as far as it goes; scripts,
-styles, comments, titles and form controls are never text; character references are decoded; <br> is white space;
+styles, comments, titles and form controls are never text; one of these without its end tag before the enclosing block ends (or
+a button or select within another) goes on to the next block only; a head needs no end tag; character references are decoded; <br> is white space;
 repeated rows are extracted each; without a page to sample, built-in phrases fill the layouts; further columns are ignored.
 """
 
@@ -41,7 +42,8 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|data-y|aria-hidden)\s
 
 # Elements of HTML by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template svg iframe object select textarea button title canvas audio video math datalist head".split())
+SKIPPED = set("script style noscript template svg iframe object select textarea button title canvas audio video math datalist".split())
+RAW = {"script", "style", "title", "textarea"}  # text up to their own end tag, whatever it holds
 BLOCKS = set(
     "html body address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul center caption".split()
@@ -94,8 +96,11 @@ class Page:
         self.runs: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("", 0)]  # open elements and the block each belongs to
         text: list[str] = []
-        links = skip = at = 0
-        skipped = ""
+        links = at = 0
+        skip: list[int] = []  # starts of the open skipped element and of those of its name within it
+        unclosed: set[int] = set()
+        inner: list[str] = []  # blocks opened within it
+        skipped, brief, resume = "", False, -1
 
         def flush():
             if text:
@@ -105,9 +110,14 @@ class Page:
                     self.runs.append((stack[-1][1], said))
                     self.own[stack[-1][1]] += len(said)
 
-        for m in _TAG.finditer(source):
-            if m.start() < at:
-                continue
+        while True:
+            m = _TAG.search(source, at)
+            if not m:
+                if skip and resume >= 0:  # no end tag: go back to the first block within
+                    unclosed.update(skip)
+                    skip, at, links = [], resume, 0
+                    continue
+                break
             if m.start() > at and not skip:
                 piece = source[at : m.start()]
                 text.append(piece)
@@ -119,10 +129,40 @@ class Page:
                 continue
             tag = tag.lower()
             closing = m[1] or m[4]
+            ended = (m[3] or m[6] or "").rstrip().endswith("/")
             if skip:
-                if tag == skipped and tag not in VOID:
-                    skip += -1 if closing else 1
-                continue
+                if tag in RAW and not closing:
+                    if not (ended and skipped in ("svg", "math")):
+                        at = self._raw_end(source, at, tag)
+                    continue
+                if tag == skipped:
+                    if closing:
+                        skip.pop()
+                    elif tag in ("button", "select"):  # ends the one before
+                        skip, inner, brief, resume = [m.start()], [], m.start() in unclosed, -1
+                    elif not ended:
+                        skip.append(m.start())
+                    continue
+                if tag not in BLOCKS:
+                    continue
+                if not closing and not brief:
+                    resume = m.start() if resume < 0 else resume
+                    if tag not in VOID:
+                        inner.append(tag)
+                    continue
+                if closing:
+                    if tag in inner:
+                        while inner.pop() != tag:
+                            pass
+                        continue
+                    if tag not in ("body", "html") and not any(t == tag for t, _ in stack):
+                        continue
+                    unclosed.update(skip)
+                    links = 0
+                    if resume >= 0:
+                        skip, at = [], resume
+                        continue
+                skip = []
             if closing:
                 if tag == "a":
                     links = 0
@@ -136,11 +176,10 @@ class Page:
                 stack.pop()
                 continue
             if tag in SKIPPED:
-                if tag in ("script", "style", "title", "textarea"):  # raw text, up to its own end tag
-                    end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = end.end() if end else len(source)
-                elif not (m[3] or m[6] or "").rstrip().endswith("/"):
-                    skip, skipped = 1, tag
+                if tag in RAW:
+                    at = self._raw_end(source, at, tag)
+                elif not ended:
+                    skip, skipped, inner, brief, resume = [m.start()], tag, [], m.start() in unclosed, -1
                 continue
             if tag == "br":
                 text.append(" ")
@@ -177,6 +216,11 @@ class Page:
             text.append(source[at:])
         flush()
 
+    @staticmethod
+    def _raw_end(source: str, at: int, tag: str) -> int:
+        end = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I).search(source, at)
+        return end.end() if end else len(source)
+
     @staticmethod
     def _cue(tag: str, words: str, cues: dict) -> int:
         key = (tag, words)

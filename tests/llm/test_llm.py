@@ -517,6 +517,44 @@ def test_other_layouts_and_edges(spark, pages_model):
     assert out[1] == out[2] == "" and len(out) == 8
 
 
+_ARTICLE = "<article><h1>Rocks</h1><p>First part.</p><p>Second part.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before, after, more",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body>", "", []),
+        ("<head><title>T</title><link rel=x>", "", []),
+        ("<head><script>for (i=0;i<n;i++) {} // don't\n</script></head><body>", "<p>It's over.</p>", ["It's over."]),
+        ("<head><script>if (i<n) // don't</script><title>a<b it's</title></head><body>", "", []),
+        ("<body><noscript><style>a<b {x:'}</style></noscript>", "<p>It's over.</p>", ["It's over."]),
+        ("<body><svg><script>i<n // don't</script><style/><path/></svg>", "<p>It's over.</p>", ["It's over."]),
+        ("<body><div><button>Menu</div>", "", []),
+        ("<body><div><select><option>One<option>Two</div>", "", []),
+        ("<body><div><svg><path></div>", "", []),
+        ("<body><button>Menu", "", []),
+        ("<body><select><option>One", "</body></html>", []),
+        ("<body><svg><g>", "", []),
+        ("<body><noscript><img src=x>", "", []),
+        ("<body><button>Menu<button>More</button>", "", []),
+        ("<body><div><svg><svg><path></svg><p>Note.</p></div>", "", None),
+    ],
+)
+def test_skipped_elements_end(before, after, more):
+    runs = [said for _, said in html_main.Page(before + _ARTICLE + after, {}).runs]
+    assert runs == (["Note."] if more is None else []) + ["Rocks", "First part.", "Second part."] + (more or [])
+
+
+def test_closed_skipped_elements_hide_their_blocks():
+    page = html_main.Page("<div>A<button><div>no</div><p>no</button>B<svg><svg><p>no</p></svg>no</svg><object><ul><li>no</ul></object>C</div><noscript><p>no</p></noscript>", {})
+    assert [said for _, said in page.runs] == ["ABC"]
+
+
+def test_many_unclosed_elements():
+    page = html_main.Page("<div><svg><p>x" * 2000, {})
+    assert [said for _, said in page.runs] == ["x"] * 2000
+
+
 def test_html_empty_table(spark, pages_model):
     pages, m = pages_model
     assert html_main.extract(pages.limit(0), m).count() == 0
