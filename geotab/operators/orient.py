@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from .graph import settle
 
 
 def flip_down(vectors: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def assign(vectors: DataFrame, centers: list[tuple]) -> DataFrame:
 
 def kmeans(vectors: DataFrame, seeds: list[tuple], axial: bool = False, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """Lloyd's clusters from given seeds; each round is one grouped average, the centers go to the tasks as literals."""
-    data = double_axial(vectors) if axial else vectors
+    data = settle((double_axial(vectors) if axial else vectors).select("x", "y", "z"), "vectors")
     centers = [tuple(map(float, s)) for s in seeds]
     for _ in range(rounds):
         got = {r["cluster"]: (r["x"], r["y"], r["z"]) for r in assign(data, centers).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect()}
@@ -145,31 +146,90 @@ def kmeans(vectors: DataFrame, seeds: list[tuple], axial: bool = False, rounds:
     return assign(vectors, centers)
 
 
+def _nearest_bound(batches, state: dict, limit: int):
+    """Of the positions whose total distance may be the least of their cluster, those with the smallest bounds.
+
+    state: by cluster the number of members, their mean, planes below the total distance, the least total so far, positions done.
+    """
+    held: dict[int, pd.DataFrame] = {}
+    for batch in batches:
+        for cluster, part in batch.groupby("cluster"):
+            n, mean, planes, best, done = state[cluster]
+            at = part[["x", "y", "z"]].to_numpy()
+            bound = n * np.linalg.norm(at - mean, axis=1)
+            if len(planes):
+                bound = np.maximum(bound, (at @ planes[:, :3].T + planes[:, 3]).max(1))
+            part = part.assign(bound=bound)[bound <= best + 2e-9 + 1e-12 * abs(best)]
+            part = part[np.array([p not in done for p in zip(part["x"], part["y"], part["z"])], bool)]
+            held[cluster] = pd.concat([held[cluster], part] if cluster in held else [part]).nsmallest(limit, ["bound", "point_id"])
+    for part in held.values():
+        yield part[["cluster", "x", "y", "z", "bound", "point_id", "original"]]
+
+
+def _totals(batches, candidates: dict):
+    """Total distance of the batches' positions to each candidate of their cluster, and its slope there."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cluster, part in batch.groupby("cluster"):
+            if cluster not in candidates:
+                continue
+            at, n, c = part[["x", "y", "z"]].to_numpy(), part["n"].to_numpy(float), candidates[cluster]
+            out = sums.setdefault(cluster, np.zeros((len(c), 4)))
+            for low in range(0, len(at), 4096):
+                step = c[:, None, :] - at[None, low : low + 4096]
+                d = np.sqrt((step * step).sum(2))
+                w = n[low : low + 4096]
+                out[:, 0] += d @ w
+                out[:, 1:] += (step * (w / np.where(d > 0, d, 1))[:, :, None]).sum(1)
+    for cluster, out in sums.items():
+        yield pd.DataFrame({"cluster": cluster, "k": np.arange(len(out)), "cost": out[:, 0], "gx": out[:, 1], "gy": out[:, 2], "gz": out[:, 3]})
+
+
+def _medoids(a: DataFrame, block: int) -> dict[int, tuple]:
+    """By cluster of a (cluster, x, y, z, n, point_id, original) the position with the least total distance to all members; ties go to the smaller id.
+
+    Blocks of candidates are costed, smallest bound first, while a bound is not above the least total. Bounds are n |mean - c| and, as
+    the total is a convex function of the position, its tangent planes at the positions costed so far.
+    """
+    from pyspark.sql import Window
+
+    weigh = [F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "xyz"]]
+    state = {r["cluster"]: (r["n"], np.array([r["x"], r["y"], r["z"]]), np.zeros((0, 4)), np.inf, set()) for r in a.groupBy("cluster").agg(*weigh).collect()}
+    found: dict[int, tuple] = {}
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("bound", "point_id", "original"))
+    while state:
+        near = a.where(F.col("cluster").isin(list(state))).mapInPandas(lambda it, s=state: _nearest_bound(it, s, block), "cluster int, x double, y double, z double, bound double, point_id long, original boolean")
+        got = near.withColumn("k", rank).where(F.col("k") <= block).toPandas()
+        state = {c: v for c, v in state.items() if c in set(got["cluster"])}
+        if not state:
+            break
+        rows = {c: part.reset_index(drop=True) for c, part in got.groupby("cluster")}
+        at = {c: part[["x", "y", "z"]].to_numpy() for c, part in rows.items()}
+        totals = a.where(F.col("cluster").isin(list(state))).mapInPandas(lambda it, at=at: _totals(it, at), "cluster int, k long, cost double, gx double, gy double, gz double")
+        totals = totals.groupBy("cluster", "k").agg(*[F.sum(c).alias(c) for c in ("cost", "gx", "gy", "gz")]).toPandas()
+        for c, part in totals.groupby("cluster"):
+            part, (n, mean, planes, best, done) = part.sort_values("k"), state[c]
+            cost, slope = part["cost"].to_numpy(), part[["gx", "gy", "gz"]].to_numpy()
+            new = np.column_stack((slope, cost - (slope * at[c]).sum(1)))
+            state[c] = (n, mean, np.vstack((planes, new)), min(best, cost.min()), done | set(map(tuple, at[c].tolist())))
+            ids = zip(cost.round(9).tolist(), rows[c]["point_id"].tolist(), rows[c]["original"].tolist(), map(tuple, at[c].tolist()))
+            found[c] = min([*ids, *([found[c]] if c in found else [])])
+    return {c: v[3] for c, v in found.items()}
+
+
 def kmedoids(vectors: DataFrame, seeds: list[tuple], axial: bool = False, rounds: int = 300, candidates: int = 64) -> DataFrame:
     """Clusters around actual vectors.
 
-    A round assigns all vectors to the nearest medoid; then each cluster's next medoid is, of its
-    `candidates` vectors nearest to the cluster's mean, the one with the least total distance to all
-    members. A cluster of no more members than that is treated exactly.
+    A round assigns all vectors to the nearest medoid; then each cluster's next medoid is the member with the least
+    total distance to all members. `candidates` members are costed at a time, until no other can be better.
     """
-    data = (double_axial(vectors) if axial else vectors.withColumn("original", F.lit(True))).select("point_id", "original", "x", "y", "z")
+    data = (double_axial(vectors) if axial else vectors.withColumn("original", F.lit(True))).select("point_id", "original", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    data = data.where(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz"))
+    least = F.min(F.struct(F.col("point_id").cast("long").alias("point_id"), "original")).alias("b")
+    data = settle(data.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"), least).select("x", "y", "z", "n", "b.point_id", "b.original"), "positions")
     medoids = [tuple(map(float, s)) for s in seeds]
-    from pyspark.sql import Window
-
     for _ in range(rounds):
-        a = assign(data, medoids)
-        mean = a.groupBy("cluster").agg(*[F.avg(c).alias("m" + c) for c in "xyz"])
-        off = sum(((F.col(c) - F.col("m" + c)) ** 2 for c in "xyz"), F.lit(0.0))
-        near = a.join(F.broadcast(mean), "cluster").withColumn("off", off)
-        rank = F.row_number().over(Window.partitionBy("cluster", F.pmod(F.xxhash64("point_id"), F.lit(64))).orderBy("off", "point_id", "original"))
-        near = near.withColumn("k", rank).where(F.col("k") <= candidates)
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy("off", "point_id", "original"))
-        near = near.withColumn("k", rank).where(F.col("k") <= candidates)
-        c = F.broadcast(near.select("cluster", F.col("point_id").alias("cid"), "original", *[F.col(v).alias("c" + v) for v in "xyz"]).withColumnRenamed("original", "corig"))
-        d = F.sqrt(sum(((F.col(v) - F.col("c" + v)) ** 2 for v in "xyz"), F.lit(0.0)))
-        cost = a.join(c, "cluster").groupBy("cluster", "cid", "corig", "cx", "cy", "cz").agg(F.sum(d).alias("cost"))
-        best = cost.groupBy("cluster").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "cid", "corig", "cx", "cy", "cz")).alias("b"))
-        got = {r["cluster"]: (r["b"]["cx"], r["b"]["cy"], r["b"]["cz"]) for r in best.collect()}
+        got = _medoids(assign(data, medoids), candidates)
         new = [got.get(i, m) for i, m in enumerate(medoids)]
         if axial:  # a medoid and its opposite are one axis
             new = [tuple(-v for v in m) if m[2] > 0 else m for m in new]

@@ -480,12 +480,12 @@ _SEEDS = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, -1.0)]
 
 @query("g6_kmedoids", "fx_vectors")
 def _(v):
-    return orient.kmedoids(orient.flip_down(v), _SEEDS, axial=True, rounds=5).select("point_id", "cluster")
+    return orient.kmedoids(orient.flip_down(v), _SEEDS, axial=True).select("point_id", "cluster")
 
 
 @query("g7_kmeans", "fx_vectors")
 def _(v):
-    return orient.kmeans(orient.flip_down(v), _SEEDS, rounds=30).select("point_id", "cluster")
+    return orient.kmeans(orient.flip_down(v), _SEEDS).select("point_id", "cluster")
 
 
 @query("g7_kmeans_assign", "fx_vectors", "SELECT point_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM (SELECT point_id, (x - 1) * (x - 1) + y * y + z * z AS d0, x * x + (y - 1) * (y - 1) + z * z AS d1, x * x + y * y + (z + 1) * (z + 1) AS d2 FROM fx_vectors) q")

@@ -114,6 +114,27 @@ def test_fisher_of_nothing_is_null(spark):
     assert f.n == 2 and f.kappa is None and f.mx is None
 
 
+def test_kmedoids_are_exact_in_large_clusters(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack((rng.normal(size=(700, 3)) * 0.1, rng.normal(size=(300, 3)) * 0.1 + [0, 0, 3], rng.normal(size=(400, 3)) * 1.5 + [4, 0, 0]))
+    v = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "point_id long, x double, y double, z double")
+    seeds = [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0)]
+    medoids = np.array(seeds)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    while True:
+        label = np.linalg.norm(x[:, None] - medoids[None], axis=2).argmin(1)
+        member = [np.flatnonzero(label == c) for c in range(2)]
+        new = np.array([x[m[d[np.ix_(m, m)].sum(1).argmin()]] for m in member])
+        if np.allclose(new, medoids):
+            break
+        medoids = new
+    assert orient.kmedoids(v, seeds).orderBy("point_id").toPandas().cluster.tolist() == label.tolist()
+    # the mean of the first cluster is far from its medoid
+    a = orient.settle(orient.assign(v, medoids).withColumns({"n": F.lit(1).cast("long"), "original": F.lit(True)}))
+    got = orient._medoids(a, 16)
+    assert np.allclose([got[0], got[1]], medoids)
+
+
 def test_kmeans_and_kmedoids_find_two_groups(spark):
     rng = np.random.default_rng(1)
     rows = []
