@@ -19,55 +19,70 @@ special tokens in a text become those tokens, as in the tokenizer's plain call.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, give_back, own
+from .common import bounded_batches, cut, give_back, mix64, own
 
 TIERS = (2048, 1024, 512, 256)
 SHARD = 2048
 STEP = 64
 END = 1
-#: Words cached at most within a task, and beyond which a task's cache is not left to the next.
-CACHE, KEPT = 800_000, 100_000
+#: Words cached at most in a worker, whatever the number of tasks it runs (some 200 bytes a word).
+CACHE = 600_000
+#: Bytes of text, or else a single document, that are tokenised at once.
+TEXTS = 1 << 22
 
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{-~]*)")
-
-
-class _Words(dict):
-    """Number of each word seen; new holds those that have no ids yet."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
+# Fixed value: how the word tokenizer splits normalised text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern, and the space between words, for lower-cased words of _PLAIN characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+| ")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 
 
 class Tokens:
-    """Ids of texts, word by word: spaces and line feeds always end a word of this tokenizer."""
+    """Ids of texts by the tokenizer of a file.
+
+    Where the file splits text by _SPLIT, spaces and line feeds end words, and each distinct word of a batch is
+    looked up once in a cache. Words without ids yet are split into pieces, and each distinct piece
+    goes through the file's BPE alone, as normalising and splitting is done by then; words of other letters
+    than _PLAIN, or with special tokens, go through the whole tokenizer. For other files all texts do.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.bpe = Tokenizer.from_file(path), Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.by_word = self._splits(json.loads(self.tok.to_str()))
+        self.bpe.normalizer = None
+        self.bpe.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
 
+    @staticmethod
+    def _splits(file: dict) -> bool:
+        """Whether the file lower-cases, splits by _SPLIT into bytes and marks the ends of words."""
+        steps = (file["pre_tokenizer"] or {}).get("pretokenizers", [])
+        kinds = [s["type"] for s in (file["normalizer"] or {}).get("normalizers", [])]
+        same = [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and steps[0]["invert"]
+        return bool(same and kinds == ["NFC", "Replace", "Lowercase"] and file["model"].get("end_of_word_suffix") == "</w>")
+
     def clear(self):
-        self.words, self.flat, self.used = _Words(), np.empty(1 << 16, self.kind), 0
+        self.words, self.flat, self.used = {}, np.empty(1 << 16, self.kind), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def _add(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -80,48 +95,84 @@ class Tokens:
         self.size[first : first + len(sizes)] = sizes
         self.used += len(ids)
 
-    def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        first = len(self.words) - len(new)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            runs = np.ones(len(part), np.int64)
-            plain, odd = [], []
-            for i, w in enumerate(part):
-                m = _PLAIN.fullmatch(w)
-                if m:
-                    runs[i] = 1 + bool(m[1])
-                    plain.append(i)
-                else:
-                    odd.append(i)
-            ids: list = [None] * len(part)
-            if plain:
-                e = np.array(self.tok.encode(" ".join([part[i] for i in plain]), add_special_tokens=False).ids, np.int64)
-                ends = np.flatnonzero(self.ends[e])[np.cumsum(runs[plain]) - 1] + 1
-                if ends[-1] != len(e):
-                    raise ValueError("the tokenizer does not mark the ends of words")
-                begin = 0
-                for i, to in zip(plain, ends.tolist()):
-                    ids[i] = e[begin:to]
-                    begin = to
-            if odd:
-                for i, x in zip(odd, self.tok.encode_batch_fast([part[i] for i in odd], add_special_tokens=False)):
-                    ids[i] = np.array(x.ids, np.int64)
-            self._add(first + at, np.concatenate(ids), np.array([len(x) for x in ids], np.int32))
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row and their number in each, by the plain call."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.kind), np.array([len(x) for x in ids], np.int32)
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row and their number in each."""
+        runs = [" ".join(pieces[at : at + 1000]) for at in range(0, len(pieces), 1000)]
+        ids = [np.array(e.ids, self.kind) for e in self.bpe.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.empty(0, self.kind)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).astype(np.int32)
+        if len(sizes) != len(pieces) or sizes.sum() != len(ids):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        return ids, sizes
+
+    def _plain(self, words: pa.Array) -> np.ndarray:
+        """Which words have only _PLAIN characters and no special token."""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 100_000):
+            part = new[at : at + 100_000]
+            words = pa.array(part, pa.string())
+            plain = self._plain(words)
+            found = _PIECE.findall(" ".join(words.filter(pa.array(plain)).to_numpy(zero_copy_only=False)).lower())
+            coded = pa.array(found, pa.string()).dictionary_encode()
+            pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            piece = coded.indices.to_numpy()
+            space = pieces.index(" ") if " " in pieces else -1
+            # each word's first and last piece, spaces aside
+            gap = np.flatnonzero(piece == space)
+            piece = piece[piece != space]
+            edge = np.concatenate(([0], gap - np.arange(len(gap)), [len(piece)] if plain.any() else []))
+            if space >= 0:
+                del pieces[space]
+                piece = piece - (piece > space)
+            ids, sizes = self._pieces(pieces)
+            ids, to = gather(ids, np.cumsum(sizes) - sizes, sizes, piece)
+            ends = np.concatenate(([0], to))[edge.astype(np.int64)]
+            odd_ids, odd_sizes = self._whole(words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist())
+            sizes, begin = np.empty(len(part), np.int32), np.empty(len(part), np.int64)
+            sizes[plain], sizes[~plain] = np.diff(ends), odd_sizes
+            begin[plain], begin[~plain] = ends[:-1], len(ids) + np.cumsum(odd_sizes) - odd_sizes
+            ids, _ = gather(np.concatenate((ids, odd_ids)), begin, sizes, np.arange(len(part)))
+            first = len(self.words)
+            self.words.update(zip(part, range(first, first + len(part))))
+            self._add(first, ids, sizes)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where those of each text begin, with the end of the last."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.by_word:
+            ids, sizes = self._whole(texts.to_pylist())
+            return ids, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) + len(distinct) > CACHE:
+            self.clear()
+        self._learn([w for w in distinct if w not in self.words])
+        n = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        ids, to = gather(self.flat, self.start[n], self.size[n], coded.indices.to_numpy())
+        return ids, np.concatenate(([0], to))[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.kind)
-        if len(self.words) > CACHE:
-            self.clear()
-        words = text.replace("\n", " ").split(" ")
-        n = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            self._learn()
-        size = self.size[n]
-        to = np.cumsum(size, dtype=np.int64)
-        at = np.repeat(self.start[n] - to + size, size) + np.arange(to[-1])
-        return self.flat[at]
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start : start + size] of the chosen in a row, and where each ends."""
+    size, start = size[chosen], start[chosen]
+    to = np.cumsum(size, dtype=np.int64)
+    at = np.repeat(start - to + size, size)
+    at += np.arange(len(at))
+    return flat[at], to
 
 
 @lru_cache(maxsize=2)
@@ -139,31 +190,43 @@ def _crc(ids: np.ndarray) -> int:
 
 def _route(batches, path: str, top: int, shards: int):
     """Full windows as finished pieces, the rest of each document with its shard and ids."""
-    tok, task, made = tokens(path), TaskContext.get().partitionId(), 0
+    tok, task, made, row = tokens(path), TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-            doc = doc.as_py()
-            ids = np.append(tok.encode(text.as_py()), tok.kind.type(END))
-            n = len(ids)
-            for start in range(0, n - n % top, top):
-                sequence = (task << 36) + made
-                made += 1
-                rows.append((doc, start, top, _crc(ids[start : start + top]), n, sequence, top, (task << 30) + sequence % (1 << 36) // STEP, None, None))
-            if n % top:
-                start = n - n % top
-                where = zlib.crc32(f"{doc} {task} {made} {len(rows)} {n}".encode()) % shards
-                rows.append((doc, start, n % top, None, n, None, None, None, where, ids[start:].tobytes()))
-                held += 2 * (n % top)
-            if len(rows) > 20_000 or held > 1 << 23:
-                yield _batch(rows, _routed())
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows, _routed())
-    if len(tok.words) > KEPT:
-        tok.clear()
-        give_back()
+        docs, texts = batch.column("doc_id"), batch.column("text")
+        length = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + TEXTS, "right")))
+            doc = docs.slice(at, to - at)
+            ids, begin = tok.encode_all(texts.slice(at, to - at))
+            ids = np.insert(ids, begin[1:], tok.kind.type(END)).astype("<u4")
+            begin = begin + np.arange(len(begin))
+            total = np.diff(begin)
+            full, rest = total // top, total % top
+            of = np.repeat(np.arange(len(doc)), full)
+            start = top * (np.arange(len(of)) - np.repeat(np.cumsum(full) - full, full))
+            crc = [zlib.crc32(ids[p : p + top]) for p in (begin[of] + start).tolist()]
+            sequence = np.arange(made, made + len(of))
+            group = (task << 30) + sequence // STEP
+            made += len(of)
+            if len(of):
+                yield _some(doc_id=doc.take(pa.array(of)), start=start, length=np.full(len(of), top), ids_crc32=crc, doc_tokens=total[of], sequence_id=(task << 36) + sequence, tier=np.full(len(of), top), step_group=group)
+            of = np.flatnonzero(rest)
+            kept, ends = gather(ids.astype(tok.kind), begin[:-1] + full * top, rest, of)
+            ends = np.concatenate(([0], ends * tok.kind.itemsize)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+            where = (mix64((row + of).astype(np.uint64) + np.uint64(task << 36)) % np.uint64(shards)).astype(np.int64)
+            yield _some(doc_id=doc.take(pa.array(of)), start=(full * top)[of], length=rest[of], doc_tokens=total[of], shard=where, ids=held)
+            row += len(doc)
+            at = to
+    give_back()
+
+
+def _some(**columns) -> pa.RecordBatch:
+    """A batch of routed rows, nulls in the columns not given."""
+    schema = _routed()
+    rows = len(columns["doc_id"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[t.name], t.type) if t.name in columns else pa.nulls(rows, t.type) for t in schema], schema=schema)
 
 
 def _routed() -> pa.Schema:
