@@ -39,7 +39,7 @@ SHARD = 2048
 STEP = 64
 END = 1
 #: Words cached at most in a worker, whatever the number of tasks it runs (some 200 bytes a word).
-CACHE = 600_000
+CACHE = 400_000
 #: Bytes of text, or else a single document, that are tokenised at once.
 TEXTS = 1 << 22
 

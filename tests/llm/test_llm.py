@@ -350,6 +350,49 @@ def test_newton_with_a_tilt_and_a_cap(spark):
     assert abs(sum(10 * min(2, math.exp(lam * x)) for x in (0.5, 1, 2)) - 45) < 1e-6
 
 
+def brute_rates(size, target, cap=2):
+    """Rates of the documents of one source, nearest to 1 in relative entropy, by bisection of the dual."""
+    x = np.array(size) / np.mean(size)
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        got = (np.array(size) * np.minimum(cap, np.exp(np.minimum(mid * x, 50)))).sum()
+        low, high = (mid, high) if got < target else (low, mid)
+    return np.minimum(cap, np.exp(np.minimum(high * x, 50)))
+
+
+def test_rates_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    texts, sources = [], []
+    for s, n in (("a", 600), ("b", 60), ("c", 500), (None, 20)):
+        for _ in range(n):
+            texts.append(" ".join("w" for _ in range(int(rng.integers(1, 60) ** (1 + (rng.random() < 0.05))))))
+            sources.append(s)
+    got = mixing.mix(docs_of(spark, texts, source=sources)).toPandas()
+    down = up = 0
+    for _, part in got.groupby(got.source.fillna("~")):
+        want = brute_rates(part["size"].tolist(), part.target.iloc[0])
+        assert np.allclose(part.rate, want, atol=1e-5)
+        if part.target.iloc[0] < 1.99 * part["size"].sum():
+            assert part.rate.nunique() > 5
+        short, long = part.nsmallest(5, "size").rate.mean(), part.nlargest(5, "size").rate.mean()
+        down, up = down + (short > long), up + (short < long)
+    assert down and up  # sources that shrink lose long documents first, those that grow repeat them first
+    whole = got[got.taken % got["size"] == 0]
+    assert len(whole) >= len(got) - 4 - 4
+
+
+def test_mix_repeated_rows_long_texts_and_clashing_names(spark):
+    rows = [(1, "a b c", "s")] * 1500 + [(2, "w " * 300_000, "s"), (3, "x", "t"), (None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'k' AS rate", "'k' AS mix_b", "'k' AS size")
+    got = mixing.mix(d)
+    assert got.count() == len(rows)
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in sums)
+    buckets = got.where("doc_id = 1").groupBy("copies").count().count()
+    assert buckets >= 1 and got.where("taken > 2 * size").count() == 0
+
+
 def test_mix_nothing(spark):
     assert mixing.mix(docs_of(spark, [], source=[])).count() == 0
 
