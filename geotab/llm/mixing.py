@@ -128,7 +128,7 @@ def mix(docs: DataFrame, tilt: Column | None = None, weights=WEIGHTS, share: flo
     d = sized.select(*keep).join(duals, F.col("source").eqNullSafe(F.col("mix_s")))
     d = d.withColumn("rate", F.least(F.lit(float(cap)), F.exp(F.least(F.col("lambda") * F.col("mix_x") / F.col("mix_unit"), F.lit(50.0)))))
     # rows repeated beyond a bucket's size are told apart by their place, which changes no bucket's content
-    often = cut(sized.where("size > 0").groupBy("mix_h").count().where(F.col("count") > BUCKET).select(F.col("mix_h").alias("mix_o")), "repeated")
+    often = cut(sized.groupBy("mix_h").count().where(F.col("count") > BUCKET).select(F.col("mix_h").alias("mix_o")), "repeated")
     place = F.col("mix_h")
     if not often.isEmpty():
         d = d.withColumn("mix_p", F.monotonically_increasing_id()).join(often, F.col("mix_h") == F.col("mix_o"), "left")
