@@ -1,18 +1,21 @@
 """Toxicity with a support vector machine over a gap-weighted subsequence string kernel.
 
-The kernel of two words counts the three-letter subsequences they share, each weighted DECAY for every letter
-it spans, spans of at most SPAN letters; so `idxiot` stays close to `idiot`. Letters and digits
-only count: punctuation inside a word is skipped, and runs of single letters are read as one word.
-
-Training (bounded samples of labelled documents by a hash of the id): words that are significantly tied to
-toxic documents, and the most telling of one of them, are the witnesses, each also with an inserted letter; words of clean documents are the
-counter-examples. Landmarks are picked farthest first, Nystroem features of the normalised kernel
-feed a squared-hinge machine, and a second round adds the hardest words of clean documents. As the
+The kernel of two words counts the subsequences of four letters (a word's edges count as letters) that they share, each weighted
+DECAY for every letter it spans, spans of at most SPAN letters; so `idxiot` stays close to `idiot`. Letters and digits
+only count: punctuation inside a word is skipped, runs of single letters are read as one word, and words of more than
+LONGEST letters are read in overlapping parts. The kernel of two sentences sums that of their words, so several words
+together can make a sentence toxic. A sentence ends with a word that ends in . ! or ? and after PIECE words at the latest.
+
+Training (bounded samples of labelled documents by a hash of the id): a sentence has the label of its document. Of a document its most toxic sentence counts (at first the one with the words most tied to toxic sentences), and another one, of a
+toxic document one above the margin; copies of a sentence count once; each also counts with a letter inserted into its words. Landmarks are words of these sentences
+with the most weight in either class, apart from each other; Nystroem features of the kernel, summed over a
+sentence, feed a squared-hinge machine. With its values the sentences and landmarks are chosen anew, ROUNDS times
+over; toxic documents without a sentence near the margin count little then, as they may be mislabelled. As the
 kernel has an explicit feature for each subsequence, the landmarks' expansion folds into one weight
-table, and a word costs one look-up for each subsequence. A sentence, and a document, scores as its
-most toxic word; a logistic curve fitted to the training documents turns this into the score.
+table, and a word costs one look-up for each subsequence. A document scores as its
+most toxic sentence; a logistic curve turns this into the score, one half where fewest training documents err.
 
-Defined cases: null, empty or wordless text has the score of the lowest value; without labelled
+Defined cases: null, empty or wordless text has the value of a sentence without words; without labelled
 documents of both classes every score is 0; repeated rows and very long texts are scored row by row,
 whole; conflicting labels of one id count as toxic.
 """
@@ -29,14 +32,16 @@ from .common import bounded_batches, cut, give_back, held_out, own
 BOUND = {1: 6000, 0: 9000}
 DECAY = 0.6
 SPAN = 6
-LANDMARKS = 128
-TRAIN_WORDS = 6000
-FLOOR = -0.5
+LANDMARKS = 160
+PIECE = 16
+ROUNDS = 2
+LONGEST = 64
 #: Words whose values a task keeps at most.
-CACHE = 400_000
+CACHE = 300_000
 
-_DIM = 1 << 18
-_GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+_DIM = 1 << 20
+_EDGE = 31
+_GAPS = [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
 
 def plain(word: str) -> str:
@@ -45,41 +50,46 @@ def plain(word: str) -> str:
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word number and code (0 to 63) of each letter of all words."""
-    size = np.array([len(w) for w in words], np.int64)
-    code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    """Word number and code (0 to 31) of each letter of all words, each word between two edges."""
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    code = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32)
     low = (code >= 97) & (code <= 122)
-    digit = (code >= 48) & (code <= 57)
-    out = np.where(low, code - 96, np.where(digit, code - 21, 37 + code % 27))
+    out = np.where(low, code - 96, 27 + code % 4)
+    end = np.cumsum(size)
+    out[end - 1] = out[end - size] = _EDGE
     return np.repeat(np.arange(len(words)), size), out.astype(np.int32)
 
 
 def subsequences(words: list[str]):
-    """(word, feature, weight) of each subsequence, one pair of gaps at a time."""
+    """(word, feature, weight) of each subsequence, one choice of gaps at a time."""
     word, c = letters(words)
-    for a, b in _GAPS:
-        i = np.flatnonzero(word[: len(c) - b] == word[b:]) if len(c) > b else np.empty(0, np.int64)
-        yield word[i], (c[i] << 12) | (c[i + a] << 6) | c[i + b], DECAY ** (b + 1)
+    for x, y, z in _GAPS:
+        i = np.flatnonzero(word[: len(c) - z] == word[z:]) if len(c) > z else np.empty(0, np.int64)
+        yield word[i], (c[i] << 15) | (c[i + x] << 10) | (c[i + y] << 5) | c[i + z], DECAY ** (z + 1)
 
 
 def vectors(words: list[str]):
-    """Unit feature vectors as (word, feature, value), features of a word distinct."""
+    """Feature vectors as (word, feature, value), features of a word distinct; a word's scale is set by all its subsequences."""
     parts = list(subsequences(words))
     key = np.concatenate([w.astype(np.int64) * _DIM + f for w, f, _ in parts])
     value = np.concatenate([np.full(len(w), v) for w, _, v in parts])
+    norm = np.sqrt(np.bincount(key // _DIM, value**2, len(words)))
     key, at = np.unique(key, return_inverse=True)
     value = np.bincount(at, value, len(key)) if len(key) else value
     word = key // _DIM
-    norm = np.sqrt(np.bincount(word, value**2, len(words)))
     return word, key % _DIM, value / norm[word]
 
 
 def gram(words: list[str], others: list[str]) -> np.ndarray:
     """Normalised kernel of words with others."""
     out = np.zeros((len(words), len(others)))
+    ow, of, ov = vectors(others)
+    known = np.zeros(_DIM, bool)
+    known[of] = True
     w, f, v = vectors(words)
+    some = known[f]
+    w, f, v = w[some], f[some], v[some]
     dense = np.zeros(_DIM)
-    ow, of, ov = vectors(others)
     for j in range(len(others)):
         part = ow == j
         dense[of[part]] = ov[part]
@@ -88,18 +98,15 @@ def gram(words: list[str], others: list[str]) -> np.ndarray:
     return out
 
 
-def farthest(words: list[str], count: int) -> list[str]:
-    """Words that are far from each other, the first given first."""
-    if len(words) <= count:
-        return list(words)
-    chosen, near = [0], gram(words, [words[0]])[:, 0]
-    while len(chosen) < count:
-        k = int(near.argmin())
-        if near[k] > 0.999:
-            break
-        chosen.append(k)
-        near = np.maximum(near, gram(words, [words[k]])[:, 0])
-    return [words[k] for k in chosen]
+def apart(words: list[str], count: int, near: float = 0.7) -> list[str]:
+    """The first count of words of two letters or more that are not near to one before."""
+    words = [w for w in words if len(w) > 1]
+    k = gram(words, words)
+    chosen: list[int] = []
+    for i in range(len(words)):
+        if len(chosen) < count and (not chosen or k[i, chosen].max() < near):
+            chosen.append(i)
+    return [words[i] for i in chosen]
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
@@ -118,15 +125,29 @@ def fit_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return w
 
 
-def fold(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weight of each subsequence, and the offset, of the machine over Nystroem features."""
-    positive = [w for w, k in zip(words, y) if k > 0]
-    negative = [w for w, k in zip(words, y) if k < 0]
-    marks = farthest(positive, LANDMARKS // 2) + farthest(negative, LANDMARKS // 2)
+def inserted(words: list[str], rng: np.random.Generator) -> list[str]:
+    """Words with a letter put into each of more than three letters."""
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    out = []
+    for w in words:
+        k = int(rng.integers(1, max(2, len(w))))
+        out.append(w[:k] + abc[rng.integers(26)] + w[k:] if len(w) > 3 else w)
+    return out
+
+
+def fold(sentences: list[list[str]], y: np.ndarray, weight: np.ndarray, marks: list[str]) -> tuple[np.ndarray, float]:
+    """Weight of each subsequence, and the offset, of the machine over Nystroem features of sentences."""
     value, vector = np.linalg.eigh(gram(marks, marks))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    w = fit_machine(gram(words, marks) @ root, y, weight)
+    words = list(dict.fromkeys(w for s in sentences for w in s))
+    at = {w: i for i, w in enumerate(words)}
+    z = (gram(words, marks) @ root).astype(np.float32)
+    sentences = [list(dict.fromkeys(s)) for s in sentences]
+    size = np.array([len(s) for s in sentences])
+    x = np.zeros((len(sentences), z.shape[1]))
+    x[size > 0] = np.add.reduceat(z[[at[w] for s in sentences for w in s]], (np.cumsum(size) - size)[size > 0])
+    w = fit_machine(x, y, weight)
     beta = root @ w[:-1]
     table = np.zeros(_DIM)
     k, f, v = vectors(marks)
@@ -134,74 +155,101 @@ def fold(words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     return table.astype(np.float32), float(w[-1])
 
 
-class _Seen(dict):
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class Model:
-    def __init__(self, table: np.ndarray | None, offset: float = 0.0, slope: float = 0.0, shift: float = 0.0):
-        self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
+    """Values of words are their summands in the value of a sentence; start gives those of some words before there is a machine."""
+
+    def __init__(self, table: np.ndarray | None, offset: float = 0.0, slope: float = 0.0, shift: float = 0.0, start: dict[str, float] | None = None):
+        self.table, self.offset, self.slope, self.shift, self.start = table, offset, slope, shift, start
         self._clear()
 
     def __getstate__(self):
-        return self.table, self.offset, self.slope, self.shift
+        return self.table, self.offset, self.slope, self.shift, self.start
 
     def __setstate__(self, state):
         self.__init__(*state)
 
+    @property
+    def trained(self) -> bool:
+        return self.table is not None
+
     def _clear(self):
-        self.seen, self.values, self.single = _Seen(), np.empty(1 << 14, np.float32), np.empty(1 << 14, bool)
+        self.seen, self.values = {}, np.empty(1 << 14, np.float32)
+        self.single, self.ends = np.empty(1 << 14, bool), np.empty(1 << 14, bool)
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """Machine's value of each word, raised to FLOOR; exact above it."""
+    def word_values(self, words: list[str]) -> np.ndarray:
         words = [plain(w) for w in words]
-        up = np.zeros(len(words))
-        square = np.zeros(len(words))
+        if self.start is not None:
+            return np.array([self.start.get(w, 0.0) for w in words])
+        up, square = np.zeros(len(words)), np.zeros(len(words))
         for w, f, v in subsequences(words):
-            up += np.bincount(w, self.table[f] * v, len(words))
+            up += np.bincount(w, self.table[f], len(words)) * v
             square += np.bincount(w, minlength=len(words)) * v**2
-        # the norm is at least this, as equal subsequences add up before they are squared
-        out = np.where(up > 0, up / np.sqrt(np.maximum(square, 1e-12)), 0) + self.offset
-        high = np.flatnonzero(out > FLOOR)
-        out = np.full(len(words), FLOOR)
-        if len(high):
-            w, f, v = vectors([words[i] for i in high])
-            out[high] = np.maximum(FLOOR, np.bincount(w, self.table[f] * v, len(high)) + self.offset)
-        return out
-
-    def _learn(self):
-        new, self.seen.new = self.seen.new, []
-        first, end = len(self.seen) - len(new), len(self.seen)
+        return np.where(square > 0, up / np.sqrt(np.maximum(square, 1e-12)), 0)
+
+    def _learn(self, new: list[str]):
+        first, end = len(self.seen), len(self.seen) + len(new)
         while end > len(self.values):
-            self.values, self.single = (np.concatenate((x, np.empty_like(x))) for x in (self.values, self.single))
+            self.values, self.single, self.ends = (np.concatenate((x, np.empty_like(x))) for x in (self.values, self.single, self.ends))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.values[first + at : first + at + len(part)] = self.margins(part)
-            self.single[first + at : first + at + len(part)] = [len(w) == 1 and w.isalnum() for w in part]
-
-    def highest(self, text: str | None) -> float:
+            here = slice(first + at, first + at + len(part))
+            self.values[here] = self.word_values(part)
+            self.single[here] = [len(w) == 1 and w.isalnum() for w in part]
+            self.ends[here] = [w[-1] in ".!?" for w in part]
+        self.seen.update(zip(new, range(first, end)))
+
+    @staticmethod
+    def _words(text: str | None) -> list[str]:
         words = text.lower().split() if text else []
+        if words and max(map(len, words)) > LONGEST:
+            step = LONGEST // 2
+            words = [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - step), step)]
+        return words
+
+    def sentences(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, where each sentence begins, and the value of each sentence."""
+        words = self._words(text)
         if not words:
-            return FLOOR
+            return words, np.empty(0, np.int64), np.empty(0)
         if len(self.seen) > CACHE:
             self._clear()
-            give_back()
+        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        if new:
+            self._learn(new)
         n = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        if self.seen.new:
-            self._learn()
-        best = float(self.values[n].max())
+        value = self.values[n].astype(float)
         single = self.single[n]
         if len(n) > 2 and (single[:-2] & single[1:-1] & single[2:]).any():
             edge = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).view(np.int8)))
             runs = [(a, b) for a, b in zip(edge[::2], edge[1::2]) if b - a > 2]
-            best = max(best, float(self.margins(["".join(words[a:b]) for a, b in runs]).max()))
-        return best
+            parts = [(a, "".join(words[a:b])[k : k + LONGEST]) for a, b in runs for k in range(0, max(1, b - a - LONGEST // 2), LONGEST // 2)]
+            np.add.at(value, [a for a, _ in parts], self.word_values([w for _, w in parts]))
+        ends = self.ends[n]
+        at = np.arange(len(n))
+        begin = np.maximum.accumulate(np.where(np.concatenate(([True], ends[:-1])), at, 0))
+        new = (at - begin) % PIECE == 0
+        first = np.flatnonzero(new)
+        # a word repeated within a sentence counts once
+        pair = np.cumsum(new) << 32 | n
+        _, once = np.unique(pair, return_index=True)
+        kept = np.zeros(len(n))
+        kept[once] = value[once]
+        return words, first, np.add.reduceat(kept, first) + self.offset
+
+    def highest(self, text: str | None) -> float:
+        _, _, value = self.sentences(text)
+        return float(value.max()) if len(value) else self.offset
+
+    def telling(self, text: str | None, seed: int, toxic: bool) -> tuple[float, str, str]:
+        """Value of the most toxic sentence, that sentence, and one at random (of toxic documents: another above the margin, if any), as plain words."""
+        words, first, value = self.sentences(text)
+        if not len(value):
+            return self.offset, "", ""
+        said = lambda k: " ".join(w for w in map(plain, words[first[k] : first[k + 1] if k + 1 < len(first) else len(words)]) if w)
+        best = int(value.argmax())
+        others = np.flatnonzero(value > 0) if toxic else np.arange(len(value))
+        others = others[others != best]
+        return float(value.max()), said(best), said(int(others[seed % len(others)])) if len(others) else ""
 
     def score(self, values: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
@@ -217,8 +265,20 @@ def _highest(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("_value", value(F.col("text").cast("string")))
 
 
+def _telling(sample: DataFrame, model: Model):
+    """The telling sentences of the sampled documents (a row each, so bounded) on the driver."""
+
+    @F.arrow_udf("value double, best string, other string")
+    def pick(text: pa.Array, row: pa.Array, toxic: pa.Array) -> pa.Array:
+        found = [model.telling(t.as_py(), r.as_py() * 0x9E3779B1 % 1_000_003, y.as_py() == 1) for t, r, y in zip(text, row, toxic)]
+        kinds = (("value", pa.float64()), ("best", pa.string()), ("other", pa.string()))
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in found], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    return sample.select("toxic", "row", pick("text", "row", "toxic").alias("p")).select("row", "toxic", "p.*").toPandas().sort_values("row")
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift by damped Newton steps, with slightly softened labels."""
+    """Logistic slope, by damped Newton steps with slightly softened labels, and the shift that puts one half where fewest documents err."""
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     m = np.stack((x, np.ones_like(x)), 1)
     w = np.zeros(2)
@@ -229,7 +289,13 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         w -= step * min(1, 4 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    slope = max(float(w[0]), 1e-3)
+    order = np.argsort(x, kind="stable")
+    cuts = np.concatenate(([x[order[0]] - 1], (x[order][1:] + x[order][:-1]) / 2, [x[order[-1]] + 1]))
+    errors = np.concatenate(([0], np.cumsum(y[order] > 0))) + (y <= 0).sum() - np.concatenate(([0], np.cumsum(y[order] <= 0)))
+    errors[1:-1][np.diff(x[order]) == 0] = len(y) + 1  # no cut between equal values
+    best = np.flatnonzero(errors == errors.min())
+    return slope, -slope * float(np.median(cuts[best]))
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None, mod: int = 5, out: int = 0) -> Model:
@@ -243,70 +309,71 @@ def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = Non
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / count[1])).otherwise(min(1.0, bound[0] / count[0]))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) / 1e6 < share)
     # the sample has about sum(bound) ids whatever the input's size, so it may be broadcast
-    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select(F.monotonically_increasing_id().alias("row"), "text", "toxic"), "labelled")
+    sample = cut(own(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("row"), "text", "toxic"), "labelled")
     total = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return Model(None)
-    raw = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))))
-    said = sample.select("row", "toxic", raw.alias("word")).where(F.length("word") > 2)
-    words = said.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
-    nt, nn = float(total[1]), float(total[0])
+    # copies of a document share sentences, which count once
+    said = sample.select("toxic", F.explode(F.split(F.lower("text"), r"(?<=[.!?])\s+")).alias("sentence")).distinct()
+    raw = F.explode(F.array_distinct(F.transform(F.split("sentence", r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))))
+    words = said.select("toxic", raw.alias("word")).where(F.length("word") > 2)
+    words = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n"))
+    size = said.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    nt, nn = float(size[0]), float(size[1])
     e = (F.col("t") + F.col("n")) * (nt / (nt + nn))
     g = 2 * (F.col("t") * F.log(F.greatest("t", F.lit(1e-9)) / e) + F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / (F.col("t") + F.col("n") - e))).otherwise(0))
-    words = cut(words.withColumn("tie", F.when(F.col("t") > e, F.sqrt(F.greatest(g, F.lit(0.0)))).otherwise(0.0)), "words")
-    half = TRAIN_WORDS // 2
-    strong = (F.col("tie") > 4.5) & (F.col("t") >= 5) & (F.col("t") / nt > 8 * F.col("n") / nn)
-    # a document speaks for its most telling word only: words that merely share its copies fall away
-    ties = said.where("toxic = 1").join(words.where(strong).select("word", "tie"), "word")
-    witness = ties.groupBy("row").agg(F.max(F.struct("tie", "word")).alias("best")).groupBy("best.word", "best.tie").count()
-    positive = witness.orderBy(F.desc("count"), F.desc("tie"), "word").limit(half // 2).toPandas()
-    if positive.empty:
-        positive = words.where("tie > 0").orderBy(F.desc("tie"), "word").limit(8).toPandas()
-    if positive.empty:
+    words = words.withColumn("tie", F.when(F.col("t") > e, F.sqrt(F.greatest(g, F.lit(0.0)))).otherwise(0.0))
+    strong = (F.col("tie") > 3.5) & (F.col("t") >= 3) & (F.col("t") / nt > 8 * F.col("n") / nn)
+    likely = words.where(strong).orderBy(F.desc("tie"), "word").limit(4 * LANDMARKS).toPandas()
+    if likely.empty:
+        likely = words.where("tie > 0").orderBy(F.desc("tie"), "word").limit(8).toPandas()
+    if likely.empty:
         return Model(None)
-    clean = words.where((F.col("n") > 0) & ~strong)
-    common = clean.orderBy(F.desc("n"), "word").limit(half).toPandas()
-    other = clean.orderBy(F.xxhash64("word"), "word").limit(half).toPandas()
-    yes, no = list(positive.word), list(dict.fromkeys([*common.word, *other.word]))
-    table, offset = _machine(yes, no)
-    for _ in range(2):
-        scored = _word_values(words, Model(table, offset))
-        hard = scored.where("n > 0 and value > -0.4").where(~strong).orderBy(F.desc("value"), "word").limit(half // 2).toPandas()
-        more = scored.where("n = 0 and t > 1 and value > 0").orderBy(F.desc("value"), "word").limit(half // 2).toPandas()
-        yes, no = list(dict.fromkeys([*yes, *more.word])), list(dict.fromkeys([*no, *hard.word]))
-        table, offset = _machine(yes, no)
-    model = Model(table, offset)
+    model = Model(None, start=dict(zip(likely.word, likely.tie.astype(float))))
+    rng = np.random.default_rng(7)
+    for _ in range(ROUNDS):
+        model = _machine(_telling(sample, model), model, rng)
     fitted = _highest(sample, model).select("_value", "toxic").toPandas()
     slope, shift = _curve(fitted["_value"].to_numpy(), fitted["toxic"].to_numpy().astype(float))
-    return Model(table, offset, slope, shift)
-
-
-def _machine(yes: list[str], no: list[str]) -> tuple[np.ndarray, float]:
-    """The folded machine of witnesses, with copies that have a letter inserted, and clean words."""
-    rng = np.random.default_rng(7)
-    abc = "abcdefghijklmnopqrstuvwxyz"
-    more = [w[:i] + abc[rng.integers(26)] + w[i:] for w in yes[:200] for i in range(1, len(w))]
-    more = [w for w in dict.fromkeys(more) if w not in set(yes) | set(no)]
-    words = [*yes, *more, *no]
-    y = np.array([1.0] * (len(yes) + len(more)) + [-1.0] * len(no))
-    weight = np.concatenate((np.full(len(yes), 1 / len(yes)), np.full(len(more), 0.5 / max(1, len(more))), np.full(len(no), 2 / max(1, len(no)))))
-    return fold(words, y, weight * len(words))
-
-
-def _word_values(words: DataFrame, model: Model) -> DataFrame:
-    @F.arrow_udf("double")
-    def value(word: pa.Array) -> pa.Array:
-        return pa.array(model.margins(word.to_pylist()), pa.float64())
-
-    return words.withColumn("value", value("word"))
+    return Model(model.table, model.offset, slope, shift)
+
+
+def _machine(told, model: Model, rng: np.random.Generator) -> Model:
+    """The machine over telling sentences (value, toxic, best, other), with values of words and landmarks by the model before."""
+    yes, no = {}, {}  # a sentence counts once, however many copies say it
+    for best, other, value, toxic in zip(told.best, told.other, told.value, told.toxic):
+        if toxic:
+            yes[best] = 1.0 if model.start is not None or value > -0.5 else 0.1
+        else:
+            no[best] = 1.0
+        if other:
+            (yes if toxic else no)[other] = 1.0
+    yes, no = ([(s.split(), k) for s, k in rows.items()] for rows in (yes, no))
+    marks = []
+    for rows in (yes, no):
+        told_by: dict[str, float] = {}
+        words = list(dict.fromkeys(w for s, _ in rows for w in s))
+        value = dict(zip(words, model.word_values(words)))
+        for s, k in rows:
+            for w in s:
+                told_by[w] = told_by.get(w, 0.0) + k * max(value[w], 1e-3)
+        ranked = sorted(told_by, key=lambda w: (-told_by[w], w))
+        marks += [w for w in apart(ranked[: 2 * LANDMARKS], LANDMARKS // 2) if w not in marks]
+    rows = [(s, 1.0, k) for s, k in yes] + [(s, -1.0, k) for s, k in no]
+    size = {c: sum(k for _, y, k in rows if y == c) for c in (1.0, -1.0)}
+    share = {1.0: 1.0, -1.0: 2.0}
+    weight = np.array([share[y] * k / size[y] for _, y, k in rows])
+    sentences = [s for s, _, _ in rows] + [inserted(s, rng) for s, _, _ in rows]
+    y = np.array([y for _, y, _ in rows])
+    table, offset = fold(sentences, np.tile(y, 2), np.concatenate((weight, weight / 2)) * len(rows), marks)
+    return Model(table, offset)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score and toxic_predicted (1 from 0.5)."""
-    if model.table is None:
+    if not model.trained:
         return docs.withColumn("toxic_score", F.lit(0.0)).withColumn("toxic_predicted", F.lit(0))
     d = _highest(docs, model)
-    low, high = -30.0, 30.0
-    z = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(model.slope) * F.col("_value") + F.lit(model.shift)))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(model.slope) * F.col("_value") + F.lit(model.shift)))
     d = d.withColumn("toxic_score", 1 / (1 + F.exp(-z)))
     return d.withColumn("toxic_predicted", (F.col("toxic_score") >= 0.5).cast("int")).drop("_value")

@@ -457,30 +457,73 @@ def test_string_kernel_matches_brute_force():
     def brute(a, b):
         def feats(w):
             c = toxicity.letters([w])[1]
-            out = {}
-            for i, j, k in itertools.combinations(range(len(c)), 3):
-                if k - i < toxicity.SPAN:
-                    key = (c[i], c[j], c[k])
-                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
-            return out
-
-        x, y = feats(a), feats(b)
-        dot = lambda p, r: sum(v * r.get(k, 0) for k, v in p.items())
-        return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
-
-    words = ["idiot", "idxiot", "banana", "thanatos", "éclairé"]
+            out, square = {}, 0.0
+            for at in itertools.combinations(range(len(c)), 4):
+                if at[3] - at[0] < toxicity.SPAN:
+                    key = tuple(c[list(at)])
+                    weight = toxicity.DECAY ** (at[3] - at[0] + 1)
+                    out[key] = out.get(key, 0) + weight
+                    square += weight**2
+            return out, math.sqrt(square)
+
+        (x, p), (y, q) = feats(a), feats(b)
+        return sum(v * y.get(k, 0) for k, v in x.items()) / (p * q)
+
+    words = ["idiot", "idxiot", "banana", "thanatos", "éclairé", "is"]
     g = toxicity.gram(words, words)
     for i, j in itertools.product(range(len(words)), repeat=2):
         assert abs(g[i, j] - brute(words[i], words[j])) < 1e-9
+    assert g[0, 1] > 3 * g[0, 2:].max()
 
 
 def test_folded_machine_equals_kernel_expansion():
-    yes, no = ["idiot", "moron", "stupid"], ["there", "andes", "ingly", "worthy", "motion"]
-    y = np.array([1.0] * 3 + [-1.0] * 5)
-    table, offset = toxicity.fold([*yes, *no], y, np.ones(8))
+    rng = np.random.default_rng(3)
+    calm = "there andes ingly worthy motion stupor mornings banana of the".split()
+    said = [list(rng.choice(calm, 8)) for _ in range(60)]
+    y = np.array([1.0 if i % 3 == 0 else -1.0 for i in range(60)])
+    for s, v in zip(said, y):
+        if v > 0:
+            s[int(rng.integers(8))] = str(rng.choice(["idiot", "moron", "stupid"]))
+    marks = ["idiot", "moron", "stupid", *calm]
+    table, offset = toxicity.fold(said, y, np.ones(60), marks)
     m = toxicity.Model(table, offset)
-    v = m.margins([*yes, *no])
-    assert (v[:3] > 0).all() and (v[3:] < 0).all()
+    for s, v in zip(said, y):
+        # a word counts once, a sentence is its words' sum and the offset
+        assert abs(m.highest(" ".join(s)) - (m.word_values(list(dict.fromkeys(s))).sum() + offset)) < 1e-4
+        assert (m.highest(" ".join(s)) > 0) == (v > 0)
+
+
+def test_several_words_make_a_sentence_toxic(spark):
+    rng = np.random.default_rng(21)
+    calm = [f"{a}{b}" for a in ("ther", "and", "ing", "tion", "wor", "ble") for b in ("es", "on", "at", "re", "ly", "ha")]
+    texts, y = [], []
+    for i in range(600):  # either word alone is harmless, both in one sentence are not
+        t = list(rng.choice(calm, 12))
+        for k, w in (() if i % 4 == 0 else ((3, "knock"),) if i % 4 == 1 else ((6, "teeth"),) if i % 4 == 2 else ((3, "knock"), (6, "teeth"))):
+            t[k] = w
+        y.append(int(i % 4 == 3))
+        texts.append(" ".join(t) + ".")
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, toxic int")
+    got = toxicity.score(docs_of(spark, texts), toxicity.train(docs_of(spark, texts), labels)).orderBy("doc_id").toPandas()
+    assert (got.toxic_predicted == np.array(y)).mean() > 0.95
+
+
+def test_toxicity_held_out_recall_and_precision(spark):
+    """The query on its table: few labels, and families of words seen once or twice stay unknown."""
+    data = "/root/testdata/sf0.01"
+    got = q.op9_toxicity(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert hit / (got.toxic == 1).sum() > 0.7 and hit / (got.predicted == 1).sum() > 0.85
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_toxicity_repeated_rows_conflicting_labels_and_long_words(spark, toxic):
+    d, labels, y, _ = toxic
+    both = labels.union(spark.createDataFrame([(1, 0), (1, 0), (4, 0)], "doc_id long, toxic int"))
+    m = toxicity.train(d.union(d.limit(50)), both)
+    odd = ["日本語" * 40_000, "x" * 100_000 + "idiot", "the andes\n" * 3, "the andes\n" * 3]
+    p = [r.toxic_predicted for r in toxicity.score(docs_of(spark, odd), m).orderBy("doc_id").collect()]
+    assert len(p) == 4 and p[2] == p[3] == 0
 
 
 def test_toxicity_without_labels(spark, toxic):
