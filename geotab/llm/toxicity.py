@@ -6,8 +6,8 @@ only count: punctuation inside a word is skipped, runs of single letters are rea
 LONGEST letters are read in overlapping parts. The kernel of two sentences sums that of their words, so several words
 together can make a sentence toxic. A sentence ends with a word that ends in . ! or ? and after PIECE words at the latest.
 
-Training (bounded samples of labelled documents by a hash of the id): a sentence has the label of its document. Of a document its most toxic sentence counts (at first the one with the words most tied to toxic sentences), and another one, of a
-toxic document one above the margin; copies of a sentence count once; each also counts with a letter inserted into its words. Landmarks are words of these sentences
+Training (bounded samples of labelled documents by a hash of the id): a sentence has the label of its document. Of a document its most toxic sentence counts (at first the one with the words most tied to toxic sentences), and one other, of a
+toxic document further ones above the margin; copies of a sentence count once; each also counts with a letter inserted into its words. Landmarks are words of these sentences
 with the most weight in either class, apart from each other; Nystroem features of the kernel, summed over a
 sentence, feed a squared-hinge machine. With its values the sentences and landmarks are chosen anew, ROUNDS times
 over; toxic documents without a sentence near the margin count little then, as they may be mislabelled. As the
@@ -35,6 +35,8 @@ SPAN = 6
 LANDMARKS = 160
 PIECE = 16
 ROUNDS = 2
+#: Sentences above the margin that a toxic document of the sample gives beside its most toxic one, at most.
+TOLD = 8
 LONGEST = 64
 #: Words whose values a task keeps at most.
 CACHE = 300_000
@@ -240,16 +242,16 @@ class Model:
         _, _, value = self.sentences(text)
         return float(value.max()) if len(value) else self.offset
 
-    def telling(self, text: str | None, seed: int, toxic: bool) -> tuple[float, str, str]:
-        """Value of the most toxic sentence, that sentence, and one at random (of toxic documents: another above the margin, if any), as plain words."""
+    def telling(self, text: str | None, seed: int, toxic: bool) -> tuple[float, str, list[str]]:
+        """Value of the most toxic sentence, that sentence, and others as plain words: of a clean document one at random, of a toxic one TOLD of those above the margin."""
         words, first, value = self.sentences(text)
         if not len(value):
-            return self.offset, "", ""
+            return self.offset, "", []
         said = lambda k: " ".join(w for w in map(plain, words[first[k] : first[k + 1] if k + 1 < len(first) else len(words)]) if w)
         best = int(value.argmax())
         others = np.flatnonzero(value > 0) if toxic else np.arange(len(value))
-        others = others[others != best]
-        return float(value.max()), said(best), said(int(others[seed % len(others)])) if len(others) else ""
+        others = np.roll(others[others != best], seed)[: TOLD if toxic else 1]
+        return float(value.max()), said(best), [said(int(k)) for k in others]
 
     def score(self, values: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * values + self.shift, -30, 30)))
@@ -268,10 +270,10 @@ def _highest(docs: DataFrame, model: Model) -> DataFrame:
 def _telling(sample: DataFrame, model: Model):
     """The telling sentences of the sampled documents (a row each, so bounded) on the driver."""
 
-    @F.arrow_udf("value double, best string, other string")
+    @F.arrow_udf("value double, best string, other array<string>")
     def pick(text: pa.Array, row: pa.Array, toxic: pa.Array) -> pa.Array:
         found = [model.telling(t.as_py(), r.as_py() * 0x9E3779B1 % 1_000_003, y.as_py() == 1) for t, r, y in zip(text, row, toxic)]
-        kinds = (("value", pa.float64()), ("best", pa.string()), ("other", pa.string()))
+        kinds = (("value", pa.float64()), ("best", pa.string()), ("other", pa.list_(pa.string())))
         return pa.StructArray.from_arrays([pa.array([x[i] for x in found], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     return sample.select("toxic", "row", pick("text", "row", "toxic").alias("p")).select("row", "toxic", "p.*").toPandas().sort_values("row")
@@ -346,8 +348,8 @@ def _machine(told, model: Model, rng: np.random.Generator) -> Model:
             yes[best] = 1.0 if model.start is not None or value > -0.5 else 0.1
         else:
             no[best] = 1.0
-        if other:
-            (yes if toxic else no)[other] = 1.0
+        for sentence in other:
+            (yes if toxic else no)[sentence] = 1.0
     yes, no = ([(s.split(), k) for s, k in rows.items()] for rows in (yes, no))
     marks = []
     for rows in (yes, no):
