@@ -22,7 +22,7 @@ def with_legend(entities: DataFrame, legend: DataFrame) -> DataFrame:
     return entities.join(_small(legend), KEYS, "left")
 
 
-def legend_missing(entities: DataFrame, legend: DataFrame, time: float = 0.0, sequence: str = "strat_0") -> DataFrame:
+def legend_missing(entities: DataFrame, legend: DataFrame, time: float = 0.0, sequence: str = "strati_0") -> DataFrame:
     """Legend rows to add, with defaults and a colour from a hash, for combinations that have none."""
     new = entities.select(*KEYS).distinct().join(legend, KEYS, "left_anti")
     shade = lambda k: F.pmod(F.crc32(F.concat_ws("|", *KEYS, F.lit(str(k))).cast("binary")), F.lit(256)).cast("int")

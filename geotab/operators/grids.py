@@ -42,7 +42,8 @@ def section_pixels(raster: DataFrame, sections: DataFrame, u0: float, v0: float,
 
     p = raster.crossJoin(_named(sections))
     u, v = u0 + F.col("c") * (length / cols), v0 + F.col("r") * (height / rows)
-    return p.select("r", "c", "section", *[(F.col("origin_" + k) + u * F.col("u" + k) + v * F.col("v" + k)).alias(k) for k in XYZ], "value")
+    keys = [c for c in raster.columns if c not in ("r", "c", "value", *XYZ)]
+    return p.select(*keys, "r", "c", "section", *[(F.col("origin_" + k) + u * F.col("u" + k) + v * F.col("v" + k)).alias(k) for k in XYZ], "value")
 
 
 def seismic_volume(traces: DataFrame, interval: float) -> DataFrame:

@@ -227,6 +227,29 @@ def signed_distance(points: DataFrame, ref_points: DataFrame, ref_triangles: Dat
     return points.join(best, ["uid", "point_id"], "left")
 
 
+def nearest_distance(points: DataFrame, ref_points: DataFrame, ref_triangles: DataFrame, cell: float) -> DataFrame:
+    """Distance of all points to the nearest triangle, signed by its side; null only for null coordinates or without triangles.
+
+    A distance within the reach of a round is the smallest; other points go on to a round with cells twice as large.
+    """
+    box = lambda df: df.agg(*[f(c) for c in XYZ for f in (F.min, F.max)]).first()
+    todo = points.where(" and ".join(f"{c} is not null and not isnan({c})" for c in XYZ))
+    a, b = box(todo), box(ref_points.join(ref_triangles.select("uid", F.explode(F.array("p0", "p1", "p2")).alias("point_id")).distinct(), ["uid", "point_id"], "left_semi"))
+    if a[0] is None or b[0] is None:
+        return points.withColumn("distance", F.lit(None).cast("double"))
+    extent = max(max(a[i + 1], b[i + 1]) - min(a[i], b[i]) for i in (0, 2, 4))
+    done, reach = None, 2
+    while True:
+        last = reach * cell > 2 * extent
+        near = settle(signed_distance(todo, ref_points, ref_triangles, cell, reach), "distance")
+        found = near.where("distance is not null" if last else f"abs(distance) <= {reach * cell!r}").select("uid", "point_id", "distance")
+        done = found if done is None else done.union(found)
+        todo = settle(todo.join(found, ["uid", "point_id"], "left_anti"), "far")
+        if last or todo.isEmpty():
+            return points.join(done, ["uid", "point_id"], "left")
+        cell *= 2
+
+
 def split_by_surface(points: DataFrame, triangles: DataFrame, ref_points: DataFrame, ref_triangles: DataFrame, cell: float) -> DataFrame:
-    """Triangles of a surface cut where they cross another, with the side of each piece."""
-    return clip(signed_distance(points, ref_points, ref_triangles, cell, reach=2).where("distance is not null"), triangles, "distance")
+    """All triangles of a surface, cut where they cross another, with the side of each piece; none if the other has no triangles."""
+    return clip(nearest_distance(points, ref_points, ref_triangles, cell).where("distance is not null"), triangles, "distance")

@@ -58,6 +58,47 @@ def w360(e: str) -> str:
 DOWN = "CASE WHEN z > 0 THEN -{0} ELSE {0} END"
 
 
+# ------------------------------------------------------------------ closed-form eigenvectors of symmetric 3 x 3 matrices in SQL
+
+
+def _cov(rows: str, keys: str, f: str = "covar_samp({a}, {b})") -> str:
+    """Count, centroid and matrix of rows (x, y, z) by keys."""
+    cells = ", ".join(f.format(a=a, b=b) + f" AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    return f"SELECT {keys}, count(x) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, {cells} FROM ({rows}) rows_ GROUP BY {keys}"
+
+
+def _eigen(matrix: str) -> str:
+    """matrix with its eigenvalues e1 >= e2 >= e3, by the cosines of a third of an angle."""
+    q = f"SELECT *, (xx + yy + zz) / 3 AS q FROM ({matrix}) m0"
+    p = f"SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM ({q}) m1"
+    det = "((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz))"
+    t = f"SELECT *, acos(greatest(-1.0, least(1.0, coalesce({det} / nullif(2 * p * p * p, 0), 0)))) / 3 AS t FROM ({p}) m2"
+    e = f"SELECT *, q + 2 * p * cos(t) AS e1, q + 2 * p * cos(t + 2 * pi() / 3) AS e3 FROM ({t}) m3"
+    return f"SELECT *, 3 * q - e1 - e3 AS e2 FROM ({e}) m4"
+
+
+def _axis(values: str, e: str, names: str) -> str:
+    """values with the unit eigenvector of e: the longest product of two rows of the matrix less e."""
+    r = [("xx - {e}", "xy", "xz"), ("xy", "yy - {e}", "yz"), ("xz", "yz", "zz - {e}")]
+    r = [[c.format(e=e) for c in row] for row in r]
+    cross = [[f"(({a[(i + 1) % 3]}) * ({b[(i + 2) % 3]}) - ({a[(i + 2) % 3]}) * ({b[(i + 1) % 3]}))" for i in range(3)] for a, b in ((r[0], r[1]), (r[0], r[2]), (r[1], r[2]))]
+    some = ", ".join(f"{c[i]} AS k{j}{i}" for j, c in enumerate(cross) for i in range(3))
+    size = ", ".join(f"sqrt(k{j}0 * k{j}0 + k{j}1 * k{j}1 + k{j}2 * k{j}2) AS s{j}" for j in range(3))
+    pick = ", ".join(f"CASE WHEN s0 >= s1 AND s0 >= s2 THEN k0{i} / s0 WHEN s1 >= s2 THEN k1{i} / s1 ELSE k2{i} / s2 END AS {n}" for i, n in enumerate(names.split()))
+    left = ", ".join(f"k{j}{i}" for j in range(3) for i in range(3)) + ", s0, s1, s2"
+    return f"SELECT * EXCLUDE ({left}), {pick} FROM (SELECT *, {size} FROM (SELECT *, {some} FROM ({values}) a0) a1) a2"
+
+
+_PLANE_DIP = "90 - degrees(asin(greatest(-1.0, least(1.0, -c))))"
+_PLANE_DIR = w360("degrees(atan2(a, b)) - 180")
+
+
+def _plane(matrix: str) -> str:
+    """Best planes of centroids and covariances: downward unit normal a, b, c; null under three points."""
+    v = _axis(_eigen(matrix), "e3", "va vb vc")
+    return f"SELECT *, " + ", ".join(f"CASE WHEN n > 2 THEN CASE WHEN vc >= 0 THEN -v{k} ELSE v{k} END END AS {k}" for k in "abc") + f" FROM ({v}) pl"
+
+
 # ------------------------------------------------------------------ F: column functions
 
 
@@ -366,12 +407,12 @@ def _(p):
     return points.covariance(p, "uid").select("uid", "n", *[F.round("c" + k, 4).alias("c" + k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
-@query("a3_pca", "fx_points")
+@query("a3_pca", "fx_points", "SELECT uid, n, round(e1, 4) AS e1, round(e2, 4) AS e2, round(e3, 4) AS e3 FROM (" + _eigen(_cov("SELECT * FROM fx_points", "uid")) + ") q")
 def _(p):
     return points.pca(p, "uid").select("uid", "n", *[F.round(F.get("e", F.lit(i)), 4).alias(f"e{i + 1}") for i in range(3)])
 
 
-@query("a4_best_fit_plane", "fx_points")
+@query("a4_best_fit_plane", "fx_points", f"SELECT uid, n, {R('a')} AS a, {R('b')} AS b, {R('c')} AS c, {R(_PLANE_DIP)} AS dip, {R(_PLANE_DIR)} AS dip_dir FROM ({_plane(_cov('SELECT * FROM fx_points', 'uid'))}) q")
 def _(p):
     return points.best_fit_plane(p, "uid").select("uid", "n", r("a"), r("b"), r("c"), r("dip"), r("dip_dir"))
 
@@ -409,33 +450,59 @@ def _(v):
     return orient.orientation_tensor(v, "uid").select("uid", "n", *[r("t" + k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
-@query("a7_bingham", "fx_vectors")
+_TENSOR = _cov("SELECT * FROM fx_vectors", "uid", "avg({a} * {b})")
+_AXES = _axis(_axis(_axis(_eigen(_TENSOR), "e1", "x1 y1 z1"), "e2", "x2 y2 z2"), "e3", "x3 y3 z3")
+_BINGHAM = "SELECT uid, n, " + ", ".join(f"{R(f'e{i}')} AS e{i}" for i in (1, 2, 3)) + ", " + ", ".join(
+    f"{R(w360(f'degrees(atan2(CASE WHEN z{i} > 0 THEN -x{i} ELSE x{i} END, CASE WHEN z{i} > 0 THEN -y{i} ELSE y{i} END))'))} AS trend{i}, {R(f'degrees(asin(least(1.0, abs(z{i}))))')} AS plunge{i}" for i in (1, 2, 3)
+) + f" FROM ({_AXES}) q"
+
+
+@query("a7_bingham", "fx_vectors", _BINGHAM)
 def _(v):
     return orient.bingham(v, "uid").select("uid", "n", *[r(f"e{i}") for i in (1, 2, 3)], *[r(f"{k}{i}") for i in (1, 2, 3) for k in ("trend", "plunge")])
 
 
-@query(
-    "a8_fabric", "fx_points",
-    "SELECT uid, CASE WHEN e1 / nullif(e3, 0) > 5 AND e1 - e2 > e2 - e3 THEN 'cluster' WHEN e1 / nullif(e3, 0) > 5 AND e1 - e2 < e2 - e3 THEN 'girdle' ELSE 'intermediate' END AS fabric FROM "
-    "(SELECT uid, max(x) + 1000 AS e1, avg(y) AS e2, min(x) AS e3 FROM fx_points GROUP BY uid) e",
+_FABRIC = "CASE WHEN e1 / nullif(e3, 0) > 5 AND e1 - e2 > e2 - e3 THEN 'cluster' WHEN e1 / nullif(e3, 0) > 5 AND e1 - e2 < e2 - e3 THEN 'girdle' ELSE 'intermediate' END"
+
+
+@query("a8_fabric", "fx_vectors", f"SELECT uid, {_FABRIC} AS fabric FROM ({_eigen(_TENSOR)}) e")
+def _(v):
+    return orient.fabric(orient.bingham(v, "uid")).select("uid", "fabric")
+
+
+_KINDS = "SELECT *, CASE WHEN point_id % 2 = 0 THEN 'normals' ELSE 'lineations' END AS kind FROM fx_vectors"
+_TURNED = "CASE WHEN kind = 'normals' AND z > 0 THEN -{0} ELSE {0} END"
+_SUMMARY = (
+    f"SELECT s.kind, s.uid, s.n, {R(w360('degrees(atan2(CASE WHEN sz > 0 THEN -sx ELSE sx END, CASE WHEN sz > 0 THEN -sy ELSE sy END))'))} AS trend, {R('degrees(asin(least(1.0, abs(sz / r))))')} AS plunge, "
+    f"{R('CASE WHEN r / s.n < 0.9 THEN (3 * r / s.n - pow(r / s.n, 3)) / (1 - pow(r / s.n, 2)) ELSE 1 / (pow(r / s.n, 3) - 4 * pow(r / s.n, 2) + 3 * r / s.n) END')} AS kappa, "
+    f"{R('e1')} AS e1, {R('e2')} AS e2, {R('e3')} AS e3, {_FABRIC} AS fabric FROM (SELECT *, sqrt(sx * sx + sy * sy + sz * sz) AS r FROM (SELECT kind, uid, count(*) AS n, "
+    + ", ".join(f"sum({_TURNED.format(c)}) AS s{c}" for c in "xyz") + f" FROM ({_KINDS}) k GROUP BY kind, uid) a) s JOIN (" + _eigen(_cov(_KINDS, "kind, uid", "avg({a} * {b})")) + ") e ON e.kind = s.kind AND e.uid = s.uid"
 )
-def _(p):
-    return orient.fabric(p.groupBy("uid").agg((F.max("x") + 1000).alias("e1"), F.avg("y").alias("e2"), F.min("x").alias("e3"))).select("uid", "fabric")
 
 
-@query("a9_orientation_summary", "fx_vectors")
+@query("a9_orientation_summary", "fx_vectors", _SUMMARY)
 def _(v):
     s = orient.orientation_summary(v.withColumn("kind", F.when(F.col("point_id") % 2 == 0, "normals").otherwise("lineations")), "uid")
     return s.select("kind", "uid", "n", r("trend"), r("plunge"), r("kappa"), r("e1"), r("e2"), r("e3"), "fabric")
 
 
+_CLOUDS = "(SELECT uid, point_id, x, y, x * 0.1 + y * 0.2 + point_id % 3 AS z, sin(radians(point_id % 360 - 180)) * cos(radians(90 - point_id % 30)) AS nx, cos(radians(point_id % 360 - 180)) * cos(radians(90 - point_id % 30)) AS ny, -sin(radians(90 - point_id % 30)) AS nz FROM fx_points)"
+_CLOUD_PLANES = _plane(_cov(f"SELECT * FROM {_CLOUDS} c", "uid"))
+
+
 def _clouds(p):
     """Points with a flat-lying normal each."""
     x, y, z = O.normal(F.col("point_id") % 30, F.col("point_id") % 360)
     return p.withColumns({"nx": x, "ny": y, "nz": z, "z": F.col("x") * 0.1 + F.col("y") * 0.2 + F.col("point_id") % 3})
 
 
-@query("a10_calibration", "fx_points")
+_CALIBRATION = (
+    f"SELECT uid, n, {R('srf')} AS srf, {R('mean_distance')} AS mean_distance, {R('std_distance')} AS std_distance FROM (SELECT c.uid, count(*) AS n, sqrt(sum(nx) * sum(nx) + sum(ny) * sum(ny) + sum(nz) * sum(nz)) / count(*) AS srf, "
+    f"avg(abs(a * (x - mx) + b * (y - my) + c * (z - mz))) AS mean_distance, stddev_pop(abs(a * (x - mx) + b * (y - my) + c * (z - mz))) AS std_distance FROM {_CLOUDS} c JOIN (SELECT uid, mx, my, mz, a, b, c FROM ({_CLOUD_PLANES}) p) p ON p.uid = c.uid GROUP BY c.uid) q"
+)
+
+
+@query("a10_calibration", "fx_points", _CALIBRATION)
 def _(p):
     return points.calibration(_clouds(p), "uid").select("uid", "n", r("srf"), r("mean_distance"), r("std_distance"))
 
@@ -450,7 +517,7 @@ def _(p):
     return points.facets(_clouds(p), "uid").select("uid", "n", r("dip"), r("dip_dir"), *[F.round(c, 3).alias(c) for c in ("area", "width", "length")])
 
 
-@query("a12_auto_pick", "fx_points")
+@query("a12_auto_pick", "fx_points", f"SELECT uid, n, {R('mx')} AS mx, {R('my')} AS my, {R('mz')} AS mz, {R(_PLANE_DIP)} AS dip, {R(_PLANE_DIR)} AS dip_dir FROM ({_CLOUD_PLANES}) q WHERE a IS NOT NULL")
 def _(p):
     return points.auto_pick(_clouds(p), "uid").select("uid", "n", r("mx"), r("my"), r("mz"), r("dip"), r("dip_dir"))
 
@@ -482,7 +549,7 @@ def _(p, s):
     return sections.fit_frame(p.withColumn("parent", F.col("uid")), s).select("section", r("length"), r("height"))
 
 
-@query("a15_fit_section", "fx_points")
+@query("a15_fit_section", "fx_points", " UNION ALL ".join(f"SELECT uid, '{m}' AS method, {R(w360('degrees(atan2(a, b)) + 90'))} AS strike, {R(d)} AS dip FROM ({_CLOUD_PLANES}) q WHERE a IS NOT NULL" for m, d in (("dipping", _PLANE_DIP), ("vertical", "90.0"))))
 def _(p):
     p = _clouds(p)
     a = sections.fit_section(p, "uid").withColumn("method", F.lit("dipping"))
@@ -572,7 +639,12 @@ def _(p):
     return points.label_points(e, p)
 
 
-@query("a25_pick_attitudes", "fx_points")
+_PICKED = (
+    f"SELECT 'm1' AS measure, seed, n, {R('mx')} AS mx, {R('my')} AS my, {R('mz')} AS mz FROM (" + _cov("SELECT s.point_id AS seed, p.x, p.y, p.z FROM fx_points s JOIN fx_points p ON (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) + (s.z - p.z) * (s.z - p.z) <= 1600 WHERE s.point_id % 97 = 0", "seed") + ") q WHERE n > 2"
+)
+
+
+@query("a25_pick_attitudes", "fx_points", _PICKED)
 def _(p):
     seeds = p.where(F.col("point_id") % 97 == 0).select(F.col("point_id").alias("seed"), F.lit("m1").alias("measure"), "x", "y", "z")
     return points.pick_attitudes(p, seeds, 40.0).select("measure", "seed", "n", r("mx"), r("my"), r("mz"))
@@ -625,14 +697,19 @@ def _(l, t):
     return wells.interval_tops(l, wells.trace_depth(t))
 
 
-@query("j8_drape_regular", "fx_points fx_dem", "SELECT p.point_id, d.z FROM fx_points p LEFT JOIN fx_dem d ON d.uid = 0 AND d.c = CAST(round_even(p.x / 10, 0) AS INTEGER) AND d.r = CAST(round_even(p.y / 10, 0) AS INTEGER)")
+def _row_of_dems(d):
+    """All DEMs as one, each 100 north of the one before."""
+    return d.withColumns({"r": F.col("r") + 10 * F.col("uid"), "y": F.col("y") + 100.0 * F.col("uid")})
+
+
+@query("j8_drape_regular", "fx_points fx_dem", "SELECT p.point_id, d.z FROM fx_points p LEFT JOIN fx_dem d ON d.c = CAST(round_even(p.x / 10, 0) AS INTEGER) AND d.r + 10 * d.uid = CAST(round_even(p.y / 10, 0) AS INTEGER)")
 def _(p, d):
-    return grids.drape_regular(p, d.where("uid = 0"), 0.0, 0.0, 10.0, 10.0).select("point_id", "z")
+    return grids.drape_regular(p, _row_of_dems(d), 0.0, 0.0, 10.0, 10.0).select("point_id", "z")
 
 
-@query("j8_drape_irregular", "fx_points fx_dem", "SELECT p.point_id, arg_min(d.z, {'d': sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)), 'n': d.r * 10 + d.c}) AS z FROM fx_points p, fx_dem d WHERE d.uid = 0 GROUP BY p.point_id")
+@query("j8_drape_irregular", "fx_points fx_dem", "SELECT p.point_id, arg_min(d.z, {'d': sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y - 100 * d.uid) * (p.y - d.y - 100 * d.uid)), 'n': (d.r + 10 * d.uid) * 10 + d.c}) AS z FROM fx_points p, fx_dem d GROUP BY p.point_id")
 def _(p, d):
-    n = d.where("uid = 0").withColumn("node", F.col("r") * 10 + F.col("c"))
+    n = _row_of_dems(d).withColumn("node", F.col("r") * 10 + F.col("c"))
     return grids.drape_irregular(p, n, 20.0).select("point_id", "z")
 
 
@@ -653,22 +730,24 @@ def _(p):
     return points.knn(p, 5).select("a", "rank", r("distance"))
 
 
-_XSEG = "SELECT *, x2 - x1 AS rx, y2 - y1 AS ry FROM (" + _SEG + ") s WHERE uid < 40 AND p0 < 60"
+_XSEG = f"SELECT *, x2 - x1 AS rx, y2 - y1 AS ry FROM ({_SEG}) s"
 _CROSSINGS = (
     "SELECT DISTINCT a, b, round(ax + t * rx, 6) AS x, round(ay + t * ry, 6) AS y FROM (SELECT a.uid AS a, b.uid AS b, a.x1 AS ax, a.y1 AS ay, a.rx, a.ry, a.rx * b.ry - a.ry * b.rx AS det, "
     "((b.x1 - a.x1) * b.ry - (b.y1 - a.y1) * b.rx) / nullif(a.rx * b.ry - a.ry * b.rx, 0) AS t, ((b.x1 - a.x1) * a.ry - (b.y1 - a.y1) * a.rx) / nullif(a.rx * b.ry - a.ry * b.rx, 0) AS u "
-    f"FROM ({_XSEG}) a JOIN ({_XSEG}) b ON a.uid < b.uid AND a.x1 <= b.x2 AND b.x1 <= a.x2) q WHERE abs(det) > 1e-12 AND t BETWEEN -1e-8 AND 1 + 1e-8 AND u BETWEEN -1e-8 AND 1 + 1e-8"
+    f"FROM ({_XSEG}) a JOIN ({_XSEG}) b ON a.p0 = b.p0 AND a.uid < b.uid UNION ALL SELECT a.uid, b.uid, a.x1, a.y1, a.rx, a.ry, a.rx * b.ry - a.ry * b.rx, "
+    "((b.x1 - a.x1) * b.ry - (b.y1 - a.y1) * b.rx) / nullif(a.rx * b.ry - a.ry * b.rx, 0), ((b.x1 - a.x1) * a.ry - (b.y1 - a.y1) * a.rx) / nullif(a.rx * b.ry - a.ry * b.rx, 0) "
+    f"FROM ({_XSEG}) a CROSS JOIN (VALUES (1), (-1)) k_(k) JOIN ({_XSEG}) b ON a.p0 = b.p0 + k_.k AND a.uid < b.uid) q WHERE abs(det) > 1e-12 AND t BETWEEN -1e-8 AND 1 + 1e-8 AND u BETWEEN -1e-8 AND 1 + 1e-8"
 )
 
 
-@query("j11_segment_intersections", "fx_lines")
+@query("j11_segment_intersections", "fx_lines", f"SELECT a, b, count(*) AS n FROM ({_CROSSINGS}) c GROUP BY a, b")
 def _(ls):
-    return lines.segment_intersections(ls, 25.0).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return lines.segment_intersections(ls, 25.0).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j12_split_lines", "fx_lines")
 def _(ls):
-    out = lines.split_lines(ls.where(F.col("uid") % 3 == 0), ls.where(F.col("uid") % 3 == 1), 25.0)
+    out = lines.split_lines(ls.where(F.col("uid") % 2 == 0), ls.where(F.col("uid") % 2 == 1), 25.0)
     return out.groupBy("uid", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -708,16 +787,23 @@ def _(p, t, s):
 
 @query("j15_surface_cut_parts", "fx_mesh_points fx_triangles fx_sections")
 def _(p, t, s):
-    cut = sections.cut_triangles(p, t, _mesh_sections(s).where("uid < 5"))
+    cut = sections.cut_triangles(p, t, _mesh_sections(s))
     node = lambda k: F.xxhash64(f"e_min{k}", f"e_max{k}")
     key = F.concat_ws("_int_", F.col("uid").cast("string"), F.col("section").cast("string"))
     parts = mesh.connected_parts(settle(cut.select(key.alias("uid"), F.array(node(1), node(2)).alias("ids"))))
     return parts.groupBy("uid").agg((F.max("region_id") + 1).alias("parts"), F.count(F.lit(1)).alias("n"))
 
 
-@query("j16_plane_cut_dem", "fx_dem fx_sections")
+_DEM_EDGES = "SELECT d.uid, CAST(d.r * 1000000 + d.c * 2 + h AS BIGINT) AS cell_id, " + ", ".join(f"d.{c} AS {c}1, e.{c} AS {c}2" for c in "xyz") + " FROM fx_dem d CROSS JOIN (VALUES (0, 0, 1), (1, 1, 0)) k(h, dr, dc) JOIN fx_dem e ON e.uid = d.uid AND e.r = d.r + dr AND e.c = d.c + dc"
+_PROFILES = (
+    "SELECT uid, cell_id, section, " + ", ".join(R(f"{c}1 + t * ({c}2 - {c}1)") + f" AS {c}" for c in "xyz") + " FROM (SELECT *, d1 / nullif(d1 - d2, 0) AS t FROM "
+    f"(SELECT s.*, b.uid AS section, {_dist('1')} AS d1, {_dist('2')} AS d2 FROM ({_DEM_EDGES}) s CROSS JOIN ({_MS}) b) q WHERE (d1 <= 0 AND d2 > 0) OR (d1 > 0 AND d2 <= 0)) z"
+)
+
+
+@query("j16_plane_cut_dem", "fx_dem fx_sections", _PROFILES)
 def _(d, s):
-    return sections.cut_dem(d, _mesh_sections(s)).select("uid", "cell_id", "section", r("x"), r("y"), r("z"))
+    return sections.cut_dem(d, _mesh_sections(s)).select("uid", F.col("cell_id").cast("long").alias("cell_id"), "section", r("x"), r("y"), r("z"))
 
 
 @query(
@@ -731,11 +817,17 @@ def _(g, s):
     return grids.grid_to_section(g, s, 0.7, 3, 8).select("section", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
 
 
-@query("j18_split_by_surface", "fx_mesh_points fx_triangles")
+_SIDES_OF = (  # the other surface lies level, so the side is that of the height
+    f"SELECT uid, cell_id, side, CAST(sum(pieces) AS BIGINT) AS n FROM (SELECT uid, cell_id, unnest([1, 0]) AS side, unnest(CASE k WHEN 0 THEN [0, 1] WHEN 1 THEN [1, 2] WHEN 2 THEN [2, 1] ELSE [1, 0] END) AS pieces FROM "
+    f"(SELECT uid, cell_id, CAST(z0 >= 25 AS INTEGER) + CAST(z1 >= 25 AS INTEGER) + CAST(z2 >= 25 AS INTEGER) AS k FROM ({_CORNERS}) c) a) b WHERE pieces > 0 GROUP BY uid, cell_id, side"
+)
+
+
+@query("j18_split_by_surface", "fx_mesh_points fx_triangles", _SIDES_OF)
 def _(p, t):
     ref_p, ref_t = p.withColumn("z", F.lit(25.0)).where("uid = 0"), t.where("uid = 0")
     out = mesh.split_by_surface(p, t, ref_p, ref_t, 25.0)
-    return out.where("corner = 0").groupBy("uid", "side").agg(F.count(F.lit(1)).alias("n"))
+    return out.where("corner = 0").groupBy("uid", "cell_id", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Callable]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, grids, lines, mesh, orient, points, sections, wells
 from ..operators.graph import _folder, settle
 from ..sources import gocad, text
-from .queries import _BASIS, _CORNERS, _CROSS, _MD, _SEG, R, query, r, w360
+from .queries import _BASIS, _CORNERS, _CROSS, _MD, _SEG, R, _cov, _plane, query, r, w360
 
 # ------------------------------------------------------------------ W: windows
 
@@ -33,7 +33,14 @@ def _(ls):
     return lines.dedupe_consecutive(s).select("uid", "seq", "x")
 
 
-@query("w3_dedupe_within", "fx_lines")
+_CHAIN = (
+    "WITH RECURSIVE keep(uid, seq, x, y) AS (SELECT uid, seq, x, y FROM fx_lines WHERE seq = 1 UNION ALL SELECT uid, n.seq, n.x, n.y FROM (SELECT k.uid, min({'seq': l.seq, 'x': l.x, 'y': l.y}) AS n FROM keep k "
+    "JOIN fx_lines l ON l.uid = k.uid AND l.seq > k.seq AND sqrt((l.x - k.x) * (l.x - k.x) + (l.y - k.y) * (l.y - k.y)) > 20 GROUP BY k.uid) q) "
+    f"SELECT uid, seq, {R('x')} AS x, {R('y')} AS y FROM keep"
+)
+
+
+@query("w3_dedupe_within", "fx_lines", _CHAIN)
 def _(ls):
     return lines.dedupe_consecutive(ls, 20.0).select("uid", "seq", r("x"), r("y"))
 
@@ -47,7 +54,18 @@ def _(ls):
     return lines.orient_left_right(ls, "y", "x").join(ls.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid"), "uid", "left_semi").select("uid", "seq", "y")
 
 
-@query("w5_resample_distance", "fx_lines")
+_LMD = "SELECT uid, seq, x, y, sum(d) OVER (PARTITION BY uid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS md FROM (SELECT *, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS d FROM fx_lines WINDOW w AS (PARTITION BY uid ORDER BY seq)) t"
+_STEPS = (
+    f"SELECT uid, total, CASE WHEN step < total THEN step ELSE step / 2 END AS step FROM (SELECT uid, max(md) AS total, 500.0 / pow(2.0, greatest(0.0, ceil(log2(500.0 / max(md))))) AS step FROM ({_LMD}) l GROUP BY uid HAVING max(md) > 0) s"
+)
+_EVERY = (
+    f"SELECT m.uid, m.k AS seq, {R('s.x + least(1.0, (m.at - s.md) / (s.md2 - s.md)) * (s.x2 - s.x)')} AS x, {R('s.y + least(1.0, (m.at - s.md) / (s.md2 - s.md)) * (s.y2 - s.y)')} AS y FROM "
+    f"(SELECT uid, k, CASE WHEN k > floor(total / step - 1e-9) THEN total ELSE k * step END AS at FROM (SELECT *, unnest(range(CAST(floor(total / step - 1e-9) AS BIGINT) + 2)) AS k FROM ({_STEPS}) n) m) m "
+    f"ASOF JOIN (SELECT *, lead(md) OVER w AS md2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ({_LMD}) l WINDOW w AS (PARTITION BY uid ORDER BY seq) QUALIFY lead(md) OVER w > md) s ON s.uid = m.uid AND m.at >= s.md"
+)
+
+
+@query("w5_resample_distance", "fx_lines", _EVERY)
 def _(ls):
     return lines.resample_distance(ls, 500.0).select("uid", "seq", r("x"), r("y"))
 
@@ -113,9 +131,9 @@ def _(e):
     return e.select("uid", "role", "feature").orderBy("role", "feature", "uid")
 
 
-@query("t4_preview", "fx_points")
+@query("t4_preview", "fx_points", "SELECT * FROM fx_points ORDER BY point_id LIMIT 50")
 def _(p):
-    return text.preview(p, 50)
+    return text.preview(p, 50, "point_id")
 
 
 @query("t5_row_range", "fx_points", "SELECT point_id, x FROM fx_points WHERE point_id BETWEEN 100 AND 400")
@@ -123,7 +141,13 @@ def _(p):
     return text.row_range(p, 100, 400, "point_id").select("point_id", "x")
 
 
-@query("t6_longest_part", "fx_lines")
+_LONGEST = (
+    "SELECT uid, CAST(arg_max(part, {'t': total, 'p': -part}) AS INTEGER) AS part, round(max(total), 3) AS total FROM (SELECT uid, part, sum(d) AS total FROM (SELECT uid, CAST(floor(seq / 20) AS INTEGER) AS part, "
+    "coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS d FROM fx_lines WINDOW w AS (PARTITION BY uid, CAST(floor(seq / 20) AS INTEGER) ORDER BY seq)) a GROUP BY uid, part) b GROUP BY uid"
+)
+
+
+@query("t6_longest_part", "fx_lines", _LONGEST)
 def _(ls):
     parts = ls.withColumn("part", F.floor(F.col("seq") / 20).cast("int"))
     return lines.longest_part(parts).select("uid", "part", F.round("total", 3).alias("total"))
@@ -237,7 +261,14 @@ def _(p, s):
     return q.select("point_id", "section", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "distance")])
 
 
-@query("m5_project_lines", "fx_lines fx_sections")
+_NEAR_LINES = (
+    "WITH q AS (SELECT l.uid, b.uid AS section, abs(((origin_x - x) * wx + (origin_y - y) * wy + (origin_z - z) * wz) / nullif(ax * wx + ay * wy + az * wz, 0)) AS t FROM fx_lines l CROSS JOIN "
+    f"(SELECT *, sin(radians(strike + 90)) * cos(radians(90 - dip)) AS ax, cos(radians(strike + 90)) * cos(radians(90 - dip)) AS ay, -sin(radians(90 - dip)) AS az FROM ({_BASIS}) b) b) "
+    "SELECT section, count(*) AS n, count(DISTINCT uid) AS lines FROM q JOIN (SELECT DISTINCT uid, section FROM q WHERE t <= 30) near USING (uid, section) WHERE t IS NOT NULL GROUP BY section"
+)
+
+
+@query("m5_project_lines", "fx_lines fx_sections", _NEAR_LINES)
 def _(ls, s):
     return sections.project(ls, s, max_dist=30.0, part="uid").groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("uid").alias("lines"))
 
@@ -263,9 +294,12 @@ def _(t):
     return mesh.boundary_edges(t).select("uid", "a", "b")
 
 
-@query("m9_boundary_loops", "fx_triangles")
+_EDGES_ONCE = f"SELECT uid, a, b FROM ({_EDGES}) e GROUP BY uid, a, b HAVING count(*) = 1"
+
+
+@query("m9_boundary_loops", "fx_triangles", f"SELECT uid, count(*) AS n FROM ({_EDGES_ONCE}) r GROUP BY uid")
 def _(t):
-    return mesh.boundary_loops(t).groupBy("uid", "ring").agg(F.count(F.lit(1)).alias("n"))
+    return mesh.boundary_loops(t).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("m10_clean_topology", "fx_mesh_points fx_triangles", "SELECT uid, min(point_id) AS point_id, x FROM (SELECT uid, point_id, floor(x / 20) AS x, floor(y / 20) AS y FROM fx_mesh_points) q GROUP BY uid, x, y")
@@ -303,7 +337,18 @@ def _(p, t):
     return c.groupBy("uid").agg(F.round(F.sum(a), 3).alias("area"))
 
 
-@query("m13_dilate_boundary", "fx_mesh_points fx_triangles")
+_SIDES = " UNION ALL ".join(f"SELECT uid, p{a} AS tail, p{b} AS head, nx, ny, nz FROM ({_TNORM}) t" for a, b in ("01", "12", "20"))
+_OUTER = (
+    "SELECT uid, tail, head, ox / s AS ox, oy / s AS oy, oz / s AS oz FROM (SELECT *, sqrt(ox * ox + oy * oy + oz * oz) AS s FROM (SELECT s.uid, s.tail, s.head, (h.y - a.y) * nz - (h.z - a.z) * ny AS ox, (h.z - a.z) * nx - (h.x - a.x) * nz AS oy, (h.x - a.x) * ny - (h.y - a.y) * nx AS oz "
+    f"FROM ({_SIDES}) s JOIN ({_EDGES_ONCE}) r ON r.uid = s.uid AND r.a = least(s.tail, s.head) AND r.b = greatest(s.tail, s.head) JOIN fx_mesh_points a ON a.uid = s.uid AND a.point_id = s.tail JOIN fx_mesh_points h ON h.uid = s.uid AND h.point_id = s.head) q) z WHERE s > 0"
+)
+_DILATED = (
+    "SELECT p.uid, p.point_id, " + ", ".join(R(f"p.{c} + coalesce(o{c} / nullif(sqrt(ox * ox + oy * oy + oz * oz), 0), 0)") + f" AS {c}" for c in "xyz") + " FROM fx_mesh_points p LEFT JOIN "
+    f"(SELECT uid, point_id, sum(ox) AS ox, sum(oy) AS oy, sum(oz) AS oz FROM (SELECT uid, unnest([tail, head]) AS point_id, ox, oy, oz FROM ({_OUTER}) o) u GROUP BY uid, point_id) v ON v.uid = p.uid AND v.point_id = p.point_id"
+)
+
+
+@query("m13_dilate_boundary", "fx_mesh_points fx_triangles", _DILATED)
 def _(p, t):
     return mesh.dilate_boundary(p, t, 1.0).select("uid", "point_id", r("x"), r("y"), r("z"))
 
@@ -445,7 +490,14 @@ def _(s):
 # ------------------------------------------------------------------ G: graphs and clusters
 
 
-@query("g1_connected_parts", "fx_triangles")
+_PARTS = (
+    "WITH RECURSIVE e AS (SELECT DISTINCT uid, unnest([p0, p1, p2]) AS a, p0 AS b FROM fx_triangles), f AS (SELECT * FROM e UNION SELECT uid, b, a FROM e), "
+    "c(uid, a, b) AS (SELECT uid, a, a FROM f UNION SELECT c.uid, c.a, f.b FROM c JOIN f ON f.uid = c.uid AND f.a = c.b), m AS (SELECT uid, a, min(b) AS low FROM c GROUP BY uid, a) "
+    "SELECT uid, a AS point_id, CAST(dense_rank() OVER (PARTITION BY uid ORDER BY low) - 1 AS INTEGER) AS region_id FROM m"
+)
+
+
+@query("g1_connected_parts", "fx_triangles", _PARTS)
 def _(t):
     return mesh.connected_parts(settle(t.select("uid", F.array("p0", "p1", "p2").alias("ids"))))
 
@@ -465,12 +517,27 @@ def _(p):
     return points.remove_radius_outliers(p, 60.0, 2).select("point_id", "neighbors")
 
 
-@query("g4_segment", "fx_oriented")
+_SEGMENTS = (
+    "WITH RECURSIVE o AS (SELECT * FROM fx_oriented WHERE dip_dir BETWEEN 0 AND 360 AND dip BETWEEN 10 AND 80), e AS (SELECT a.uid, a.point_id AS a, b.point_id AS b FROM o a JOIN o b ON a.uid = b.uid AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 50), "
+    "c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b), m AS (SELECT a, min(b) AS low FROM c GROUP BY a), "
+    "k AS (SELECT o.uid, o.point_id, dense_rank() OVER (PARTITION BY o.uid ORDER BY m.low) - 1 AS cluster_id FROM m JOIN o ON o.point_id = m.a), "
+    "d AS (SELECT a FROM e WHERE a <> b GROUP BY a HAVING count(*) >= 3), f AS (SELECT k.* FROM k JOIN d ON d.a = k.point_id), n AS (SELECT uid, cluster_id FROM f GROUP BY uid, cluster_id HAVING count(*) > 3) "
+    "SELECT f.uid, f.point_id, f.cluster_id FROM f JOIN n ON n.uid = f.uid AND n.cluster_id = f.cluster_id"
+)
+
+
+@query("g4_segment", "fx_oriented", _SEGMENTS)
 def _(p):
     return points.segment(p, 0, 360, 10, 80, 50.0, 3).select("uid", "point_id", "cluster_id")
 
 
-@query("g5_pca_normals", "fx_points")
+_KNN8 = (
+    "SELECT a.uid, a.point_id, b.x, b.y, b.z FROM fx_points a JOIN fx_points b ON a.uid = b.uid AND a.point_id <> b.point_id "
+    "QUALIFY row_number() OVER (PARTITION BY a.point_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.point_id) <= 8 UNION ALL SELECT uid, point_id, x, y, z FROM fx_points"
+)
+
+
+@query("g5_pca_normals", "fx_points", f"SELECT uid, point_id, {R('a')} AS nx, {R('b')} AS ny, {R('c')} AS nz FROM ({_plane(_cov(_KNN8, 'uid, point_id'))}) q")
 def _(p):
     return points.pca_normals(p, 8).select("uid", "point_id", r("nx"), r("ny"), r("nz"))
 
@@ -522,9 +589,7 @@ def _(p):
 @query("s2_points_ply_round_trip", "fx_points", f"SELECT {R('x')} AS x, y, z FROM fx_points")
 def _(p):
     path = _path(p, "ply")
-    head = ["ply", "format ascii 1.0", "element vertex 0", "property double x", "property double y", "property double z", "end_header"]
-    h = p.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, head))).alias("value"))
-    h.coalesce(1).union(p.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]))).write.text(path)
+    text.write_points_ply(p, path)
     return text.read_points_ply_ascii(p.sparkSession, path).select(r("x"), "y", "z")
 
 
@@ -584,9 +649,9 @@ def _(p, t):
     return text.stl_lines(p, t).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s10_obj", "fx_mesh_points fx_triangles", "SELECT uid, 'f ' || (p0 + 1) || ' ' || (p1 + 1) || ' ' || (p2 + 1) AS value FROM fx_triangles WHERE uid = 0")
+@query("s10_obj", "fx_mesh_points fx_triangles", "SELECT uid, 'f ' || (p0 + 1) || ' ' || (p1 + 1) || ' ' || (p2 + 1) AS value FROM fx_triangles")
 def _(p, t):
-    return text.obj_lines(p, t).where("uid = 0 and part = 1").select("uid", "value")
+    return text.obj_lines(p, t).where("part = 1").select("uid", "value")
 
 
 @query("s11_dem_from_raster", "fx_dem", "SELECT d.uid, d.r, d.c, 100 + c * 10.0 AS x, CASE WHEN z <> m THEN z END AS z FROM fx_dem d JOIN (SELECT uid, max(z) AS m FROM fx_dem GROUP BY uid) q ON q.uid = d.uid")
@@ -601,10 +666,10 @@ def _(d):
     return grids.map_pixels(raster, (0, 200, 0, 500), 10, 10).select("uid", "r", "c", r("x"), r("y"), F.size("bands").alias("bands"))
 
 
-@query("s13_section_pixels", "fx_dem fx_sections", f"SELECT d.r, d.c, b.uid AS section, {R('origin_x + c * 20 * ux + r * 10 * vx')} AS x, {R('origin_z + c * 20 * uz + r * 10 * vz')} AS z FROM fx_dem d CROSS JOIN ({_BASIS}) b WHERE d.uid = 0")
+@query("s13_section_pixels", "fx_dem fx_sections", f"SELECT d.uid, d.r, d.c, b.uid AS section, {R('origin_x + c * 20 * ux + r * 10 * vx')} AS x, {R('origin_z + c * 20 * uz + r * 10 * vz')} AS z FROM fx_dem d CROSS JOIN ({_BASIS}) b")
 def _(d, s):
-    raster = d.where("uid = 0").select("r", "c", F.col("z").alias("value"))
-    return grids.section_pixels(raster, s, 0.0, 0.0, 200.0, 100.0, 10, 10).select("r", "c", "section", r("x"), r("z"))
+    raster = d.select("uid", "r", "c", F.col("z").alias("value"))
+    return grids.section_pixels(raster, s, 0.0, 0.0, 200.0, 100.0, 10, 10).select("uid", "r", "c", "section", r("x"), r("z"))
 
 
 def _traces(e):

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from ..operators.catalog import _small
+from ..operators.graph import settle
 from ..operators.mesh import boundary_edges
 from ..operators.sections import corners
 
@@ -45,34 +48,83 @@ def read_points_text(spark: SparkSession, path: str, columns: list[str], separat
     return _numbers(lines, columns, sep)
 
 
-def read_points_ply_ascii(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of ASCII PLY files with one header: its properties name the columns.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files (value, file) with their number in the file, from 0, whatever blocks the files are read in."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    blocks = lines.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_move"))
+    return lines.join(_small(blocks), ["file", "_block"]).select("value", "file", (F.col("_id") + F.col("_move")).alias("line"))
 
-    Header lines start with a letter, vertex rows with a number; the few header lines of the first
-    file by name are read ahead. Vertex rows are those with as many numbers as there are vertex properties.
-    """
-    words = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    words = words.where(F.col("value").rlike("^[a-z]"))
-    head = [r[0].strip() for r in words.orderBy("file", "n").limit(200).collect()]
-    if "end_header" not in head:
-        raise ValueError("no PLY header")
-    head = head[: head.index("end_header") + 1]
-    if not head or head[0] != "ply" or not any(h.startswith("format ascii") for h in head):
+
+def ply_header(head: list[str]) -> tuple[int, int, list[str]]:
+    """First line and number of vertex rows, and their properties, of an ASCII PLY header."""
+    head = [h.strip() for h in head]
+    if not head or head[0] != "ply" or not any(h.startswith("format ascii") for h in head) or "end_header" not in head:
         raise ValueError("not an ASCII PLY file")
-    columns, element = [], ""
+    columns, elements = [], []
     for h in head:
         word = h.split()
         if word[:1] == ["element"]:
-            element = word[1]
-        elif word[:1] == ["property"] and element == "vertex":
+            elements.append((word[1], int(word[2])))
+        elif word[:1] == ["property"] and elements and elements[-1][0] == "vertex":
             columns.append(word[-1])
-    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*[-+0-9.]"))
-    lines = lines.where(F.size(F.split(F.trim("value"), r"\s+")) == len(columns))
-    return _numbers(lines, columns, " ")
+    start = len(head)
+    for name, count in elements:
+        if name == "vertex":
+            return start, count, columns
+        start += count
+    return start, 0, columns
 
 
-def preview(df: DataFrame, n: int = 50) -> DataFrame:
-    """The first n rows of a source."""
+def read_points_ply_ascii(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of ASCII PLY files as numbers; each file's own header says which lines hold them and names the columns.
+
+    A property that a file lacks is null in its rows. Lines of the header start with a letter or are empty.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.where(F.col("value").rlike(r"^\s*([A-Za-z]|$)")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("head"))
+
+    def parse(batches):
+        for pdf in batches:
+            rows = [(f, *ply_header(_until_end(h))) for f, h in zip(pdf["file"], pdf["head"])]
+            yield pd.DataFrame(rows, columns=["file", "start", "count", "columns"])
+
+    heads = settle(heads.mapInPandas(parse, "file string, start long, count long, columns array<string>"), "ply")
+    names = [r[0] for r in heads.select(F.explode("columns").alias("c")).groupBy("c").count().orderBy("c").collect()]
+    names = [c for c in XYZ if c in names] + [c for c in names if c not in XYZ]
+    if not names:
+        raise ValueError("no PLY header")
+    v = lines.join(_small(heads), "file").where((F.col("line") >= F.col("start")) & (F.col("line") < F.col("start") + F.col("count")))
+    cells = v.select("columns", F.split(F.trim("value"), r"\s+").alias("_c"))
+    at = lambda c: F.get("_c", F.array_position("columns", c).cast("int") - 1)
+    return cells.select(*[F.when(F.array_contains("columns", c), at(c).try_cast("double")).alias(c) for c in names])
+
+
+def _until_end(head) -> list[str]:
+    """Lines of a header up to its end, by number; what follows are other lines that start with a letter."""
+    out: list[str] = []
+    for row in head:
+        if row["value"].strip():
+            out.append(row["value"])
+        if row["value"].strip() == "end_header":
+            return out + [""] * (row["line"] + 1 - len(out))
+    return out
+
+
+def write_points_ply(points: DataFrame, path: str) -> None:
+    """Points (uid, point_id, x, y, z) as ASCII PLY, one file for each uid."""
+    count = points.groupBy("uid").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    head = ["ply", "format ascii 1.0", "", "property double x", "property double y", "property double z", "end_header"]
+    h = count.select("uid", F.posexplode(F.array(*[F.lit(v) if v else F.concat(F.lit("element vertex "), F.col("n")) for v in head])).alias("_k", "value"))
+    body = points.select("uid", F.lit(len(head)).alias("_k"), F.concat_ws(" ", *[F.col(c).cast("string") for c in XYZ]).alias("value"), "point_id")
+    rows = h.withColumn("point_id", F.lit(None).cast("long")).unionByName(body)
+    rows.repartition("uid").sortWithinPartitions("uid", "_k", "point_id").select("uid", "value").write.partitionBy("uid").text(path)
+
+
+def preview(df: DataFrame, n: int = 50, order: str | None = None) -> DataFrame:
+    """The first n rows of a source, in the order of a column if one is given."""
+    df = df.orderBy(order) if order else df
     return df.limit(n)
 
 

@@ -301,3 +301,30 @@ def test_sniff_and_read(spark, tmp_path):
 def test_slices_of_a_ramp(spark):
     v = spark.createDataFrame([(i, 0, 0, float(i)) for i in range(5)], "i int, j int, k int, value double")
     assert grids.extract_slices(v, "i", 3, 5).orderBy("slice").toPandas().value.tolist() == [0, 2, 4]
+
+
+def test_ply_rows_go_by_each_files_own_header(spark, tmp_path):
+    a = ["ply", "format ascii 1.0", "comment made by hand", "element vertex 3", "property float x", "property float y", "property float z", "property uchar red", "element face 1", "property list uchar int vertex_indices", "end_header"]
+    (tmp_path / "a.ply").write_text("\n".join([*a, "0 0 0 9", "1 0 0 8", "0 1 0 7", "3 0 1 2"]) + "\n")
+    b = ["ply", "format ascii 1.0", "element face 1", "property list uchar int vertex_indices", "element vertex 2", "property double z", "property double x", "property double y", "end_header"]
+    (tmp_path / "b.ply").write_text("\n".join([*b, "3 0 1 1", "5 6 7", "nan - 2"]) + "\n")
+    got = text.read_points_ply_ascii(spark, str(tmp_path))
+    assert got.columns == ["x", "y", "z", "red"]
+    rows = sorted([tuple(r) for r in got.collect()], key=str)
+    assert rows[:3] == [(0.0, 0.0, 0.0, 9.0), (0.0, 1.0, 0.0, 7.0), (1.0, 0.0, 0.0, 8.0)] and rows[3] == (6.0, 7.0, 5.0, None)
+    assert rows[4][:2] == (None, 2.0)
+    (tmp_path / "c.ply").write_text("x y z\n")
+    with pytest.raises(Exception, match="PLY"):
+        text.read_points_ply_ascii(spark, str(tmp_path / "c.ply")).collect()
+
+
+def test_no_triangle_is_lost_far_from_the_other_surface(spark):
+    p = spark.createDataFrame([(0, i, *c) for i, c in enumerate([(0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (0.0, 1.0, -1.0), (0.0, 0.0, 15.0), (1.0, 0.0, 15.0), (0.0, 1.0, -27.0)])], "uid int, point_id long, x double, y double, z double")
+    t = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 3, 4, 5)], "uid int, cell_id int, p0 long, p1 long, p2 long")
+    ref_p = spark.createDataFrame([(0, i, x, y, 0.0) for i, (x, y) in enumerate([(-5.0, -5.0), (9.0, -5.0), (-5.0, 9.0)])], "uid int, point_id long, x double, y double, z double")
+    ref_t = spark.createDataFrame([(0, 0, 0, 1, 2)], "uid int, cell_id int, p0 long, p1 long, p2 long")
+    got = mesh.split_by_surface(p, t, ref_p, ref_t, 1.0).groupBy("cell_id").agg(F.countDistinct("piece").alias("n")).collect()
+    assert {r.cell_id: r.n for r in got} == {0: 3, 1: 3}
+    d = {r.point_id: r.distance for r in mesh.nearest_distance(p, ref_p, ref_t, 1.0).collect()}
+    assert abs(d[3] - 15) < 1e-9 and abs(d[5] + 27) < 1e-9 and abs(d[2] + 1) < 1e-9
+    assert mesh.split_by_surface(p, t, ref_p, ref_t.limit(0), 1.0).count() == 0
