@@ -12,7 +12,8 @@ related links, reader comments).
 
 Defined cases: null or empty html gives an empty text; markup that ends early is read as far as it goes; scripts,
 styles, comments, titles and form controls are never text; one of these without its end tag before the enclosing block ends (or
-a button or select within another) goes on to the next block only; a head needs no end tag; character references are decoded; <br> is white space;
+a button or select within another) goes on to the next block only; a head needs no end tag; a link without one ends with its block or at the next; text outside all blocks is a
+block of its own, and a page of nothing but text is content; character references are decoded; <br> is white space;
 repeated rows are extracted each; without a page to sample, built-in phrases fill the layouts; further columns are ignored.
 """
 
@@ -40,6 +41,8 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|data-y|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
+_A = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+
 # Elements of HTML by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = set("script style noscript template svg iframe object select textarea button title canvas audio video math datalist".split())
@@ -85,16 +88,39 @@ def cue_row(tag: str, words: str) -> np.ndarray:
     return row
 
 
+class _Open(list):
+    """Open elements and the block each belongs to, with the number open of each name."""
+
+    def __init__(self):
+        super().__init__([("", 0)])
+        self.names: dict[str, int] = {}
+
+    def append(self, item: tuple[str, int]) -> None:
+        super().append(item)
+        self.names[item[0]] = self.names.get(item[0], 0) + 1
+
+    def pop(self) -> tuple[str, int]:
+        item = super().pop()
+        self.names[item[0]] -= 1
+        if not self.names[item[0]]:
+            del self.names[item[0]]
+        return item
+
+    def cut(self, i: int) -> None:
+        while len(self) > i:
+            self.pop()
+
+
 class Page:
     """Block nodes of a page in document order, and its runs of text."""
 
-    __slots__ = ("parent", "cue", "label", "runs", "own", "link")
+    __slots__ = ("parent", "depth", "cue", "label", "runs", "own", "link", "bare")
 
     def __init__(self, source: str, cues: dict, labelled: bool = False):
-        self.parent, self.cue, self.label = [-1], [self._cue("body", "", cues)], [None]
+        self.parent, self.depth, self.cue, self.label = [-1], [0], [self._cue("body", "", cues)], [None]
         self.own, self.link = [0], [0]
         self.runs: list[tuple[int, str]] = []
-        stack: list[tuple[str, int]] = [("", 0)]  # open elements and the block each belongs to
+        stack = _Open()
         text: list[str] = []
         links = at = 0
         skip: list[int] = []  # starts of the open skipped element and of those of its name within it
@@ -102,13 +128,30 @@ class Page:
         inner: list[str] = []  # blocks opened within it
         skipped, brief, resume = "", False, -1
 
+        def node(tag: str, words: str, label) -> int:
+            parent = stack[-1][1]
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.cue.append(self._cue(tag, words, cues))
+            self.label.append(self.label[parent] if label is None else label)
+            self.own.append(0)
+            self.link.append(0)
+            return len(self.parent) - 1
+
+        linked = 0  # letters of the text at hand that are links
+
         def flush():
+            nonlocal linked
             if text:
                 said = " ".join(_html.unescape("".join(text)).split())
                 text.clear()
                 if said:
-                    self.runs.append((stack[-1][1], said))
-                    self.own[stack[-1][1]] += len(said)
+                    # text outside all blocks is a block of its own
+                    k = stack[-1][1] or node("div", "", None)
+                    self.runs.append((k, said))
+                    self.own[k] += len(said)
+                    self.link[k] += linked
+                linked = 0
 
         while True:
             m = _TAG.search(source, at)
@@ -122,7 +165,7 @@ class Page:
                 piece = source[at : m.start()]
                 text.append(piece)
                 if links:
-                    self.link[stack[-1][1]] += len(piece)
+                    linked += len(piece)
             at = m.end()
             tag = m[2] or m[5]
             if not tag:
@@ -155,7 +198,7 @@ class Page:
                         while inner.pop() != tag:
                             pass
                         continue
-                    if tag not in ("body", "html") and not any(t == tag for t, _ in stack):
+                    if tag not in ("body", "html") and tag not in stack.names:
                         continue
                     unclosed.update(skip)
                     links = 0
@@ -167,13 +210,13 @@ class Page:
                 if tag == "a":
                     links = 0
                     continue
-                if not any(t == tag for t, _ in stack):
+                if tag not in stack.names:
                     continue
                 if tag in BLOCKS:
                     flush()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                    links = 0 if links == 2 else links
+                while stack.pop()[0] != tag:
+                    pass
                 continue
             if tag in SKIPPED:
                 if tag in RAW:
@@ -187,11 +230,14 @@ class Page:
             if tag in VOID and tag != "hr":
                 continue
             if tag == "a":
-                links = 1
+                # a link without its end tag before the next one ends with the block, or where one begins
+                end = _A.search(source, at)
+                links = 1 if end and end[1] else 2
                 continue
             if tag not in BLOCKS:
                 continue
             flush()
+            links = 0 if links == 2 else links
             if tag in CLOSES_P:
                 self._close(stack, {"p"}, {"td", "th", "li", "table", "blockquote", "div", "section", "article"})
             if tag in SELF_CLOSING:
@@ -205,16 +251,12 @@ class Page:
                 words = " ".join(b if a in ("class", "id", "role") else f"{a}:{b}" for a, b in found if a != "data-y" and (a != "style" or "none" in b or "hidden" in b))
                 if labelled:
                     label = next((int(b) for a, b in found if a == "data-y"), None)
-            parent = stack[-1][1]
-            self.parent.append(parent)
-            self.cue.append(self._cue(tag, words, cues))
-            self.label.append(self.label[parent] if label is None else label)
-            self.own.append(0)
-            self.link.append(0)
-            stack.append((tag, len(self.parent) - 1))
+            stack.append((tag, node(tag, words, label)))
         if at < len(source) and not skip:
             text.append(source[at:])
+        blocks = len(self.parent)
         flush()
+        self.bare = blocks == 1  # nothing but text
 
     @staticmethod
     def _raw_end(source: str, at: int, tag: str) -> int:
@@ -233,7 +275,7 @@ class Page:
     def _close(stack, closed, border):
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in closed:
-                del stack[i:]
+                stack.cut(i)
                 return
             if stack[i][0] in border:
                 return
@@ -251,13 +293,8 @@ class Forest:
         parent = np.concatenate([p.parent for p in pages]).astype(np.int64)
         self.root = parent < 0
         self.parent = np.where(self.root, np.arange(len(parent)), parent + base)
-        depth = np.zeros(len(parent), np.int64)
-        above = np.where(self.root, -1, self.parent)
-        while (above >= 0).any():  # one step towards the root at a time
-            live = above >= 0
-            depth[live] += 1
-            above[live] = np.where(self.root[above[live]], -1, self.parent[above[live]])
-        self.levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1)]
+        depth = np.concatenate([p.depth for p in pages])
+        self.levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
         cue = np.array(rows)[np.concatenate([p.cue for p in pages])]
         own = np.concatenate([p.own for p in pages]).astype(float)
         link = np.concatenate([p.link for p in pages]).astype(float)
@@ -320,7 +357,7 @@ class Model:
             forest = Forest(pages, self._cues, self._rows)
             content = forest.marginals(self.node, self.edge)[0] >= 0.5
             for page, first in zip(pages, forest.first):
-                out.append("\n\n".join(said for n, said in page.runs if content[first + n]))
+                out.append("\n\n".join(said for n, said in page.runs if page.bare or content[first + n]))
             at = to
         return out
 

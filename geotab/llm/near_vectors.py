@@ -65,6 +65,13 @@ def dense(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def scaled(column, dim: int) -> np.ndarray:
+    """dense, with each vector times the power of two that brings its largest component near 1: squares neither over- nor underflow, cosines stay exactly the same."""
+    x = dense(column, dim)
+    _, exponent = np.frexp(np.abs(x).max(1))
+    return np.ldexp(x, -exponent[:, None])
+
+
 _ORDER = ["pass", "label", "dim", "code", "node"]
 _STRETCH = ["pass", "label", "dim"]
 
@@ -76,7 +83,7 @@ def _coded(batches, first: int, passes: int):
         dims = batch.column("dim").to_numpy()
         for dim in np.unique(dims):
             part = batch.filter(pa.array(dims == dim))
-            x = dense(part.column("vector"), int(dim))
+            x = scaled(part.column("vector"), int(dim))
             for k in range(first, first + passes):
                 bits = x @ planes(int(dim), k) > 0
                 code = np.packbits(bits, axis=1).view(">i8")[:, 0].astype(np.int64)
@@ -141,7 +148,7 @@ def _neighbours(batches, threshold: float, window: int):
             if hi - lo < 2:
                 continue
             part = table.slice(lo, hi - lo)
-            x = dense(part.column("vector"), part.column("dim")[0].as_py())
+            x = scaled(part.column("vector"), part.column("dim")[0].as_py())
             norm = np.sqrt((x * x).sum(1))
             a, b = [], []
             for d in range(1, min(window, len(x) - 1) + 1):
@@ -176,7 +183,7 @@ def _compared(batches, threshold: float):
         bounds = np.append(starts_of(table, _PAIR), table.num_rows)
         for low, high in zip(bounds[:-1], bounds[1:]):
             part = table.slice(low, high - low).combine_chunks()
-            x = dense(part.column("vector"), part.column("dim")[0].as_py())
+            x = scaled(part.column("vector"), part.column("dim")[0].as_py())
             norm = np.sqrt((x * x).sum(1))
             own_, i, j = part.column("_own").to_numpy(), part.column("_i")[0].as_py(), part.column("_j")[0].as_py()
             left, right = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
@@ -238,7 +245,7 @@ def _counted(batches, threshold: float):
         bounds = np.append(starts_of(table, _GROUP), table.num_rows)
         for low, high in zip(bounds[:-1], bounds[1:]):
             part = table.slice(low, high - low)
-            x = dense(part.column("vector"), part.column("dim")[0].as_py())
+            x = scaled(part.column("vector"), part.column("dim")[0].as_py())
             norm = np.sqrt((x * x).sum(1))
             node, weight, own_ = (part.column(c).to_numpy() for c in ("node", "n", "_own"))
             i, j = part.column("_i")[0].as_py(), part.column("_j")[0].as_py()

@@ -25,8 +25,7 @@ from .near_vectors import dense, valid, vector_kind
 
 PIVOTS = 256
 DEPTH = 64
-SHARE = 0.2
-LEAST = 128
+SHARE = 0.25
 SHARD_ROWS, LEAST_SHARDS, SMALL_SHARD = 16_384, 32, 256
 QUERY_BLOCK = 1024
 EVERY = 20
@@ -78,7 +77,7 @@ def _search(batches, pivots: np.ndarray, depth: int, share: float, k: int):
             by = np.argsort(v_ids, kind="stable")
             v_ids, v = v_ids[by], v[by]
             files = Postings(permutations(v, pivots, depth), len(pivots))
-            take = min(len(v), max(LEAST, k + 1, int(np.ceil(share * len(v)))))
+            take = min(len(v), max(k + 1, int(np.ceil(share * len(v)))))
             out: list[list] = [[], [], []]
             for one, mine, order in zip(q_ids, q, permutations(q, pivots, depth)):
                 far = files.footrule(order)

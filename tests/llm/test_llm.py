@@ -660,3 +660,34 @@ def test_components_match_union_find(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in q.queries()) == list(range(1, 11))
+
+
+def test_links_without_end_bare_text_and_deep_nesting(spark, pages_model):
+    import time
+
+    _, m = pages_model
+    said = "The committee met again on Tuesday to discuss the results, and after some hours of debate it agreed on a plan."
+    article = f"<article><h1>A plan</h1><p>{said}</p><p>{said} Twice.</p></article>"
+    want = f"A plan\n\n{said}\n\n{said} Twice."
+    odd = [
+        f"<html><body><a href='/x'>Home {article}</body></html>",
+        f"<html><body><nav><a href='/x'>Home<a href='/y'>News</nav>{article}</body></html>",
+        f"<html><body>{said}</body></html>",
+        said,
+        "<div>" * 3000 + article + "</div>" * 3000,
+    ]
+    got = m.extract(odd)
+    assert got[0].endswith(want) and got[1] == want and got[2] == got[3] == said and got[4] == want
+    took = []
+    for n in (5_000, 20_000):
+        began = time.time()
+        html_main.Forest([html_main.Page("<div>" * n + said + "</div>" * n, cues := {})], cues, [])
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_vectors_whose_squares_over_or_underflow(spark):
+    rows = [(0, [1e200, 1.0], "a"), (1, [1e200, 2.0], "a"), (2, [1e-200, 1e-203], "a"), (3, [1e-200, 0.0], "a"), (4, [0.0, 1e300], "a"), (5, [1.0, 0.0], "b"), (0, [1e200, 1.0], "a")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("n", F.lit(1)).withColumn("node", F.lit("x"))
+    got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.dedup(d).collect()}
+    assert got == {(0, 4, 0), (1, 4, 0), (2, 4, 0), (3, 4, 0), (4, 0, 4), (5, 0, 5)}
