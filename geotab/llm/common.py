@@ -198,11 +198,29 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
+HOT, MOST_HOT, SALTS = 1000, 10_000, 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """left (of so many rows) with the one row that right has for key, or nulls.
+
+    Keys of more than HOT rows of left, and more than rows / MOST_HOT, so MOST_HOT keys at most (which bounds the broadcast), are spread over
+    SALTS parts, each with a copy of right's row; null keys are spread as well.
+    """
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(HOT, rows // MOST_HOT)).select(key, F.lit(True).alias("_hot"))
+    part = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(SALTS))
+    le = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), part).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    all_parts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    ri = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), all_parts).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+    return le.join(ri, [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) as (node, component), component the smallest node.
 
-    Alternates large-star and small-star steps, each a join on the node, written to the shared
-    folder; a round ends the loop when it changes nothing.
+    Alternates large-star and small-star steps: a node's larger neighbours move to its smallest neighbour, then
+    its smaller ones do. Smallest neighbours are grouped minima, which combine before the shuffle, and joins back to the edges spread hubs over parts.
+    Rounds are written to the shared folder; a round ends the loop when it changes nothing.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
 
@@ -214,12 +232,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        # a node without smaller neighbours is its own smallest, so only the others need to be looked up
+        low = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = salted_join(e, low, "b", before[0]).select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, low, "a", before[0]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = state(e)
         if after == before:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, local_roots, own, spread, starts_of, whole_groups
+from .common import components, cut, local_roots, own, salted_join, spread, starts_of, whole_groups
 
 THRESHOLD = 0.98
 WINDOW = 32
@@ -284,7 +284,9 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW
     named = named.withColumn("component", F.coalesce("component", "node"))
     low = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(low, "component").select("label", "k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = v.select("vec_id", "label", "k1", "k2").join(named, ["label", "k1", "k2"], "left")
+    # rows of one vector may be many: keys are joined as one column, nulls for vectors that take no part
+    key = F.when(F.col("k1").isNotNull(), F.struct("label", "k1", "k2")).alias("key")
+    out = salted_join(v.select(key, "vec_id"), named.select(key, "n_links", "component_id"), "key", v.count())
     alone = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), alone.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, components, cut, give_back, local_roots, matrix, mix64, own, shingles, spread, starts_of, whole_groups
+from .common import bounded_batches, chunks, components, cut, give_back, local_roots, matrix, mix64, own, salted_join, shingles, spread, starts_of, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -141,6 +141,26 @@ _BUCKET = ["band", "key", "_i", "_j"]
 _GROUP = ["grp", "_i", "_j"]
 
 
+#: Pairs, and sets on a side, that are held at once.
+PAIRS, TILE = 1 << 20, 1024
+
+
+def _survivors(start: np.ndarray, sig: np.ndarray, own_: np.ndarray, cross: np.ndarray, need: list[int]):
+    """Pairs that the incremental comparison leaves, about PAIRS at a time."""
+    held, count = [], 0
+    for a, b in pairs_of(start, len(sig), own_, cross):
+        for at in range(0, len(a), PAIRS):
+            k = surviving(sig, a[at : at + PAIRS], b[at : at + PAIRS], need)
+            if len(k):
+                held.append((a[at + k], b[at + k]))
+                count += len(k)
+            if count >= PAIRS:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, count = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def _candidates(batches, need: list[int]):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for table in whole_groups(batches, _BUCKET, 20_000):
@@ -148,9 +168,11 @@ def _candidates(batches, need: list[int]):
         sig = matrix(table.column("sig"), np.uint32, HASHES)
         own_ = table.column("_own").to_numpy()
         cross = table.column("_i").to_numpy() != table.column("_j").to_numpy()
-        found = [(a[k], b[k]) for a, b in pairs_of(start, len(sig), own_, cross) if len(k := surviving(sig, a, b, need))]
-        if found:
-            root = local_roots(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]), len(sig))
+        root = np.arange(len(sig))
+        for a, b in _survivors(start, sig, own_, cross, need):
+            mine = np.flatnonzero(root != np.arange(len(root)))
+            root = local_roots(np.concatenate((mine, a)), np.concatenate((root[mine], b)), len(sig))
+        if (root != np.arange(len(root))).any():
             linked = np.flatnonzero(root != np.arange(len(root)))
             cls = table.column("cls")
             pairs = pa.table([cls.take(pa.array(linked)), cls.take(pa.array(root[linked]))], names=["a", "b"])
@@ -177,6 +199,20 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, a tile of sets on either side at a time."""
+    if len(a) < 4:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
+    out = np.zeros(len(a), np.float32)
+    tile = (a // TILE) * (len(sets) // TILE + 1) + b // TILE
+    order = np.argsort(tile, kind="stable")
+    for pairs in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        some = np.unique(np.concatenate((a[pairs], b[pairs])))
+        both = _overlaps([sets[i] for i in some])
+        out[pairs] = both[np.searchsorted(some, a[pairs]), np.searchsorted(some, b[pairs])]
+    return out
+
+
 def _verify(batches, need: list[int], threshold: float):
     schema = pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("links", pa.int64())])
     for table in whole_groups(batches, _GROUP):
@@ -196,19 +232,14 @@ def _verify(batches, need: list[int], threshold: float):
             own_, weight = part.column("_own").to_numpy(), part.column("n").to_numpy()
             n = len(cls)
             cross = np.full(n, part.column("_i")[0].as_py() != part.column("_j")[0].as_py())
-            found = [(a[k], b[k]) for a, b in pairs_of(np.array([0]), n, own_, cross) if len(k := surviving(sig, a, b, need))]
-            if not found:
-                continue
-            a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
             size = np.array([len(s) for s in sets])
-            if len(a) > 3:
-                both = _overlaps(sets)[a, b]
-            else:
-                both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)])
-            ok = both * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-9
-            a, b = a[ok], b[ok]
-            links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
-            root = local_roots(a, b, n)
+            links, root = np.zeros(n, np.int64), np.arange(n)
+            for a, b in _survivors(np.array([0]), sig, own_, cross, need):
+                ok = _common(sets, a, b) * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-9
+                a, b = a[ok], b[ok]
+                links += (np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)).astype(np.int64)
+                mine = np.flatnonzero(root != np.arange(n))
+                root = local_roots(np.concatenate((mine, a)), np.concatenate((root[mine], b)), n)
             for i in np.flatnonzero(links):
                 out[0].append(cls[i])
                 out[1].append(cls[root[i]])
@@ -222,14 +253,16 @@ def _need(threshold: float, tolerance: float) -> list[int]:
     return [least_matches(n, threshold, tolerance) for n in range(CHUNK, HASHES + 1, CHUNK)]
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashed: bool = False) -> DataFrame:
     """One row for each of docs (doc_id, text): doc_id, n_links (other documents at least threshold
-    similar), component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
+    similar), component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
+
+    hashed: also the hash of the text, a key of the group, and the number of copies in its class (null for blank texts)."""
     need = _need(threshold, tolerance)
     bounded_batches(docs)
     docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rep = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
-    rows = cut(docs.withColumn("_f", F.arrow_udf(_features, "cls binary, sig binary")("text")).select("doc_id", rep.alias("rep"), "_f.cls", "_f.sig"), "minhash")
+    rows = cut(docs.withColumn("_f", F.arrow_udf(_features, "cls binary, sig binary")("text")).select("doc_id", rep.alias("rep"), F.xxhash64("text").alias("hash"), "_f.cls", "_f.sig"), "minhash")
     classes = rows.where("cls is not null").groupBy("cls").agg(
         F.min("rep").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")
     )
@@ -259,20 +292,25 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     named = classes.select("cls", "least_id", "n").join(linked, "cls", "left").join(final.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls"))
     low = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(low, "component").select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("doc_id", "cls").join(named, "cls", "left")
+    named = named.join(low, "component").select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.col("n").alias("n_class"), F.xxhash64("component").alias("group"))
+    out = salted_join(rows.select("cls", "doc_id", "hash"), named, "cls", rows.count())
     own_group = F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own_group.alias("component_id")).withColumn(
+    more = ["hash", "group", "n_class"] if hashed else []
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own_group.alias("component_id"), *more).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents whose group has a smaller id, and without repeated rows."""
-    kept = join(docs, **how).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
+    """One document of each group: of the texts with the group's smallest id, the one with the smallest hash; blank documents one for each id and text."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    d = docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
-    return d.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")
+    d = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = join(docs.select("doc_id", "text"), **how, hashed=True).where("kept")
+    # a group may hold its smallest id with several texts
+    one = kept.where("n_class is not null").groupBy("component_id", "group").agg(F.min("hash").alias("_h"))
+    one = one.select(F.col("component_id").alias("_id"), "_h").union(kept.where("n_class is null").select(F.col("component_id").alias("_id"), F.col("hash").alias("_h"))).distinct()
+    same = d["_id"].eqNullSafe(one["_id"]) & d["_h"].eqNullSafe(one["_h"])
+    return d.join(one, same, "left_semi").dropDuplicates(["_id", "_h"]).select("_doc.*")
 
 
 #: SQL twin over all pairs with a common shingle.

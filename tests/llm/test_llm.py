@@ -691,3 +691,40 @@ def test_vectors_whose_squares_over_or_underflow(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("n", F.lit(1)).withColumn("node", F.lit("x"))
     got = {(r.vec_id, r.n_links, r.component_id) for r in near_vectors.dedup(d).collect()}
     assert got == {(0, 4, 0), (1, 4, 0), (2, 4, 0), (3, 4, 0), (4, 0, 4), (5, 0, 5)}
+
+
+def test_components_of_hubs_and_chains(spark):
+    rng = np.random.default_rng(31)
+    edges = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(5000, 8000)] + [(20_000 + i, 20_001 + i) for i in range(300)]
+    edges += [tuple(map(int, rng.integers(30_000, 30_400, 2))) for _ in range(300)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({n for e in edges for n in e if e[0] != e[1]})
+    at = {n: i for i, n in enumerate(nodes)}
+    live = [e for e in edges if e[0] != e[1]]
+    root = common.local_roots(np.array([at[a] for a, _ in live]), np.array([at[b] for _, b in live]), len(nodes))
+    assert got == {n: nodes[root[at[n]]] for n in nodes}
+
+
+def test_salted_join_keeps_every_row(spark):
+    left = spark.createDataFrame([(7, i) for i in range(3000)] + [(None, i) for i in range(50)] + [(1, 0), (2, 0)], "k long, v long")
+    right = spark.createDataFrame([(7, "a"), (1, "b")], "k long, w string")
+    got = common.salted_join(left, right, "k", 3052).groupBy("k", "w").count().collect()
+    assert {(r.k, r.w, r["count"]) for r in got} == {(7, "a", 3000), (None, None, 50), (1, "b", 1), (2, None, 1)}
+
+
+def test_verification_in_tiles_equals_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    monkeypatch.setattr(ngram_join, "TILE", 7)
+    want = [len(np.intersect1d(sets[x], sets[y])) for x, y in zip(a, b)]
+    assert ngram_join._common(sets, a, b).tolist() == want
+
+
+def test_keep_one_of_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (1, base + " tail"), (2, base), (None, base + " x"), (None, "  "), (None, None), (3, "another text of no kin at all here"), (3, "another text of no kin at all here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_links", F.lit(1)).withColumn("component", F.lit("c"))
+    got = sorted([(r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()], key=str)
+    assert len([x for x in got if x[1] and x[1].startswith("w0")]) == 1 and len([x for x in got if x[0] == 3]) == 1
+    assert len(got) == 4
