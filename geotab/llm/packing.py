@@ -38,10 +38,10 @@ TIERS = (2048, 1024, 512, 256)
 SHARD = 2048
 STEP = 64
 END = 1
-#: Words cached at most in a worker, whatever the number of tasks it runs (some 200 bytes a word).
-CACHE = 400_000
+#: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
+CACHE = 300_000
 #: Bytes of text, or else a single document, that are tokenised at once.
-TEXTS = 1 << 22
+TEXTS = 1 << 21
 
 # Fixed value: how the word tokenizer splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -62,13 +62,13 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.bpe = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(path)
+        self.bpe = Tokenizer(self.tok.model)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.by_word = self._splits(json.loads(self.tok.to_str()))
-        self.bpe.normalizer = None
         self.bpe.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.clear()
@@ -219,6 +219,8 @@ def _route(batches, path: str, top: int, shards: int):
             yield _some(doc_id=doc.take(pa.array(of)), start=(full * top)[of], length=rest[of], doc_tokens=total[of], shard=where, ids=held)
             row += len(doc)
             at = to
+    tokens.cache_clear()
+    del tok
     give_back()
 
 
