@@ -17,6 +17,8 @@ are `und`; repeated rows and very long texts are judged row by row, over the who
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -170,9 +172,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("lang_pred string, score double")
-    def judge(text: pa.Array) -> pa.Array:
-        names, scores = model.judge(text)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(kind))
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            names, scores = model.judge(text)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], fields=list(kind))
+        give_back()
 
     found = docs.withColumn("_lang", judge(F.col("text").cast("string")))
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("lang_score", F.col("_lang.score")).drop("_lang")

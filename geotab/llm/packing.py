@@ -39,7 +39,7 @@ SHARD = 2048
 STEP = 64
 END = 1
 #: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text, or else a single document, that are tokenised at once.
 TEXTS = 1 << 21
 

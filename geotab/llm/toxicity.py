@@ -22,6 +22,8 @@ whole; conflicting labels of one id count as toxic.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ ROUNDS = 2
 TOLD = 4
 LONGEST = 64
 #: Words whose values a task keeps at most.
-CACHE = 300_000
+CACHE = 200_000
 
 _DIM = 1 << 20
 _EDGE = 31
@@ -266,8 +268,11 @@ def _highest(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(docs)
 
     @F.arrow_udf("double")
-    def value(text: pa.Array) -> pa.Array:
-        return pa.array([model.highest(t.as_py()) for t in text], pa.float64())
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            yield pa.array([model.highest(t.as_py()) for t in text], pa.float64())
+        model._clear()
+        give_back()
 
     return docs.withColumn("_value", value(F.col("text").cast("string")))
 
