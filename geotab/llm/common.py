@@ -40,7 +40,7 @@ def bounded_batches(df: DataFrame) -> None:
     """Arrow batches of few megabytes in df's session, whatever the length of its texts."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def give_back() -> None:

@@ -33,7 +33,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2
 BUCKET = 512
-FILLS = 4
+FILLS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -39,9 +39,9 @@ SHARD = 2048
 STEP = 64
 END = 1
 #: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
-CACHE = 200_000
+CACHE = 100_000
 #: Bytes of text, or else a single document, that are tokenised at once.
-TEXTS = 1 << 21
+TEXTS = 1 << 19
 
 # Fixed value: how the word tokenizer splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
