@@ -39,9 +39,9 @@ SHARD = 2048
 STEP = 64
 END = 1
 #: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
-CACHE = 100_000
+CACHE = 300_000
 #: Bytes of text, or else a single document, that are tokenised at once.
-TEXTS = 1 << 19
+TEXTS = 1 << 21
 
 # Fixed value: how the word tokenizer splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -219,8 +219,7 @@ def _route(batches, path: str, top: int, shards: int):
             yield _some(doc_id=doc.take(pa.array(of)), start=(full * top)[of], length=rest[of], doc_tokens=total[of], shard=where, ids=held)
             row += len(doc)
             at = to
-    tokens.cache_clear()
-    del tok
+    tok.clear()
     give_back()
 
 
