@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -190,6 +191,7 @@ def _crc(ids: np.ndarray) -> int:
 
 def _route(batches, path: str, top: int, shards: int):
     """Full windows as finished pieces, the rest of each document with its shard and ids."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the threads of a pool would each hold memory
     tok, task, made, row = tokens(path), TaskContext.get().partitionId(), 0, 0
     for batch in batches:
         docs, texts = batch.column("doc_id"), batch.column("text")
