@@ -22,6 +22,7 @@ other copies; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -109,6 +110,18 @@ def _sets(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x, pa.binary()) for x in out], names=["cls", "sig", "shingles"])
 
 
+def _task_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield _features(texts)
+    give_back()
+
+
+def _task_sets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for texts, wanted in batches:
+        yield _sets(texts, wanted)
+    give_back()
+
+
 def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: list[int]) -> np.ndarray:
     """Which pairs (a[i], b[i]) are not dropped by the incremental comparison."""
     left = np.arange(len(a))
@@ -262,7 +275,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     bounded_batches(docs)
     docs = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rep = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
-    rows = cut(docs.withColumn("_f", F.arrow_udf(_features, "cls binary, sig binary")("text")).select("doc_id", rep.alias("rep"), F.xxhash64("text").alias("hash"), "_f.cls", "_f.sig"), "minhash")
+    rows = cut(docs.withColumn("_f", F.arrow_udf(_task_features, "cls binary, sig binary")("text")).select("doc_id", rep.alias("rep"), F.xxhash64("text").alias("hash"), "_f.cls", "_f.sig"), "minhash")
     classes = rows.where("cls is not null").groupBy("cls").agg(
         F.min("rep").alias("rep"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")
     )
@@ -280,7 +293,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     wanted = group.join(sizes, "component").join(classes.select("cls", "rep", "n"), "cls")
     wanted = wanted.select(F.col("cls").alias("want"), F.col("component").alias("grp"), "members", "n", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
     texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
-    sets = texts.join(wanted, ["id", "h"]).withColumn("_f", F.arrow_udf(_sets, "cls binary, sig binary, shingles binary")("text", "want"))
+    sets = texts.join(wanted, ["id", "h"]).withColumn("_f", F.arrow_udf(_task_sets, "cls binary, sig binary, shingles binary")("text", "want"))
     sets = sets.select("grp", "members", "n", "_f.cls", "_f.sig", "_f.shingles").where("cls is not null")
     sets = spread(sets, "members", "cls").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "cls")
     checked = cut(
