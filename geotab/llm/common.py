@@ -66,6 +66,16 @@ def own(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+#: Table of crc32 by its rule, in DuckDB SQL, for SQL twins; x runs over 0 to 255.
+CRC_TABLE = "list(list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY x)"
+
+
+def crc_of(text: str) -> str:
+    """crc32 of an ASCII text in DuckDB, with the table in the column tbl."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, z: xor(c // 256, tbl[xor(c % 256, z) + 1])), 4294967295::BIGINT)"
+
+
 # ---------------------------------------------------------------- words
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -103,6 +113,20 @@ class _Tables:
             cls.up, cls.down = _powers(_P, n + 1), _powers(pow(_P, -1, 1 << 64), n + 1)
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every run of bytes outside [\\x20\\x09-\\x0D]."""
+    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def spaced(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes with a space after each, so that words of neighbours stay apart, and their new offsets."""
+    n = len(off) - 1
+    out = np.full(len(data) + n, 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(off))] = data
+    return out, off + np.arange(n + 1)
+
+
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start byte and 64-bit hash of every run of bytes outside [\\x20\\x09-\\x0D]."""
     if not len(data):
