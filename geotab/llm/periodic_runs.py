@@ -193,14 +193,12 @@ def planted(doc_id: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     w = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
 
-    def repeat(words: Column) -> Column:
-        n = F.size(words)
-        a = (g % n).cast("int")
-        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
-        return F.concat_ws(" ", F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, a + (i - a) % p))))
-
-    # the array is bound to a variable, so that it is made once, not for each word
-    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.transform(F.array(w), repeat)[0]).otherwise(text)
+    n = F.size(w)
+    a = F.try_mod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), 1, n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(w, 1, a), tail), " ")).otherwise(text)
 
 
 def digests(found: DataFrame) -> DataFrame:
