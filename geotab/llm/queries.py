@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html_main, langid, mixing, near_vectors, ngram_join, packing, periodic_runs, permutation_index, quality, toxicity, url_filter
+from . import common, conversation_repair, html_main, langid, mixing, near_vectors, ngram_join, packing, periodic_runs, permutation_index, quality, toxicity, url_filter
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +64,10 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages.select("page_id", "url", "html"), html_main.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return periodic_runs.digests(periodic_runs.detect(docs.select("doc_id", periodic_runs.planted(F.col("doc_id"), F.col("text")).alias("text"))))
@@ -75,4 +79,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins, where SQL can express the result."""
-    return {"op1_ngram_join": ngram_join.ORACLE, "op2_near_vectors": near_vectors.ORACLE, "op3_url_filter": url_filter.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE, "op2_near_vectors": near_vectors.ORACLE, "op3_url_filter": url_filter.ORACLE,
+        "op12_conversation_repair": conversation_repair.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE,
+    }
