@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, conversation_repair, html_main, langid, mixing, near_vectors, ngram_join, packing, periodic_runs, permutation_index, quality, toxicity, url_filter
+from . import common, conversation_repair, html_main, langid, lm_score, mixing, near_vectors, ngram_join, packing, periodic_runs, permutation_index, quality, toxicity, url_filter
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -64,6 +64,11 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages.select("page_id", "url", "html"), html_main.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(_table(spark, sf_dir, "documents"), ~common.held_out("doc_id", 5, 1))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), *scored.columns[2:])
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
 
