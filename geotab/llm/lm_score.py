@@ -313,6 +313,7 @@ class Automaton:
         prob = [p]
         self.fail, self.fall = [np.zeros(1, np.int64)], [np.zeros(1)]
         state_of, states = [], 1  # the state of each n-gram, -1 for none
+        end = np.searchsorted(g.keys[0], g.words[0])  # nothing follows it
         arcs = []
         for level, total in enumerate(g.total):
             f = first[level]
@@ -325,7 +326,7 @@ class Automaton:
                 arcs.append((state_of[level - 1][context][arc], self.word[f[arc]], np.log10(prob[-1][arc]), level, np.flatnonzero(arc)))
             here = np.full(len(total), -1)
             if level < len(g.total) - 1:
-                is_state = total >= (LEAST_CONTEXT if level else 1)
+                is_state = (total >= (LEAST_CONTEXT if level else 1)) & (self.word[f] != end)
                 here[is_state] = states + np.arange(is_state.sum())
                 states += int(is_state.sum())
                 down = state_of[level - 1][g.at[level - 1][f]] if level else np.zeros(len(total), np.int64)
