@@ -162,86 +162,141 @@ def rotate_lines(lines: DataFrame, angle: float) -> DataFrame:
     return lines.join(c, "uid").withColumns(turned).drop("_cx", "_cy")
 
 
-def segment_intersections(lines: DataFrame, cell: float, eps: float = 1e-8) -> DataFrame:
-    """Points in which two different lines cross in XY, each once: a < b, x, y.
-
-    Segments meet in the cells of a grid that their boxes cover, so long ones are filed under several.
+def _filed(s: DataFrame, cell: float, eps: float) -> DataFrame:
+    """Segments with each cell (cx, cy) of a grid that they pass, column by column; a slanting one has as many as its length needs, not its box."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    pad = 2 * eps * F.sqrt(dx * dx + dy * dy) + 1e-9 * cell
+    s = s.withColumn("_pad", pad)
+    span = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
+    s = s.withColumn("cx", F.explode(span(F.least("x1", "x2") - F.col("_pad"), F.greatest("x1", "x2") + F.col("_pad"))))
+    # where the segment enters and leaves the column
+    t = [F.try_divide(F.greatest(F.least(edge, F.greatest("x1", "x2")), F.least("x1", "x2")) - F.col("x1"), dx) for edge in (F.col("cx") * cell - F.col("_pad"), (F.col("cx") + 1) * cell + F.col("_pad"))]
+    y = [F.col("y1") + k * dy for k in t]
+    upright = F.abs(dx) <= F.col("_pad")
+    low, high = (F.when(upright, f("y1", "y2")).otherwise(f(*y)) for f in (F.least, F.greatest))
+    return s.withColumn("cy", F.explode(span(low - F.col("_pad"), high + F.col("_pad")))).drop("_pad")
+
+
+def crossings(a: DataFrame, b: DataFrame, cell: float, eps: float = 1e-8, once: bool = False) -> DataFrame:
+    """Where segments of a and b (uid, cell_id, x1, y1, x2, y2) of different lines cross in XY: a, a_cell, t, b, b_cell, u, x, y.
+
+    t and u run from 0 to 1 along the segments, eps beyond. Segments meet in the cells they pass, and the cell that holds the crossing tells it, so
+    each pair of segments is told once. Parallel segments have no crossing. once: only pairs of lines with a < b.
     """
-    s = segments(lines).select("uid", "cell_id", "x1", "y1", "x2", "y2")
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell).cast("long"), F.floor(F.greatest(a, b) / cell).cast("long"))
-    f = s.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
-    a = f.select("cx", "cy", *[F.col(c).alias("a_" + c) for c in s.columns])
-    b = f.select("cx", "cy", *[F.col(c).alias("b_" + c) for c in s.columns])
-    p = a.join(b, ["cx", "cy"]).where("a_uid < b_uid")
+    f = [_filed(s.select("uid", "cell_id", "x1", "y1", "x2", "y2"), cell, eps) for s in (a, b)]
+    f = [s.select("cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("uid", "cell_id", "x1", "y1", "x2", "y2")]) for n, s in zip("ab", f)]
+    p = f[0].join(f[1], ["cx", "cy"]).where("a_uid < b_uid" if once else "a_uid <> b_uid")
     rx, ry = F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")
     qx, qy = F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
     wx, wy = F.col("b_x1") - F.col("a_x1"), F.col("b_y1") - F.col("a_y1")
     det = rx * qy - ry * qx
     p = p.withColumns({"t": F.try_divide(wx * qy - wy * qx, det), "u": F.try_divide(wx * ry - wy * rx, det), "_det": det})
     p = p.where((F.abs("_det") > 1e-12) & F.col("t").between(-eps, 1 + eps) & F.col("u").between(-eps, 1 + eps))
-    p = p.select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"), F.round(F.col("a_x1") + F.col("t") * rx, 6).alias("x"), F.round(F.col("a_y1") + F.col("t") * ry, 6).alias("y"))
-    return p.distinct()
+    p = p.withColumns({"x": F.col("a_x1") + F.col("t") * rx, "y": F.col("a_y1") + F.col("t") * ry})
+    p = p.where((F.floor(F.col("x") / cell) == F.col("cx")) & (F.floor(F.col("y") / cell) == F.col("cy")))
+    return p.select(F.col("a_uid").alias("a"), F.col("a_cell_id").alias("a_cell"), "t", F.col("b_uid").alias("b"), F.col("b_cell_id").alias("b_cell"), "u", "x", "y")
+
+
+def segment_intersections(lines: DataFrame, cell: float, eps: float = 1e-8) -> DataFrame:
+    """Points in which two different lines cross in XY, each once: a < b, x, y."""
+    s = segments(lines)
+    return crossings(s, s, cell, eps, once=True).select("a", "b", *[F.round(c, 6).alias(c) for c in "xy"]).distinct()
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Vertices with their place along the line, counted from 0, and the last place."""
+    return lines.withColumns({"at": (F.row_number().over(_w("uid")) - 1).cast("double"), "_last": (F.count(F.lit(1)).over(Window.partitionBy("uid")) - 1).cast("double")})
+
+
+def _place(cell: str, t: str) -> Column:
+    """Place of a crossing along its line, to nine decimals."""
+    return F.round(F.col(cell) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(t))), 9)
+
 
+def _on(places: DataFrame, s: DataFrame) -> DataFrame:
+    """z of places (uid, _cell, _t) on segments s, between the ends of the segment."""
+    z = s.select("uid", F.col("cell_id").alias("_cell"), "z1", "z2")
+    return places.join(z, ["uid", "_cell"]).withColumn("z", F.col("z1") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_t"))) * (F.col("z2") - F.col("z1"))).drop("z1", "z2")
 
-def split_lines(paper: DataFrame, scissors: DataFrame, cell: float) -> DataFrame:
-    """Lines cut where others cross them: vertices and crossings along each, with the number of its part.
 
-    The end segments of the scissors are first prolonged a little, so that touching ends cut as well.
+def _end_rays(s: DataFrame, length: Column) -> DataFrame:
+    """Rays from both ends of lines, along their end segments: uid, cell_id (0 first end, 1 last end), x1 ... y2; length by _s, that of the segment."""
+    end = F.lead("cell_id").over(Window.partitionBy("uid").orderBy("cell_id")).isNull()
+    e = s.withColumn("_ends", F.filter(F.array(F.when(F.col("cell_id") == 0, F.lit(0)), F.when(end, F.lit(1))), lambda k: k.isNotNull()))
+    e = e.withColumn("_e", F.explode("_ends")).withColumn("_s", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)).where("_s > 0")
+    start = {c: F.when(F.col("_e") == 1, F.col(c + "2")).otherwise(F.col(c + "1")) for c in "xy"}
+    way = {c: F.when(F.col("_e") == 1, F.col(c + "2") - F.col(c + "1")).otherwise(F.col(c + "1") - F.col(c + "2")) / F.col("_s") for c in "xy"}
+    return e.select("uid", F.col("_e").cast("long").alias("cell_id"), *[v.alias(c + "1") for c, v in start.items()], *[(start[c] + way[c] * length).alias(c + "2") for c in "xy"])
+
+
+def split_lines(paper: DataFrame, scissors: DataFrame, cell: float, factor: float = 100.0) -> DataFrame:
+    """Lines cut where others cross them: vertices and cuts along each by place, with the number of its part.
+
+    Scissors that don't meet a line cut it where their end segments, prolonged to factor times their length, do, so joints that end
+    short of a line count. Uids of paper and scissors share one namespace; a line isn't cut by itself. Both parts hold the cut.
     """
-    long_scissors = _prolonged(scissors, 1e-6)
-    both = paper.select(F.concat(F.lit("p"), F.col("uid").cast("string")).alias("uid"), "seq", *XYZ).union(
-        long_scissors.select(F.concat(F.lit("s"), F.col("uid").cast("string")).alias("uid"), "seq", *XYZ)
-    )
-    x = segment_intersections(both, cell).where("a like 'p%' and b like 's%'").select(F.expr("substring(a, 2)").alias("_u"), "x", "y").distinct()
-    s = segments(measured_depth(paper)).select("uid", "p0", *[c + k for c in XYZ for k in "12"])
-    on = s.join(x.withColumnsRenamed({"x": "ix", "y": "iy"}), F.col("uid").cast("string") == F.col("_u"))
-    lx, ly = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    l2 = lx * lx + ly * ly
-    t = F.try_divide((F.col("ix") - F.col("x1")) * lx + (F.col("iy") - F.col("y1")) * ly, l2)
-    off = F.abs((F.col("ix") - F.col("x1")) * ly - (F.col("iy") - F.col("y1")) * lx) / F.sqrt(l2)
-    on = on.withColumn("t", t).where((l2 > 0) & (off < 1e-5) & F.col("t").between(0, 1))
-    cuts = on.select("uid", (F.col("p0") + F.col("t")).alias("at"), F.col("ix").alias("x"), F.col("iy").alias("y"), (F.col("z1") + F.col("t") * (F.col("z2") - F.col("z1"))).alias("z"))
-    cuts = cuts.groupBy("uid", F.round("at", 6).alias("at")).agg(*[F.min(c).alias(c) for c in XYZ]).withColumn("cut", F.lit(1))
-    ends = paper.groupBy("uid").agg(F.min("seq").alias("_a"), F.max("seq").alias("_b"))
-    cuts = cuts.join(ends, "uid").where("at > _a + 1e-6 and at < _b - 1e-6").drop("_a", "_b")
-    v = paper.select("uid", F.col("seq").cast("double").alias("at"), *XYZ, F.lit(0).alias("cut")).join(cuts.select("uid", "at"), ["uid", "at"], "left_anti")
+    s, by = segments(paper), segments(scissors)
+    met = crossings(s, by, cell)
+    rays = crossings(s, _end_rays(by, (factor - 1) * F.col("_s")), cell)
+    far = rays.join(met.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    cuts = met.select("a", "a_cell", "t", "x", "y").union(far.select("a", "a_cell", "t", "x", "y"))
+    cuts = cuts.withColumn("at", _place("a_cell", "t")).groupBy(F.col("a").alias("uid"), "at").agg(F.min(F.struct(F.col("a_cell").alias("_cell"), F.col("t").alias("_t"), "x", "y")).alias("_c"))
+    cuts = _on(cuts.select("uid", "at", "_c.*"), s)
+    v = _placed(paper)
+    ends = v.where("at = 0").select("uid", "_last")
+    cuts = cuts.join(ends, "uid").where("at > 1e-9 and at < _last - 1e-9").select("uid", "at", *XYZ, F.lit(1).alias("cut"))
+    v = v.select("uid", "at", *XYZ, F.lit(0).alias("cut")).join(cuts.select("uid", "at"), ["uid", "at"], "left_anti")
     w = Window.partitionBy("uid").orderBy("at")
-    p = v.unionByName(cuts.select("uid", "at", *XYZ, "cut")).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = v.unionByName(cuts).withColumn("part", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both_parts = F.when(F.col("cut") == 1, F.array(F.col("part") - 1, F.col("part"))).otherwise(F.array("part"))
     return p.withColumn("part", F.explode(both_parts)).select("uid", "part", "at", *XYZ, "cut")
 
 
-def _prolonged(lines: DataFrame, share: float) -> DataFrame:
-    """Lines whose end vertices are moved outwards by a share of their end segments."""
-    w = _w("uid")
-    first, last = F.lag("seq").over(w).isNull(), F.lead("seq").over(w).isNull()
-    moved = {c: F.when(first, F.col(c) - share * (F.lead(c).over(w) - F.col(c))).when(last, F.col(c) + share * (F.col(c) - F.lag(c).over(w))).otherwise(F.col(c)) for c in XYZ}
-    return lines.select("uid", "seq", *[F.coalesce(v, F.col(c)).alias(c) for c, v in moved.items()])
-
+def snap_lines(lines: DataFrame, tol: float, cell: float, eps: float = 1e-8) -> DataFrame:
+    """Lines joined where their ends nearly meet: uid, seq, at (order along the line), x, y, z and snapped (vertices that are new or moved).
 
-def snap_lines(lines: DataFrame, tol: float, cell: float) -> DataFrame:
-    """Ends of lines moved to where they meet another line: overshoots up to tol are trimmed, gaps up to tol closed.
+    Vertices keep their numbers; new nodes have numbers behind the line's last.
 
-    Both come from the input state: an end moves to the crossing of its own end segment, prolonged
-    by tol, with another line, if that crossing is within tol of the end; the nearest one counts.
+    All from the input state, so that no order of lines matters: (1) a line is trimmed at its crossings within tol of an end, up to
+    the one farthest along; both lines get a node at each crossing that is within tol of an end of either. (2) An end that no crossing is within
+    tol of goes on along its segment to the nearest line within tol, which gets a node there. A line that would be trimmed away stays.
     """
-    w = _w("uid")
-    first, last = F.lag("seq").over(w).isNull(), F.lead("seq").over(w).isNull()
-    d = {c: F.when(first, F.col(c) - F.lead(c).over(w)).when(last, F.col(c) - F.lag(c).over(w)) for c in "xy"}
-    e = lines.withColumns({"_end": F.when(first, 0).when(last, 1), "_dx": d["x"], "_dy": d["y"]}).where("_end is not null")
-    size = F.sqrt(F.col("_dx") ** 2 + F.col("_dy") ** 2)
-    e = e.withColumn("_s", size).where("_s > 0")
-    ray = [F.struct(F.lit(k).cast("long").alias("seq"), *[(F.col(c) + s * F.col("_d" + c) / F.col("_s")).alias(c) for c in "xy"], F.col("z").alias("z")) for k, s in ((0, -F.least(F.lit(tol), F.col("_s"))), (1, F.lit(tol)))]
-    rays = e.select(F.concat(F.lit("r"), F.col("uid").cast("string"), F.lit("|"), F.col("_end").cast("string")).alias("uid"), F.explode(F.array(*ray)).alias("p")).select("uid", "p.*")
-    base = lines.select(F.concat(F.lit("l"), F.col("uid").cast("string")).alias("uid"), "seq", *XYZ)
-    x = segment_intersections(base.union(rays.select("uid", "seq", *XYZ)), cell).where("a like 'l%' and b like 'r%'")
-    x = x.select(F.expr("substring(a, 2)").alias("_target"), F.split(F.expr("substring(b, 2)"), r"\|").alias("_b"), "x", "y").select("_target", F.col("_b")[0].alias("_u"), F.col("_b")[1].cast("int").alias("_e"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    x = x.where("_target <> _u")
-    hit = e.join(x, (F.col("uid").cast("string") == F.col("_u")) & (F.col("_end") == F.col("_e")))
-    dist = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
-    best = hit.groupBy("uid", "seq").agg(F.min(F.struct(dist.alias("d"), "sx", "sy")).alias("m")).where(F.col("m.d") <= tol + 1e-9)
-    out = lines.join(best, ["uid", "seq"], "left")
-    return out.withColumns({"x": F.coalesce("m.sx", "x"), "y": F.coalesce("m.sy", "y"), "snapped": F.col("m").isNotNull()}).drop("m")
+    s = segments(lines)
+    v = _placed(lines)
+    ends = v.groupBy("uid").agg(*[F.min_by(c, "at").alias(f"_{c}0") for c in "xy"], *[F.max_by(c, "at").alias(f"_{c}1") for c in "xy"])
+    hit = crossings(s, s, cell, eps)
+    far = lambda k: F.sqrt((F.col("x") - F.col(f"_x{k}")) ** 2 + (F.col("y") - F.col(f"_y{k}")) ** 2)
+    hit = hit.withColumnRenamed("a", "uid").join(ends, "uid").withColumns({"_d0": far(0), "_d1": far(1)}).drop("_x0", "_y0", "_x1", "_y1")
+    hit = hit.withColumns({"_near": F.least("_d0", "_d1") <= tol + eps, "at": _place("a_cell", "t"), "_b_at": _place("b_cell", "u")})
+    low, high = F.col("_near") & (F.col("_d0") <= F.col("_d1")), F.col("_near") & (F.col("_d0") > F.col("_d1"))
+    trim = hit.groupBy("uid").agg(F.max(F.when(low, F.col("at"))).alias("_low"), F.min(F.when(high, F.col("at"))).alias("_high"))
+    trim = trim.withColumn("_gone", F.coalesce(F.col("_low") >= F.col("_high"), F.lit(False)))
+    near = hit.where("_near")
+    mine = near.select("uid", "at", F.col("a_cell").alias("_cell"), F.col("t").alias("_t"), "x", "y")
+    others = near.select(F.col("b").alias("uid"), F.col("_b_at").alias("at"), F.col("b_cell").alias("_cell"), F.col("u").alias("_t"), "x", "y")
+
+    ray = crossings(_end_rays(s, F.lit(float(tol))), s, cell, eps).withColumnsRenamed({"a": "uid", "a_cell": "_e"})
+    joined = trim.select("uid", F.explode(F.array(F.when(F.col("_low").isNotNull(), F.lit(0)), F.when(F.col("_high").isNotNull(), F.lit(1)))).alias("_e")).where("_e is not null")
+    ray = ray.where(F.col("t") * tol > eps).join(joined, ["uid", "_e"], "left_anti")
+    first = ray.groupBy("uid", "_e").agg(F.min(F.struct(F.round("t", 9).alias("t"), "b", "b_cell", "u", "x", "y")).alias("_m")).select("uid", "_e", "_m.*")
+    nodes = mine.union(others).union(first.select(F.col("b").alias("uid"), _place("b_cell", "u"), "b_cell", "u", "x", "y"))
+    nodes = _on(nodes.groupBy("uid", "at").agg(F.min(F.struct("_cell", "_t", "x", "y")).alias("_n")).select("uid", "at", "_n.*"), s)
+
+    moved = first.groupBy("uid").agg(*[F.max(F.when(F.col("_e") == k, F.struct("x", "y"))).alias(f"_m{k}") for k in (0, 1)])
+    keep = trim.select("uid", *[F.when(~F.col("_gone"), F.col(c)).alias(c) for c in ("_low", "_high")])
+    inside = F.col("at").between(F.coalesce("_low", F.col("at")), F.coalesce("_high", F.col("at")))
+    v = v.join(keep, "uid", "left").join(moved, "uid", "left")
+    to = F.when(F.col("at") == 0, F.col("_m0")).when(F.col("at") == F.col("_last"), F.col("_m1"))
+    old = v.where(inside).select("uid", "seq", "at", F.coalesce(to["x"], "x").alias("x"), F.coalesce(to["y"], "y").alias("y"), "z", to.isNotNull().alias("snapped"))
+    # a new end takes the number of the vertex next to it that goes
+    numbers = v.select("uid", F.col("seq").alias("_seq"), F.col("at").alias("_at"), "_low", "_high")
+    nodes = nodes.join(keep, "uid", "left").where(inside).join(v.select("uid", "at"), ["uid", "at"], "left_anti")
+    at_end = F.when(F.col("at") == F.col("_low"), F.floor("at")).when(F.col("at") == F.col("_high"), F.ceil("at")).cast("double")
+    nodes = nodes.withColumn("_at", at_end).join(numbers.select("uid", "_at", "_seq"), ["uid", "_at"], "left")
+    top = lines.groupBy("uid").agg(F.max("seq").alias("_top"))
+    nth = F.count(F.when(F.col("_seq").isNull(), 1)).over(Window.partitionBy("uid").orderBy("at"))
+    nodes = nodes.join(top, "uid").withColumn("seq", F.coalesce("_seq", F.col("_top") + nth))
+    return old.union(nodes.select("uid", "seq", "at", *XYZ, F.lit(True)))
 
 
 def extrude_lines(lines: DataFrame, trend: float, plunge: float, top: float, bottom: float) -> DataFrame:
@@ -316,17 +371,6 @@ def _turned(x: Column, y: Column, a: Column):
     return x * F.cos(a) - y * F.sin(a), x * F.sin(a) + y * F.cos(a)
 
 
-def self_crossing(lines: DataFrame, cell: float) -> DataFrame:
-    """Lines that cross themselves other than at neighbouring segments."""
-    s = segments(lines)
-    own = s.select(F.concat_ws("|", F.col("uid").cast("string"), F.lpad(F.col("cell_id").cast("string"), 9, "0")).alias("key"), *[c for c in s.columns if c != "uid"])
-    ends = [F.struct(F.lit(k).cast("long").alias("seq"), *[F.col(c + e).alias(c) for c in XYZ]) for k, e in ((0, "1"), (1, "2"))]
-    x = segment_intersections(own.select(F.col("key").alias("uid"), F.explode(F.array(*ends)).alias("p")).select("uid", "p.*"), cell, 0.0)
-    part = lambda c, i: F.split(c, r"\|")[i]
-    x = x.where((part(F.col("a"), 0) == part(F.col("b"), 0)) & (F.abs(part(F.col("a"), 1).cast("long") - part(F.col("b"), 1).cast("long")) > 1))
-    return x.select(part(F.col("a"), 0).alias("uid")).distinct()
-
-
 def merge_lines(lines: DataFrame, uids: list, new_uid: str) -> DataFrame:
     """Lines of these uids joined end to end in this order; each is turned to the end that is nearer.
 

@@ -189,65 +189,118 @@ def clip(points: DataFrame, triangles: DataFrame, scalar: str) -> DataFrame:
     return out.select("uid", "cell_id", "piece", "_p.side", F.posexplode("_p.corners").alias("corner", "_q")).select("uid", "cell_id", "piece", "side", "corner", *[F.col(f"_q.{c}") for c in XYZ])
 
 
-def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Signed distance of points to triangles (row by row): sign of the side of the triangle's plane."""
-    ab, ac, n = b - a, c - a, np.cross(b - a, c - a)
-    dots = lambda u, v: (u * v).sum(1)
+_EDGE_ENDS = ("01", "12", "20")
+FACE, EDGES, VERTICES = 0, (1, 2, 3), (4, 5, 6)  # parts of a triangle: its face, edges 01, 12, 20, corners 0, 1, 2
+
 
-    def to_edge(u, v):
+def closest_feature(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of points to triangles (row by row), and the part of the triangle that is nearest."""
+    dots = lambda u, v: (u * v).sum(1)
+    best, part = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
+    for k, (u, v) in enumerate(((a, b), (b, c), (c, a))):
         d = v - u
-        t = np.clip(dots(p - u, d) / np.maximum(dots(d, d), 1e-300), 0, 1)
-        return np.linalg.norm(p - u - t[:, None] * d, axis=1)
+        t = dots(p - u, d) / np.maximum(dots(d, d), 1e-300)
+        off = np.linalg.norm(p - u - np.clip(t, 0, 1)[:, None] * d, axis=1)
+        here = np.where(t <= 0, VERTICES[k], np.where(t >= 1, VERTICES[(k + 1) % 3], EDGES[k]))
+        part, best = np.where(off < best, here, part), np.minimum(off, best)
+    n = np.cross(b - a, c - a)
+    size, q = np.maximum(dots(n, n), 1e-300), p - a
+    v, w = dots(np.cross(q, c - a), n) / size, dots(np.cross(b - a, q), n) / size
+    inside = (v > 0) & (w > 0) & (v + w < 1) & (dots(n, n) > 0)
+    return np.where(inside, np.abs(dots(q, n)) / np.sqrt(size), best), np.where(inside, FACE, part)
 
-    near = np.minimum(np.minimum(to_edge(a, b), to_edge(b, c)), to_edge(c, a))
-    size = np.maximum(dots(n, n), 1e-300)
-    q = p - a
-    v, w = dots(np.cross(q, ac), n) / size, dots(np.cross(ab, q), n) / size
-    height = dots(q, n) / np.sqrt(size)
-    near = np.where((v >= 0) & (w >= 0) & (v + w <= 1), np.abs(height), near)
-    return np.where(height < 0, -near, near)
 
+def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distance of points to triangles (row by row), signed by the side of the triangle's own plane."""
+    near, _ = closest_feature(p, a, b, c)
+    return np.where(((p - a) * np.cross(b - a, c - a)).sum(1) < 0, -near, near)
 
-def signed_distance(points: DataFrame, ref_points: DataFrame, ref_triangles: DataFrame, cell: float, reach: int = 1) -> DataFrame:
-    """Distance of points to the nearest triangle within reach cells, signed by its side; null beyond."""
+
+def pseudo_normals(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """A place on each part of each triangle and the part's normal: uid, cell_id, part, x, y, z, nx, ny, nz.
+
+    An edge has the sum of the unit normals of its triangles, a vertex their sum weighted by the angles there. With these the side
+    of a point is that of the normal of its nearest part, whichever triangle of that part is looked at. Triangles without area add nothing.
+    """
+    n = triangle_normals(points, triangles).select("uid", "cell_id", *[F.coalesce("n" + c, F.lit(0.0)).alias("n" + c) for c in XYZ])
+    t = corners(points, triangles).join(n, ["uid", "cell_id"])
+    normal = ["n" + c for c in XYZ]
+    at = lambda k: [F.col(c + k).alias(c) for c in XYZ]
+    face = t.select("uid", "cell_id", F.lit(FACE).alias("part"), *at("0"), *normal)
+
+    ends = [F.struct(F.lit(EDGES[k]).alias("part"), F.least("p" + u, "p" + v).alias("a"), F.greatest("p" + u, "p" + v).alias("b"), *at(u)) for k, (u, v) in enumerate(_EDGE_ENDS)]
+    edge = t.select("uid", "cell_id", *normal, F.explode(F.array(*ends)).alias("_e")).select("uid", "cell_id", *normal, "_e.*")
+    sums = edge.groupBy("uid", "a", "b").agg(*[F.sum(c).alias(c) for c in normal])
+    edge = edge.drop(*normal).join(sums, ["uid", "a", "b"]).select("uid", "cell_id", "part", *XYZ, *normal)
+
+    def angle(k: str, u: str, v: str):
+        e, f = (tuple(F.col(c + m) - F.col(c + k) for c in XYZ) for m in (u, v))
+        return F.atan2(O.norm(O.cross(e, f)), O.dot(e, f))
+
+    spots = [F.struct(F.lit(VERTICES[k]).alias("part"), F.col(f"p{k}").alias("point_id"), angle(*w).alias("angle"), *at(str(k))) for k, w in enumerate(("012", "120", "201"))]
+    spot = t.select("uid", "cell_id", *normal, F.explode(F.array(*spots)).alias("_v")).select("uid", "cell_id", *normal, "_v.*")
+    sums = spot.groupBy("uid", "point_id").agg(*[F.sum(F.col(c) * F.col("angle")).alias(c) for c in normal])
+    spot = spot.drop(*normal).join(sums, ["uid", "point_id"]).select("uid", "cell_id", "part", *XYZ, *normal)
+    return face.union(edge).union(spot)
+
+
+def _nearest(points: DataFrame, t: DataFrame, cell: float, reach: int) -> DataFrame:
+    """Nearest triangle of t and its part for points that have one within reach cells; points of a column ref look at the surface ref only."""
     from .points import _cells
 
-    t = corners(ref_points, ref_triangles)
     span = lambda c: F.sequence(F.floor(F.least(*[c + k for k in "012"]) / cell).cast("long") - reach, F.floor(F.greatest(*[c + k for k in "012"]) / cell).cast("long") + reach)
     for c in XYZ:
         t = t.withColumn("_c" + c, F.explode(span(c)))
-    near = _cells(points, cell).join(t.drop("uid", "cell_id", "p0", "p1", "p2"), ["_cx", "_cy", "_cz"])
+    # of the cells around its box, a slanting triangle keeps those near its plane: a point is within sqrt(3)/2 of the middle of its cell
+    n = _normal()
+    off = F.abs(sum(((F.col("_c" + c) + 0.5) * cell - F.col(c + "0")) * v for c, v in zip(XYZ, n)))
+    t = t.where(off <= (reach + 0.8661) * cell * O.norm(n) + 1e-9)
+    same = ["_cx", "_cy", "_cz", *(["ref"] if "ref" in points.columns else [])]
+    near = _cells(points, cell).join(t.withColumnsRenamed({"uid": "ref"}) if "ref" in same else t.drop("uid"), same)
 
-    def distance(*v: pd.Series) -> pd.Series:
+    @F.pandas_udf("d double, part long")
+    def measured(*v: pd.Series) -> pd.DataFrame:
         m = np.stack([np.asarray(s, float) for s in v], 1)
-        return pd.Series(triangle_distance(m[:, :3], m[:, 3:6], m[:, 6:9], m[:, 9:]))
+        d, part = closest_feature(m[:, :3], m[:, 3:6], m[:, 6:9], m[:, 9:])
+        return pd.DataFrame({"d": d, "part": part})
 
-    d = F.pandas_udf(distance, "double")(*map(F.col, XYZ), *[F.col(c + k) for k in "012" for c in XYZ])
-    best = near.withColumn("d", d).groupBy("uid", "point_id").agg(F.min_by("d", F.abs("d")).alias("distance"))
-    return points.join(best, ["uid", "point_id"], "left")
+    near = near.withColumn("_m", measured(*map(F.col, XYZ), *[F.col(c + k) for k in "012" for c in XYZ]))
+    return near.groupBy("uid", "point_id").agg(F.min(F.struct("_m.d", "_ref", "cell_id", "_m.part")).alias("_b")).select("uid", "point_id", "_b.*")
 
 
 def nearest_distance(points: DataFrame, ref_points: DataFrame, ref_triangles: DataFrame, cell: float) -> DataFrame:
-    """Distance of all points to the nearest triangle, signed by its side; null only for null coordinates or without triangles.
+    """Distance of all points to the nearest triangle, positive on the side to which the surface's normals point; null only for null coordinates or without triangles.
 
-    A distance within the reach of a round is the smallest; other points go on to a round with cells twice as large.
+    The side comes from the nearest face, edge or vertex and its pseudo-normal, so it holds at ridges, hollows and saddles as well. Points less than
+    1e-9 off are on the surface. Coinciding vertices of a surface are merged first. If points has a column ref, each point is measured to the surface with this uid.
+    Each round finds all distances up to the edge of its cells; other points go on to a round with cells twice as large.
     """
-    box = lambda df: df.agg(*[f(c) for c in XYZ for f in (F.min, F.max)]).first()
+    ref_points, ref_triangles = clean_topology(ref_points, ref_triangles)
+    t = settle(corners(ref_points, ref_triangles).withColumn("_ref", F.col("uid")), "corners").drop("p0", "p1", "p2")
+    box = lambda df, *names: df.agg(*[f(c) for c in names for f in (F.min, F.max)]).first()
     todo = points.where(" and ".join(f"{c} is not null and not isnan({c})" for c in XYZ))
-    a, b = box(todo), box(ref_points.join(ref_triangles.select("uid", F.explode(F.array("p0", "p1", "p2")).alias("point_id")).distinct(), ["uid", "point_id"], "left_semi"))
+    if "ref" in points.columns:
+        todo = todo.join(t.select(F.col("uid").alias("ref")).distinct(), "ref", "left_semi")
+    a, b = box(todo, *XYZ), box(t, *[c + k for c in XYZ for k in "012"])
     if a[0] is None or b[0] is None:
         return points.withColumn("distance", F.lit(None).cast("double"))
-    extent = max(max(a[i + 1], b[i + 1]) - min(a[i], b[i]) for i in (0, 2, 4))
-    done, reach = None, 2
+    extent = max(max(a[i + 1], *b[3 * i : 3 * i + 6]) - min(a[i], *b[3 * i : 3 * i + 6]) for i in (0, 2, 4))
+    done, reach = None, 1
     while True:
         last = reach * cell > 2 * extent
-        near = settle(signed_distance(todo, ref_points, ref_triangles, cell, reach), "distance")
-        found = near.where("distance is not null" if last else f"abs(distance) <= {reach * cell!r}").select("uid", "point_id", "distance")
+        near = settle(_nearest(todo, t, cell, reach), "distance")
+        found = near if last else near.where(f"d <= {reach * cell!r}")
         done = found if done is None else done.union(found)
         todo = settle(todo.join(found, ["uid", "point_id"], "left_anti"), "far")
         if last or todo.isEmpty():
-            return points.join(done, ["uid", "point_id"], "left")
+            break
         cell *= 2
+    part = pseudo_normals(ref_points, ref_triangles)
+    part = part.select(F.col("uid").alias("_ref"), "cell_id", "part", *[F.col(c).alias("_o" + c) for c in XYZ], "nx", "ny", "nz")
+    p = points.join(done, ["uid", "point_id"], "left").join(part, ["_ref", "cell_id", "part"], "left")
+    side = O.dot(tuple(F.col(c) - F.col("_o" + c) for c in XYZ), ("nx", "ny", "nz"))
+    signed = F.when(F.col("d") < 1e-9, 0.0).otherwise(F.when(side < 0, -F.col("d")).otherwise(F.col("d")))
+    return p.select(*points.columns, signed.alias("distance"))
 
 
 def split_by_surface(points: DataFrame, triangles: DataFrame, ref_points: DataFrame, ref_triangles: DataFrame, cell: float) -> DataFrame:

@@ -745,15 +745,73 @@ def _(ls):
     return lines.segment_intersections(ls, 25.0).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j12_split_lines", "fx_lines")
-def _(ls):
-    out = lines.split_lines(ls.where(F.col("uid") % 2 == 0), ls.where(F.col("uid") % 2 == 1), 25.0)
-    return out.groupBy("uid", "part").agg(F.count(F.lit(1)).alias("n"))
+_TRACE_SEG = _SEG.replace("fx_lines", "fx_traces")
+_PLACED = "SELECT uid, seq, CAST(row_number() OVER (PARTITION BY uid ORDER BY seq) - 1 AS DOUBLE) AS place, CAST(count(*) OVER (PARTITION BY uid) - 1 AS DOUBLE) AS last_, x, y, z FROM fx_traces"
+
+
+def _rays(length: str) -> str:
+    """Rays from both ends of the traces, of this length (s: that of the end segment)."""
+    ends = "SELECT uid, 0 AS cell_id, x1, y1, x1 - x2 AS wx, y1 - y2 AS wy FROM trace_ WHERE cell_id = 0 UNION ALL SELECT uid, 1, x2, y2, x2 - x1, y2 - y1 FROM trace_ QUALIFY cell_id = max(cell_id) OVER (PARTITION BY uid)"
+    return f"SELECT uid, cell_id, x1, y1, x1 + wx / s * ({length}) AS x2, y1 + wy / s * ({length}) AS y2 FROM (SELECT *, sqrt(wx * wx + wy * wy) AS s FROM ({ends}) e) f WHERE s > 0"
+
+
+def _meet(a: str, b: str, where: str) -> str:
+    """Crossings of the segments of tables a and b, by brute force."""
+    return (
+        "SELECT a, a_cell, t, b, b_cell, u, ax + t * rx AS x, ay + t * ry AS y FROM (SELECT *, (wx * qy - wy * qx) / nullif(det, 0) AS t, (wx * ry - wy * rx) / nullif(det, 0) AS u FROM "
+        "(SELECT *, rx * qy - ry * qx AS det FROM (SELECT a.uid AS a, a.cell_id AS a_cell, b.uid AS b, b.cell_id AS b_cell, a.x1 AS ax, a.y1 AS ay, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS qx, b.y2 - b.y1 AS qy, "
+        f"b.x1 - a.x1 AS wx, b.y1 - a.y1 AS wy FROM {a} a JOIN {b} b ON {where} AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 1e-6 AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) + 1e-6 "
+        "AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 1e-6 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 1e-6) p) q) r WHERE abs(det) > 1e-12 AND t BETWEEN -1e-8 AND 1 + 1e-8 AND u BETWEEN -1e-8 AND 1 + 1e-8"
+    )
+
+
+def _at(cell: str, t: str) -> str:
+    return f"round({cell} + greatest(0.0, least(1.0, {t})), 9)"
 
 
-@query("j13_snap_lines", "fx_lines")
+_ON = "z1 + greatest(0.0, least(1.0, {t})) * (z2 - z1) AS z"
+_SPLIT = (
+    f"WITH trace_ AS (SELECT * FROM ({_TRACE_SEG}) s), placed_ AS ({_PLACED}), ray_ AS ({_rays('99 * s')}), met_ AS ({_meet('trace_', 'trace_', 'a.uid % 2 = 0 AND b.uid % 2 = 1')}), "
+    f"far_ AS (SELECT * FROM ({_meet('trace_', 'ray_', 'a.uid % 2 = 0 AND b.uid % 2 = 1')}) r ANTI JOIN (SELECT DISTINCT a, b FROM met_) m ON m.a = r.a AND m.b = r.b), "
+    f"cut_ AS (SELECT a AS uid, {_at('a_cell', 't')} AS place, min({{'c': a_cell, 't': t, 'x': x, 'y': y}}) AS c FROM (SELECT a, a_cell, t, x, y FROM met_ UNION ALL SELECT a, a_cell, t, x, y FROM far_) u GROUP BY ALL), "
+    f"cuts_ AS (SELECT k.uid, k.place, c.x AS x, c.y AS y, {_ON.format(t='c.t')}, 1 AS cut FROM cut_ k JOIN trace_ s ON s.uid = k.uid AND s.cell_id = k.c.c JOIN placed_ v ON v.uid = k.uid AND v.place = 0 WHERE k.place > 1e-9 AND k.place < last_ - 1e-9), "
+    "all_ AS (SELECT uid, place, x, y, z, 0 AS cut FROM placed_ v ANTI JOIN cuts_ c ON c.uid = v.uid AND c.place = v.place WHERE uid % 2 = 0 UNION ALL SELECT uid, place, x, y, z, cut FROM cuts_), "
+    "part_ AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY uid ORDER BY place) AS BIGINT) AS part FROM all_) "
+    f"SELECT uid, unnest(CASE WHEN cut = 1 THEN [part - 1, part] ELSE [part] END) AS part, {R('place')} AS \"at\", {R('x')} AS x, {R('y')} AS y, {R('z')} AS z, CAST(cut AS BIGINT) AS cut FROM part_"
+)
+
+
+@query("j12_split_lines", "fx_traces", _SPLIT)
+def _(ls):
+    out = lines.split_lines(ls.where("uid % 2 = 0"), ls.where("uid % 2 = 1"), 2.0)
+    return out.select("uid", "part", r("at"), *triple("xyz"), F.col("cut").cast("long").alias("cut"))
+
+
+_SNAP = (
+    f"WITH trace_ AS (SELECT * FROM ({_TRACE_SEG}) s), placed_ AS ({_PLACED}), ray_ AS ({_rays('0.5')}), "
+    "end_ AS (SELECT uid, arg_min(x, place) AS x0, arg_min(y, place) AS y0, arg_max(x, place) AS x1, arg_max(y, place) AS y1, max(seq) AS top FROM placed_ GROUP BY uid), "
+    "hit_ AS (SELECT h.*, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) AS d0, sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) AS d1, "
+    f"{_at('a_cell', 't')} AS place, {_at('b_cell', 'u')} AS b_at FROM ({_meet('trace_', 'trace_', 'a.uid <> b.uid')}) h JOIN end_ e ON e.uid = h.a), "
+    "near_ AS (SELECT * FROM hit_ WHERE least(d0, d1) <= 0.5 + 1e-8), "
+    "trims_ AS (SELECT a AS uid, max(place) FILTER (d0 <= d1) AS low, min(place) FILTER (d0 > d1) AS high FROM near_ GROUP BY a), "
+    "keep_ AS (SELECT uid, CASE WHEN coalesce(low >= high, false) THEN NULL ELSE low END AS low, CASE WHEN coalesce(low >= high, false) THEN NULL ELSE high END AS high FROM trims_), "
+    f"rays_ AS (SELECT r.* FROM ({_meet('ray_', 'trace_', 'a.uid <> b.uid')}) r LEFT JOIN trims_ t ON t.uid = r.a WHERE t * 0.5 > 1e-8 AND CASE WHEN a_cell = 0 THEN t.low ELSE t.high END IS NULL), "
+    "first_ AS (SELECT a, a_cell, min({'t': round(t, 9), 'b': b, 'b_cell': b_cell, 'u': u, 'x': x, 'y': y}) AS m FROM rays_ GROUP BY a, a_cell), "
+    f"node_ AS (SELECT uid, place, min({{'c': c, 't': t, 'x': x, 'y': y}}) AS n FROM (SELECT a AS uid, place, a_cell AS c, t, x, y FROM near_ UNION ALL SELECT b, b_at, b_cell, u, x, y FROM near_ UNION ALL "
+    f"SELECT m.b, {_at('m.b_cell', 'm.u')}, m.b_cell, m.u, m.x, m.y FROM first_) q GROUP BY uid, place), "
+    "old_ AS (SELECT v.uid, v.seq, v.place, coalesce(f.m.x, v.x) AS x, coalesce(f.m.y, v.y) AS y, v.z, f.m IS NOT NULL AS snapped FROM placed_ v LEFT JOIN keep_ k ON k.uid = v.uid "
+    "LEFT JOIN first_ f ON f.a = v.uid AND ((f.a_cell = 0 AND v.place = 0) OR (f.a_cell = 1 AND v.place = v.last_)) WHERE v.place >= coalesce(k.low, v.place) AND v.place <= coalesce(k.high, v.place)), "
+    f"new_ AS (SELECT n.uid, v.seq AS seq_, n.place, n.n.x AS x, n.n.y AS y, {_ON.format(t='n.n.t')}, e.top FROM node_ n JOIN trace_ s ON s.uid = n.uid AND s.cell_id = n.n.c JOIN end_ e ON e.uid = n.uid LEFT JOIN keep_ k ON k.uid = n.uid "
+    "LEFT JOIN placed_ v ON v.uid = n.uid AND v.place = CASE WHEN n.place = k.low THEN floor(n.place) WHEN n.place = k.high THEN ceil(n.place) END "
+    "WHERE n.place >= coalesce(k.low, n.place) AND n.place <= coalesce(k.high, n.place) AND NOT EXISTS (SELECT 1 FROM placed_ p WHERE p.uid = n.uid AND p.place = n.place)), "
+    "numbered_ AS (SELECT uid, coalesce(seq_, top + count(*) FILTER (seq_ IS NULL) OVER (PARTITION BY uid ORDER BY place)) AS seq, place, x, y, z, true AS snapped FROM new_) "
+    f"SELECT uid, seq, {R('place')} AS \"at\", {R('x')} AS x, {R('y')} AS y, {R('z')} AS z, snapped FROM (SELECT * FROM old_ UNION ALL SELECT * FROM numbered_) a"
+)
+
+
+@query("j13_snap_lines", "fx_traces", _SNAP)
 def _(ls):
-    return lines.snap_lines(ls, 1.0, 25.0).groupBy("uid").agg(F.count_if("snapped").alias("snapped"), F.count(F.lit(1)).alias("n"))
+    return lines.snap_lines(ls, 0.5, 2.0).select("uid", "seq", r("at"), *triple("xyz"), "snapped")
 
 
 def _dist(e: str) -> str:
@@ -817,16 +875,74 @@ def _(g, s):
     return grids.grid_to_section(g, s, 0.7, 3, 8).select("section", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
 
 
-_SIDES_OF = (  # the other surface lies level, so the side is that of the height
-    f"SELECT uid, cell_id, side, CAST(sum(pieces) AS BIGINT) AS n FROM (SELECT uid, cell_id, unnest([1, 0]) AS side, unnest(CASE k WHEN 0 THEN [0, 1] WHEN 1 THEN [1, 2] WHEN 2 THEN [2, 1] ELSE [1, 0] END) AS pieces FROM "
-    f"(SELECT uid, cell_id, CAST(z0 >= 25 AS INTEGER) + CAST(z1 >= 25 AS INTEGER) + CAST(z2 >= 25 AS INTEGER) AS k FROM ({_CORNERS}) c) a) b WHERE pieces > 0 GROUP BY uid, cell_id, side"
+def _vec(a: str, b: str) -> dict[str, str]:
+    """Coordinates of the vector from corner a to corner b of a triangle."""
+    return {c: f"({c}{b} - {c}{a})" for c in "xyz"}
+
+
+def _times(a: dict[str, str], b: dict[str, str]) -> str:
+    return " + ".join(f"{a[c]} * {b[c]}" for c in "xyz")
+
+
+def _across(a: dict[str, str], b: dict[str, str]) -> dict[str, str]:
+    return {c: f"({a[u]} * {b[v]} - {a[v]} * {b[u]})" for c, u, v in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))}
+
+
+def _signed() -> str:
+    """CTEs that end in signed_(uid, point_id, distance): every point against every triangle of the next surface, sides by summed normals."""
+    n = _across(_vec("0", "1"), _vec("0", "2"))
+    unit = ", ".join(f"{n[c]} / nullif(sqrt({_times(n, n)}), 0) AS n{c}" for c in "xyz")
+    named = {c: f"n{c}" for c in "xyz"}
+    ends = " UNION ALL ".join(f"SELECT uid, cell_id, {k} AS part, least(p{u}, p{v}) AS a, greatest(p{u}, p{v}) AS b, nx, ny, nz FROM tri_" for k, (u, v) in enumerate(("01", "12", "20"), 1))
+
+    def angle(k: str, u: str, v: str) -> str:
+        x = _across(_vec(k, u), _vec(k, v))
+        return f"atan2(sqrt({_times(x, x)}), {_times(_vec(k, u), _vec(k, v))})"
+
+    spots = " UNION ALL ".join(f"SELECT uid, cell_id, {4 + i} AS part, p{w[0]} AS point_id, {angle(*w)} AS angle, nx, ny, nz FROM tri_" for i, w in enumerate(("012", "120", "201")))
+    ways = []
+    for k, (u, v) in enumerate(("01", "12", "20")):
+        d = _vec(u, v)
+        ways.append(f"SELECT uid, point_id, ref, cell_id, {k} AS k, {_times({c: f'({c} - {c}{u})' for c in 'xyz'}, d)} AS over, {_times(d, d)} AS l2, " + ", ".join(f"{c} - {c}{u} AS q{c}, {d[c]} AS d{c}" for c in "xyz") + " FROM pair_")
+    q = {c: f"({c} - {c}0)" for c in "xyz"}
+    v_, w_ = _times(_across(q, _vec("0", "2")), n), _times(_across(_vec("0", "1"), q), n)
+    return (
+        f"tri_ AS (SELECT *, {unit} FROM ({_CORNERS}) c), "
+        f"edge_ AS (SELECT uid, cell_id, part, " + ", ".join(f"sum(n{c}) OVER (PARTITION BY uid, a, b) AS n{c}" for c in "xyz") + f" FROM ({ends}) e), "
+        f"spot_ AS (SELECT uid, cell_id, part, " + ", ".join(f"sum(n{c} * angle) OVER (PARTITION BY uid, point_id) AS n{c}" for c in "xyz") + f" FROM ({spots}) e), "
+        "part_ AS (SELECT uid, cell_id, 0 AS part, nx, ny, nz FROM tri_ UNION ALL SELECT * FROM edge_ UNION ALL SELECT * FROM spot_), "
+        "pair_ AS (SELECT p.uid, p.point_id, p.x, p.y, p.z, t.uid AS ref, t.* EXCLUDE (uid) FROM fx_mesh_points p JOIN tri_ t ON t.uid = p.uid + 1), "
+        f"way_ AS ({' UNION ALL '.join(ways)}), "
+        "near_ AS (SELECT uid, point_id, ref, cell_id, CASE WHEN over <= 0 THEN 4 + k WHEN over >= l2 THEN 4 + (k + 1) % 3 ELSE 1 + k END AS part, "
+        + " + ".join(f"(q{c} - least(1, greatest(0, over / l2)) * d{c}) * (q{c} - least(1, greatest(0, over / l2)) * d{c})" for c in "xyz")
+        + f" AS d2 FROM way_ UNION ALL SELECT uid, point_id, ref, cell_id, 0, ({_times(q, named)}) * ({_times(q, named)}) FROM (SELECT *, ({v_}) AS v_, ({w_}) AS w_, ({_times(n, n)}) AS s_ FROM pair_) f WHERE v_ > 0 AND w_ > 0 AND v_ + w_ < s_), "
+        "best_ AS (SELECT uid, point_id, ref, min(d2) AS d2, arg_min(cell_id, d2) AS cell_id, arg_min(part, d2) AS part FROM near_ GROUP BY uid, point_id, ref), "
+        # the normal of a part meets the difference from any corner of the part at the same angle side
+        "signed_ AS (SELECT b.uid, b.point_id, CASE WHEN sqrt(d2) < 1e-9 THEN 0.0 WHEN "
+        + " + ".join(f"(p.{c} - CASE b.part WHEN 2 THEN t.{c}1 WHEN 5 THEN t.{c}1 WHEN 3 THEN t.{c}2 WHEN 6 THEN t.{c}2 ELSE t.{c}0 END) * f.n{c}" for c in "xyz")
+        + " < 0 THEN -sqrt(d2) ELSE sqrt(d2) END AS distance FROM best_ b JOIN fx_mesh_points p ON p.uid = b.uid AND p.point_id = b.point_id "
+        "JOIN tri_ t ON t.uid = b.ref AND t.cell_id = b.cell_id JOIN part_ f ON f.uid = b.ref AND f.cell_id = b.cell_id AND f.part = b.part)"
+    )
+
+
+@query("j18_signed_distance", "fx_mesh_points fx_triangles", f"WITH {_signed()} SELECT p.uid, p.point_id, {R('distance')} AS distance FROM fx_mesh_points p LEFT JOIN signed_ s ON s.uid = p.uid AND s.point_id = p.point_id")
+def _(p, t):
+    """Each surface against the next one."""
+    return mesh.nearest_distance(p.withColumn("ref", F.col("uid") + 1), p, t, 25.0).select("uid", "point_id", r("distance"))
+
+
+_SIDES_OF = (
+    f"WITH {_signed()} SELECT uid, cell_id, side, CAST(sum(pieces) AS BIGINT) AS n FROM (SELECT uid, cell_id, unnest([1, 0]) AS side, unnest(CASE k WHEN 0 THEN [0, 1] WHEN 1 THEN [1, 2] WHEN 2 THEN [2, 1] ELSE [1, 0] END) AS pieces FROM "
+    "(SELECT t.uid, t.cell_id, CAST(a.distance >= 0 AS INTEGER) + CAST(b.distance >= 0 AS INTEGER) + CAST(c.distance >= 0 AS INTEGER) AS k FROM fx_triangles t "
+    + " ".join(f"JOIN signed_ {a} ON {a}.uid = t.uid AND {a}.point_id = t.p{k}" for k, a in enumerate("abc"))
+    + ") a) b WHERE pieces > 0 GROUP BY uid, cell_id, side"
 )
 
 
 @query("j18_split_by_surface", "fx_mesh_points fx_triangles", _SIDES_OF)
 def _(p, t):
-    ref_p, ref_t = p.withColumn("z", F.lit(25.0)).where("uid = 0"), t.where("uid = 0")
-    out = mesh.split_by_surface(p, t, ref_p, ref_t, 25.0)
+    """Each surface cut by the next one."""
+    out = mesh.split_by_surface(p.withColumn("ref", F.col("uid") + 1), t, p, t, 25.0)
     return out.where("corner = 0").groupBy("uid", "cell_id", "side").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,6 +31,10 @@ _view(
     "fx_lines", "events",
     "SELECT uid, seq, CAST(seq AS DOUBLE) AS x, v AS y, 0.0E0 AS z FROM (SELECT user_id AS uid, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq, CAST(value AS DOUBLE) AS v FROM events) e",
 )
+_view(  # lines that reach a few neighbours only, however many there are
+    "fx_traces", "fx_lines",
+    "SELECT uid, seq, x * 0.5E0 + CAST((uid * 7) % 50 AS DOUBLE) AS x, y * 0.05E0 + CAST(uid AS DOUBLE) AS y, CAST(seq % 9 AS DOUBLE) AS z FROM fx_lines",
+)
 _view(
     "fx_sections", "supplier",
     "SELECT s_suppkey AS uid, concat('xs', CAST(s_suppkey AS VARCHAR(20))) AS name, CAST((s_suppkey * 37) % 360 AS DOUBLE) AS strike, CAST(90 - 15 * (s_suppkey % 4) AS DOUBLE) AS dip, "
