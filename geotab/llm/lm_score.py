@@ -114,10 +114,12 @@ class _Grams:
         self.place = np.arange(n) - np.concatenate(([0], np.flatnonzero(end) + 1))[self.doc]  # in its document
         self.learn = np.frombuffer(learn, bool)[self.doc]
         self.hash = [self.words[self.tokens]]  # of the n-gram that ends at each token
-        self.keys: list[np.ndarray] = []  # distinct hashes
-        self.at: list[np.ndarray] = []  # number of a token's n-gram among keys, -1 for none
+        order = np.argsort(self.words)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.keys = [self.words[order]]  # distinct hashes by level
+        self.at = [number[self.tokens]]  # number of a token's n-gram among keys, -1 for none
         self.total: list[np.ndarray] = []  # answered counts of keys
-        self._distinct(np.ones(n, bool))
 
     def _distinct(self, asked: np.ndarray) -> None:
         keys, which = np.unique(self.hash[-1][asked], return_inverse=True)
@@ -140,6 +142,14 @@ class _Grams:
             asked &= (before >= 0) & (self.total[-1][before] >= LEAST_CONTEXT)
         self._distinct(asked)
 
+    def first(self, level: int) -> np.ndarray:
+        """A token that ends each n-gram."""
+        at = self.at[level]
+        there = np.flatnonzero(at >= 0)
+        f = np.empty(len(self.keys[level]), np.int64)
+        f[at[there]] = there
+        return f
+
     def learned(self, level: int) -> np.ndarray:
         """Counts of keys in training documents."""
         at = self.at[level][self.learn]
@@ -251,12 +261,16 @@ def _magnitude(count: np.ndarray) -> np.ndarray:
     return np.frexp(np.maximum(count, 1).astype(float))[1] - 1
 
 
+def _log10(x: np.ndarray) -> np.ndarray:
+    return np.log(x) * (1 / np.log(10))  # the natural logarithm is worked out several at a time
+
+
 def _base(count: np.ndarray, n: int, v: int) -> np.ndarray:
     return (count + 0.5) / (n + 0.5 * (v + 1))
 
 
 def _likelihoods(batches, buckets: int, n: int, v: int):
-    """Sums of log10 p of training tokens, each left out of the counts, by level, magnitude of the context's count and weight.
+    """Sums of log p of training tokens, each left out of the counts, by level, magnitude of the context's count and weight.
 
     The level below is taken with equal weights.
     """
@@ -266,19 +280,19 @@ def _likelihoods(batches, buckets: int, n: int, v: int):
         for r in b.to_pylist():
             g = _Grams(r["words"], r["tokens"], r["learn"])
             g.answer(r["answers"], buckets)
-            low = _base(g.total[0][g.at[0]] - 1, n - 1, v)
+            low = _base(g.total[0] - 1, n - 1, v)  # of each n-gram
             for level in range(1, len(g.total)):
-                context = np.concatenate(([-1], g.at[level - 1][:-1]))
-                there = g.learn & (g.at[level] >= 0)
-                state = g.total[level - 1][context[there]] - 1
-                ml = np.zeros(len(low))
-                ml[there] = np.maximum(g.total[level][g.at[level][there]] - 1, 0) / np.maximum(state, 1)
-                size = _magnitude(state)
-                for m in np.unique(size[state > 0]):
-                    pick = np.flatnonzero(there)[(size == m) & (state > 0)]
-                    p = np.array([np.log10(w * ml[pick] + (1 - w) * low[pick]).sum() for w in WEIGHTS])
-                    sums[level, int(m)] = sums.get((level, int(m)), 0) + p
-                low = np.where(there & (ml > 0), 0.5 * ml + 0.5 * low, low)
+                f = g.first(level)
+                state, own_, times = g.total[level - 1][g.at[level - 1][f - 1]] - 1, g.total[level] - 1, g.learned(level)
+                low = low[g.at[level - 1][f]]
+                ml = np.maximum(own_, 0) / np.maximum(state, 1)
+                there = np.flatnonzero((times > 0) & (state > 0))
+                order = there[np.argsort(_magnitude(state[there]), kind="stable")]
+                sizes, cuts = np.unique(_magnitude(state[order]), return_index=True)
+                for m, pick in zip(sizes.tolist(), np.split(order, cuts[1:])):
+                    p = np.array([times[pick] @ np.log(w * ml[pick] + (1 - w) * low[pick]) for w in WEIGHTS]) if len(pick) else 0
+                    sums[level, m] = sums.get((level, m), 0) + p
+                low = np.where(own_ > 0, 0.5 * ml + 0.5 * low, low)
     rows = [{"level": k, "magnitude": m, "sums": x.tolist()} for (k, m), x in sums.items()]
     yield pa.RecordBatch.from_pylist(rows, schema=schema)
     give_back()
@@ -302,14 +316,10 @@ class Automaton:
     """States and arcs that a block's texts can reach. State 0 is the root; arcs of other states are sorted by (state, word)."""
 
     def __init__(self, g: _Grams, weights: np.ndarray, n: int, v: int):
-        first = []  # a token that ends each n-gram
-        for at, keys in zip(g.at, g.keys):
-            f = np.zeros(len(keys), np.int64)
-            f[at[at >= 0][::-1]] = np.flatnonzero(at >= 0)[::-1]
-            first.append(f)
+        first = [g.first(level) for level in range(len(g.total))]
         self.word = g.at[0]
         p = _base(g.total[0], n, v)
-        self.root = np.log10(p)
+        self.root = _log10(p)
         prob = [p]
         self.fail, self.fall = [np.zeros(1, np.int64)], [np.zeros(1)]
         state_of, states = [], 1  # the state of each n-gram, -1 for none
@@ -323,7 +333,7 @@ class Automaton:
                 w = np.where(count > 0, weights[level][_magnitude(count)], 0)
                 prob.append(w * total / np.maximum(count, 1) + (1 - w) * prob[-1][shorter])
                 arc = (total > 0) & (state_of[level - 1][context] >= 0)
-                arcs.append((state_of[level - 1][context][arc], self.word[f[arc]], np.log10(prob[-1][arc]), level, np.flatnonzero(arc)))
+                arcs.append((state_of[level - 1][context][arc], self.word[f[arc]], _log10(prob[-1][arc]), level, np.flatnonzero(arc)))
             here = np.full(len(total), -1)
             if level < len(g.total) - 1:
                 is_state = (total >= (LEAST_CONTEXT if level else 1)) & (self.word[f] != end)
@@ -332,7 +342,7 @@ class Automaton:
                 down = state_of[level - 1][g.at[level - 1][f]] if level else np.zeros(len(total), np.int64)
                 self.fail.append(down[is_state])
                 w = weights[level + 1][_magnitude(total[is_state])]
-                self.fall.append(np.log10(1 - w))
+                self.fall.append(_log10(1 - w))
             state_of.append(here)
         self.fail, self.fall = np.concatenate(self.fail), np.concatenate(self.fall)
         self.width = len(g.keys[0])
@@ -402,7 +412,7 @@ def _score(batches, key: pa.DataType, buckets: int, weights: np.ndarray, n: int,
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows, key), pa.array(np.frombuffer(r["learn"], bool)), pa.array(np.bincount(g.doc, minlength=len(rows))), pa.array(np.bincount(g.doc, count > 0, len(rows)).astype(np.int64)),
-                    pa.array(np.bincount(g.doc, np.log10(_base(count, n, v)), len(rows))), pa.array(a.traverse(g.doc, g.place, len(rows), len(g.total) - 1)),
+                    pa.array(np.bincount(g.doc, _log10(_base(g.total[0], n, v))[g.at[0]], len(rows))), pa.array(a.traverse(g.doc, g.place, len(rows), len(g.total) - 1)),
                 ],
                 schema=schema,
             )
