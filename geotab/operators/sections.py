@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from .graph import settle
 
 XYZ = ("x", "y", "z")
 
@@ -30,6 +31,51 @@ def _named(sections: DataFrame) -> DataFrame:
     return _few(sections.withColumnsRenamed({"uid": "section", "name": "section_name", "dip": "dip", "length": "length", "height": "height"}))
 
 
+BLOCK_ROWS = 2048  # wanted rows of a block, on average
+
+
+def beside_planes(data: DataFrame, corners: list[tuple[str, str, str]], planes: DataFrame, reach: Column | float = 0.0) -> DataFrame:
+    """Rows of data (each the hull of its corners, named by their x, y, z columns) with the planes that may come within reach of them.
+
+    planes (_named sections) have origin_*, w* and whatever reach needs. Rows are filed in the blocks of an octree by their middle (a
+    Morton code whose prefixes are the coarser blocks); blocks have the bounds of their rows. Planes descend from the root to the blocks that they
+    come near, level by level, in equi-joins, and only these blocks' rows are joined. Rows with null coordinates go.
+    """
+    ends = {c: [F.col(k[i]) for k in corners] for i, c in enumerate(XYZ)}
+    low = {c: F.least(*v) if len(v) > 1 else v[0] for c, v in ends.items()}
+    high = {c: F.greatest(*v) if len(v) > 1 else v[0] for c, v in ends.items()}
+    whole = data.where(sum((F.col(k).isNull().cast("int") for v in corners for k in v), F.lit(0)) == 0)
+    box = whole.agg(F.count(F.lit(1)), *[f(v[c]) for c in XYZ for f, v in ((F.min, low), (F.max, high))]).first()
+    depth = 0
+    while box[0] > BLOCK_ROWS * 8**depth and depth < 15:
+        depth += 1
+    code = F.lit(0).cast("long")
+    for i, c in enumerate(XYZ):
+        start, size = box[2 * i + 1] or 0.0, ((box[2 * i + 2] or 0.0) - (box[2 * i + 1] or 0.0)) or 1.0
+        n = F.floor(((low[c] + high[c]) / 2 - start) / size * (1 << depth)).cast("long")
+        n = F.least(F.greatest(n, F.lit(0)), F.lit((1 << depth) - 1))
+        for b in range(depth):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(n, b).bitwiseAND(1), 3 * b + i))
+    filed = whole.withColumn("_block", code)
+    bounds = [f(v[c]).alias(f"_{n}{c}") for c in XYZ for f, v, n in ((F.min, low, "l"), (F.max, high, "h"))]
+    blocks = [settle(filed.groupBy("_block").agg(*bounds), "blocks")]
+    for _ in range(depth):
+        up = [f(f"_{n}{c}").alias(f"_{n}{c}") for c in XYZ for f, n in ((F.min, "l"), (F.max, "h"))]
+        blocks.append(blocks[-1].groupBy(F.shiftright("_block", 3).alias("_block")).agg(*up))
+    # distance of the middle of the bounds from the plane, and how far a corner can be nearer
+    off = sum((((F.col("_l" + c) + F.col("_h" + c)) / 2 - F.col("origin_" + c)) * F.col("w" + c) for c in XYZ), F.lit(0.0))
+    half = sum(((F.col("_h" + c) - F.col("_l" + c)) / 2 * F.abs(F.col("w" + c)) for c in XYZ), F.lit(0.0))
+    scale = sum((F.greatest(F.abs(F.col("_l" + c)), F.abs(F.col("_h" + c)), F.abs("origin_" + c)) for c in XYZ), F.lit(1.0))
+    near = F.abs(off) <= half + reach + 1e-9 * scale
+    names = planes.columns
+    hits = planes.withColumn("_parent", F.lit(0).cast("long"))
+    for level in range(depth, -1, -1):
+        step = 3 if level < depth else 0
+        b = blocks[level].withColumn("_parent", F.shiftright("_block", step))
+        hits = hits.join(b, "_parent").where(near).select(*names, F.col("_block").alias("_parent"))
+    return filed.join(hits.withColumnRenamed("_parent", "_block"), "_block").drop("_block")
+
+
 def world_to_plane(points: DataFrame, sections: DataFrame) -> DataFrame:
     """u, v in the plane and w across it of every point in every section."""
     p = points.crossJoin(_named(sections))
@@ -67,17 +113,20 @@ def project(points: DataFrame, sections: DataFrame, trend: float | None = None,
     s = sections.withColumn("_trend", F.lit(float(trend)) if trend is not None else O.wrap360(F.col("strike") + 90))
     s = s.withColumn("_plunge", F.lit(float(plunge)) if plunge is not None else 90 - F.col("dip"))
     turn = F.abs(F.pmod(F.col("_trend") - F.col("strike") + 90, F.lit(180.0)) - 90)
-    s = s.where(turn >= 10)
-    p = points.crossJoin(_named(s))
+    s = _named(s.where(turn >= 10))
     a = O.vector("_plunge", "_trend")
+    across = F.abs(O.dot(a, ("wx", "wy", "wz")))
+    if max_dist > 0:  # a point at distance max_dist along the axis is nearer to the plane by the axis' slant
+        p = beside_planes(points, [XYZ], s, max_dist * across)
+        if part is not None:  # whole parts, once one of their vertices is near
+            near = p.where(F.abs(O.dot(_offset(), ("wx", "wy", "wz"))) <= max_dist * across).select("section", part).distinct()
+            p = points.join(near, part).join(s, "section")
+    else:
+        p = points.crossJoin(s)
     t = F.try_divide(-O.dot(_offset(), ("wx", "wy", "wz")), O.dot(a, ("wx", "wy", "wz")))
     p = p.withColumn("_t", t).where("_t is not null").withColumn("distance", F.abs("_t"))
-    if max_dist > 0:
-        if part is None:
-            p = p.where(F.col("distance") <= max_dist)
-        else:
-            near = p.where(F.col("distance") <= max_dist).select("section", part).distinct()
-            p = p.join(near, ["section", part], "left_semi")
+    if max_dist > 0 and part is None:
+        p = p.where(F.col("distance") <= max_dist)
     return p.withColumns({c: F.col(c) + F.col("_t") * v for c, v in zip(XYZ, a)}).select(*points.columns, "section", "distance")
 
 
@@ -104,7 +153,7 @@ def _crossing(d1: Column, d2: Column) -> tuple[Column, Column]:
 
 def cut_lines(segments: DataFrame, sections: DataFrame, own: str | None = None) -> DataFrame:
     """Points in which segments (x1..z2) cross the planes of sections; a line's own section is left out."""
-    p = segments.crossJoin(_named(sections))
+    p = beside_planes(segments, [("x1", "y1", "z1"), ("x2", "y2", "z2")], _named(sections))
     if own is not None:
         p = p.where(~F.coalesce(F.col(own).cast("string") == F.col("section").cast("string"), F.lit(False)))
     d = [O.dot(tuple(F.col(c + e) - F.col("origin_" + c) for c in XYZ), ("wx", "wy", "wz")) for e in "12"]
@@ -120,7 +169,7 @@ def cut_triangles(points: DataFrame, triangles: DataFrame, sections: DataFrame)
     Both ends carry the mesh edge they lie on, (e_min, e_max), so that neighbours share ends exactly.
     A vertex on the plane counts as above it.
     """
-    t = corners(points, triangles).crossJoin(_named(sections))
+    t = beside_planes(corners(points, triangles), [tuple(c + k for c in XYZ) for k in "012"], _named(sections))
     d = {k: O.dot(tuple(F.col(f"{c}{k}") - F.col("origin_" + c) for c in XYZ), ("wx", "wy", "wz")) for k in "012"}
     t = t.withColumns({f"_d{k}": v for k, v in d.items()})
     # surfaces whose triangles all lie on one side fall out here, before anything is exploded

@@ -666,9 +666,9 @@ def _(d):
     return grids.map_pixels(raster, (0, 200, 0, 500), 10, 10).select("uid", "r", "c", r("x"), r("y"), F.size("bands").alias("bands"))
 
 
-@query("s13_section_pixels", "fx_dem fx_sections", f"SELECT d.uid, d.r, d.c, b.uid AS section, {R('origin_x + c * 20 * ux + r * 10 * vx')} AS x, {R('origin_z + c * 20 * uz + r * 10 * vz')} AS z FROM fx_dem d CROSS JOIN ({_BASIS}) b")
+@query("s13_section_pixels", "fx_dem fx_sections", f"SELECT d.uid, d.r, d.c, b.uid AS section, {R('origin_x + c * 20 * ux + r * 10 * vx')} AS x, {R('origin_z + c * 20 * uz + r * 10 * vz')} AS z FROM fx_dem d JOIN ({_BASIS}) b ON b.uid = d.uid % 7 + 1")
 def _(d, s):
-    raster = d.select("uid", "r", "c", F.col("z").alias("value"))
+    raster = d.select("uid", "r", "c", F.col("z").alias("value"), (F.col("uid") % 7 + 1).cast("long").alias("section"))
     return grids.section_pixels(raster, s, 0.0, 0.0, 200.0, 100.0, 10, 10).select("uid", "r", "c", "section", r("x"), r("z"))
 
 
