@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from . import cells
 from .graph import components, settle
 from .orient import eigen3
 
@@ -203,6 +204,9 @@ def _cells(df: DataFrame, r: float, prefix: str = "", spread: bool = False) -> D
 _AFTER = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
 
 
+CROWD = 4096  # points of a cell that one part looks through
+
+
 def radius_neighbors(points: DataFrame, r: float) -> DataFrame:
     """Pairs of points (a < b) of one uid no farther than r from each other.
 
@@ -221,7 +225,13 @@ def radius_neighbors(points: DataFrame, r: float) -> DataFrame:
         left = left.withColumn("_c" + k, F.col("_c" + k) + F.get("_o", F.lit(i)))
     right = c.select("uid", F.col("point_id").alias("b"), *[F.col(k).alias("b" + k) for k in XYZ], "_cx", "_cy", "_cz")
     d = F.sqrt(sum(((F.col("a" + k) - F.col("b" + k)) ** 2 for k in XYZ), F.lit(0.0)))
-    pairs = left.drop("_o").join(right, ["uid", "_cx", "_cy", "_cz"]).where(~F.col("_same") | (F.col("a") < F.col("b")))
+    # crowded cells work in parts: each point that looks into one goes to one part, the cell's own points to all
+    cell = ["uid", "_cx", "_cy", "_cz"]
+    crowd = c.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("long").alias("_of")).where("_of > 1")
+    crowd = _few(settle(crowd, "crowds"))
+    left = left.drop("_o").join(crowd, cell, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("_of")), F.lit(0).cast("long"))).drop("_of")
+    right = right.join(crowd, cell, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_of", F.lit(1).cast("long")) - 1))).drop("_of")
+    pairs = left.join(right, [*cell, "_part"]).where(~F.col("_same") | (F.col("a") < F.col("b")))
     pairs = pairs.withColumn("distance", d).where(F.col("distance") <= r)
     return pairs.select("uid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
@@ -233,38 +243,77 @@ def remove_radius_outliers(points: DataFrame, r: float, nn: int) -> DataFrame:
     return points.join(n, ["uid", "point_id"], "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0))).where(F.col("neighbors") >= nn)
 
 
-def knn(points: DataFrame, k: int = 15, cell: float | None = None, rounds: int = 24) -> DataFrame:
-    """The k nearest other points of each point of its uid: a, b, distance, rank; all others, if there are fewer.
+LEAF = 1024  # wanted points of a cell
+
 
-    Points meet in cells; those whose k-th neighbour may lie outside the cells searched go to the
-    next round with cells twice as large.
+def knn(points: DataFrame, k: int = 15, leaf: int = LEAF) -> DataFrame:
+    """The k nearest other points of each point of its uid: a, b, distance, rank; all others, if there are fewer. Ties go to the smaller b.
+
+    Cells hold about leaf points whatever the density. Each point first looks within its own cell; the k-th distance found there bounds the
+    search, so it then visits just the other cells that this ball meets. Cells that can't be split, as their points coincide, give only the k + 1
+    smallest ids of each place, and those who ask are dealt out in parts of leaf points. Points with null coordinates take no part.
     """
-    box = points.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *[(F.max(c) - F.min(c)).alias("d" + c) for c in XYZ])
-    top = box.agg(F.max("n"), *[F.max("d" + c) for c in XYZ]).first()
-    if top[0] is None:
-        return points.select("uid", F.col("point_id").alias("a"), F.col("point_id").alias("b"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    extent = max(max(top[1], top[2], top[3]), 1e-9)
-    cell = cell or extent / max(1.0, (top[0] / (k + 1)) ** (1 / 3))
-    sizes = box.select("uid", F.least(F.col("n") - 1, F.lit(k)).alias("want"))
-    todo, done = points.join(F.broadcast(sizes), "uid"), None
-    for _ in range(rounds):
-        right = _cells(points, cell).select("uid", "_cx", "_cy", "_cz", F.col("point_id").alias("b"), *[F.col(c).alias("b" + c) for c in XYZ])
-        left = _cells(todo, cell, spread=True).select("uid", "want", F.col("point_id").alias("a"), *[F.col(c).alias("a" + c) for c in XYZ], "_cx", "_cy", "_cz")
-        d = F.sqrt(sum(((F.col("a" + c) - F.col("b" + c)) ** 2 for c in XYZ), F.lit(0.0)))
-        near = left.join(right, ["uid", "_cx", "_cy", "_cz"]).where("a <> b").withColumn("distance", d)
-        near = near.withColumn("rank", F.row_number().over(Window.partitionBy("uid", "a").orderBy("distance", "b"))).where(F.col("rank") <= F.col("want"))
-        near = settle(near, "near")
-        full = near.groupBy("uid", "a").agg(F.count_if(F.col("distance") <= cell).alias("sure"), F.max("want").alias("want")).where("sure >= want").select("uid", "a")
-        near = near.select("uid", "a", "b", "distance", "rank")
-        if cell > 2 * extent:
-            return near if done is None else done.unionByName(near)
-        ready = near.join(full, ["uid", "a"], "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        todo = settle(todo.join(full.withColumnRenamed("a", "point_id"), ["uid", "point_id"], "left_anti"), "todo")
-        if todo.where("want > 0").isEmpty():
-            return done
-        cell *= 2
-    raise RuntimeError("neighbours not settled")
+    p = points.select("uid", "point_id", *[F.col(c).cast("double") for c in XYZ]).dropna()
+    splits = cells.splits_of(p, leaf)
+    p = settle(p.withColumn("leaf", cells.leaf_of(p, splits)), "cells")
+    size = settle(p.groupBy("uid", "leaf").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    big = size.where(F.col("n") > 4 * leaf).select("uid", "leaf")
+    asked = p.join(size.select("uid", "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("_parts")), ["uid", "leaf"])
+    given = p.join(_few(big), ["uid", "leaf"], "left_anti")
+    held = p.join(_few(big), ["uid", "leaf"], "left_semi")
+    for salt in (F.pmod(F.xxhash64("point_id"), F.lit(64)), F.lit(0)):
+        w = Window.partitionBy("uid", "leaf", *XYZ, salt).orderBy("point_id")
+        held = held.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1).drop("_n")
+    given = given.unionByName(held)
+    kind = {c: dict(p.dtypes)[c] for c in ("uid", "point_id")}
+    shape = f"uid {kind['uid']}, a {kind['point_id']}, x double, y double, z double, home long, near array<struct<distance:double,b:{kind['point_id']}>>"
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own, other, ids = left[list(XYZ)].to_numpy(), right[list(XYZ)].to_numpy(), right.point_id.to_numpy()
+        order = np.argsort(ids, kind="stable")
+        other, ids = other[order], ids[order]
+        rows = []
+        step = max(1, (1 << 22) // max(1, len(ids)))
+        for at in range(0, len(own), step):
+            d = sum((own[at : at + step, i, None] - other[None, :, i]) ** 2 for i in range(3))
+            np.sqrt(d, out=d)
+            mine = left.point_id.to_numpy()[at : at + step]
+            d[ids[None, :] == mine[:, None]] = np.inf
+            d[d > left.radius.to_numpy()[at : at + step, None]] = np.inf
+            if k < len(ids):
+                bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+            else:
+                bound = np.full(len(d), np.finfo(float).max)
+            for row, most in zip(d, bound):
+                pick = np.flatnonzero(row <= min(most, np.finfo(float).max))
+                pick = pick[np.argsort(row[pick], kind="stable")[:k]]
+                rows.append([(float(row[i]), ids[i].item() if hasattr(ids[i], "item") else ids[i]) for i in pick])
+        return pd.DataFrame({"uid": left.uid, "a": left.point_id, **{c: left[c] for c in XYZ}, "home": left.home, "near": rows})
+
+    def visit(asking: DataFrame) -> DataFrame:
+        """Nearest points in the leaf that each of asking (with home and radius) visits, in parts of each leaf's visitors."""
+        parts = asking.groupBy("uid", "leaf").agg(F.ceil(F.count(F.lit(1)) / (4 * leaf)).cast("int").alias("_of"))
+        left = asking.join(parts, ["uid", "leaf"]).withColumn("part", F.pmod(F.xxhash64("point_id"), F.col("_of")))
+        right = given.join(parts, ["uid", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of").cast("long") - 1)))
+        keys = ("uid", "leaf", "part")
+        right = right.select(*[F.col(c).alias(c) for c in (*keys, "point_id", *XYZ)])  # columns of its own, as both sides come from the same table
+        return left.select(*keys, "point_id", *XYZ, "home", "radius").groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearest, shape)
+
+    first = settle(visit(asked.withColumns({"home": F.col("leaf"), "radius": F.lit(float("inf"))}).drop("_parts")), "nearest")
+    # with fewer than k in the own cell any distance may count
+    bound = F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["distance"]).otherwise(F.lit(float("inf")))
+    more = first.select("uid", F.col("a").alias("point_id"), *XYZ, "home", bound.alias("radius"))
+    more = more.withColumn("leaf", F.explode(cells.leaves_near(more, splits, "radius"))).where("leaf <> home")
+    found = first.select("uid", "a", "near")
+    if splits:
+        found = found.unionByName(visit(more).select("uid", "a", "near"))
+    best = found.groupBy("uid", "a").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return best.select("uid", "a", F.posexplode("near").alias("rank", "_n")).select("uid", "a", "_n.b", "_n.distance", (F.col("rank") + 1).alias("rank"))
+
+
+def _few(keys: DataFrame, most: int = 10_000) -> DataFrame:
+    """keys, broadcast if there are no more than most."""
+    return F.broadcast(keys) if len(keys.take(most + 1)) <= most else keys
 
 
 def pca_normals(points: DataFrame, k: int = 15) -> DataFrame:
@@ -277,26 +326,77 @@ def pca_normals(points: DataFrame, k: int = 15) -> DataFrame:
     return points.join(n, ["uid", "point_id"], "left")
 
 
+_SIDES = [a + c for a in ("l", "h") for c in XYZ]  # bounds of a box
+
+
+def _boxes(df: DataFrame, edge: str, coarser: int = 1) -> DataFrame:
+    """Boxes of points, or of finer boxes, by cell: bounds and the smallest point_id, which names the box."""
+    if coarser > 1:
+        df = df.withColumns({edge + c: F.floor(F.col(edge + c) / coarser) for c in XYZ})
+    bounds = [f(a + c if coarser > 1 else c).alias(a + c) for a, f in (("l", F.min), ("h", F.max)) for c in XYZ]
+    return df.groupBy("uid", *[edge + c for c in XYZ]).agg(*bounds, F.min("point_id" if coarser == 1 else "low").alias("low"))
+
+
+def _of(df: DataFrame, side: str, *more: str) -> DataFrame:
+    """Columns of one side of a pair of boxes."""
+    return df.select("uid", *more, F.col("low").alias(side), *[F.col(k).alias(side + k) for k in _SIDES])
+
+
+def _judged(pairs: DataFrame, r: float) -> DataFrame:
+    """Pairs of boxes a, b with points within r of each other for sure (_in) or perhaps; others go."""
+    gap = [F.greatest(F.lit(0.0), F.col("bl" + c) - F.col("ah" + c), F.col("al" + c) - F.col("bh" + c)) for c in XYZ]
+    span = [F.greatest(F.col("bh" + c) - F.col("al" + c), F.col("ah" + c) - F.col("bl" + c)) for c in XYZ]
+    size = lambda v: F.sqrt(sum((k * k for k in v), F.lit(0.0)))
+    return pairs.where(size(gap) <= r).withColumn("_in", size(span) <= r)
+
+
 def radius_clusters(points: DataFrame, r: float) -> DataFrame:
     """cluster_id of points connected by steps of at most r, from 0 in order of the smallest point of each.
 
-    Points of one sub-cell of edge r / sqrt(3) are always connected, so only sub-cells enter the graph.
+    Points of one sub-cell of edge r / sqrt(3) are always connected, so sub-cells enter the graph, and a pair of them asks one question: does
+    any of their points lie within r of the other's? The bounds of their points answer most pairs; what stays open is asked of
+    boxes a quarter and a sixteenth as large, and of the points of the boxes that are open even then.
     """
     if r <= 0:
         p = points.withColumn("_cell", F.concat_ws("/", "x", "y", "z"))
         low = p.groupBy("uid", "_cell").agg(F.min("point_id").alias("_low"))
         return _numbered(p.join(low, ["uid", "_cell"]).drop("_cell"))
     edge = r / sqrt(3)
-    p = _cells(points, edge).withColumn("_cell", F.concat_ws("/", F.col("uid").cast("string"), "_cx", "_cy", "_cz")).drop("_cx", "_cy", "_cz")
-    q = points.join(p.select("uid", "point_id", "_cell"), ["uid", "point_id"])
-    pairs = radius_neighbors(points, r)
-    cell = q.select("uid", F.col("point_id"), "_cell")
-    e = pairs.join(cell.withColumnsRenamed({"point_id": "a", "_cell": "ca"}), ["uid", "a"]).join(cell.withColumnsRenamed({"point_id": "b", "_cell": "cb"}), ["uid", "b"])
-    e = e.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    g = components(e)
-    q = q.join(g.withColumnRenamed("node", "_cell"), "_cell", "left").withColumn("_g", F.coalesce("component", "_cell")).drop("component")
-    least = q.groupBy("uid", "_g").agg(F.min("point_id").alias("_low"))
-    return _numbered(q.join(least, ["uid", "_g"]).drop("_g", "_cell"))
+    p = points.withColumns({"_f" + c: F.floor(F.col(c) / (edge / 16)) for c in XYZ})
+    cell = ["_f" + c for c in XYZ]
+    small = settle(_boxes(p, "_f"), "boxes")
+    middle = settle(_boxes(small, "_f", 4), "boxes")
+    large = settle(_boxes(middle, "_f", 4), "boxes")
+
+    def children(fine: DataFrame, coarse: DataFrame) -> DataFrame:
+        """Finer boxes with the box they lie in."""
+        up = coarse.select("uid", *cell, F.col("low").alias("up"))
+        return fine.withColumns({c: F.floor(F.col(c) / 4) for c in cell}).join(up, ["uid", *cell]).drop(*cell)
+
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    left = _of(large, "a", *cell).withColumn("_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(XYZ, o)]) for o in steps])))
+    left = left.withColumns({"_f" + c: F.col("_f" + c) + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
+    pairs = settle(_judged(left.join(_of(large, "b", *cell), ["uid", *cell]).drop(*cell), r), "pairs")
+    sure = pairs.where("_in").select("uid", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"))
+    ask = pairs.where("not _in").select("uid", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"), "a", "b")
+    for inner in (children(middle, large), children(small, middle)):
+        a, b = (_of(inner, k, "up").withColumnRenamed("up", "_" + k) for k in "ab")
+        pairs = ask.withColumnsRenamed({"a": "_a", "b": "_b"}).join(a, ["uid", "_a"]).join(b, ["uid", "_b"])
+        pairs = settle(_judged(pairs, r).select("uid", "cell_a", "cell_b", "a", "b", "_in"), "pairs")
+        hit = pairs.where("_in").select("uid", "cell_a", "cell_b").distinct()
+        sure = sure.union(hit)
+        ask = pairs.where("not _in").join(hit, ["uid", "cell_a", "cell_b"], "left_anti").select("uid", "cell_a", "cell_b", "a", "b")
+    inside = p.join(small.select("uid", *cell, "low"), ["uid", *cell]).select("uid", "low", *XYZ).distinct()
+    a, b = (inside.select("uid", F.col("low").alias(k), *[F.col(c).alias(k + c) for c in XYZ]) for k in "ab")
+    d = F.sqrt(sum(((F.col("a" + c) - F.col("b" + c)) ** 2 for c in XYZ), F.lit(0.0)))
+    sure = sure.union(ask.join(a, ["uid", "a"]).join(b, ["uid", "b"]).where(d <= r).select("uid", "cell_a", "cell_b").distinct())
+
+    node = lambda c: F.struct("uid", F.col(c).alias("low"))
+    g = components(sure.select(node("cell_a").alias("a"), node("cell_b").alias("b")))
+    g = g.select("node.uid", "node.low", F.col("component.low").alias("_low"))
+    names = large.join(g, ["uid", "low"], "left").select("uid", *cell, F.coalesce("_low", "low").alias("_low"))
+    q = p.withColumns({c: F.floor(F.floor(F.col(c) / 4) / 4) for c in cell}).join(names, ["uid", *cell]).drop(*cell)
+    return _numbered(q)
 
 
 def _numbered(p: DataFrame) -> DataFrame:
