@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from .graph import settle
 
 XYZ = ("x", "y", "z")
 
@@ -312,30 +313,68 @@ def extrude_lines(lines: DataFrame, trend: float, plunge: float, top: float, bot
     return s.select("uid", "cell_id", F.posexplode(F.array(*tri)).alias("half", "_t")).select("uid", "cell_id", "half", F.posexplode("_t").alias("corner", "_p")).select("uid", "cell_id", "half", "corner", "_p.*")
 
 
-def simplify_lines(lines: DataFrame, tol: float) -> DataFrame:
-    """Douglas-Peucker simplification in XYZ; a tolerance of 0 or less means 0.1."""
-    tol = tol if tol > 0 else 0.1
+SHORT = 4096  # vertices of a stretch that one task simplifies
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        p = pdf[list(XYZ)].to_numpy(float)
-        kept = np.zeros(len(p), bool)
-        kept[[0, -1]] = True
-        todo = [(0, len(p) - 1)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2:
-                continue
-            q, d = p[a + 1 : b] - p[a], p[b] - p[a]
-            t = np.clip(q @ d / max(d @ d, 1e-300), 0, 1)
-            off = np.linalg.norm(q - t[:, None] * d, axis=1)
-            k = int(off.argmax())
-            if off[k] > tol:
-                kept[a + 1 + k] = True
-                todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return pdf[kept]
-
-    return lines.groupBy("uid").applyInPandas(keep, lines.schema)
+
+def _off_chord() -> Column:
+    """Distance in XY of a vertex from the chord between (ax, ay) and (bx, by)."""
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    qx, qy = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(qx * dx + qy * dy, dx * dx + dy * dy), F.lit(0.0))))
+    return F.sqrt((qx - t * dx) ** 2 + (qy - t * dy) ** 2)
+
+
+def _simplified(pdf: pd.DataFrame, tol: float) -> pd.DataFrame:
+    """Vertices of one stretch to keep, by Douglas-Peucker; its ends are columns."""
+    pdf = pdf.sort_values("seq")
+    ends = pdf[["ax", "ay", "bx", "by"]].iloc[0].to_numpy(float)
+    p = np.vstack((ends[:2], pdf[["x", "y"]].to_numpy(float), ends[2:]))
+    kept, todo = np.zeros(len(p), bool), [(0, len(p) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        q, d = p[a + 1 : b] - p[a], p[b] - p[a]
+        t = np.clip(q @ d / max(d @ d, 1e-300), 0, 1)
+        off = np.sqrt(((q - t[:, None] * d) ** 2).sum(1))
+        k = int(off.argmax())
+        if off[k] > tol:
+            kept[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return pdf.loc[kept[1:-1], ["uid", "seq"]]
+
+
+def simplify_lines(lines: DataFrame, tol: float, short: int = SHORT) -> DataFrame:
+    """Douglas-Peucker simplification in XY; a tolerance of 0 or less means 0.1.
+
+    Stretches of more than short vertices are halved by rounds over all of them: the vertex farthest from the chord (grouped maxima, which combine
+    before the shuffle) stays and parts its stretch, or the stretch is done. Shorter stretches are each finished in one task.
+    """
+    tol = tol if tol > 0 else 0.1
+    xy = lambda n: [F.col(f"{n}.{c}").alias(n + c) for c in "xy"]
+    ends = lines.groupBy("uid").agg(F.min(F.struct("seq", "x", "y")).alias("a"), F.max(F.struct("seq", "x", "y")).alias("b"))
+    kept = ends.select("uid", F.explode(F.array("a.seq", "b.seq")).alias("seq"))
+    spans = ends.select("uid", F.col("a.seq").alias("from"), *xy("a"), *xy("b"))
+    limits = ends.select("uid", F.col("a.seq").alias("from"), F.col("b.seq").alias("_to"))
+    open_ = lines.select("uid", "seq", "x", "y").join(limits, "uid").where("seq > from and seq < _to").drop("_to")
+    while True:
+        size = open_.groupBy("uid", "from").agg(F.count(F.lit(1)).alias("_n"))
+        big = settle(size.where(F.col("_n") > short).drop("_n"), "big")
+        if big.isEmpty():
+            break
+        wide = open_.join(big, ["uid", "from"]).join(spans, ["uid", "from"]).withColumn("_d", _off_chord())
+        far = wide.groupBy("uid", "from").agg(F.max(F.struct("_d", (-F.col("seq")).alias("_k"), "x", "y")).alias("_m"))
+        far = settle(far.select("uid", "from", F.when(F.col("_m._d") > tol, -F.col("_m._k")).alias("_at"), F.col("_m.x").alias("_x"), F.col("_m.y").alias("_y")), "far")
+        kept = kept.union(far.where("_at is not null").select("uid", "_at"))
+        # both halves of a parted stretch; a stretch whose farthest vertex is near enough is done
+        parted = spans.join(far.where("_at is not null"), ["uid", "from"])
+        halves = parted.select("uid", "from", "ax", "ay", F.col("_x").alias("bx"), F.col("_y").alias("by")).union(parted.select("uid", F.col("_at"), "_x", "_y", "bx", "by"))
+        spans = settle(spans.join(far.select("uid", "from"), ["uid", "from"], "left_anti").union(halves), "spans")
+        rest = open_.join(far.select("uid", "from", "_at", F.lit(True).alias("_was")), ["uid", "from"], "left").where("_was is null or (_at is not null and seq <> _at)")
+        open_ = settle(rest.select("uid", "seq", "x", "y", F.when(F.col("seq") > F.col("_at"), F.col("_at")).otherwise(F.col("from")).alias("from")), "open")
+    kinds = dict(lines.dtypes)
+    inner = open_.join(spans, ["uid", "from"]).groupBy("uid", "from").applyInPandas(lambda pdf: _simplified(pdf, tol), f"uid {kinds['uid']}, seq {kinds['seq']}")
+    return lines.join(kept.union(inner).distinct(), ["uid", "seq"], "left_semi")
 
 
 def offset_lines(lines: DataFrame, d: float, join: str = "mitre", limit: float = 10.0) -> DataFrame:

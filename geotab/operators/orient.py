@@ -132,9 +132,50 @@ def assign(vectors: DataFrame, centers: list[tuple]) -> DataFrame:
     return vectors.withColumn("cluster", F.array_min(F.array(*d))["i"])
 
 
-def kmeans(vectors: DataFrame, seeds: list[tuple], axial: bool = False, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
-    """Lloyd's clusters from given seeds; each round is one grouped average, the centers go to the tasks as literals."""
-    data = settle((double_axial(vectors) if axial else vectors).select("x", "y", "z"), "vectors")
+def _cost_to(p: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of points (rows) to centers (columns)."""
+    return ((p[:, None] - centers[None]) ** 2).sum(2)
+
+
+def kmeans_start(data: DataFrame, k: int, rounds: int = 5) -> list[tuple]:
+    """k starting centers for data (x, y, z), spread out: k-means|| with sampling by hashed keys, so that reruns agree.
+
+    A round draws 2 k positions at once, each with a chance in proportion to its squared distance from the candidates so far (the smallest
+    -ln(hash) / weight). The candidates, weighted by the vectors nearest to them, are reduced to k on the driver: each time the one is
+    taken that lowers their cost most. 10 k + 1 candidates at most.
+    """
+    at = settle(data.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n")), "positions")
+    found: list[tuple] = []
+    for step in range(rounds + 1):
+        u = (F.pmod(F.xxhash64("x", "y", "z", F.lit(step)), F.lit(1 << 52)) + 0.5) / (1 << 52)
+        far = F.lit(1.0)
+        if found:
+            far = F.array_min(F.array(*[sum(((F.col(c) - v) ** 2 for c, v in zip("xyz", m)), F.lit(0.0)) for m in found]))
+        drawn = at.withColumn("_w", F.col("n") * far).where("_w > 0").withColumn("_key", -F.log(u) / F.col("_w"))
+        got = drawn.orderBy("_key", "x", "y", "z").limit(2 * k if found else 1).select("x", "y", "z").collect()
+        if not got:
+            break
+        found += [tuple(r) for r in got]
+    if len(found) < k:
+        raise ValueError(f"{k} clusters need {k} different vectors at least; there are {len(found)}")
+    weight = {r["cluster"]: r["n"] for r in assign(at, found).groupBy("cluster").agg(F.sum("n").alias("n")).collect()}
+    p, w = np.array(found, float), np.array([weight.get(i, 0) for i in range(len(found))], float)
+    apart = _cost_to(p, p)
+    near, chosen = np.full(len(p), np.inf), []
+    for _ in range(k):
+        best = int((np.minimum(near[:, None], apart) * w[:, None]).sum(0).argmin())
+        chosen.append(best)
+        near = np.minimum(near, apart[best])
+    return [found[i] for i in chosen]
+
+
+def kmeans(vectors: DataFrame, seeds: list[tuple] | None = None, axial: bool = False, rounds: int = 100, tolerance: float = 1e-9, k: int | None = None) -> DataFrame:
+    """Lloyd's clusters from given seeds, or k clusters from kmeans_start; each round is one grouped average, the centers go to the tasks as literals."""
+    data = settle((double_axial(vectors) if axial else vectors).select(*[F.col(c).cast("double").alias(c) for c in "xyz"]), "vectors")
+    if seeds is None:
+        if not k or k < 1:
+            raise ValueError("k must be at least 1")
+        seeds = kmeans_start(data.dropna(), k)
     centers = [tuple(map(float, s)) for s in seeds]
     for _ in range(rounds):
         got = {r["cluster"]: (r["x"], r["y"], r["z"]) for r in assign(data, centers).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect()}

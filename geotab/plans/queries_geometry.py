@@ -382,7 +382,16 @@ def _(ls):
     return t.groupBy("uid", F.col("cell_id").cast("long").alias("cell_id")).agg(r(low, "low"), r(far, "far"))
 
 
-@query("m17_simplify_lines", "fx_lines")
+_SIMPLE = (
+    "WITH RECURSIVE p_ AS MATERIALIZED (SELECT uid, seq, x, y FROM fx_lines), iv_ AS (SELECT uid, min(seq) AS a, max(seq) AS b FROM p_ GROUP BY uid UNION ALL "
+    "SELECT uid, unnest([a, m]), unnest([m, b]) FROM (SELECT uid, a, b, arg_max(seq, {'d': d, 'k': -seq}) AS m, max(d) AS d FROM (SELECT uid, a, b, seq, sqrt((qx - t * dx) * (qx - t * dx) + (qy - t * dy) * (qy - t * dy)) AS d FROM "
+    "(SELECT *, greatest(0.0, least(1.0, coalesce((qx * dx + qy * dy) / nullif(dx * dx + dy * dy, 0), 0.0))) AS t FROM (SELECT i.uid, i.a, i.b, p.seq, p.x - s.x AS qx, p.y - s.y AS qy, e.x - s.x AS dx, e.y - s.y AS dy "
+    "FROM iv_ i JOIN p_ s ON s.uid = i.uid AND s.seq = i.a JOIN p_ e ON e.uid = i.uid AND e.seq = i.b JOIN p_ p ON p.uid = i.uid AND p.seq > i.a AND p.seq < i.b) q) r) w GROUP BY uid, a, b) f WHERE d > 30) "
+    f"SELECT uid, seq, {R('x')} AS x, {R('y')} AS y FROM p_ JOIN (SELECT DISTINCT uid, unnest([a, b]) AS seq FROM iv_) k USING (uid, seq)"
+)
+
+
+@query("m17_simplify_lines", "fx_lines", _SIMPLE)
 def _(ls):
     return lines.simplify_lines(ls, 30.0).select("uid", "seq", r("x"), r("y"))
 
@@ -550,11 +559,31 @@ def _(v):
     return orient.kmedoids(orient.flip_down(v), _SEEDS, axial=True).select("point_id", "cluster")
 
 
-@query("g7_kmeans", "fx_vectors")
+def _lloyd() -> str:
+    """Rounds of the clusters of g7 in one row of centers each; the last one assigns."""
+    near = lambda v: "CASE WHEN " + " AND ".join(f"{v(0)} <= {v(k)}" for k in (1, 2)) + f" THEN 0 WHEN {v(1)} <= {v(2)} THEN 1 ELSE 2 END"
+    d = lambda k: "(" + " + ".join(f"(v.{c} - c.{c}{k}) * (v.{c} - c.{c}{k})" for c in "xyz") + ")"
+    start = ", ".join(f"CAST({v} AS DOUBLE) AS {c}{k}" for k, s in enumerate(_SEEDS) for c, v in zip("xyz", s))
+    mean = ", ".join(f"coalesce(avg({c}) FILTER (cl = {k}), any_value({c}{k})) AS {c}{k}" for k in range(3) for c in "xyz")
+    moved = "greatest(" + ", ".join(f"abs(coalesce(avg({c}) FILTER (cl = {k}), any_value({c}{k})) - any_value({c}{k}))" for k in range(3) for c in "xyz") + ")"
+    return (
+        "WITH RECURSIVE v_ AS MATERIALIZED (SELECT point_id, CASE WHEN z > 0 THEN -x ELSE x END AS x, CASE WHEN z > 0 THEN -y ELSE y END AS y, CASE WHEN z > 0 THEN -z ELSE z END AS z FROM fx_vectors), "
+        f"c_ AS (SELECT 0 AS step, 1.0E0 AS moved, {start} UNION ALL SELECT any_value(step) + 1, {moved}, {mean} FROM (SELECT v.*, c.* , {near(d)} AS cl FROM v_ v CROSS JOIN c_ c WHERE c.step < 100 AND c.moved > 1e-9) q HAVING count(*) > 0), "
+        f"last_ AS (SELECT * FROM c_ QUALIFY step = max(step) OVER ()) SELECT point_id, {near(d)} AS cluster FROM v_ v CROSS JOIN last_ c"
+    )
+
+
+@query("g7_kmeans", "fx_vectors", _lloyd())
 def _(v):
     return orient.kmeans(orient.flip_down(v), _SEEDS).select("point_id", "cluster")
 
 
+@query("g7_kmeans_start", "fx_vectors")
+def _(v):
+    """Clusters from starting centers found by the library."""
+    return orient.kmeans(orient.flip_down(v), k=3).select("point_id", "cluster")
+
+
 @query("g7_kmeans_assign", "fx_vectors", "SELECT point_id, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM (SELECT point_id, (x - 1) * (x - 1) + y * y + z * z AS d0, x * x + (y - 1) * (y - 1) + z * z AS d1, x * x + y * y + (z + 1) * (z + 1) AS d2 FROM fx_vectors) q")
 def _(v):
     return orient.assign(v, _SEEDS).select("point_id", "cluster")
