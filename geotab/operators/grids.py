@@ -133,13 +133,16 @@ def _cut_table() -> list[list[tuple]]:
 
 
 def iso_triangles(values: DataFrame, iso: float) -> DataFrame:
-    """Triangles of an iso-surface by marching tetrahedra: tet, tri, corner, and a key of the grid edge each corner lies on."""
-    c = values.select("i", "j", "k", F.col("value").alias("v0"))
-    for n in range(1, 8):
-        o = [n >> a & 1 for a in range(3)]
-        c = c.join(values.select(*[(F.col(a) - d).cast("int").alias(a) for a, d in zip("ijk", o)], F.col("value").alias(f"v{n}")), ["i", "j", "k"])
+    """Triangles of an iso-surface by marching tetrahedra: tet, tri, corner, and a key of the grid edge each corner lies on.
+
+    Each node goes to the eight cells it is a corner of; cells gather their corners in one grouping. Cells with a corner missing or null have no triangles.
+    """
+    corner = [F.struct(*[(F.col(a) - (n >> s & 1)).cast("int").alias(a) for s, a in enumerate("ijk")], F.lit(n).alias("n")) for n in range(8)]
+    c = values.where("value is not null").select("value", F.explode(F.array(*corner)).alias("_c")).select("value", "_c.*")
+    c = c.groupBy("i", "j", "k").agg(*[F.max(F.when(F.col("n") == n, F.col("value"))).alias(f"v{n}") for n in range(8)])
     names = [f"v{n}" for n in range(8)]
-    c = c.where((F.least(*names) < iso) & (F.greatest(*names) >= iso)).select("i", "j", "k", F.array(*names).alias("v"))
+    whole = sum((F.col(v).isNull().cast("int") for v in names), F.lit(0)) == 0
+    c = c.where(whole & (F.least(*names) < iso) & (F.greatest(*names) >= iso)).select("i", "j", "k", F.array(*names).alias("v"))
     ints = lambda xs: F.array(*[F.lit(x) for x in xs])
     t = c.select("*", F.posexplode(F.array(*[ints(x) for x in _TETS])).alias("tet", "w"))
     mask = sum((F.when(F.get("v", F.get("w", F.lit(n))) < iso, 1 << n).otherwise(0) for n in range(4)), F.lit(0))

@@ -178,15 +178,18 @@ def _filed(s: DataFrame, cell: float, eps: float) -> DataFrame:
     return s.withColumn("cy", F.explode(span(low - F.col("_pad"), high + F.col("_pad")))).drop("_pad")
 
 
-def crossings(a: DataFrame, b: DataFrame, cell: float, eps: float = 1e-8, once: bool = False) -> DataFrame:
-    """Where segments of a and b (uid, cell_id, x1, y1, x2, y2) of different lines cross in XY: a, a_cell, t, b, b_cell, u, x, y.
+OTHERS, ONCE, OWN = "a_uid <> b_uid", "a_uid < b_uid", "a_uid = b_uid and a_cell_id + 1 < b_cell_id"
+
+
+def crossings(a: DataFrame, b: DataFrame, cell: float, eps: float = 1e-8, pairs: str = OTHERS) -> DataFrame:
+    """Where segments of a and b (uid, cell_id, x1, y1, x2, y2) cross in XY: a, a_cell, t, b, b_cell, u, x, y.
 
     t and u run from 0 to 1 along the segments, eps beyond. Segments meet in the cells they pass, and the cell that holds the crossing tells it, so
-    each pair of segments is told once. Parallel segments have no crossing. once: only pairs of lines with a < b.
+    each pair of segments is told once. Parallel segments have no crossing. pairs: those of different lines (ONCE: a < b), or a line's OWN that aren't neighbours.
     """
     f = [_filed(s.select("uid", "cell_id", "x1", "y1", "x2", "y2"), cell, eps) for s in (a, b)]
     f = [s.select("cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("uid", "cell_id", "x1", "y1", "x2", "y2")]) for n, s in zip("ab", f)]
-    p = f[0].join(f[1], ["cx", "cy"]).where("a_uid < b_uid" if once else "a_uid <> b_uid")
+    p = f[0].join(f[1], ["cx", "cy"]).where(pairs)
     rx, ry = F.col("a_x2") - F.col("a_x1"), F.col("a_y2") - F.col("a_y1")
     qx, qy = F.col("b_x2") - F.col("b_x1"), F.col("b_y2") - F.col("b_y1")
     wx, wy = F.col("b_x1") - F.col("a_x1"), F.col("b_y1") - F.col("a_y1")
@@ -201,7 +204,7 @@ def crossings(a: DataFrame, b: DataFrame, cell: float, eps: float = 1e-8, once:
 def segment_intersections(lines: DataFrame, cell: float, eps: float = 1e-8) -> DataFrame:
     """Points in which two different lines cross in XY, each once: a < b, x, y."""
     s = segments(lines)
-    return crossings(s, s, cell, eps, once=True).select("a", "b", *[F.round(c, 6).alias(c) for c in "xy"]).distinct()
+    return crossings(s, s, cell, eps, ONCE).select("a", "b", *[F.round(c, 6).alias(c) for c in "xy"]).distinct()
 
 
 def _placed(lines: DataFrame) -> DataFrame:
@@ -377,8 +380,8 @@ def simplify_lines(lines: DataFrame, tol: float, short: int = SHORT) -> DataFram
     return lines.join(kept.union(inner).distinct(), ["uid", "seq"], "left_semi")
 
 
-def offset_lines(lines: DataFrame, d: float, join: str = "mitre", limit: float = 10.0) -> DataFrame:
-    """Lines moved by d to the left in XY; joins are mitred up to limit times d, or round (16 steps a quarter)."""
+def _offset_curve(lines: DataFrame, d: float, join: str, limit: float) -> DataFrame:
+    """Each vertex moved by d to the left in XY, with the loops that this makes."""
     if join not in ("mitre", "round"):
         raise ValueError("join must be mitre or round")
     w = _w("uid")
@@ -406,6 +409,77 @@ def offset_lines(lines: DataFrame, d: float, join: str = "mitre", limit: float =
     return out.withColumn("seq", F.row_number().over(Window.partitionBy("uid").orderBy("seq", "_k")).cast("long")).select("uid", "seq", *XYZ)
 
 
+def self_crossing(lines: DataFrame, cell: float) -> DataFrame:
+    """uid of lines that cross or touch themselves, other than where a closed one ends."""
+    s = segments(dedupe_consecutive(lines))
+    x = crossings(s, s, cell, 1e-9, OWN)
+    last = s.groupBy("uid").agg(F.max("cell_id").alias("_last"))
+    x = x.join(last.withColumnRenamed("uid", "a"), "a")
+    closing = (F.col("a_cell") == 0) & (F.col("t") < 1e-6) & (F.col("b_cell") == F.col("_last")) & (F.col("u") > 1 - 1e-6)
+    return x.where(~closing).select(F.col("a").alias("uid")).distinct()
+
+
+def _touching(points: DataFrame, s: DataFrame, reach: float) -> DataFrame:
+    """Points (uid, k, x, y) nearer than reach to a segment of their own line: uid, k."""
+    cell = 2 * reach
+    low = lambda a, b: F.floor((F.least(a, b) - reach) / cell).cast("long")
+    high = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell).cast("long")
+    f = s.select("uid", *[F.col(c + e).alias(n + c) for n, e in (("a", "1"), ("b", "2")) for c in "xy"])
+    f = f.withColumn("cx", F.explode(F.sequence(low("ax", "bx"), high("ax", "bx")))).withColumn("cy", F.explode(F.sequence(low("ay", "by"), high("ay", "by"))))
+    # of the cells around its box, a slanting segment keeps those near it
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    off = F.abs(((F.col("cx") + 0.5) * cell - F.col("ax")) * dy - ((F.col("cy") + 0.5) * cell - F.col("ay")) * dx)
+    f = f.where(off <= (reach + 0.7072 * cell) * F.sqrt(dx * dx + dy * dy) + 1e-9)
+    p = points.withColumns({"c" + c: F.floor(F.col(c) / cell).cast("long") for c in "xy"})
+    return p.join(f, ["uid", "cx", "cy"]).where(_off_chord() < reach).select("uid", "k").distinct()
+
+
+def offset_lines(lines: DataFrame, d: float, join: str = "mitre", limit: float = 10.0, cell: float | None = None) -> DataFrame:
+    """Lines moved by d to the left in XY; joins are mitred up to limit times d, or round (16 steps a quarter).
+
+    Lines that cross themselves are refused: they aren't in the result. The moved curve is cut where it crosses itself; pieces nearer than |d| to the line
+    go, neighbouring pieces that are left are joined, and of several parts the longest stays (ties: the first). cell: edge of the cells in
+    which segments meet, 4 |d| by default.
+    """
+    cell = cell or max(4 * abs(d), 1e-6)
+    lines = lines.join(self_crossing(lines, cell), "uid", "left_anti")
+    if d == 0:
+        return lines.select("uid", "seq", *XYZ)
+    curve = settle(dedupe_consecutive(_offset_curve(lines, d, join, limit)), "curve")
+    s = segments(curve)
+    x = crossings(s, s, cell, 0.0, OWN)
+    cuts = x.select(F.col("a").alias("uid"), F.col("a_cell").alias("_cell"), F.col("t").alias("_t"), "x", "y").union(x.select("b", "b_cell", "u", "x", "y"))
+    cuts = cuts.withColumn("at", _place("_cell", "_t")).groupBy("uid", "at").agg(F.min(F.struct("_cell", "_t", "x", "y")).alias("_c"))
+    cuts = _on(cuts.select("uid", "at", "_c.*"), s).select("uid", "at", *XYZ, F.lit(1).alias("cut"))
+    v = _placed(curve).select("uid", "at", *XYZ, F.lit(0).alias("cut"))
+    v = v.join(cuts.select("uid", "at"), ["uid", "at"], "left_anti").unionByName(cuts)
+    w = Window.partitionBy("uid").orderBy("at")
+    v = settle(v.withColumn("k", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))), "cuts")
+    # each piece is judged by the middle of its longest segment
+    e = v.withColumns({"_x2": F.lead("x").over(w), "_y2": F.lead("y").over(w)}).where("_x2 is not null")
+    e = e.withColumn("_s", F.sqrt((F.col("_x2") - F.col("x")) ** 2 + (F.col("_y2") - F.col("y")) ** 2))
+    size = e.groupBy("uid", "k").agg(F.sum("_s").alias("_s"), F.max(F.struct("_s", ((F.col("x") + F.col("_x2")) / 2).alias("x"), ((F.col("y") + F.col("_y2")) / 2).alias("y"))).alias("_m"))
+    bad = _touching(size.select("uid", "k", "_m.x", "_m.y"), segments(lines), abs(d) * (1 - 1e-6))
+    good = size.select("uid", "k", "_s").join(bad, ["uid", "k"], "left_anti")
+    begin = v.where("cut = 1").select("uid", "k", F.col("x").alias("_bx"), F.col("y").alias("_by"))
+    end = v.where("cut = 1").select("uid", (F.col("k") - 1).alias("k"), F.col("x").alias("_ex"), F.col("y").alias("_ey"))
+    good = good.join(begin, ["uid", "k"], "left").join(end, ["uid", "k"], "left")
+    # a piece goes on with the one before if it begins where that ends
+    o = Window.partitionBy("uid").orderBy("k")
+    apart = F.greatest(F.abs(F.col("_bx") - F.lag("_ex").over(o)), F.abs(F.col("_by") - F.lag("_ey").over(o)))
+    good = good.withColumn("_new", F.coalesce(apart > 1e-6 * cell, F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(o))
+    total = good.groupBy("uid", "_part").agg(F.round(F.sum("_s"), 6).alias("_s")).groupBy("uid").agg(F.max(F.struct("_s", (-F.col("_part")).alias("_p"))).alias("_b"))
+    total = total.where("_b._s > 0")
+    kept = good.join(total.select("uid", (-F.col("_b._p")).alias("_part")), ["uid", "_part"]).select("uid", "k", "_part")
+    # a cut begins its own piece and ends the one before
+    both = v.withColumn("k", F.explode(F.when(F.col("cut") == 1, F.array(F.col("k") - 1, F.col("k"))).otherwise(F.array("k"))))
+    out = both.join(kept, ["uid", "k"]).select("uid", "at", "k", *XYZ)
+    # the first row of a piece that goes on is the last one of the piece before
+    row = Window.partitionBy("uid").orderBy("k", "at")
+    out = out.withColumn("_twice", F.coalesce(F.col("k") > F.lag("k").over(row), F.lit(False))).where("not _twice")
+    return out.select("uid", F.row_number().over(Window.partitionBy("uid").orderBy("k", "at")).cast("long").alias("seq"), *XYZ)
+
+
 def _turned(x: Column, y: Column, a: Column):
     return x * F.cos(a) - y * F.sin(a), x * F.sin(a) + y * F.cos(a)
 

@@ -34,36 +34,44 @@ def connected_parts(cells: DataFrame) -> DataFrame:
     return g.join(ids, ["uid", "low"]).select("uid", "point_id", "region_id")
 
 
-def boundary_loops(triangles: DataFrame) -> DataFrame:
-    """Boundary edges chained into closed rings: uid, ring (smallest vertex), number, point_id; short rings go."""
-    e = boundary_edges(triangles)
-    parts = connected_parts(e.select("uid", F.array("a", "b").alias("ids")))
-    tagged = e.join(parts.select("uid", F.col("point_id").alias("a"), "region_id"), ["uid", "a"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf.a, pdf.b):
-            near.setdefault(int(a), []).append(int(b))
-            near.setdefault(int(b), []).append(int(a))
-        out, left = [], {tuple(sorted((int(a), int(b)))) for a, b in zip(pdf.a, pdf.b)}
-        while left:
-            start = min(min(left))
-            ring, at = [start], start
-            while True:
-                step = sorted(b for b in near[at] if tuple(sorted((at, b))) in left)
-                if not step:
-                    break
-                left.discard(tuple(sorted((at, step[0]))))
-                at = step[0]
-                if at == start:
-                    break
-                ring.append(at)
-            if len(ring) >= 3:
-                out += [(pdf.uid.iloc[0], start, i, p) for i, p in enumerate(ring)]
-        return pd.DataFrame(out, columns=["uid", "ring", "number", "point_id"])
-
-    kind = dict(triangles.dtypes)["uid"]
-    return tagged.groupBy("uid", "region_id").applyInPandas(chain, f"uid {kind}, ring long, number long, point_id long")
+def boundary_loops(triangles: DataFrame, rounds: int = 40) -> DataFrame:
+    """Boundary edges chained into closed rings: uid, ring (smallest vertex), number, point_id, from the smallest vertex on towards its smaller neighbour; short rings go.
+
+    At a vertex where several rings meet, neighbours in ascending order go together by twos. Half-edges point to the next one of their
+    ring; pointers are doubled round by round, first to find each ring's least half-edge, then to count the steps to it, so no task holds a ring.
+    """
+    e = boundary_edges(triangles).select("uid", "a", "b")
+    both = e.union(e.select("uid", "b", "a"))
+    place = F.row_number().over(Window.partitionBy("uid", "a").orderBy("b")) - 1
+    spoke = settle(both.withColumn("_pair", F.floor(place / 2)), "spokes")
+    # from a over b, the next vertex is the other one of b's pair
+    turn = spoke.select("uid", F.col("a").alias("b"), F.col("b").alias("a"), "_pair").join(spoke.select("uid", F.col("a").alias("b"), F.col("b").alias("c"), "_pair"), ["uid", "b", "_pair"])
+    edge = lambda p, q: F.struct(F.col(p).alias("a"), F.col(q).alias("b"))
+    start = settle(turn.where("a <> c").select("uid", edge("a", "b").alias("at"), edge("b", "c").alias("to")), "turns")
+
+    at = start.withColumn("low", F.col("at"))
+    for _ in range(rounds):
+        far = at.select("uid", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        new = at.join(far, ["uid", "to"]).select("uid", "at", F.col("_to").alias("to"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("_new"))
+        new = settle(new, "lows")
+        at = new.drop("_new")
+        if new.where("_new").isEmpty():
+            break
+    # each ring is met in both directions; the one with the smaller first half-edge stays, as it begins at the smallest vertex
+    low = at.select("uid", "at", "low")
+    back = low.select("uid", F.struct(F.col("at.b").alias("a"), F.col("at.a").alias("b")).alias("at"), F.col("low").alias("_other"))
+    ring = low.join(back, ["uid", "at"]).where(F.col("low") < F.col("_other")).select("uid", "at", "low")
+    # steps to the last half-edge, which has no next one
+    rank = start.join(ring, ["uid", "at"]).withColumn("to", F.when(F.col("to") != F.col("low"), F.col("to"))).withColumn("n", F.when(F.col("to").isNull(), 0).otherwise(1))
+    rank = settle(rank, "ranks")
+    for _ in range(rounds):
+        if rank.where("to is not null").isEmpty():
+            break
+        far = rank.select("uid", F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        rank = settle(rank.join(far, ["uid", "to"], "left").select("uid", "at", "low", F.col("_to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "ranks")
+    size = rank.groupBy("uid", "low").agg(F.max("n").alias("_last"))
+    out = rank.join(size, ["uid", "low"]).where("_last >= 2")
+    return out.select("uid", F.col("low.a").alias("ring"), (F.col("_last") - F.col("n")).cast("long").alias("number"), F.col("at.a").alias("point_id"))
 
 
 def clean_topology(points: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:

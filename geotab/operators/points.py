@@ -429,20 +429,41 @@ def hull(xy: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+HELD = 100_000  # hull vertices that a task holds before it passes them on
+
+
+def _partial_hulls(batches, keys: tuple[str, ...], u: str, v: str):
+    """Hull vertices by group of what a task has seen, batch by batch."""
+    held: dict[tuple, np.ndarray] = {}
+
+    def out():
+        rows = [(*k, *p) for k, h in held.items() for p in h.tolist()]
+        return pd.DataFrame(rows, columns=[*keys, u, v])
+
+    for batch in batches:
+        for k, part in batch.groupby(list(keys), dropna=False, sort=False):
+            p = part[[u, v]].to_numpy(float)
+            held[k] = hull(np.vstack((held[k], p)) if k in held else p)
+        if sum(map(len, held.values())) > HELD:
+            yield out()
+            held.clear()
+    yield out()
+
+
 def hulls(points: DataFrame, *keys: str, u: str = "u", v: str = "v", salts: int = 32) -> DataFrame:
-    """Hull vertices (u, v, number) by group, in two steps: hulls of parts, then the hull of their vertices."""
+    """Hull vertices (u, v, number) by group, anticlockwise: each task streams its rows and keeps hulls only; these meet in parts, then by group."""
     types = dict(points.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{u}` double, `{v}` double"
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[[u, v]].to_numpy(float))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(h) for k in keys}, u: h[:, 0], v: h[:, 1]})
+    def partial(df: DataFrame) -> DataFrame:
+        return df.mapInPandas(lambda it: _partial_hulls(it, keys, u, v), schema)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        return partial(pdf).assign(number=lambda d: range(len(d)))
+        h = hull(pdf[[u, v]].to_numpy(float))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(h) for k in keys}, u: h[:, 0], v: h[:, 1], "number": range(len(h))})
 
-    p = points.select(*keys, u, v).dropna().withColumn("_s", F.pmod(F.xxhash64(u, v), F.lit(salts)))
-    p = p.groupBy(*keys, "_s").applyInPandas(partial, schema)
+    p = partial(points.select(*keys, u, v).dropna())
+    p = partial(p.repartition(*keys, F.pmod(F.xxhash64(u, v), F.lit(salts))))
     return p.groupBy(*keys).applyInPandas(final, schema + ", number long")
 
 

@@ -512,7 +512,30 @@ def _(p):
     return points.histogram(p, "x", 0.0, 600.0, 10)
 
 
-@query("a11_facets", "fx_points")
+def _wrapped(pts: str) -> str:
+    """CTEs that end in wrap_(g, step, u, v): the hull of each group g of points by gift wrapping, anticlockwise from its leftmost point; step 0 and the last are this point."""
+    turn = "((atan2(p.v - w.v, p.u - w.u) - w.th + 1e-9) % (2 * pi()) + 2 * pi()) % (2 * pi()) - 1e-9"
+    return (
+        f"pts_ AS MATERIALIZED (SELECT DISTINCT g, CAST(u AS DOUBLE) AS u, CAST(v AS DOUBLE) AS v FROM ({pts}) q WHERE u IS NOT NULL AND v IS NOT NULL), "
+        "start_ AS (SELECT g, m.u AS u, m.v AS v FROM (SELECT g, min({'u': u, 'v': v}) AS m FROM pts_ GROUP BY g) q), "
+        "wrap_ AS (SELECT g, 0 AS step, u, v, -pi() / 2 AS th FROM start_ UNION ALL SELECT g, step + 1, m.u, m.v, m.th FROM (SELECT w.g, w.step, min({"
+        f"'t': round({turn}, 9), 'd': -(p.u - w.u) * (p.u - w.u) - (p.v - w.v) * (p.v - w.v), 'u': p.u, 'v': p.v, 'th': atan2(p.v - w.v, p.u - w.u)}}) AS m "
+        "FROM wrap_ w JOIN start_ s ON s.g = w.g JOIN pts_ p ON p.g = w.g AND (p.u <> w.u OR p.v <> w.v) WHERE w.step < 1000 AND (w.step = 0 OR w.u <> s.u OR w.v <> s.v) GROUP BY w.g, w.step) q)"
+    )
+
+
+_FACET_UV = (
+    f"SELECT c.uid AS g, dx * ux + dy * uy AS u, dx * -c * uy + dy * c * ux + dz * (a * uy - b * ux) AS v FROM (SELECT c.uid, x - mx AS dx, y - my AS dy, z - mz AS dz, a, b, c, b / sqrt(a * a + b * b) AS ux, -a / sqrt(a * a + b * b) AS uy "
+    f"FROM {_CLOUDS} c JOIN (SELECT uid, mx, my, mz, a, b, c FROM ({_CLOUD_PLANES}) p) p ON p.uid = c.uid) c"
+)
+_FACETS = (
+    f"WITH RECURSIVE {_wrapped(_FACET_UV)}, ring_ AS (SELECT g, step, u, v, lag(u) OVER w AS u0, lag(v) OVER w AS v0 FROM wrap_ WINDOW w AS (PARTITION BY g ORDER BY step)), "
+    "area_ AS (SELECT g, abs(sum((u0 * v - u * v0) / 2)) AS area FROM ring_ GROUP BY g), size_ AS (SELECT g, max(u) - min(u) AS width, max(v) - min(v) AS length FROM pts_ GROUP BY g) "
+    f"SELECT q.uid, q.n, {R(_PLANE_DIP)} AS dip, {R(_PLANE_DIR)} AS dip_dir, round(area, 3) AS area, round(width, 3) AS width, round(length, 3) AS length FROM ({_CLOUD_PLANES}) q JOIN area_ r ON r.g = q.uid JOIN size_ z ON z.g = q.uid WHERE a IS NOT NULL"
+)
+
+
+@query("a11_facets", "fx_points", _FACETS)
 def _(p):
     return points.facets(_clouds(p), "uid").select("uid", "n", r("dip"), r("dip_dir"), *[F.round(c, 3).alias(c) for c in ("area", "width", "length")])
 
@@ -535,7 +558,17 @@ def _(p, t):
     return mesh.mesh_area(p, t).select("uid", r("area"))
 
 
-@query("a14_oriented_bbox", "fx_points")
+_TURNED_BOX = (
+    f"WITH RECURSIVE {_wrapped('SELECT 0 AS g, x AS u, y AS v FROM fx_points')}, edge_ AS (SELECT DISTINCT round(((atan2(v - lag(v) OVER w, u - lag(u) OVER w) % (pi() / 2)) + pi() / 2) % (pi() / 2), 12) AS a FROM wrap_ WINDOW w AS (ORDER BY step)), "
+    "box_ AS (SELECT a, min(u * cos(a) + v * sin(a)) AS l0, max(u * cos(a) + v * sin(a)) AS h0, min(v * cos(a) - u * sin(a)) AS l1, max(v * cos(a) - u * sin(a)) AS h1 FROM edge_ CROSS JOIN wrap_ WHERE a IS NOT NULL GROUP BY a), "
+    "best_ AS (SELECT a, l0 - 0.1 * (h0 - l0) AS l0, h0 + 0.1 * (h0 - l0) AS h0, l1 - 0.1 * (h1 - l1) AS l1, h1 + 0.1 * (h1 - l1) AS h1 FROM box_ ORDER BY (h0 - l0) * (h1 - l1), a LIMIT 1) "
+    f"SELECT {R('degrees(a)')} AS angle, "
+    + ", ".join(f"round({p} * cos(a) - {q} * sin(a), 3) AS x{i}, round({p} * sin(a) + {q} * cos(a), 3) AS y{i}" for i, (p, q) in enumerate((("l0", "l1"), ("h0", "l1"), ("h0", "h1"), ("l0", "h1")), 1))
+    + ", (SELECT min(z) - 0.1 * (max(z) - min(z)) FROM fx_points) AS z_low, (SELECT max(z) + 0.1 * (max(z) - min(z)) FROM fx_points) AS z_high FROM best_"
+)
+
+
+@query("a14_oriented_bbox", "fx_points", _TURNED_BOX)
 def _(p):
     return points.oriented_bbox(p).select(r("angle"), *[F.round(f"{c}{i}", 3).alias(f"{c}{i}") for c in "xy" for i in (1, 2, 3, 4)], "z_low", "z_high")
 
@@ -755,13 +788,14 @@ def _rays(length: str) -> str:
     return f"SELECT uid, cell_id, x1, y1, x1 + wx / s * ({length}) AS x2, y1 + wy / s * ({length}) AS y2 FROM (SELECT *, sqrt(wx * wx + wy * wy) AS s FROM ({ends}) e) f WHERE s > 0"
 
 
-def _meet(a: str, b: str, where: str) -> str:
+def _meet(a: str, b: str, where: str, eps: str = "1e-8") -> str:
     """Crossings of the segments of tables a and b, by brute force."""
     return (
         "SELECT a, a_cell, t, b, b_cell, u, ax + t * rx AS x, ay + t * ry AS y FROM (SELECT *, (wx * qy - wy * qx) / nullif(det, 0) AS t, (wx * ry - wy * rx) / nullif(det, 0) AS u FROM "
         "(SELECT *, rx * qy - ry * qx AS det FROM (SELECT a.uid AS a, a.cell_id AS a_cell, b.uid AS b, b.cell_id AS b_cell, a.x1 AS ax, a.y1 AS ay, a.x2 - a.x1 AS rx, a.y2 - a.y1 AS ry, b.x2 - b.x1 AS qx, b.y2 - b.y1 AS qy, "
         f"b.x1 - a.x1 AS wx, b.y1 - a.y1 AS wy FROM {a} a JOIN {b} b ON {where} AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 1e-6 AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) + 1e-6 "
-        "AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 1e-6 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 1e-6) p) q) r WHERE abs(det) > 1e-12 AND t BETWEEN -1e-8 AND 1 + 1e-8 AND u BETWEEN -1e-8 AND 1 + 1e-8"
+        "AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) + 1e-6 AND least(b.y1, b.y2) <= greatest(a.y1, a.y2) + 1e-6) p) q) r "
+        f"WHERE abs(det) > 1e-12 AND t BETWEEN -{eps} AND 1 + {eps} AND u BETWEEN -{eps} AND 1 + {eps}"
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, grids, lines, mesh, orient, points, sections, wells
 from ..operators.graph import _folder, settle
 from ..sources import gocad, text
-from .queries import _BASIS, _CORNERS, _CROSS, _MD, _SEG, R, _cov, _plane, query, r, w360
+from .queries import _BASIS, _CORNERS, _CROSS, _MD, _ON, _SEG, _TRACE_SEG, R, _at, _cov, _meet, _plane, query, r, w360
 
 # ------------------------------------------------------------------ W: windows
 
@@ -396,11 +396,40 @@ def _(ls):
     return lines.simplify_lines(ls, 30.0).select("uid", "seq", r("x"), r("y"))
 
 
-@query("m18_offset_lines", "fx_lines")
+_UNIT = "{0}{1} / nullif(sqrt({0}x * {0}x + {0}y * {0}y), 0)"
+_OFFSET = (
+    f"WITH trace_ AS (SELECT * FROM ({_TRACE_SEG}) s), way_ AS (SELECT *, x - lag(x) OVER w AS bx, y - lag(y) OVER w AS by_, lead(x) OVER w - x AS fx, lead(y) OVER w - y AS fy FROM fx_traces WINDOW w AS (PARTITION BY uid ORDER BY seq)), "
+    "unit_ AS (SELECT uid, seq, x, y, z, coalesce(ux, vx) AS ux, coalesce(uy, vy) AS uy, coalesce(vx, ux) AS vx, coalesce(vy, uy) AS vy FROM (SELECT *, bx / nullif(sqrt(bx * bx + by_ * by_), 0) AS ux, by_ / nullif(sqrt(bx * bx + by_ * by_), 0) AS uy, "
+    f"{_UNIT.format('f', 'x')} AS vx, {_UNIT.format('f', 'y')} AS vy FROM way_) q), "
+    "moved_ AS (SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY seq) - 1 AS BIGINT) AS i, x + 0.2 * (-uy - vy) / half AS x, y + 0.2 * (ux + vx) / half AS y, z FROM (SELECT *, greatest(1 + ux * vx + uy * vy, 0.02) AS half FROM unit_) q), "
+    "curve_ AS (SELECT a.uid, a.i AS cell_id, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2 FROM moved_ a JOIN moved_ b ON b.uid = a.uid AND b.i = a.i + 1), "
+    f"own_ AS ({_meet('curve_', 'curve_', 'a.uid = b.uid AND a.cell_id + 1 < b.cell_id', '0.0')}), "
+    f"cut_ AS (SELECT uid, {_at('c', 't')} AS place, min({{'c': c, 't': t, 'x': x, 'y': y}}) AS m FROM (SELECT a AS uid, a_cell AS c, t, x, y FROM own_ UNION ALL SELECT b, b_cell, u, x, y FROM own_) q GROUP BY ALL), "
+    f"cuts_ AS (SELECT k.uid, k.place, m.x AS x, m.y AS y, {_ON.format(t='m.t')}, 1 AS cut FROM cut_ k JOIN curve_ s ON s.uid = k.uid AND s.cell_id = k.m.c), "
+    "all_ AS (SELECT uid, CAST(i AS DOUBLE) AS place, x, y, z, 0 AS cut FROM moved_ v WHERE NOT EXISTS (SELECT 1 FROM cuts_ c WHERE c.uid = v.uid AND c.place = v.i) UNION ALL SELECT * FROM cuts_), "
+    "piece_ AS (SELECT *, CAST(sum(cut) OVER w AS BIGINT) AS k, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM all_ WINDOW w AS (PARTITION BY uid ORDER BY place)), "
+    "size_ AS (SELECT uid, k, sum(s) AS s, max({'s': s, 'x': (x + x2) / 2, 'y': (y + y2) / 2}) AS m FROM (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS s FROM piece_ WHERE x2 IS NOT NULL) q GROUP BY uid, k), "
+    "off_ AS (SELECT uid, k, min(sqrt((qx - t * dx) * (qx - t * dx) + (qy - t * dy) * (qy - t * dy))) AS d FROM (SELECT *, greatest(0.0, least(1.0, coalesce((qx * dx + qy * dy) / nullif(dx * dx + dy * dy, 0), 0.0))) AS t FROM "
+    "(SELECT p.uid, p.k, p.m.x - s.x1 AS qx, p.m.y - s.y1 AS qy, s.x2 - s.x1 AS dx, s.y2 - s.y1 AS dy FROM size_ p JOIN trace_ s ON s.uid = p.uid) q) r GROUP BY uid, k), "
+    "good_ AS (SELECT z.uid, z.k, z.s, b.x AS bx, b.y AS by_, e.x AS ex, e.y AS ey FROM size_ z JOIN off_ o ON o.uid = z.uid AND o.k = z.k LEFT JOIN piece_ b ON b.uid = z.uid AND b.cut = 1 AND b.k = z.k "
+    "LEFT JOIN piece_ e ON e.uid = z.uid AND e.cut = 1 AND e.k = z.k + 1 WHERE o.d >= 0.2 * (1 - 1e-6)), "
+    "part_ AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY k) AS part FROM (SELECT *, CASE WHEN greatest(abs(bx - lag(ex) OVER w), abs(by_ - lag(ey) OVER w)) <= 0.8e-6 THEN 0 ELSE 1 END AS fresh FROM good_ WINDOW w AS (PARTITION BY uid ORDER BY k)) q), "
+    "best_ AS (SELECT uid, max({'s': s, 'p': -part}) AS b FROM (SELECT uid, part, round(sum(s), 6) AS s FROM part_ GROUP BY uid, part) q GROUP BY uid), "
+    "kept_ AS (SELECT p.uid, p.k FROM part_ p JOIN best_ b ON b.uid = p.uid AND p.part = -b.b.p WHERE b.b.s > 0), "
+    "rows_ AS (SELECT uid, unnest(CASE WHEN cut = 1 THEN [k - 1, k] ELSE [k] END) AS k, place, x, y, z FROM piece_), "
+    "out_ AS (SELECT r.*, lag(r.k) OVER (PARTITION BY r.uid ORDER BY r.k, r.place) AS before FROM rows_ r JOIN kept_ k ON k.uid = r.uid AND k.k = r.k) "
+    f"SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY k, place) AS BIGINT) AS seq, {R('x')} AS x, {R('y')} AS y, {R('z')} AS z FROM out_ WHERE before IS NULL OR before = k"
+)
+
+
+@query("m18_offset_lines", "fx_traces", _OFFSET)
+def _(ls):
+    return lines.offset_lines(ls, 0.2).select("uid", "seq", r("x"), r("y"), r("z"))
+
+
+@query("m18_offset_round", "fx_traces")
 def _(ls):
-    a = lines.offset_lines(ls, 2.0).withColumn("kind", F.lit("mitre"))
-    b = lines.offset_lines(ls, 2.0, "round").withColumn("kind", F.lit("round"))
-    return a.unionByName(b).groupBy("kind", "uid").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("y"), 4).alias("low"))
+    return lines.offset_lines(ls, 0.2, "round").select("uid", "seq", r("x"), r("y"), r("z"))
 
 
 @query("m19_merge_lines", "fx_lines", "SELECT count(*) AS n, max(seq) AS last FROM (SELECT row_number() OVER () AS seq FROM fx_lines WHERE uid IN (1, 2, 3)) q")
@@ -426,7 +455,24 @@ def _(g):
     return grids.iso_crossings(g, 25.5).select("axis", "i", "j", "k", r(at, "at"))
 
 
-@query("m22_iso_triangles", "fx_grid")
+def _marched(iso: str) -> str:
+    """Triangles from the case table, each cell's corners by joins."""
+    joins = " ".join(f"JOIN fx_grid g{n} ON g{n}.i = g0.i + {n & 1} AND g{n}.j = g0.j + {n >> 1 & 1} AND g{n}.k = g0.k + {n >> 2}" for n in range(1, 8))
+    tets = ", ".join(str((t, *w)) for t, w in enumerate(grids._TETS))
+    cases = ", ".join(str((m, t, c, *e)) for m, tris in enumerate(grids._cut_table()) for t, tri in enumerate(tris) for c, e in enumerate(tri))
+    values = ", ".join(f"g{n}.value" for n in range(8))
+    w = "[w0, w1, w2, w3]"
+    return (
+        f"WITH cell_ AS (SELECT g0.i, g0.j, g0.k, [{values}] AS v FROM fx_grid g0 {joins}), tet_ AS (SELECT c.*, t.* FROM cell_ c CROSS JOIN (VALUES {tets}) t(tet, w0, w1, w2, w3)), "
+        f"mask_ AS (SELECT *, {' + '.join(f'CASE WHEN v[w{n} + 1] < {iso} THEN {1 << n} ELSE 0 END' for n in range(4))} AS mask FROM tet_), "
+        f"cut_ AS (SELECT m.i, m.j, m.k, m.v, m.tet, c.tri, c.corner, least({w}[c.ea + 1], {w}[c.eb + 1]) AS a, greatest({w}[c.ea + 1], {w}[c.eb + 1]) AS b FROM mask_ m JOIN (VALUES {cases}) c(mask, tri, corner, ea, eb) ON c.mask = m.mask), "
+        f"at_ AS (SELECT *, ({iso} - v[a + 1]) / (v[b + 1] - v[a + 1]) AS t, " + ", ".join(f"(({n} >> {s}) & 1) AS {n}{s}" for n in "ab" for s in range(3)) + " FROM cut_) "
+        "SELECT i, j, k, tet, tri, corner, concat_ws('/', " + ", ".join(f"{d} + {n}{s}" for n in "ab" for s, d in enumerate("ijk")) + ") AS edge, "
+        + ", ".join(f"{R(f'{d} + a{s} + t * (b{s} - a{s})')} AS {x}" for s, (d, x) in enumerate(zip("ijk", "xyz"))) + " FROM at_"
+    )
+
+
+@query("m22_iso_triangles", "fx_grid", _marched("25.5"))
 def _(g):
     return grids.iso_triangles(g, 25.5).select("i", "j", "k", "tet", "tri", "corner", "edge", r("x"), r("y"), r("z"))
 
