@@ -17,16 +17,21 @@ def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
 
 
-def with_legend(entities: DataFrame, legend: DataFrame) -> DataFrame:
-    """Entities with the style, time and sequence of their role, feature and scenario."""
-    return entities.join(_small(legend), KEYS, "left")
+#: What a well's style goes by.
+WELL_KEYS = ["name"]
 
 
-def legend_missing(entities: DataFrame, legend: DataFrame, time: float = 0.0, sequence: str = "strati_0") -> DataFrame:
-    """Legend rows to add, with defaults and a colour from a hash, for combinations that have none."""
-    new = entities.select(*KEYS).distinct().join(legend, KEYS, "left_anti")
-    shade = lambda k: F.pmod(F.crc32(F.concat_ws("|", *KEYS, F.lit(str(k))).cast("binary")), F.lit(256)).cast("int")
-    style = {"time": F.lit(time), "sequence": F.lit(sequence), "color_R": shade(0), "color_G": shade(1), "color_B": shade(2)}
+def with_legend(entities: DataFrame, legend: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Entities with the style, time and sequence of their role, feature and scenario; wells (WELL_KEYS) with those of their name."""
+    return entities.join(_small(legend), keys, "left")
+
+
+def legend_missing(entities: DataFrame, legend: DataFrame, time: float = 0.0, sequence: str = "strati_0", keys: list[str] = KEYS) -> DataFrame:
+    """Legend rows to add, with defaults and a colour from a hash, for combinations that have none; wells' rows have no time and sequence."""
+    new = entities.select(*keys).distinct().join(legend, keys, "left_anti")
+    shade = lambda k: F.pmod(F.crc32(F.concat_ws("|", *keys, F.lit(str(k))).cast("binary")), F.lit(256)).cast("int")
+    style = {"color_R": shade(0), "color_G": shade(1), "color_B": shade(2)}
+    style = style if keys == WELL_KEYS else {"time": F.lit(time), "sequence": F.lit(sequence)} | style
     return new.withColumns(style | {"line_thick": F.lit(5.0), "point_size": F.lit(10.0), "opacity": F.lit(100)})
 
 
@@ -109,16 +114,27 @@ def common_properties(entities: DataFrame) -> DataFrame:
     return p.join(F.broadcast(n), F.col("n") == F.col("total")).select("property_name", "n")
 
 
+FIXED_PROPERTIES = ["X", "Y", "Z", "MD"]
+
+
 def property_catalog(entities: DataFrame) -> DataFrame:
-    """Names of all properties; those of several components as name[j]; and X, Y, Z."""
+    """Names of all properties; those of several components as name[j]; and X, Y, Z and MD, which every entity has."""
     p = entities.select(F.explode(F.arrays_zip("properties_names", "properties_components")).alias("p"))
     p = p.select(F.col("p.properties_names").alias("name"), F.col("p.properties_components").alias("k"))
     many = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat(F.col("name"), F.lit("["), j.cast("string"), F.lit("]")))
     got = p.select(F.explode(F.when(F.col("k") > 1, many).otherwise(F.array("name"))).alias("property_name"))
-    fixed = entities.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, "XYZ"))).alias("property_name"))
+    fixed = entities.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FIXED_PROPERTIES))).alias("property_name"))
     return got.union(fixed).distinct()
 
 
+def update_properties(legend: DataFrame, entities: DataFrame, colormap: str = "rainbow") -> DataFrame:
+    """Property legend (property_name, colormap) after a change of entities: new names come with the default colormap, unused ones go."""
+    now = property_catalog(entities)
+    kept = legend.select("property_name", "colormap").join(now, "property_name", "left_semi")
+    new = now.join(legend, "property_name", "left_anti").select("property_name", F.lit(colormap).alias("colormap"))
+    return kept.union(new)
+
+
 def hierarchy_counts(entities: DataFrame, levels: list[str]) -> DataFrame:
     """Counts of the entity tree: every prefix of the levels, null below it."""
     return entities.rollup(*levels).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
@@ -143,14 +159,32 @@ def group_points_to_entities(features: DataFrame) -> DataFrame:
     return e.withColumn("dip_dir", F.pmod(F.col("dir") + 90, F.lit(360.0)))
 
 
-def merge_entities(points: DataFrame, entities: DataFrame, uids: list[str], new_uid: str, topology: str, parent_uid: str) -> DataFrame:
-    """Points of the entities of one topology and parent, as one entity; ids follow each other in order of uid."""
+def _merged(points: DataFrame, entities: DataFrame, uids: list[str], topology: str, parent_uid: str) -> tuple[DataFrame, DataFrame]:
+    """The entities of uids with this topology and parent, and where the point ids of each begin, in order of uid."""
     chosen = entities.where(F.col("uid").isin(*uids) & (F.col("topology") == topology) & (F.col("parent_uid") == parent_uid)).select("uid")
-    p = points.join(chosen, "uid", "left_semi")
-    sizes = p.groupBy("uid").agg(F.max("point_id").alias("last"))
+    sizes = points.join(chosen, "uid", "left_semi").groupBy("uid").agg(F.max("point_id").alias("last"))
     start = F.coalesce(F.sum(F.col("last") + 1).over(Window.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    p = p.join(F.broadcast(sizes.select("uid", start.alias("start"))), "uid")  # a row for each merged uid
-    return p.withColumn("point_id", F.col("point_id") + F.col("start")).withColumn("uid", F.lit(new_uid)).drop("start")
+    return chosen, F.broadcast(sizes.select("uid", start.alias("start")))  # a row for each merged uid
+
+
+def merge_entities(points: DataFrame, entities: DataFrame, uids: list[str], new_uid: str, topology: str, parent_uid: str) -> DataFrame:
+    """Points of the entities of one topology and parent, as one entity; ids follow each other in order of uid."""
+    _, start = _merged(points, entities, uids, topology, parent_uid)
+    return points.join(start, "uid").withColumn("point_id", F.col("point_id") + F.col("start")).withColumn("uid", F.lit(new_uid)).drop("start")
+
+
+def merge_cells(cells: DataFrame, points: DataFrame, entities: DataFrame, uids: list[str], new_uid: str, topology: str, parent_uid: str, corners: tuple[str, ...] = ("p0", "p1", "p2")) -> DataFrame:
+    """Cells of the merged entities on the ids that merge_entities gives their points, numbered anew in order of uid and cell_id."""
+    _, start = _merged(points, entities, uids, topology, parent_uid)
+    c = cells.join(start, "uid").withColumns({k: F.col(k) + F.col("start") for k in corners})
+    number = F.row_number().over(Window.orderBy("start", "cell_id")) - 1
+    return c.withColumn("cell_id", number.cast("long")).withColumn("uid", F.lit(new_uid)).drop("start")
+
+
+def without_merged(table: DataFrame, points: DataFrame, entities: DataFrame, uids: list[str], topology: str, parent_uid: str) -> DataFrame:
+    """Rows of entities, points or cells of all uids but the merged ones, for merges that remove their sources."""
+    chosen, _ = _merged(points, entities, uids, topology, parent_uid)
+    return table.join(F.broadcast(chosen), "uid", "left_anti")
 
 
 def append(*tables: DataFrame) -> DataFrame:

@@ -24,16 +24,16 @@ def dem_from_raster(raster: DataFrame, nodata: str = "max") -> DataFrame:
 
 
 def map_pixels(raster: DataFrame, extent: tuple[float, float, float, float], rows: int, cols: int, literal: bool = False) -> DataFrame:
-    """Pixels (r, c, bands) at map coordinates of an extent (x0, x1, y0, y1), with one or three bands.
+    """Pixels (r, c, bands) at map coordinates of an extent (x0, x1, y0, y1), with one or three bands; more than four are refused when the rows are read.
 
     literal: spacing by rows + 1 and columns + 1 instead of rows and columns.
     """
     x0, x1, y0, y1 = map(float, extent)
     extra = 1 if literal else 0
     n = F.size("bands")
-    kept = F.when(n <= 2, F.slice("bands", 1, 1)).when(n <= 4, F.slice("bands", 1, 3))
-    p = raster.where(n <= 4)
-    return p.select("uid", "r", "c", (x0 + F.col("c") * ((x1 - x0) / (cols + extra))).alias("x"), (y1 - F.col("r") * ((y1 - y0) / (rows + extra))).alias("y"), kept.alias("bands"))
+    refused = F.raise_error(F.concat(F.lit("an image has four bands at most, not "), n.cast("string"))).cast("array<double>")
+    kept = F.when(n <= 2, F.slice("bands", 1, 1)).when(n <= 4, F.slice("bands", 1, 3)).when(n > 4, refused)
+    return raster.select("uid", "r", "c", (x0 + F.col("c") * ((x1 - x0) / (cols + extra))).alias("x"), (y1 - F.col("r") * ((y1 - y0) / (rows + extra))).alias("y"), kept.alias("bands"))
 
 
 def section_pixels(raster: DataFrame, sections: DataFrame, u0: float, v0: float, length: float, height: float, rows: int, cols: int) -> DataFrame:

@@ -153,6 +153,14 @@ def translate(points: DataFrame, dx: float, dy: float, dz: float = 0.0) -> DataF
     return points.withColumns({c: F.col(c) + d for c, d in zip(XYZ, (dx, dy, dz))})
 
 
+def copy_similar(lines: DataFrame, entities: DataFrame, dx: float, dy: float, dz: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Shifted copies of lines as new entities: uid and name get the length of the shift, the name as `<name>_simi_<length>`; the copies run from left to right."""
+    size = round(float(np.sqrt(dx * dx + dy * dy + dz * dz)), 2)
+    new = lambda c: F.concat(F.col(c).cast("string"), F.lit(f"_simi_{size}"))
+    moved = orient_left_right(translate(lines, dx, dy, dz))
+    return moved.withColumn("uid", new("uid")), entities.withColumns({"uid": new("uid"), "name": new("name")})
+
+
 def rotate_lines(lines: DataFrame, angle: float) -> DataFrame:
     """Lines turned anticlockwise in XY about their length-weighted centroids."""
     s = segments(lines).withColumn("_l", F.sqrt(sum(((F.col(c + "2") - F.col(c + "1")) ** 2 for c in XYZ), F.lit(0.0))))

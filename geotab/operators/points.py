@@ -532,17 +532,25 @@ def oriented_bbox(points: DataFrame, margin: float = 0.1) -> DataFrame:
     return out.crossJoin(F.broadcast(z)).withColumns({"z_low": F.col("z0") - pad, "z_high": F.col("z1") + pad}).drop("z0", "z1")
 
 
+def _turned_normals(points: DataFrame, t: Column, back: bool) -> dict[str, Column]:
+    """nx and ny turned with the points, where they have both."""
+    if not {"nx", "ny"} <= set(points.columns):
+        return {}
+    s = -F.sin(t) if back else F.sin(t)
+    return {"nx": F.col("nx") * F.cos(t) + F.col("ny") * s, "ny": F.col("ny") * F.cos(t) - F.col("nx") * s}
+
+
 def to_aligned(points: DataFrame, angle: float, cx: float, cy: float) -> DataFrame:
-    """x, y turned by -angle about a center into a box's frame, and shifted there."""
+    """x, y turned by -angle about a center into a box's frame, and shifted there; normals nx, ny are turned as well."""
     t = F.radians(F.lit(float(angle)))
     dx, dy = F.col("x") - cx, F.col("y") - cy
-    return points.withColumns({"x": dx * F.cos(t) + dy * F.sin(t), "y": dy * F.cos(t) - dx * F.sin(t)})
+    return points.withColumns({"x": dx * F.cos(t) + dy * F.sin(t), "y": dy * F.cos(t) - dx * F.sin(t)} | _turned_normals(points, t, False))
 
 
 def to_world(points: DataFrame, angle: float, cx: float, cy: float) -> DataFrame:
     """Inverse of to_aligned."""
     t = F.radians(F.lit(float(angle)))
-    return points.withColumns({"x": F.col("x") * F.cos(t) - F.col("y") * F.sin(t) + cx, "y": F.col("x") * F.sin(t) + F.col("y") * F.cos(t) + cy})
+    return points.withColumns({"x": F.col("x") * F.cos(t) - F.col("y") * F.sin(t) + cx, "y": F.col("x") * F.sin(t) + F.col("y") * F.cos(t) + cy} | _turned_normals(points, t, True))
 
 
 def domain_check(points: DataFrame, box: tuple[float, float, float, float, float, float]) -> DataFrame:

@@ -66,6 +66,38 @@ def interval_tops(intervals: DataFrame, trace: DataFrame) -> DataFrame:
     return s.join(trace.select("well", "seq", "x", "y", "z"), ["well", "seq"]).select(F.col("well").alias("parent_uid"), "row_no", F.lit("top").alias("role"), F.col("value").alias("feature"), "x", "y", "z")
 
 
+def well_logs(sheet: DataFrame, log: str) -> DataFrame:
+    """Rows of one log sheet (well, row_no and its own columns) in long form: well, log, kind, name, row_no, start_md, end_md, value.
+
+    Its columns say what it holds: START and END intervals, MD_point values at points, MD a curve along the trace, whose empty values go. Every other
+    column is a log of its own; values are texts. Names of columns count whatever their case.
+    """
+    by = {c.lower(): c for c in sheet.columns}
+    number = lambda c: F.col(f"`{by[c]}`").cast("double")
+    if {"start", "end"} <= set(by):
+        kind, depth, ends = "interval", ("start", "end"), (number("start"), number("end"))
+    elif "md_point" in by or "md" in by:
+        kind = "point" if "md_point" in by else "curve"
+        depth = ("md_point",) if kind == "point" else ("md",)
+        ends = (number(depth[0]), number(depth[0]))
+    else:
+        raise ValueError("a log needs START and END, MD_point or MD")
+    names = [c for c in sheet.columns if c.lower() not in ("well", "row_no", *depth)]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]))
+    rows = sheet.select("well", F.lit(log).alias("log"), F.lit(kind).alias("kind"), F.col("row_no").cast("long").alias("row_no"), ends[0].alias("start_md"), ends[1].alias("end_md"), each.alias("_v"))
+    rows = rows.select("well", "log", "kind", "_v.name", "row_no", "start_md", "end_md", "_v.value")
+    return rows.where("value is not null") if kind == "curve" else rows
+
+
+def place_logs(logs: DataFrame, trace: DataFrame) -> DataFrame:
+    """Point and curve logs with the trace vertex nearest in depth: seq, x, y, z; rows without a depth or a trace go."""
+    k = F.struct("log", "name", "row_no")
+    marks = logs.where("kind in ('point', 'curve') and start_md is not null").select("well", k.alias("key"), F.col("start_md").alias("md"))
+    near = nearest_md(marks, trace).select("well", *[F.col(f"key.{c}").alias(c) for c in ("log", "name", "row_no")], "seq")
+    at = near.join(trace.select("well", "seq", "x", "y", "z"), ["well", "seq"])
+    return logs.join(at, ["well", "log", "name", "row_no"])
+
+
 def log_names(logs: DataFrame, column: str = "log") -> DataFrame:
     """Sorted names of each well's logs or markers."""
     return logs.groupBy("well").agg(F.array_sort(F.collect_set(column)).alias("names"))

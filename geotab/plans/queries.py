@@ -632,11 +632,34 @@ def _(e):
     return catalog.hierarchy_counts(e, ["role", "feature", "scenario"]).withColumn("level", F.col("level").cast("long"))
 
 
-@query("a20_property_catalog", "fx_entities", "SELECT unnest(['dip', 'Normals[0]', 'Normals[1]', 'Normals[2]', 'X', 'Y', 'Z']) AS property_name")
+@query("a20_property_catalog", "fx_entities", "SELECT unnest(['dip', 'Normals[0]', 'Normals[1]', 'Normals[2]', 'X', 'Y', 'Z', 'MD']) AS property_name")
 def _(e):
     return catalog.property_catalog(_props(e))
 
 
+@query(
+    "a20_update_properties", "fx_entities",
+    "SELECT unnest(['dip', 'Normals[0]', 'X', 'Normals[1]', 'Normals[2]', 'Y', 'Z', 'MD']) AS property_name, unnest(['viridis', 'viridis', 'viridis', 'rainbow', 'rainbow', 'rainbow', 'rainbow', 'rainbow']) AS colormap",
+)
+def _(e):
+    old = e.select(F.explode(F.array(*map(F.lit, ["dip", "Normals[0]", "X", "unused"]))).alias("property_name")).distinct().withColumn("colormap", F.lit("viridis"))
+    return catalog.update_properties(old, _props(e))
+
+
+@query("j1_well_legend", "fx_wells", "SELECT well, CASE WHEN well % 3 <> 0 THEN well % 256 END AS color_R FROM (SELECT DISTINCT well FROM fx_wells) w")
+def _(w):
+    """Wells take the style of their name."""
+    named = w.select("well").distinct().withColumn("name", F.concat(F.lit("well "), F.col("well").cast("string")))
+    legend = named.where("well % 3 <> 0").select("name", (F.col("well") % 256).alias("color_R"))
+    return catalog.with_legend(named, legend, catalog.WELL_KEYS).select("well", "color_R")
+
+
+@query("j2_well_legend_missing", "fx_wells", "SELECT DISTINCT concat('well ', CAST(well AS VARCHAR)) AS name FROM fx_wells WHERE well % 3 = 0")
+def _(w):
+    named = w.select("well").distinct().withColumn("name", F.concat(F.lit("well "), F.col("well").cast("string")))
+    return catalog.legend_missing(named, named.where("well % 3 <> 0").select("name"), keys=catalog.WELL_KEYS).select("name")
+
+
 @query("a21_property_range", "fx_grid", "SELECT k, min(value) AS low, max(value) AS high FROM fx_grid GROUP BY k")
 def _(g):
     return points.property_range(g, "value", "k")

@@ -162,6 +162,24 @@ def _(p):
     return catalog.merge_entities(p.withColumn("uid", F.col("uid").cast("string")), e, ["1", "2"], "merged", "VertexSet", "").select("uid", "point_id", "x")
 
 
+@query(
+    "u1_merge_cells", "fx_mesh_points fx_triangles",
+    "SELECT 'merged' AS uid, CAST(row_number() OVER (ORDER BY t.uid, cell_id) - 1 AS BIGINT) AS cell_id, CAST(p0 + s AS BIGINT) AS p0, CAST(p1 + s AS BIGINT) AS p1, CAST(p2 + s AS BIGINT) AS p2 FROM fx_triangles t JOIN (SELECT uid, coalesce(sum(n) OVER (ORDER BY uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s "
+    "FROM (SELECT uid, max(point_id) + 1 AS n FROM fx_mesh_points WHERE uid < 9 GROUP BY uid) m) o ON o.uid = t.uid",
+)
+def _(p, t):
+    """The first nine surfaces as one."""
+    p, t = (df.withColumn("uid", F.col("uid").cast("string")) for df in (p, t))
+    e = p.select("uid").distinct().withColumns({"topology": F.lit("TriSurf"), "parent_uid": F.lit("")})
+    return catalog.merge_cells(t, p, e, [str(k) for k in range(9)], "merged", "TriSurf", "").select("uid", "cell_id", *[F.col(c).cast("long").alias(c) for c in ("p0", "p1", "p2")])
+
+
+@query("u1_without_merged", "fx_mesh_points", "SELECT uid, count(*) AS n FROM fx_mesh_points WHERE uid > 3 GROUP BY uid")
+def _(p):
+    e = p.select("uid").distinct().withColumns({"topology": F.lit("TriSurf"), "parent_uid": F.lit("")})
+    return catalog.without_merged(p, p, e, [0, 1, 2, 3], "TriSurf", "").groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("u2_double_axial", "fx_vectors", f"SELECT point_id, {R('x')} AS x FROM fx_vectors UNION ALL SELECT point_id, {R('-x')} FROM fx_vectors")
 def _(v):
     return orient.double_axial(v).select("point_id", r("x"))
@@ -217,6 +235,12 @@ def _(p):
     return lines.translate(p, 10.0, -5.0).select("point_id", r("x"), r("y"))
 
 
+@query("m1_copy_similar", "fx_traces", f"SELECT concat(CAST(uid AS VARCHAR), '_simi_5.0') AS uid, concat('line ', CAST(uid AS VARCHAR), '_simi_5.0') AS name, seq, {R('x + 3')} AS x, {R('y - 4')} AS y FROM fx_traces")
+def _(ls):
+    copy, named = lines.copy_similar(ls, ls.select("uid").distinct().withColumn("name", F.concat(F.lit("line "), F.col("uid").cast("string"))), 3.0, -4.0)
+    return copy.join(named, "uid").select("uid", "name", "seq", r("x"), r("y"))
+
+
 @query(
     "m2_rotate_lines", "fx_lines",
     "SELECT l.uid, l.seq, round(cx + (x - cx) * cos(radians(30)) - (y - cy) * sin(radians(30)), 4) AS x FROM fx_lines l JOIN (SELECT uid, sum((x1 + x2) / 2 * d) / sum(d) AS cx, sum((y1 + y2) / 2 * d) / sum(d) AS cy FROM "
@@ -477,6 +501,13 @@ def _(g):
     return grids.iso_triangles(g, 25.5).select("i", "j", "k", "tet", "tri", "corner", "edge", r("x"), r("y"), r("z"))
 
 
+@query("m23_aligned_normals", "fx_vectors", f"SELECT point_id, {R('x * cos(radians(25)) + y * sin(radians(25))')} AS nx, {R('y * cos(radians(25)) - x * sin(radians(25))')} AS ny, {R('x')} AS back FROM fx_vectors")
+def _(v):
+    p = points.to_aligned(v.withColumns({"nx": F.col("x"), "ny": F.col("y")}), 25.0, 100.0, 50.0)
+    back = points.to_world(p, 25.0, 100.0, 50.0).select("point_id", r("nx", "back"))
+    return p.select("point_id", r("nx"), r("ny")).join(back, "point_id")
+
+
 @query("m23_aligned_frame", "fx_points", f"SELECT point_id, {R('(x - 100) * cos(radians(25)) + (y - 50) * sin(radians(25))')} AS x, {R('(y - 50) * cos(radians(25)) - (x - 100) * sin(radians(25))')} AS y FROM fx_points")
 def _(p):
     return points.to_aligned(p, 25.0, 100.0, 50.0).select("point_id", r("x"), r("y"))
@@ -768,6 +799,24 @@ def _(w):
     return wells.well_geometry(info, w.select("well", "seq", "dx", "dy", "dz"))
 
 
+_POINT_LOGS = (
+    "WITH t_ AS (SELECT well, seq, x, y, z, sum(coalesce(d, 0.0)) OVER (PARTITION BY well ORDER BY seq) AS md FROM (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) + (z - lag(z) OVER w) * (z - lag(z) OVER w)) AS d "
+    "FROM fx_trace WINDOW w AS (PARTITION BY well ORDER BY seq)) q), l_ AS (SELECT well, 'PICKS' AS log, 'point' AS kind, n.name, seq AS row_no, seq * 7 + 0.5 AS md, CASE n.name WHEN 'quality' THEN CAST(o_orderkey % 5 AS VARCHAR) ELSE concat('m', CAST(o_orderkey % 9 AS VARCHAR)) END AS value "
+    "FROM fx_wells CROSS JOIN (VALUES ('quality'), ('label')) n(name) UNION ALL SELECT well, 'GAMMA', 'curve', 'gr', seq, seq * 5.0 + 0.25, CAST(o_orderkey % 40 AS VARCHAR) FROM fx_wells WHERE o_orderkey % 4 <> 0), "
+    "n_ AS (SELECT l.well, l.log, l.name, l.row_no, arg_min(t.seq, {'d': abs(t.md - l.md), 's': t.seq}) AS seq FROM l_ l JOIN t_ t ON t.well = l.well GROUP BY ALL) "
+    f"SELECT l.well, l.log, l.kind, l.name, l.row_no, {R('l.md')} AS md, l.value, n.seq, t.x, t.y, t.z FROM l_ l JOIN n_ n ON n.well = l.well AND n.log = l.log AND n.name = l.name AND n.row_no = l.row_no JOIN t_ t ON t.well = n.well AND t.seq = n.seq"
+)
+
+
+@query("s16_well_logs", "fx_wells fx_trace", _POINT_LOGS)
+def _(w, t):
+    picks = w.select("well", F.col("seq").alias("row_no"), (F.col("seq") * 7 + 0.5).alias("MD_point"), (F.col("o_orderkey") % 5).alias("quality"), F.concat(F.lit("m"), (F.col("o_orderkey") % 9).cast("string")).alias("label"))
+    gamma = w.select("well", F.col("seq").alias("row_no"), (F.col("seq") * 5 + 0.25).alias("MD"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 40).alias("gr"))
+    logs = wells.well_logs(picks, "PICKS").union(wells.well_logs(gamma, "GAMMA"))
+    at = wells.place_logs(logs, wells.trace_depth(t))
+    return at.select("well", "log", "kind", "name", "row_no", r("start_md", "md"), "value", "seq", "x", "y", "z")
+
+
 @query("s17_vector_features", "fx_points", "SELECT point_id AS feature_id, CAST(k AS INTEGER) AS seq, x + k AS x, 0.0 AS z FROM fx_points, range(2) t(k)")
 def _(p):
     f = p.select(F.col("point_id").alias("feature_id"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y"))).alias("coords"))

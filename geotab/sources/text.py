@@ -36,16 +36,20 @@ def _numbers(lines: DataFrame, columns: list[str], separator: str) -> DataFrame:
     )
 
 
-def read_points_text(spark: SparkSession, path: str, columns: list[str], separator: str | None = None, header: int = 0) -> DataFrame:
-    """Points of delimited files: columns by position as numbers, values that are none are null.
+def read_points_text(spark: SparkSession, path: str, columns: list[str], separator: str | None = None, header: int = 0, rows: tuple[int, int] | None = None) -> DataFrame:
+    """Points of delimited files: columns by position as numbers, values that are none are null; empty lines go.
 
-    The separator is taken from the first line; header lines of each file start with a letter or #.
+    The separator is taken from the first line. The first header lines of each file go; rows (first, last) keeps only these rows
+    of each file, counted from 0 behind the header, empty lines included.
     """
     sep = separator or sniff_separator(_first_line(spark, path))
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    if header:
-        lines = lines.where(~F.col("value").rlike(r"^\s*[A-Za-z#/]"))
-    return _numbers(lines, columns, sep)
+    if header or rows:
+        lines = numbered_lines(spark, path).where(F.col("line") >= header)
+        if rows:
+            lines = lines.where(F.col("line").between(header + rows[0], header + rows[1]))
+    else:
+        lines = spark.read.text(path)
+    return _numbers(lines.where(F.length(F.trim("value")) > 0).select("value"), columns, sep)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
