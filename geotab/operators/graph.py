@@ -17,10 +17,12 @@ def _folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing."""
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs nothing. It goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

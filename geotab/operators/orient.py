@@ -96,10 +96,18 @@ def fabric(values: DataFrame, reference_labels: bool = False) -> DataFrame:
 
 
 def orientation_summary(vectors: DataFrame, *keys: str) -> DataFrame:
-    """Fisher and Bingham statistics with the fabric, by kind and group: normals are axial, lineations polar."""
+    """Fisher and Bingham statistics with the fabric, by kind and group: normals are axial, lineations polar.
+
+    Vectors with a column cluster also give clusters, the vectors of each cluster as `0:12,1:30`; those without a cluster aren't among them.
+    """
     keys = ("kind", *keys)
     parts = [fisher(vectors.where(F.col("kind") == k), *keys, axial=k == "normals") for k in ("normals", "lineations")]
-    return parts[0].unionByName(parts[1]).join(fabric(bingham(vectors, *keys)).drop("n"), list(keys))
+    out = parts[0].unionByName(parts[1]).join(fabric(bingham(vectors, *keys)).drop("n"), list(keys))
+    if "cluster" not in vectors.columns:
+        return out
+    size = vectors.where("cluster is not null").groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "n"))), lambda s: F.concat_ws(":", s["cluster"].cast("string"), s["n"].cast("string"))), ",")
+    return out.join(size.groupBy(*keys).agg(told.alias("clusters")), list(keys), "left")
 
 
 def hemisphere_grid(spark, n: int = 11) -> DataFrame:

@@ -53,19 +53,25 @@ def orientation_window(df: DataFrame, dd1: float, dd2: float, d1: float, d2: flo
     return df.where(F.col("dip_dir").between(dd1, dd2) & F.col("dip").between(d1, d2))
 
 
-def cut_by_polygon(points: DataFrame, polygon: list[tuple[float, float]], method: str = "both") -> DataFrame:
-    """Points by side of a closed loop in the XY plane: inside true or false.
+def cut_by_polygon(points: DataFrame, polygon: list[tuple], method: str = "both") -> DataFrame:
+    """Points by side of a closed loop: inside true or false.
 
-    The loop goes to the tasks as a literal array; a ray to the right is counted through its edges.
+    A loop of (x, y) is seen in plan; for one of (x, y, z) points and loop are seen along the normal of the loop's best plane. The loop goes
+    to the tasks as a literal array; a ray to the right is counted through its edges.
     """
     if method not in ("both", "inner", "outer"):
         raise ValueError("method must be both, inner or outer")
     if len(polygon) < 3:
         raise ValueError("a polygon has three vertices at least")
-    ring = [*map(tuple, polygon)]
-    edges = [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1])]
-    e = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(edge, ("ax", "ay", "bx", "by"))]) for edge in edges])
+    ring = np.array([*map(tuple, polygon)], float)
     x, y = F.col("x"), F.col("y")
+    if ring.shape[1] == 3:
+        middle = ring.mean(0)
+        axes = np.linalg.svd(ring - middle)[2][:2]
+        x, y = (sum(((F.col(c) - float(m)) * float(a) for c, m, a in zip(XYZ, middle, axis)), F.lit(0.0)) for axis in axes)
+        ring = (ring - middle) @ axes.T
+    edges = np.hstack((ring, np.roll(ring, -1, axis=0))).tolist()
+    e = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(edge, ("ax", "ay", "bx", "by"))]) for edge in edges])
     hit = lambda s: ((s["ay"] > y) != (s["by"] > y)) & (x < (s["bx"] - s["ax"]) * F.try_divide(y - s["ay"], s["by"] - s["ay"]) + s["ax"])
     out = points.withColumn("inside", F.size(F.filter(e, hit)) % 2 == 1)
     return out if method == "both" else out.where(F.col("inside") == (method == "inner"))
@@ -442,6 +448,7 @@ def _partial_hulls(batches, keys: tuple[str, ...], u: str, v: str):
 
     for batch in batches:
         for k, part in batch.groupby(list(keys), dropna=False, sort=False):
+            k = tuple(None if v != v else v for v in k)  # a null key reads as nan, which is no equal of itself
             p = part[[u, v]].to_numpy(float)
             held[k] = hull(np.vstack((held[k], p)) if k in held else p)
         if sum(map(len, held.values())) > HELD:

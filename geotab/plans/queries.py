@@ -317,6 +317,18 @@ def _(p):
     return points.cut_by_polygon(p, _RING).select("point_id", "inside")
 
 
+_SLOPE = [(50.0, 0.0, 0.0), (350.0, 20.0, 20.0), (300.0, 180.0, 180.0), (120.0, 150.0, 150.0)]
+_SLOPE_SQL = ", ".join(f"({a[0]}, {2 * a[1]}, {b[0]}, {2 * b[1]})" for a, b in zip(_SLOPE, _SLOPE[1:] + _SLOPE[:1]))
+
+
+@query(
+    "p9_cut_on_plane", "fx_points",  # the loop lies on y = z, where y + z counts
+    f"SELECT point_id, sum(CASE WHEN (ay > y + z) <> (by_ > y + z) AND x < (bx - ax) * (y + z - ay) / nullif(by_ - ay, 0) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM fx_points, (VALUES {_SLOPE_SQL}) e(ax, ay, bx, by_) GROUP BY point_id",
+)
+def _(p):
+    return points.cut_by_polygon(p, _SLOPE).select("point_id", "inside")
+
+
 @query("p10_decimate", "fx_points")
 def _(p):
     return points.decimate(p, 0.25).select("uid", "point_id")
@@ -486,6 +498,15 @@ def _(v):
     return s.select("kind", "uid", "n", r("trend"), r("plunge"), r("kappa"), r("e1"), r("e2"), r("e3"), "fabric")
 
 
+@query(
+    "a9_cluster_counts", "fx_vectors",
+    "SELECT kind, uid, string_agg(concat(cl, ':', n), ',' ORDER BY cl) AS clusters FROM (SELECT CASE WHEN point_id % 2 = 0 THEN 'normals' ELSE 'lineations' END AS kind, uid, point_id % 3 AS cl, count(*) AS n FROM fx_vectors GROUP BY ALL) q GROUP BY kind, uid",
+)
+def _(v):
+    v = v.withColumns({"kind": F.when(F.col("point_id") % 2 == 0, "normals").otherwise("lineations"), "cluster": F.col("point_id") % 3})
+    return orient.orientation_summary(v, "uid").select("kind", "uid", "clusters")
+
+
 _CLOUDS = "(SELECT uid, point_id, x, y, x * 0.1 + y * 0.2 + point_id % 3 AS z, sin(radians(point_id % 360 - 180)) * cos(radians(90 - point_id % 30)) AS nx, cos(radians(point_id % 360 - 180)) * cos(radians(90 - point_id % 30)) AS ny, -sin(radians(90 - point_id % 30)) AS nz FROM fx_points)"
 _CLOUD_PLANES = _plane(_cov(f"SELECT * FROM {_CLOUDS} c", "uid"))
 

@@ -728,6 +728,15 @@ def _(e, l):
     return got["entities"]
 
 
+@query("s5_revisions", "fx_entities", "SELECT uid, name FROM fx_entities WHERE size_no > 10")
+def _(e):
+    """Two revisions; the later one, without some entities, is opened."""
+    path = _path(e, "revisions")
+    text.save_revision({"entities": e}, path, "2024-01-31-10-00-00")
+    text.save_revision({"entities": e.where("size_no > 10")}, path, "2024-02-01-09-30-00")
+    return text.open_revision(e.sparkSession, path, {"entities": "uid string, name string"})["entities"]
+
+
 @query("s6_conform_schema", "fx_entities", "SELECT uid, parent_uid, 'undef' AS scenario2 FROM fx_entities")
 def _(e):
     old = e.select("uid", F.col("parent_uid").alias("x_section"), "topology")
@@ -822,3 +831,10 @@ def _(p):
     f = p.select(F.col("point_id").alias("feature_id"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y"))).alias("coords"))
     return text.vector_features(f).select("feature_id", "seq", "x", "z")
 
+
+@query("s17_multi_part_features", "fx_points", "SELECT point_id AS feature_id, CAST(k // 2 AS INTEGER) AS part, CAST(k AS INTEGER) AS seq, x + k AS x, CASE WHEN k < 2 THEN 0.0 ELSE 5.0 END AS z FROM fx_points, range(4) t(k)")
+def _(p):
+    x = F.col("x")
+    parts = F.array(F.array(F.array(x, "y"), F.array(x + 1, "y")), F.array(F.array(x + 2, F.col("y"), F.lit(5.0)), F.array(x + 3, F.col("y"), F.lit(5.0))))
+    return text.vector_features(p.select(F.col("point_id").alias("feature_id"), parts.alias("coords"))).select("feature_id", "part", "seq", "x", "z")
+

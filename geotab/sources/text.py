@@ -147,6 +147,22 @@ def read_entity_tables(spark: SparkSession, path: str, schemas: dict[str, str],
     return {name: spark.read.format(fmt).schema(ddl).load(f"{path}/{name}") for name, ddl in schemas.items()}
 
 
+def save_revision(tables: dict[str, DataFrame], path: str, revision: str, fmt: str = "json") -> None:
+    """A complete backup: tables in the folder rev_<revision> of path; a table of revisions beside it is written last, so it names whole ones only."""
+    write_entity_tables(tables, f"{path}/rev_{revision}", fmt)
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(revision,)], "value string").coalesce(1).write.mode("append").text(f"{path}/revisions")
+
+
+def open_revision(spark: SparkSession, path: str, schemas: dict[str, str], revision: str | None = None, fmt: str = "json") -> dict[str, DataFrame]:
+    """Tables of a revision, by default of the one with the greatest name, which for dates is the last."""
+    known = spark.read.text(f"{path}/revisions")
+    found = known.agg(F.max("value")).first()[0] if revision is None else known.where(F.col("value") == revision).agg(F.max("value")).first()[0]
+    if found is None:
+        raise ValueError(f"no revision {revision or ''} in {path}")
+    return read_entity_tables(spark, f"{path}/rev_{found}", schemas, fmt)
+
+
 def flat_points(points: DataFrame) -> DataFrame:
     """Points with list columns split to _0, _1, ... (three), and dip and its direction when normals exist."""
     lists = [c for c, t in points.dtypes if t.startswith("array")]
@@ -235,6 +251,16 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def vector_features(features: DataFrame) -> DataFrame:
-    """Vertices of line features (feature_id, coords array of (x, y[, z]) arrays); a missing z is 0."""
-    p = features.select("feature_id", F.posexplode("coords").alias("seq", "_p"))
-    return p.select("feature_id", "seq", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate("xy")], F.coalesce(F.get("_p", F.lit(2)), F.lit(0.0)).alias("z"))
+    """Vertices of line features (feature_id, coords array of (x, y[, z]) arrays); a missing z is 0.
+
+    coords of a multi-part line is an array of such arrays; its vertices have their part as well, and seq goes on from part to part.
+    """
+    parts = dict(features.dtypes)["coords"].count("array<") == 3
+    p = features
+    if parts:
+        before = lambda k: F.aggregate(F.slice("coords", 1, k), F.lit(0), lambda n, c: n + F.greatest(F.size(c), F.lit(0)))
+        p = p.select("feature_id", "coords", F.posexplode("coords").alias("part", "_line")).select("feature_id", "part", before(F.col("part")).alias("_before"), F.posexplode("_line").alias("_k", "_p"))
+        p = p.withColumn("seq", F.col("_before") + F.col("_k"))
+    else:
+        p = p.select("feature_id", F.posexplode("coords").alias("seq", "_p"))
+    return p.select("feature_id", *(["part"] if parts else []), "seq", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate("xy")], F.coalesce(F.get("_p", F.lit(2)), F.lit(0.0)).alias("z"))
