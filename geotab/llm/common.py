@@ -41,6 +41,14 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: shuffles that no plan refers to any more leave the executors' disks then."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Arrow batches of few megabytes in df's session, whatever the length of its texts."""
     conf = df.sparkSession.conf

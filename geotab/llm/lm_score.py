@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, chunks, cut, delete_on_exit, give_back, mix64, own, shared_dir, spaced, starts_of, whole_groups, word_hashes
+from .common import bounded_batches, chunks, delete_on_exit, drop_shuffles, give_back, mix64, own, shared_dir, spaced, starts_of, whole_groups, word_hashes
 
 ORDER = 3
 LEAST_CONTEXT = 2
@@ -155,22 +155,19 @@ class _Grams:
         at = self.at[level][self.learn]
         return np.bincount(at[at >= 0], minlength=len(self.keys[level]))
 
-    def answer(self, answers, buckets: int) -> None:
-        """Totals by level from (level, bucket, totals), in order of the keys of each bucket."""
+    def answer(self, answers) -> None:
+        """Totals by level from (level, bucket, totals), each in order of its keys."""
         for level in sorted({a["level"] for a in answers}):
             while len(self.keys) <= level:
                 self.deeper()
-            total = np.zeros(len(self.keys[level]), np.int64)
-            order, cuts = _by_bucket(self.keys[level], buckets)
-            for a in answers:
-                if a["level"] == level:
-                    total[order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]] = _numbers(a["totals"], np.int64)
-            self.total.append(total)
+            mine = sorted((a for a in answers if a["level"] == level), key=lambda a: a["bucket"])
+            self.total.append(np.concatenate([_numbers(a["totals"], np.int64) for a in mine]))
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    b = (keys % np.uint64(buckets)).astype(np.int64)
-    return np.argsort(b, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(b, minlength=buckets))))
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among ascending keys, and their number: buckets are equal ranges of hashes."""
+    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    return np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
 
 
 # ---------------------------------------------------------------- counts: blocks ask, buckets answer
@@ -184,19 +181,19 @@ def _ask(batches, buckets: int, levels: tuple[int, ...]):
         for r in b.to_pylist():
             g = _Grams(r["words"], r["tokens"], r["learn"])
             if r.get("answers"):
-                g.answer(r["answers"], buckets)
+                g.answer(r["answers"])
             for level in levels:
                 while len(g.keys) <= level:
                     g.deeper()
                 counts = g.learned(level).astype(np.uint32)
-                order, cuts = _by_bucket(g.keys[level], buckets)
+                cuts = _cuts(g.keys[level], buckets)
                 some = np.flatnonzero(np.diff(cuts))
                 for part in np.array_split(some, len(some) // 500 + 1):
-                    rows = [(int(k), order[cuts[k] : cuts[k + 1]]) for k in part]
+                    rows = [(int(k), slice(cuts[k], cuts[k + 1])) for k in part]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([k for k, _ in rows], pa.int64()), pa.array([level] * len(rows), pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()),
-                            pa.array([_spread(g.keys[level][o]) for _, o in rows], pa.binary()), pa.array([_planes(counts[o]) for _, o in rows], pa.binary()),
+                            pa.array([_spread(g.keys[level][o]) for _, o in rows], pa.binary()), pa.array([_packed(counts[o]) for _, o in rows], pa.binary()),
                         ],
                         schema=_ASK,
                     )
@@ -204,6 +201,15 @@ def _ask(batches, buckets: int, levels: tuple[int, ...]):
     give_back()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by their bytes' frequencies; most are 1."""
+    return pa.compress(_planes(counts), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return _numbers(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint32)
+
+
 def _spread(keys: np.ndarray) -> bytes:
     """Ascending keys by their differences, whose high bytes are mostly zero."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
@@ -216,7 +222,7 @@ def _total(batches):
         for low, high in zip(bounds[:-1], bounds[1:]):
             part = table.slice(low, high - low)
             keys = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) for x in part.column("keys").to_pylist()]
-            counts = [_numbers(x, np.uint32) for x in part.column("counts").to_pylist()]
+            counts = [_unpacked(x, len(k)) for x, k in zip(part.column("counts").to_pylist(), keys)]
             _, which = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(which, np.concatenate(counts)).astype(np.int64)
             cuts = np.cumsum([len(k) for k in keys])[:-1]
@@ -229,28 +235,31 @@ def _total(batches):
 
 
 def _totals(blocks: DataFrame, buckets: int, levels: tuple[int, ...]) -> DataFrame:
+    """Answers to each block, and how many distinct words its rows told of."""
     asked = blocks.mapInArrow(partial(_ask, buckets=buckets, levels=levels), "bucket long, level int, block long, keys binary, counts binary")
     dealt = asked.repartition("bucket").sortWithinPartitions("bucket", "level", "block")
-    return cut(dealt.mapInArrow(_total, "block long, level int, bucket long, totals binary, distinct long"), "totals")
+    told = dealt.mapInArrow(_total, "block long, level int, bucket long, totals binary, distinct long")
+    answers = F.collect_list(F.struct("level", "bucket", "totals")).alias("answers")
+    return _bucketed(told.groupBy("block").agg(answers, F.sum(F.when(F.col("level") == 0, F.col("distinct"))).alias("distinct")), "answers")
 
 
-def _bucketed(blocks: DataFrame) -> DataFrame:
-    """Blocks as a table in the shared folder, in buckets by block, so that joins on it needn't shuffle them."""
-    spark = blocks.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
+def _bucketed(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by block, so that joins on it shuffle nothing."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     delete_on_exit(spark, path)
     return spark.table(name)
 
 
 def _with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     """Blocks and what was answered to them."""
-    a = answers[0]
-    for more in answers[1:]:
-        a = a.union(more)
-    a = a.groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "totals")).alias("answers"))
-    return blocks.join(a, "block")
+    for k, a in enumerate(answers):
+        blocks = blocks.join(a.select("block", F.col("answers").alias(f"_{k}")), "block", "left")
+    none = F.array().cast(answers[0].schema["answers"].dataType)
+    names = [f"_{k}" for k in range(len(answers))]
+    return blocks.withColumn("answers", F.concat(*[F.coalesce(k, none) for k in names])).drop(*names)
 
 
 # ---------------------------------------------------------------- weights of contexts
@@ -269,7 +278,7 @@ def _base(count: np.ndarray, n: int, v: int) -> np.ndarray:
     return (count + 0.5) / (n + 0.5 * (v + 1))
 
 
-def _likelihoods(batches, buckets: int, n: int, v: int):
+def _likelihoods(batches, n: int, v: int):
     """Sums of log p of training tokens, each left out of the counts, by level, magnitude of the context's count and weight.
 
     The level below is taken with equal weights.
@@ -279,7 +288,7 @@ def _likelihoods(batches, buckets: int, n: int, v: int):
     for b in batches:
         for r in b.to_pylist():
             g = _Grams(r["words"], r["tokens"], r["learn"])
-            g.answer(r["answers"], buckets)
+            g.answer(r["answers"])
             low = _base(g.total[0] - 1, n - 1, v)  # of each n-gram
             for level in range(1, len(g.total)):
                 f = g.first(level)
@@ -287,10 +296,16 @@ def _likelihoods(batches, buckets: int, n: int, v: int):
                 low = low[g.at[level - 1][f]]
                 ml = np.maximum(own_, 0) / np.maximum(state, 1)
                 there = np.flatnonzero((times > 0) & (state > 0))
-                order = there[np.argsort(_magnitude(state[there]), kind="stable")]
-                sizes, cuts = np.unique(_magnitude(state[order]), return_index=True)
+                size = _magnitude(state[there]).astype(np.int8)
+                order = np.argsort(size, kind="stable")
+                sizes, cuts = np.unique(size[order], return_index=True)
+                order = there[order]
                 for m, pick in zip(sizes.tolist(), np.split(order, cuts[1:])):
-                    p = np.array([times[pick] @ np.log(w * ml[pick] + (1 - w) * low[pick]) for w in WEIGHTS]) if len(pick) else 0
+                    seen = ml[pick] > 0  # others have the level below alone
+                    one, rest = pick[seen], pick[~seen]
+                    t, a, b = times[one].astype(float), ml[one], low[one]
+                    p = np.array([t @ np.log(w * a + (1 - w) * b) for w in WEIGHTS])
+                    p += (times[rest] * np.log(low[rest])).sum() + times[rest].sum() * np.log(1 - WEIGHTS)
                     sums[level, m] = sums.get((level, m), 0) + p
                 low = np.where(own_ > 0, 0.5 * ml + 0.5 * low, low)
     rows = [{"level": k, "magnitude": m, "sums": x.tolist()} for (k, m), x in sums.items()]
@@ -298,9 +313,9 @@ def _likelihoods(batches, buckets: int, n: int, v: int):
     give_back()
 
 
-def _weights(asked: DataFrame, buckets: int, n: int, v: int, order: int) -> np.ndarray:
+def _weights(asked: DataFrame, n: int, v: int, order: int) -> np.ndarray:
     """The best weight for each level and magnitude (order x CLASSES numbers come to the driver)."""
-    found = asked.mapInArrow(partial(_likelihoods, buckets=buckets, n=n, v=v), "level int, magnitude int, sums array<double>")
+    found = asked.mapInArrow(partial(_likelihoods, n=n, v=v), "level int, magnitude int, sums array<double>")
     sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(len(WEIGHTS))]
     out = np.zeros((order, CLASSES))
     for r in found.groupBy("level", "magnitude").agg(*sums).collect():
@@ -313,71 +328,60 @@ def _weights(asked: DataFrame, buckets: int, n: int, v: int, order: int) -> np.n
 
 
 class Automaton:
-    """States and arcs that a block's texts can reach. State 0 is the root; arcs of other states are sorted by (state, word)."""
+    """States and arcs that a block's texts can reach.
+
+    State 0 is the root; states of longer contexts have higher numbers. The arc of a context of n words on a token is that of the n-gram of n + 1 words
+    which the token ends, so a token has one arc number for each length of context; number 0 is no arc.
+    """
 
     def __init__(self, g: _Grams, weights: np.ndarray, n: int, v: int):
-        first = [g.first(level) for level in range(len(g.total))]
-        self.word = g.at[0]
         p = _base(g.total[0], n, v)
-        self.root = _log10(p)
-        prob = [p]
-        self.fail, self.fall = [np.zeros(1, np.int64)], [np.zeros(1)]
-        state_of, states = [], 1  # the state of each n-gram, -1 for none
         end = np.searchsorted(g.keys[0], g.words[0])  # nothing follows it
-        arcs = []
+        fail, fall, level_of = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        has, log, to = [np.zeros(1, bool)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        self.arc = np.zeros((len(g.total), len(g.tokens)), np.int64)
+        states = arcs = 1
         for level, total in enumerate(g.total):
-            f = first[level]
+            f = g.first(level)
             if level:
                 context, shorter = g.at[level - 1][f - 1], g.at[level - 1][f]
                 count = g.total[level - 1][context]
                 w = np.where(count > 0, weights[level][_magnitude(count)], 0)
-                prob.append(w * total / np.maximum(count, 1) + (1 - w) * prob[-1][shorter])
-                arc = (total > 0) & (state_of[level - 1][context] >= 0)
-                arcs.append((state_of[level - 1][context][arc], self.word[f[arc]], _log10(prob[-1][arc]), level, np.flatnonzero(arc)))
-            here = np.full(len(total), -1)
+                p = w * total / np.maximum(count, 1) + (1 - w) * p[shorter]
+                has.append((total > 0) & (state[context] >= 0))
+                suffix, down = lead[shorter], np.maximum(state[shorter], 0)
+            else:
+                has.append(np.ones(len(total), bool))  # the root has an arc for every word
+                suffix = down = np.zeros(len(total), np.int64)
+            state = np.full(len(total), -1)  # of each n-gram, -1 for none
             if level < len(g.total) - 1:
-                is_state = (total >= (LEAST_CONTEXT if level else 1)) & (self.word[f] != end)
-                here[is_state] = states + np.arange(is_state.sum())
-                states += int(is_state.sum())
-                down = state_of[level - 1][g.at[level - 1][f]] if level else np.zeros(len(total), np.int64)
-                self.fail.append(down[is_state])
-                w = weights[level + 1][_magnitude(total[is_state])]
-                self.fall.append(_log10(1 - w))
-            state_of.append(here)
-        self.fail, self.fall = np.concatenate(self.fail), np.concatenate(self.fall)
-        self.width = len(g.keys[0])
-        # where a level's n-gram leads: its own state, else that of the longest suffix which is one
-        to = [np.maximum(state_of[0], 0)]
-        for level in range(1, len(g.total)):
-            to.append(np.where(state_of[level] >= 0, state_of[level], to[-1][g.at[level - 1][first[level]]]))
-        self.root_to = to[0]
-        if arcs:
-            key = np.concatenate([s * self.width + w for s, w, *_ in arcs])
-            order = np.argsort(key)
-            self.key = key[order]
-            self.log = np.concatenate([x for _, _, x, _, _ in arcs])[order]
-            self.to = np.concatenate([to[level][k] for *_, level, k in arcs])[order]
-        else:
-            self.key = self.log = self.to = np.empty(0, np.int64)
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of reading one word in each state, and the states after it."""
-        log, out = np.zeros(len(state)), np.zeros(len(state), np.int64)
-        left = np.arange(len(state))
+                some = (total >= (LEAST_CONTEXT if level else 1)) & (g.at[0][f] != end)
+                state[some] = states + np.arange(some.sum())
+                states += int(some.sum())
+                fail.append(down[some])
+                fall.append(_log10(1 - weights[level + 1][_magnitude(total[some])]))
+                level_of.append(np.full(int(some.sum()), level + 1))
+            lead = np.where(state >= 0, state, suffix)  # the longest state that ends the n-gram
+            log.append(_log10(p))
+            to.append(lead)
+            self.arc[level] = np.where(g.at[level] >= 0, arcs + g.at[level], 0)
+            arcs += len(total)
+        self.fail, self.fall, self.level = np.concatenate(fail), np.concatenate(fall), np.concatenate(level_of)
+        self.has, self.log, self.to = np.concatenate(has), np.concatenate(log), np.concatenate(to)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of reading a token in each state, along failure arcs until one has an arc for it, and the states after it."""
+        log, out = np.zeros(len(state)), np.empty(len(state), np.int64)
+        left, s = np.arange(len(state)), state
         while len(left):
-            s, w = state[left], word[left]
-            base = s == 0
-            some = left[base]
-            log[some] += self.root[w[base]]
-            out[some] = self.root_to[w[base]]
-            left, s, w = left[~base], s[~base], w[~base]
-            k = np.minimum(np.searchsorted(self.key, s * self.width + w), max(len(self.key) - 1, 0))
-            hit = self.key[k] == s * self.width + w if len(self.key) else np.zeros(len(left), bool)
-            log[left[hit]] += self.log[k[hit]]
-            out[left[hit]] = self.to[k[hit]]
+            k = self.arc[self.level[s], token[left]]
+            hit = self.has[k]
+            there, k = left[hit], k[hit]
+            log[there] += self.log[k]
+            out[there] = self.to[k]
             left, s = left[~hit], s[~hit]
             log[left] += self.fall[s]
-            state[left] = self.fail[s]
+            s = self.fail[s]
         return log, out
 
     def traverse(self, doc: np.ndarray, place: np.ndarray, docs: int, memory: int) -> np.ndarray:
@@ -390,22 +394,20 @@ class Automaton:
         back = np.minimum(place[start], memory)
         order = np.argsort(-(length + back), kind="stable")
         start, length, back = start[order], length[order], back[order]
-        state = np.zeros(len(start), np.int64)
-        score = np.zeros(len(start))
-        reach = length + back
+        state, score, reach = np.zeros(len(start), np.int64), np.zeros(len(start)), length + back
         for t in range(int(reach[0]) if len(reach) else 0):
             n = int(np.searchsorted(-reach, -t, "left"))  # walkers not at their end
-            log, state[:n] = self.step(state[:n].copy(), self.word[start[:n] - back[:n] + t])
-            score[:n] += np.where(t >= back[:n], log, 0)
+            log, state[:n] = self.step(state[:n], start[:n] - back[:n] + t)
+            score[:n] += log if t >= memory else np.where(t >= back[:n], log, 0)
         return np.bincount(doc[start], score, docs)
 
 
-def _score(batches, key: pa.DataType, buckets: int, weights: np.ndarray, n: int, v: int):
+def _score(batches, key: pa.DataType, weights: np.ndarray, n: int, v: int):
     schema = pa.schema([("doc_id", key), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     for b in batches:
         for r in b.to_pylist():
             g = _Grams(r["words"], r["tokens"], r["learn"])
-            g.answer(r["answers"], buckets)
+            g.answer(r["answers"])
             rows = r["ids"]
             count = g.total[0][g.at[0]]
             a = Automaton(g, weights, n, v)
@@ -435,16 +437,18 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
     key = to_arrow_type(kind)
     told = d.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_learn")
-    blocks = _bucketed(told.mapInArrow(partial(_to_blocks, key=key), f"ids array<{kind.simpleString()}>, {_BLOCK}"))
+    blocks = _bucketed(told.mapInArrow(partial(_to_blocks, key=key), f"ids array<{kind.simpleString()}>, {_BLOCK}"), "blocks")
     size = blocks.agg(F.sum("n"), F.sum("trained")).first()
     n = int(size[1] or 0)
     buckets = max(1, -(-(size[0] or 0) // BUCKET_TOKENS))
     answers = [_totals(blocks, buckets, (0, 1))]
+    drop_shuffles(docs.sparkSession)  # a round's questions are as large as its documents
     for level in range(2, order):
         answers.append(_totals(_with_answers(blocks, *answers), buckets, (level,)))
-    v = int(answers[0].where("level = 0").agg(F.sum("distinct")).first()[0] or 0)
+        drop_shuffles(docs.sparkSession)
+    v = int(answers[0].agg(F.sum("distinct")).first()[0] or 0)
     asked = _with_answers(blocks, *answers)
-    weights = _weights(asked, buckets, n, v, order)
+    weights = _weights(asked, n, v, order)
     shape = f"doc_id {kind.simpleString()}, learned boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = asked.mapInArrow(partial(_score, key=key, buckets=buckets, weights=weights, n=n, v=v), shape)
+    scored = asked.mapInArrow(partial(_score, key=key, weights=weights, n=n, v=v), shape)
     return scored.select("doc_id", "learned", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -21,8 +21,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # ---------------------------------------------------------------- 11: language-model scores
 
 
-def brute_scores(texts, learn, order):
-    """Every probability from dictionaries of counts, token by token."""
+def brute_model(texts, learn, order):
+    """The documents' tokens, and every probability from dictionaries of counts."""
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     docs = [WORD.findall((t or "").translate(low)) + [None] for t in texts]
     count = [Counter() for _ in range(order)]
@@ -58,6 +58,11 @@ def brute_scores(texts, learn, order):
         w = weight.get((n, count[n - 1][h].bit_length() - 1), 0)
         return w * count[n][tuple(d[i - n : i + 1])] / count[n - 1][h] + (1 - w) * shorter
 
+    return docs, count, total, base, prob
+
+
+def brute_scores(texts, learn, order):
+    docs, count, total, base, prob = brute_model(texts, learn, order)
     out = []
     for d in docs:
         known = sum(count[0][(w,)] > 0 for w in d)
@@ -66,6 +71,18 @@ def brute_scores(texts, learn, order):
     return out
 
 
+def test_probabilities_sum_to_one():
+    """Over all known words, the end and one unknown word, after any context."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 9, int(rng.integers(1, 40)))) for _ in range(40)]
+    docs, count, total, base, prob = brute_model(texts, [True] * len(texts), 3)
+    known = [w for (w,) in count[0]]
+    for d in docs[:9]:
+        for i in range(len(d)):
+            some = [*d[max(0, i - 2) : i]]
+            assert sum(prob([*some, w], len(some), min(len(some), 2)) for w in [*known, "unknown"]) == pytest.approx(1, abs=1e-9)
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores_match_brute_force(spark, monkeypatch, order):
     rng = np.random.default_rng(order)
@@ -83,29 +100,6 @@ def test_scores_match_brute_force(spark, monkeypatch, order):
         assert r["base_score"] == pytest.approx(plain, abs=1e-8) and r["score"] == pytest.approx(full, abs=1e-7)
 
 
-def test_probabilities_sum_to_one():
-    """Over all known words and one unknown, from every state of an automaton."""
-    rng = np.random.default_rng(3)
-    tokens = np.append(rng.integers(1, 9, 400), 0)
-    words = rng.integers(1, 1 << 62, 9).astype(np.uint64)
-    g = lm_score._Grams(words.tobytes(), lm_score._planes(tokens.astype(np.uint32)), np.array([True]).tobytes())
-    while len(g.keys) < 3:
-        g.total.append(g.learned(len(g.keys) - 1))
-        g.deeper()
-    g.total.append(g.learned(2))
-    weights = np.full((3, lm_score.CLASSES), 0.6)
-    a = lm_score.Automaton(g, weights, len(tokens), 9)
-    order = np.array([np.flatnonzero(g.keys[0] == w)[0] for w in words])
-    unknown = 0.5 / (len(tokens) + 5)
-    for state in range(len(a.fail)):
-        if state:
-            p = sum(10 ** a.step(np.array([state]), np.array([w]))[0][0] for w in order)
-            s, left = state, 1.0
-            while s:
-                left, s = left * 10 ** a.fall[s], a.fail[s]
-            assert p + left * unknown == pytest.approx(1, abs=1e-9)
-
-
 def test_scores_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_score.score(df, F.lit(True)).collect() == []
