@@ -26,6 +26,11 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, broadcast if it has no more than most rows; larger tables are left to Spark."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of edges (a, b); component is the smallest node reachable.
 

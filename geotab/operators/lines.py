@@ -40,21 +40,36 @@ def measured_depth(lines: DataFrame, name: str = "md") -> DataFrame:
     return lines.withColumn("_d", F.coalesce(_step(), F.lit(0.0))).withColumn(name, F.sum("_d").over(_w("uid").rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
+def _thinned(batches, eps: float):
+    """Vertices farther than eps from the last kept one of their line; rows come line by line in order, and only that vertex is carried on."""
+    line = last = None
+    for pdf in batches:
+        p, uid = pdf[list(XYZ)].to_numpy(float), pdf["uid"].to_numpy()
+        keep, i = np.zeros(len(p), bool), 0
+        while i < len(p):
+            if last is None or uid[i] != line:
+                keep[i], line, last = True, uid[i], p[i]
+                i += 1
+                continue
+            step = 64  # the next vertex to keep, or the next line, is looked for in steps that double
+            while i < len(p):
+                part = slice(i, i + step)
+                stop = np.flatnonzero((np.linalg.norm(p[part] - last, axis=1) > eps) | (uid[part] != line))
+                if len(stop):
+                    i += int(stop[0])
+                    if uid[i] == line:
+                        keep[i], last = True, p[i]
+                        i += 1
+                    break
+                i, step = min(i + step, len(p)), step * 2
+        yield pdf[keep]
+
+
 def dedupe_consecutive(lines: DataFrame, eps: float = 0.0) -> DataFrame:
     """Lines without vertices that lie within eps of the last kept one."""
     if eps <= 0:
         return lines.withColumn("_d", _step()).where("_d is null or _d > 0").drop("_d")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        p = pdf[list(XYZ)].to_numpy(float)
-        keep, last = np.zeros(len(p), bool), None
-        for i, q in enumerate(p):
-            if last is None or np.linalg.norm(q - last) > eps:
-                keep[i], last = True, q
-        return pdf[keep]
-
-    return lines.groupBy("uid").applyInPandas(fold, lines.schema)
+    return lines.repartition("uid").sortWithinPartitions("uid", "seq").mapInPandas(lambda it: _thinned(it, eps), lines.schema)
 
 
 def reverse(lines: DataFrame, chosen: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
-from .graph import settle
+from .graph import settle, small
 
 
 def flip_down(vectors: DataFrame) -> DataFrame:
@@ -121,14 +121,14 @@ def hemisphere_grid(spark, n: int = 11) -> DataFrame:
 
 def pole_density(vectors: DataFrame, grid: DataFrame, kappa: float) -> DataFrame:
     """Exponentially smoothed count of poles at each grid direction; the grid is small and broadcast."""
-    g = F.broadcast(grid.select("node", F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("z").alias("hz")))
+    g = small(grid.select("node", F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("z").alias("hz")))
     c = F.abs(F.col("x") * F.col("hx") + F.col("y") * F.col("hy") + F.col("z") * F.col("hz"))
     return vectors.crossJoin(g).groupBy("node").agg(F.sum(F.exp(kappa * (c - 1))).alias("density"))
 
 
 def nearest_pick(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
     """The actual vector nearest to each seed (seed, x, y, z); few seeds are broadcast."""
-    s = F.broadcast(seeds.select("seed", *[F.col(c).alias("s" + c) for c in "xyz"]))
+    s = small(seeds.select("seed", *[F.col(c).alias("s" + c) for c in "xyz"]))
     d = sum(((F.col(c) - F.col("s" + c)) ** 2 for c in "xyz"), F.lit(0.0))
     best = F.min(F.struct(d.alias("d"), "point_id", "x", "y", "z")).alias("b")
     return vectors.crossJoin(s).groupBy("seed").agg(best).select("seed", "b.point_id", "b.x", "b.y", "b.z")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import orientation as O
 from . import cells
-from .graph import components, settle
+from .graph import components, settle, small
 from .orient import eigen3
 
 XYZ = ("x", "y", "z")
@@ -101,7 +101,7 @@ def decimate(points: DataFrame, factor: float, seed: int = 0, cells: int = 64) -
 
 def texture_coords(points: DataFrame, images: DataFrame) -> DataFrame:
     """u and v of points in the extents of images (image, x0, x1, y0, y1, origin top left); null outside."""
-    p = points.crossJoin(F.broadcast(images))
+    p = points.crossJoin(small(images))
     inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y1"), F.col("y0"))
     u = F.when(inside, F.try_divide(F.col("x") - F.col("x0"), F.col("x1") - F.col("x0")))
     v = F.when(inside, F.try_divide(F.col("y") - F.col("y1"), F.col("y0") - F.col("y1")))
@@ -234,7 +234,7 @@ def radius_neighbors(points: DataFrame, r: float) -> DataFrame:
     # crowded cells work in parts: each point that looks into one goes to one part, the cell's own points to all
     cell = ["uid", "_cx", "_cy", "_cz"]
     crowd = c.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("long").alias("_of")).where("_of > 1")
-    crowd = _few(settle(crowd, "crowds"))
+    crowd = small(settle(crowd, "crowds"))
     left = left.drop("_o").join(crowd, cell, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("_of")), F.lit(0).cast("long"))).drop("_of")
     right = right.join(crowd, cell, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_of", F.lit(1).cast("long")) - 1))).drop("_of")
     pairs = left.join(right, [*cell, "_part"]).where(~F.col("_same") | (F.col("a") < F.col("b")))
@@ -265,8 +265,8 @@ def knn(points: DataFrame, k: int = 15, leaf: int = LEAF) -> DataFrame:
     size = settle(p.groupBy("uid", "leaf").agg(F.count(F.lit(1)).alias("n")), "sizes")
     big = size.where(F.col("n") > 4 * leaf).select("uid", "leaf")
     asked = p.join(size.select("uid", "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("_parts")), ["uid", "leaf"])
-    given = p.join(_few(big), ["uid", "leaf"], "left_anti")
-    held = p.join(_few(big), ["uid", "leaf"], "left_semi")
+    given = p.join(small(big), ["uid", "leaf"], "left_anti")
+    held = p.join(small(big), ["uid", "leaf"], "left_semi")
     for salt in (F.pmod(F.xxhash64("point_id"), F.lit(64)), F.lit(0)):
         w = Window.partitionBy("uid", "leaf", *XYZ, salt).orderBy("point_id")
         held = held.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1).drop("_n")
@@ -317,11 +317,6 @@ def knn(points: DataFrame, k: int = 15, leaf: int = LEAF) -> DataFrame:
     return best.select("uid", "a", F.posexplode("near").alias("rank", "_n")).select("uid", "a", "_n.b", "_n.distance", (F.col("rank") + 1).alias("rank"))
 
 
-def _few(keys: DataFrame, most: int = 10_000) -> DataFrame:
-    """keys, broadcast if there are no more than most."""
-    return F.broadcast(keys) if len(keys.take(most + 1)) <= most else keys
-
-
 def pca_normals(points: DataFrame, k: int = 15) -> DataFrame:
     """Downward normal of each point, from the covariance of it and its k nearest points."""
     near = knn(points, k).select("uid", F.col("a").alias("owner"), F.col("b").alias("point_id"))

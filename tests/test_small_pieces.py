@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geotab.operators import catalog, grids, mesh, points, wells
+from geotab.operators import catalog, grids, lines, mesh, points, wells
 from geotab.sources import text
 
 
@@ -42,6 +42,21 @@ def test_streamed_hulls(spark, monkeypatch, held):
         assert np.allclose(g.sort_values("number")[["u", "v"]], points.hull(p))
 
 
+def test_thinning_carries_the_last_vertex_over_batches(spark):
+    rng = np.random.default_rng(4)
+    c = [np.cumsum(rng.normal(0, 0.2, (n, 3)), axis=0) for n in (1, 2, 700, 300)]
+    df = spark.createDataFrame([(u, i, *map(float, p)) for u, line in enumerate(c) for i, p in enumerate(line)], "uid long, seq long, x double, y double, z double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = lines.dedupe_consecutive(df, 0.5).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u, line in enumerate(c):
+        kept = [0]
+        for i in range(1, len(line)):
+            if np.linalg.norm(line[i] - line[kept[-1]]) > 0.5:
+                kept.append(i)
+        assert sorted(got[got.uid == u].seq) == kept
+
+
 def test_logs_of_each_kind(spark):
     trace = wells.trace_depth(spark.createDataFrame([("w", i, 0.0, 0.0, -10.0 * i) for i in range(5)], "well string, seq long, x double, y double, z double"))
     units = wells.well_logs(spark.createDataFrame([("w", 0, 0.0, 12.0, "clay"), ("w", 1, 12.0, 40.0, None)], "well string, row_no long, START double, `end` double, UNIT string"), "GEOLOGY")
