@@ -85,7 +85,8 @@ def decimate(points: DataFrame, factor: float, seed: int = 0, cells: int = 64) -
     """
     if not 0 <= factor <= 1:
         raise ValueError("factor must be between 0 and 1")
-    h = points.withColumn("_h", F.crc32(F.concat_ws("/", F.col("point_id").cast("string"), F.lit(str(seed))).cast("binary")))
+    key = F.md5(F.concat_ws("/", F.col("point_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    h = points.withColumn("_h", F.conv(F.substring(key, 1, 8), 16, 10).cast("long"))
     h = h.withColumn("_cell", F.floor(F.col("_h") * (cells / 2.0**32)).cast("int"))
     n = h.groupBy("uid", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("uid").orderBy("_cell")

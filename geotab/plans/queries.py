@@ -329,7 +329,10 @@ def _(p):
     return points.cut_by_polygon(p, _SLOPE).select("point_id", "inside")
 
 
-@query("p10_decimate", "fx_points")
+@query(
+    "p10_decimate", "fx_points",
+    "SELECT uid, point_id FROM (SELECT uid, point_id, row_number() OVER (PARTITION BY uid ORDER BY left(md5(concat(point_id, '/0')), 8), point_id) AS k, count(*) OVER (PARTITION BY uid) AS n FROM fx_points) q WHERE k <= floor(n * 0.25)",
+)
 def _(p):
     return points.decimate(p, 0.25).select("uid", "point_id")
 

@@ -542,7 +542,29 @@ def _utm(p):
     return p.select("point_id", (F.col("x") * 100 + 450_000).alias("x"), (F.col("y") * 1000 + 4_700_000).alias("y"))
 
 
-@query("m25_reproject_tm", "fx_points")
+def _series(values, f: str, g: str, u: str, v: str) -> str:
+    """Sum of values[j] f(2 j u) g(2 j v); g may be empty."""
+    return " + ".join(f"{b!r} * {f}({2 * j} * {u})" + (f" * {g}({2 * j} * {v})" if g else "") for j, b in enumerate(values, 1))
+
+
+def _reprojected(source: int, target: int) -> str:
+    """The series of the Transverse Mercator projection, there and back, step by step."""
+    n, a, alpha, beta, delta = grids._kruger()
+    (lon0, east0), (lon1, east1) = grids.TM_CODES[source], grids.TM_CODES[target]
+    k0, k1 = (grids._SCALE.get(c, 0.9996) * a for c in (source, target))
+    c = 2 * n**0.5 / (1 + n)
+    return (
+        f"WITH a_ AS (SELECT point_id, (y * 1000 + 4700000) / {k0!r} AS xi, (x * 100 + 450000 - {east0!r}) / {k0!r} AS eta FROM fx_points), "
+        f"b_ AS (SELECT point_id, xi - ({_series(beta, 'sin', 'cosh', 'xi', 'eta')}) AS xi, eta - ({_series(beta, 'cos', 'sinh', 'xi', 'eta')}) AS eta FROM a_), "
+        "c_ AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM b_), "
+        f"d_ AS (SELECT point_id, sin(chi + {_series(delta, 'sin', '', 'chi', '')}) AS s, radians({lon0!r} + degrees(atan2(sinh(eta), cos(xi))) - {lon1!r}) AS d FROM c_), "
+        f"e_ AS (SELECT point_id, d, sinh(atanh(s) - {c!r} * atanh({c!r} * s)) AS t FROM d_), "
+        "f_ AS (SELECT point_id, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM e_) "
+        f"SELECT point_id, round({east1!r} + {k1!r} * (eta + {_series(alpha, 'cos', 'sinh', 'xi', 'eta')}), 3) AS x, round({k1!r} * (xi + {_series(alpha, 'sin', 'cosh', 'xi', 'eta')}), 3) AS y FROM f_"
+    )
+
+
+@query("m25_reproject_tm", "fx_points", _reprojected(32632, 32633))
 def _(p):
     return grids.reproject_tm(_utm(p), 32632, 32633).select("point_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
