@@ -465,7 +465,7 @@ def hulls(points: DataFrame, *keys: str, u: str = "u", v: str = "v", salts: int
         h = hull(pdf[[u, v]].to_numpy(float))
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(h) for k in keys}, u: h[:, 0], v: h[:, 1], "number": range(len(h))})
 
-    p = partial(points.select(*keys, u, v).dropna())
+    p = partial(points.select(*keys, u, v).dropna(subset=[u, v]))
     p = partial(p.repartition(*keys, F.pmod(F.xxhash64(u, v), F.lit(salts))))
     return p.groupBy(*keys).applyInPandas(final, schema + ", number long")
 
