@@ -659,7 +659,7 @@ def test_components_match_union_find(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in q.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in q.queries()) == list(range(1, 14))
 
 
 def test_links_without_end_bare_text_and_deep_nesting(spark, pages_model):
