@@ -31,22 +31,47 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df
 
 
+HUB, PARTS = 1000, 32
+
+
+def _lookup(edges: DataFrame, low: DataFrame, key: str, rows: int) -> DataFrame:
+    """edges (of so many rows) with the least neighbour m that low has for key, or null.
+
+    Nodes with more than HUB edges, and more than a 10 000th of all, so 10 000 at most, are spread over PARTS parts, each with a copy of low's row.
+    """
+    hubs = F.broadcast(edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(HUB, rows // 10_000)).select(key, F.lit(True).alias("_hub")))
+    zero = F.lit(0).cast("long")
+    left = edges.join(hubs, key, "left").withColumn("_part", F.when(F.col("_hub"), F.pmod(F.xxhash64("a", "b"), F.lit(PARTS))).otherwise(zero)).drop("_hub")
+    every = F.when(F.col("_hub"), F.sequence(zero, F.lit(PARTS - 1).cast("long"))).otherwise(F.array(zero))
+    right = low.join(hubs, key, "left").withColumn("_part", F.explode(every)).drop("_hub")
+    return left.join(right, [key, "_part"], "left").drop("_part")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of edges (a, b); component is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour's label and then follows labels once more,
-    so long chains shorten by half.
+    Each round moves the larger neighbours of every node to its smallest neighbour, then the smaller ones as well, until all edges
+    lead to the smallest node of their component. Smallest neighbours are grouped minima, which combine before the shuffle; edges of hubs are spread.
     """
-    e = edges.select("a", "b").where("a is not null and b is not null")
-    both = settle(e.union(e.select("b", "a")).where("a <> b").distinct(), "edges")
-    label = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    e = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    e = settle(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
+    def state(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = state(e)
     for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = label.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        hop = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = settle(new.join(hop, "component", "left").select("node", F.least("component", "next").alias("component"), "old"), "labels")
-        changed = not new.where("component <> old").isEmpty()
-        label = new.select("node", "component")
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
+        if not now[0]:
+            break
+        low = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = _lookup(e, low, "b", now[0]).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        less = _lookup(large, low, "a", now[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = settle(less.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, state(e)
+        if now == before:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
