@@ -378,6 +378,9 @@ def radius_clusters(points: DataFrame, r: float) -> DataFrame:
     steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     left = _of(large, "a", *cell).withColumn("_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(XYZ, o)]) for o in steps])))
     left = left.withColumns({"_f" + c: F.col("_f" + c) + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
+    # sub-cells that lie beyond r whatever they hold aren't looked into
+    room = [F.greatest(F.lit(0.0), F.col("_f" + c) * edge - F.col("ah" + c), F.col("al" + c) - (F.col("_f" + c) + 1) * edge) for c in XYZ]
+    left = left.where(sum((k * k for k in room), F.lit(0.0)) <= (r * (1 + 1e-9)) ** 2)
     pairs = settle(_judged(left.join(_of(large, "b", *cell), ["uid", *cell]).drop(*cell), r), "pairs")
     sure = pairs.where("_in").select("uid", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"))
     ask = pairs.where("not _in").select("uid", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"), "a", "b")
