@@ -30,3 +30,8 @@ def test_left_right_keeps_closed_lines(spark, tmp_path):
     duckdb.sql(f"copy (select * from (values {rows}) t(event_id, ts, user_id, value)) to '{tmp_path}/events.parquet' (format parquet)")
     got, want = both(spark, tmp_path, "w4_orient_left_right")
     assert got == want == [(1, 1, 3.0), (1, 2, 8.0), (1, 3, 3.0), (2, 1, 1.0), (2, 2, 9.0), (3, 1, 1.0), (3, 2, 2.0), (3, 3, 5.0)]
+
+
+def test_pixels_lie_on_every_section(spark):
+    n = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("part", "supplier")}
+    assert Q["s13_section_pixels"](spark, SMALL).count() == n["part"] * n["supplier"]
