@@ -35,3 +35,18 @@ def test_left_right_keeps_closed_lines(spark, tmp_path):
 def test_pixels_lie_on_every_section(spark):
     n = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("part", "supplier")}
     assert Q["s13_section_pixels"](spark, SMALL).count() == n["part"] * n["supplier"]
+
+
+def test_exploded_and_large_settled_tables_are_not_broadcast(spark, monkeypatch):
+    from geotab.operators import graph, lines
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    line = spark.createDataFrame([(u, k, float(k), float(u * k % 5), 0.0) for u in range(4) for k in range(9)], "uid int, seq long, x double, y double, z double")
+    s = lines.segments(line)
+    assert "Broadcast" not in plan(lines.crossings(s, s, 2.0))
+    assert "Broadcast" not in plan(lines._touching(line.select("uid", "seq", "x", "y").withColumnRenamed("seq", "k"), s, 0.5))
+    n = spark.range(50)
+    assert "Broadcast" in plan(graph.settle(n).join(n, "id"))
+    monkeypatch.setattr(graph, "FEW", 10)
+    big = graph.settle(n)
+    assert "Broadcast" not in plan(big.join(n.where("id < 3"), "id")) and "Broadcast" in plan(big.join(graph.small(n), "id"))
