@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
@@ -227,6 +228,34 @@ def modelling_input(points: DataFrame, entities: DataFrame, legend: DataFrame, k
     return p.drop(*[c for c in keep if not counts[c]])
 
 
+def _tailed(batches):
+    """First free number of tails of each new name; rows come family by family, taken ones first, and only runs of taken numbers are carried on."""
+    family, starts, ends = object(), [], []
+    for pdf in batches:
+        got = []
+        for base, kind, t in zip(pdf["base"], pdf["kind"], pdf["t"]):
+            if base != family:
+                family, starts, ends = base, [], []
+            at = bisect_right(starts, t) - 1
+            held = at >= 0 and ends[at] > t
+            t = ends[at] if held and kind else t
+            got.append(t)
+            if held and not kind:
+                continue
+            left, right = at >= 0 and ends[at] == t, at + 1 < len(starts) and starts[at + 1] == t + 1
+            if left and right:
+                ends[at] = ends.pop(at + 1)
+                starts.pop(at + 1)
+            elif left:
+                ends[at] = t + 1
+            elif right:
+                starts[at + 1] = t
+            else:
+                starts.insert(at + 1, t)
+                ends.insert(at + 1, t + 1)
+        yield pdf.assign(t=got)[pdf["kind"] == 1]
+
+
 def unique_names(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New names, repeated `_(1)` appended until none is taken (by an existing or an earlier new name).
 
@@ -234,17 +263,12 @@ def unique_names(new: DataFrame, existing: DataFrame) -> DataFrame:
     """
     base = lambda c: F.regexp_replace(c, r"(_\(1\))+$", "")
     tails = lambda c: (F.length(c) - F.length(base(c))) / 4
-    taken = existing.select(base(F.col("name")).alias("base"), tails(F.col("name")).cast("int").alias("t")).distinct()
-    taken = taken.groupBy("base").agg(F.collect_set("t").alias("used"))
-    n = new.select("id", base(F.col("name")).alias("base"), tails(F.col("name")).cast("int").alias("t")).groupBy("base").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("rows"))
-    n = n.join(taken, "base", "left")
-    used = F.coalesce("used", F.array().cast("array<int>"))
-    free = lambda u, t: F.array_min(F.array_except(F.sequence(t, t + F.size(u)), u))
-    none = F.array().cast("array<struct<id:bigint,t:int>>")
-    step = lambda s, r: F.struct(F.array_append(s["u"], free(s["u"], r["t"])).alias("u"), F.array_append(s["o"], F.struct(r["id"].alias("id"), free(s["u"], r["t"]).alias("t"))).alias("o"))
-    done = F.aggregate("rows", F.struct(used.alias("u"), none.alias("o")), step, lambda s: s["o"])
-    out = n.select("base", F.explode(done).alias("r"))
-    return out.select("r.id", F.concat(F.col("base"), F.repeat(F.lit("_(1)"), F.col("r.t"))).alias("name"))
+    parts = [base(F.col("name")).alias("base"), tails(F.col("name")).cast("int").alias("t")]
+    taken = existing.where("name is not null").select(F.lit(None).cast("long").alias("id"), *parts, F.lit(0).alias("kind")).distinct()
+    named = new.where("name is not null").select(F.col("id").cast("long").alias("id"), *parts, F.lit(1).alias("kind"))
+    rows = taken.unionByName(named).repartition("base").sortWithinPartitions("base", "kind", "id", "t")
+    out = rows.mapInPandas(_tailed, rows.schema).select("id", F.concat(F.col("base"), F.repeat(F.lit("_(1)"), F.col("t"))).alias("name"))
+    return out.unionByName(new.where("name is null").select(F.col("id").cast("long").alias("id"), "name"))
 
 
 def conform(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:

@@ -50,3 +50,24 @@ def test_exploded_and_large_settled_tables_are_not_broadcast(spark, monkeypatch)
     monkeypatch.setattr(graph, "FEW", 10)
     big = graph.settle(n)
     assert "Broadcast" not in plan(big.join(n.where("id < 3"), "id")) and "Broadcast" in plan(big.join(graph.small(n), "id"))
+
+
+def test_unique_names_equal_one_by_one_and_large_families_end(spark):
+    import random
+
+    from geotab.operators import catalog
+
+    random.seed(5)
+    name = lambda: random.choice("ab") + "_(1)" * random.choice((0, 0, 1, 2, 5))
+    for _ in range(3):
+        old, new = [(name(),) for _ in range(6)], [(i, name()) for i in range(30)] + [(30, None)]
+        taken, want = {n for n, in old}, {30: None}
+        for i, n in new[:-1]:
+            while n in taken:
+                n += "_(1)"
+            taken.add(n)
+            want[i] = n
+        got = catalog.unique_names(spark.createDataFrame(new, "id long, name string"), spark.createDataFrame(old, "name string"))
+        assert dict(map(tuple, got.collect())) == want
+    many = spark.range(60_000).select("id", F.lit("a").alias("name"))  # arrays of a family took time with the square of its names
+    assert catalog.unique_names(many, many.limit(1)).where("length(name) <> 1 + 4 * (id + 1)").count() == 0
