@@ -71,3 +71,18 @@ def test_unique_names_equal_one_by_one_and_large_families_end(spark):
         assert dict(map(tuple, got.collect())) == want
     many = spark.range(60_000).select("id", F.lit("a").alias("name"))  # arrays of a family took time with the square of its names
     assert catalog.unique_names(many, many.limit(1)).where("length(name) <> 1 + 4 * (id + 1)").count() == 0
+
+
+def test_vertices_of_a_surface_and_side_are_one_file(spark, tmp_path):
+    from geotab.sources import text
+
+    p = spark.range(400).select((F.col("id") % 4).alias("uid"), F.col("id").alias("point_id"), *[F.col("id").cast("double").alias(c) for c in "xyz"]).repartition(8)
+    t = spark.range(4).select(F.col("id").alias("uid"), F.col("id").alias("cell_id"), *[(F.col("id") + 4 * k).alias(f"p{k}") for k in range(3)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = text.export_surface_vertices(p, t, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got.collect())) == [(u, 100, 3) for u in range(4)]
+    assert len(list((tmp_path / "v").glob("uid=*/border=*/*.csv"))) == 8
+    assert spark.read.option("header", True).csv(str(tmp_path / "v")).count() == 400
