@@ -86,3 +86,10 @@ def test_vertices_of_a_surface_and_side_are_one_file(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(u, 100, 3) for u in range(4)]
     assert len(list((tmp_path / "v").glob("uid=*/border=*/*.csv"))) == 8
     assert spark.read.option("header", True).csv(str(tmp_path / "v")).count() == 400
+
+
+def test_clipped_area_and_pieces_join_corners_once_and_regroup_nothing(spark):
+    for name in ("m11_clip_area", "m11_clip_triangles"):
+        plan = Q[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        joins = plan.count("Join ")  # four of the view, three of the corners
+        assert joins == 7 and "pivotfirst" not in plan.lower(), (name, joins)
