@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import orientation as O
+from . import cells
 from .graph import settle, small
 
 
@@ -198,14 +199,14 @@ def kmeans(vectors: DataFrame, seeds: list[tuple] | None = None, axial: bool = F
 def _nearest_bound(batches, state: dict, limit: int):
     """Of the positions whose total distance may be the least of their cluster, those with the smallest bounds.
 
-    state: by cluster the number of members, their mean, planes below the total distance, the least total so far, positions done.
+    state: by cluster its cells (members, mean), planes below the total distance, the least total so far, positions done.
     """
     held: dict[int, pd.DataFrame] = {}
     for batch in batches:
         for cluster, part in batch.groupby("cluster"):
-            n, mean, planes, best, done = state[cluster]
+            near, planes, best, done = state[cluster]
             at = part[["x", "y", "z"]].to_numpy()
-            bound = n * np.linalg.norm(at - mean, axis=1)
+            bound = np.concatenate([np.sqrt(((at[low : low + 1024, None] - near[None, :, 1:]) ** 2).sum(2)) @ near[:, 0] for low in range(0, len(at), 1024)])
             if len(planes):
                 bound = np.maximum(bound, (at @ planes[:, :3].T + planes[:, 3]).max(1))
             part = part.assign(bound=bound)[bound <= best + 2e-9 + 1e-12 * abs(best)]
@@ -224,26 +225,39 @@ def _totals(batches, candidates: dict):
                 continue
             at, n, c = part[["x", "y", "z"]].to_numpy(), part["n"].to_numpy(float), candidates[cluster]
             out = sums.setdefault(cluster, np.zeros((len(c), 4)))
-            for low in range(0, len(at), 4096):
-                step = c[:, None, :] - at[None, low : low + 4096]
+            size = max(64, (1 << 18) // len(c))
+            for low in range(0, len(at), size):
+                step = c[:, None, :] - at[None, low : low + size]
                 d = np.sqrt((step * step).sum(2))
-                w = n[low : low + 4096]
+                w = n[low : low + size]
                 out[:, 0] += d @ w
                 out[:, 1:] += (step * (w / np.where(d > 0, d, 1))[:, :, None]).sum(1)
     for cluster, out in sums.items():
         yield pd.DataFrame({"cluster": cluster, "k": np.arange(len(out)), "cost": out[:, 0], "gx": out[:, 1], "gy": out[:, 2], "gz": out[:, 3]})
 
 
+CELLS = 1024  # cells whose means bound the total distances
+
+
+def _in_cells(data: DataFrame) -> DataFrame:
+    """data with the leaf of its k-d cells, about CELLS in all."""
+    p = data.withColumn("uid", F.lit(0))
+    splits = cells.splits_of(p.select("uid", "point_id", *"xyz"), max(1, -(-data.count() // CELLS)))
+    return settle(p.withColumn("leaf", cells.leaf_of(p, splits)).drop("uid"), "positions")
+
+
 def _medoids(a: DataFrame, block: int) -> dict[int, tuple]:
-    """By cluster of a (cluster, x, y, z, n, point_id, original) the position with the least total distance to all members; ties go to the smaller id.
+    """By cluster of a (cluster, leaf, x, y, z, n, point_id, original) the position with the least total distance to all members; ties go to the smaller id.
 
-    Blocks of candidates are costed, smallest bound first, while a bound is not above the least total. Bounds are n |mean - c| and, as
-    the total is a convex function of the position, its tangent planes at the positions costed so far.
+    Blocks of candidates are costed, smallest bound first, while a bound is not above the least total. Bounds are the sum of n |mean - c| over
+    the members' cells and, as the total is a convex function of the position, its tangent planes at the positions costed so far.
     """
     from pyspark.sql import Window
 
     weigh = [F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in "xyz"]]
-    state = {r["cluster"]: (r["n"], np.array([r["x"], r["y"], r["z"]]), np.zeros((0, 4)), np.inf, set()) for r in a.groupBy("cluster").agg(*weigh).collect()}
+    a = a if "leaf" in a.columns else a.withColumn("leaf", F.lit(0))
+    means = a.groupBy("cluster", "leaf").agg(*weigh).toPandas()
+    state = {c: (g[["n", "x", "y", "z"]].to_numpy(float), np.zeros((0, 4)), np.inf, set()) for c, g in means.groupby("cluster")}
     found: dict[int, tuple] = {}
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("bound", "point_id", "original"))
     while state:
@@ -257,12 +271,13 @@ def _medoids(a: DataFrame, block: int) -> dict[int, tuple]:
         totals = a.where(F.col("cluster").isin(list(state))).mapInPandas(lambda it, at=at: _totals(it, at), "cluster int, k long, cost double, gx double, gy double, gz double")
         totals = totals.groupBy("cluster", "k").agg(*[F.sum(c).alias(c) for c in ("cost", "gx", "gy", "gz")]).toPandas()
         for c, part in totals.groupby("cluster"):
-            part, (n, mean, planes, best, done) = part.sort_values("k"), state[c]
+            part, (near, planes, best, done) = part.sort_values("k"), state[c]
             cost, slope = part["cost"].to_numpy(), part[["gx", "gy", "gz"]].to_numpy()
             new = np.column_stack((slope, cost - (slope * at[c]).sum(1)))
-            state[c] = (n, mean, np.vstack((planes, new)), min(best, cost.min()), done | set(map(tuple, at[c].tolist())))
+            state[c] = (near, np.vstack((planes, new)), min(best, cost.min()), done | set(map(tuple, at[c].tolist())))
             ids = zip(cost.round(9).tolist(), rows[c]["point_id"].tolist(), rows[c]["original"].tolist(), map(tuple, at[c].tolist()))
             found[c] = min([*ids, *([found[c]] if c in found else [])])
+        block = min(4 * block, 1024)
     return {c: v[3] for c, v in found.items()}
 
 
@@ -270,14 +285,22 @@ def kmedoids(vectors: DataFrame, seeds: list[tuple], axial: bool = False, rounds
     """Clusters around actual vectors.
 
     A round assigns all vectors to the nearest medoid; then each cluster's next medoid is the member with the least
-    total distance to all members. `candidates` members are costed at a time, until no other can be better.
+    total distance to all members. `candidates` members are costed at first, then four times as many up to 1024, until no other can be better.
+    Medoids that come back in an earlier state go round for ever, so the state after the last round is told from the cycle.
     """
     data = (double_axial(vectors) if axial else vectors.withColumn("original", F.lit(True))).select("point_id", "original", *[F.col(c).cast("double").alias(c) for c in "xyz"])
     data = data.where(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz"))
     least = F.min(F.struct(F.col("point_id").cast("long").alias("point_id"), "original")).alias("b")
     data = settle(data.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"), least).select("x", "y", "z", "n", "b.point_id", "b.original"), "positions")
+    data = _in_cells(data)
     medoids = [tuple(map(float, s)) for s in seeds]
+    states: list[list[tuple]] = []
     for _ in range(rounds):
+        if medoids in states:  # rounds repeat from here on: the last one's state is known
+            first = states.index(medoids)
+            medoids = states[first + (rounds - first) % (len(states) - first)]
+            break
+        states.append(medoids)
         got = _medoids(assign(data, medoids), candidates)
         new = [got.get(i, m) for i, m in enumerate(medoids)]
         if axial:  # a medoid and its opposite are one axis
