@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import settle
+from . import cells
+from .graph import settle, shuffled
 
 XYZ = ("x", "y", "z")
 
@@ -176,30 +177,61 @@ def drape_regular(points: DataFrame, dem: DataFrame, x0: float, y0: float, dx: f
     return p.join(dem.select("r", "c", F.col("z").alias("_z")), ["r", "c"], "left").withColumn("z", F.col("_z")).drop("_z", "r", "c")
 
 
-def drape_irregular(points: DataFrame, nodes: DataFrame, cell: float, rounds: int = 24) -> DataFrame:
-    """z of points from the nearest node in XY, ties to the smaller node id; cells grow fourfold for points without a sure answer."""
-    extent = nodes.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
-    if extent[0] is None:
+LEAF = 256  # wanted nodes of a cell
+PART = 16_384  # points that ask a cell at a time
+
+
+def drape_irregular(points: DataFrame, nodes: DataFrame, cell: float | None = None, leaf: int = LEAF) -> DataFrame:
+    """z of points from the nearest node in XY, ties to the smaller node id. Points with null coordinates go, unless there are no nodes.
+
+    Nodes lie in k-d cells of about leaf nodes. Each point asks the cell it lies in, then the other cells that the circle through the nearest node
+    so far meets; a cell's askers are dealt out in parts. cell isn't needed any more.
+    """
+    places = nodes.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    places = places.agg(F.min(F.struct("node", "z")).alias("n")).select(F.lit(0).alias("uid"), F.col("n.node").alias("point_id"), "x", "y", F.lit(0.0).alias("z"), F.col("n.z").alias("nz"))
+    places = settle(places, "nodes")
+    if places.isEmpty():
         return points.withColumn("z", F.lit(None).cast("double"))
-    far = points.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
-    limit = 4 * max(float(v or 0) for v in (*extent, *far)) + cell
-    todo, done = points, None
-    for _ in range(rounds):
-        q = [(F.floor(F.col(c) / cell)).cast("long").alias("_c" + c) for c in "xy"]
-        n = nodes.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("z").alias("nz"), F.col("node"), *q)
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_o")
-        p = todo.select("*", *q).select("*", around).withColumns({"_cx": F.col("_cx") + F.col("_o.a"), "_cy": F.col("_cy") + F.col("_o.b")})
-        d = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
-        near = p.join(n, ["_cx", "_cy"]).groupBy("uid", "point_id").agg(F.min(F.struct(d.alias("d"), "node", "nz")).alias("m"))
-        near = near.where(F.col("m.d") <= cell) if cell <= limit else near
-        near = settle(near, "near")
-        got = todo.join(near, ["uid", "point_id"]).withColumn("z", F.col("m.nz")).drop("m")
-        done = got if done is None else done.unionByName(got)
-        todo = settle(todo.join(near.select("uid", "point_id"), ["uid", "point_id"], "left_anti"), "todo")
-        if cell > limit or todo.isEmpty():
-            return done
-        cell *= 4
-    raise RuntimeError("points without a nearest node")
+    splits = cells.splits_of(places.drop("nz"), leaf)
+    places = settle(places.withColumn("leaf", cells.leaf_of(places, splits)), "nodes")
+    asked = points.where("x is not null and y is not null").select(F.lit(0).alias("uid"), *[F.col(c).cast("double").alias(c) for c in "xy"], F.lit(0.0).alias("z")).distinct()
+    asked = settle(asked.withColumn("leaf", cells.leaf_of(asked, splits)), "asked")
+    kind = {k: dict(places.dtypes)[k] for k in ("point_id", "nz")}
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("point_id")
+        own, other = left[["x", "y"]].to_numpy(), right[["x", "y"]].to_numpy()
+        pick, best = np.zeros(len(own), np.int64), np.zeros(len(own))
+        step = max(1, (1 << 20) // max(1, len(other)))
+        for at in range(0, len(own), step) if len(other) else ():
+            d = np.sqrt((own[at : at + step, 0, None] - other[None, :, 0]) ** 2 + (own[at : at + step, 1, None] - other[None, :, 1]) ** 2)
+            pick[at : at + step] = d.argmin(1)  # the first one, so the smaller id
+            best[at : at + step] = d.min(1)
+        if not len(other):
+            best, ids, z = np.full(len(own), np.inf), [None] * len(own), [None] * len(own)
+        else:
+            ids, z = right["point_id"].to_numpy()[pick], right["nz"].to_numpy()[pick]
+        return pd.DataFrame({"x": left["x"], "y": left["y"], "home": left["leaf"], "d": best, "node": ids, "nz": z})
+
+    def visit(asking: DataFrame) -> DataFrame:
+        """Nearest node of the leaf that each of asking visits."""
+        parts = asking.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("_of"))
+        left = shuffled(asking).join(parts, "leaf").select("leaf", F.pmod(F.xxhash64("x", "y"), F.col("_of")).alias("part"), "x", "y")
+        right = shuffled(places).join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+        right = right.select(*[F.col(c).alias(c) for c in ("leaf", "part", "point_id", "x", "y", "nz")])
+        shape = f"x double, y double, home long, d double, node {kind['point_id']}, nz {kind['nz']}"
+        return left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInPandas(nearest, shape)
+
+    found = settle(visit(asked), "nearest")
+    best = F.min(F.struct("d", "node", "nz")).alias("m")
+    if splits:
+        more = found.select(F.lit(0).alias("uid"), "x", "y", F.lit(0.0).alias("z"), "home", (F.col("d") * (1 + 1e-9) + 1e-9).alias("d"))
+        more = more.withColumn("leaf", F.explode(cells.leaves_near(more, splits, "d"))).where("leaf <> home")
+        found = found.drop("home").unionByName(visit(more).drop("home"))
+    found = found.where("node is not null").groupBy("x", "y").agg(best).select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("m.nz").alias("z"))
+    p = points.drop("z")
+    got = shuffled(p).join(found, (p["x"].cast("double") == F.col("_x")) & (p["y"].cast("double") == F.col("_y")))
+    return got.select(*points.columns, *(["z"] if "z" not in points.columns else []))
 
 
 #: Zones of the supported Transverse Mercator codes (WGS84 and RDN2008 share an ellipsoid here).

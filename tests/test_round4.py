@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geotab import registry
-from geotab.operators import orient
+from geotab.operators import grids, orient
 
 Q, TWINS = registry.queries(), registry.oracle_sql()
 
@@ -30,3 +30,19 @@ def test_medoids_that_go_round_end_as_after_the_last_round(spark, monkeypatch):
         calls.clear()
         orient.kmedoids(v, a, rounds=rounds)
         assert seen["now"] == last[0] and len(calls) <= 3
+
+
+def test_nearest_nodes_of_far_points_come_from_few_of_them(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    xy = rng.integers(0, 40, (3000, 2)).astype(float)  # many ties and doubled places
+    at = np.vstack((rng.integers(-10, 60, (400, 2)), rng.normal(size=(50, 2)) * 5000, [[1e6, -1e6]])).astype(float)
+    nodes = spark.createDataFrame([(i, *map(float, p), float(i)) for i, p in enumerate(xy)], "node long, x double, y double, z double")
+    p = spark.createDataFrame([(i % 3, i, *map(float, q)) for i, q in enumerate(at)] + [(0, 9999, None, 1.0)], "uid long, point_id long, x double, y double")
+    d = np.sqrt(((at[:, None] - xy[None]) ** 2).sum(2))
+    want = dict(enumerate(d.argmin(1).astype(float)))
+    asked = []
+    near = grids.cells.leaves_near
+    monkeypatch.setattr(grids.cells, "leaves_near", lambda df, splits, r: asked.append(max(s.leaves for s in splits.values())) or near(df, splits, r))
+    got = {r.point_id: r.z for r in grids.drape_irregular(p, nodes, leaf=32).collect()}
+    assert got == want and asked[0] > 20
+    assert {r.z for r in grids.drape_irregular(p, nodes.limit(0)).collect()} == {None}
