@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geotab import registry
-from geotab.operators import grids, orient
+from geotab.operators import graph, grids, orient, sections
 
 Q, TWINS = registry.queries(), registry.oracle_sql()
 
@@ -46,3 +46,54 @@ def test_nearest_nodes_of_far_points_come_from_few_of_them(spark, monkeypatch):
     got = {r.point_id: r.z for r in grids.drape_irregular(p, nodes, leaf=32).collect()}
     assert got == want and asked[0] > 20
     assert {r.z for r in grids.drape_irregular(p, nodes.limit(0)).collect()} == {None}
+
+
+def test_sections_in_one_plane_are_cut_once(spark, tmp_path, monkeypatch):
+    d = duckdb.connect()
+    small = "/root/testdata/sf0.001"
+    d.execute(f"copy (select * from '{small}/part.parquet') to '{tmp_path}/part.parquet' (format parquet)")
+    # 360 keys later a section lies in the same plane; the one without a key has none
+    d.execute(f"copy (select (k + 360 * i)::BIGINT as s_suppkey from range(3) a(k), range(4) b(i) union all select null) to '{tmp_path}/supplier.parquet' (format parquet)")
+    for f in os.listdir(tmp_path):
+        d.execute(f"create view {f[:-8]} as select * from '{tmp_path}/{f}'")
+    met = []
+    beside = sections.beside_planes
+    monkeypatch.setattr(sections, "beside_planes", lambda data, corners, planes, reach=0.0: met.append(planes.count()) or beside(data, corners, planes, reach))
+    for name in ("j15_plane_cut_surfaces", "j16_plane_cut_dem", "j15_surface_cut_parts"):
+        got = Q[name](spark, str(tmp_path))
+        rows = sorted(map(tuple, got.collect()))
+        if name in TWINS:
+            assert rows == sorted(d.execute(f"select {', '.join(got.columns)} from ({TWINS[name]}) q").fetchall())
+        else:
+            per = {}
+            for uid, *rest in rows:
+                surface, section = map(int, uid.split("_int_"))
+                per.setdefault((surface, section % 360), set()).add(tuple(rest))
+            assert all(len(v) == 1 for v in per.values()) and len(rows) == 4 * len(per)
+        assert rows
+    assert met == [3, 3, 3]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_small_groups_are_connected_where_they_meet(spark, monkeypatch, most):
+    rng = np.random.default_rng(3)
+    rows = [(f"g{g}", int(a), int(b)) for g in range(30) for a, b in rng.integers(-40, 40, (25, 2))]
+    rows += [("long", i, i + 1) for i in range(300)] + [("loop", 5, 5), (None, 1, 2)]
+    root = {(u, v): v for u, a, b in rows if u and a != b for v in (a, b)}
+    while True:
+        new = dict(root)
+        for u, a, b in rows:
+            if u and a != b:
+                new[u, a] = new[u, b] = min(new[u, a], new[u, b])
+        if new == root:
+            break
+        root = new
+    rounds = []
+    monkeypatch.setattr(graph, "components", lambda e, f=graph.components: rounds.append(1) or f(e))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        e = spark.createDataFrame(rows, "uid string, a long, b long")
+        got = {(r.uid, r.node): r.component for r in graph.components_by(e, most).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == root and bool(rounds) == (most == 40)
