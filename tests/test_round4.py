@@ -113,3 +113,9 @@ def test_neighbours_are_counted_without_pairs(spark, monkeypatch, lattice):
     p = spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(x)] + [(2, 5000, 0.0, 0.0, 0.0), (2, 5001, None, 0.0, 0.0)], "uid int, point_id long, x double, y double, z double")
     got = {q.point_id: q.neighbors for q in points.remove_radius_outliers(p, r, 0).collect()}
     assert got == dict(enumerate(n.tolist())) | {5000: 0, 5001: 0}
+
+
+@pytest.mark.parametrize("name", ["a13_mesh_area", "m12_triangle_normals"])
+def test_meshes_are_not_broadcast(spark, name):
+    plan = Q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
