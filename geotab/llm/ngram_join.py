@@ -122,6 +122,15 @@ def _task_sets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
     give_back()
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """texts (grp, members, n, text, want) of the wanted class, with its signature and shingles in place of the text.
+
+    Said to be nondeterministic, as Spark would work out a plain function twice, by a worker for the filter and another one for the columns.
+    """
+    made = F.arrow_udf(_task_sets, "cls binary, sig binary, shingles binary").asNondeterministic()
+    return texts.withColumn("_f", made("text", "want")).select("grp", "members", "n", "_f.cls", "_f.sig", "_f.shingles").where("cls is not null")
+
+
 def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: list[int]) -> np.ndarray:
     """Which pairs (a[i], b[i]) are not dropped by the incremental comparison."""
     left = np.arange(len(a))
@@ -293,9 +302,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     wanted = group.join(sizes, "component").join(classes.select("cls", "rep", "n"), "cls")
     wanted = wanted.select(F.col("cls").alias("want"), F.col("component").alias("grp"), "members", "n", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
     texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "text")
-    sets = texts.join(wanted, ["id", "h"]).withColumn("_f", F.arrow_udf(_task_sets, "cls binary, sig binary, shingles binary")("text", "want"))
-    sets = sets.select("grp", "members", "n", "_f.cls", "_f.sig", "_f.shingles").where("cls is not null")
-    sets = spread(sets, "members", "cls").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "cls")
+    sets = spread(_shingled(texts.join(wanted, ["id", "h"])), "members", "cls").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "cls")
     checked = cut(
         sets.select(*_GROUP, "_own", "n", "cls", "sig", "shingles").mapInArrow(lambda it: _verify(it, need, threshold), "cls binary, root binary, links long"),
         "links",

@@ -40,9 +40,9 @@ SHARD = 2048
 STEP = 64
 END = 1
 #: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text, or else a single document, that are tokenised at once.
-TEXTS = 1 << 21
+TEXTS = 1 << 19
 
 # Fixed value: how the word tokenizer splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -193,6 +193,7 @@ def _route(batches, path: str, top: int, shards: int):
     """Full windows as finished pieces, the rest of each document with its shard and ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the threads of a pool would each hold memory
     tok, task, made, row = tokens(path), TaskContext.get().partitionId(), 0, 0
+    give_back()  # what reading the file took
     for batch in batches:
         docs, texts = batch.column("doc_id"), batch.column("text")
         length = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
