@@ -16,3 +16,23 @@ def test_shingles_are_made_once(spark):
     made = ngram_join._shingled(t)
     assert _nodes(made, "ArrowEvalPython") == 1
     assert [bytes(r.cls) for r in made.collect()] == [bytes(want)]
+
+
+def _mesh(spark, tmp_path):
+    """Tables as files, which Spark takes for small."""
+    spark.createDataFrame([(1, i, float(i % 2), float(i // 2), 0.0) for i in range(4)], "uid long, point_id long, x double, y double, z double").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(1, 0, 0, 1, 3), (1, 1, 0, 3, 2)], "uid long, cell_id long, p0 long, p1 long, p2 long").write.parquet(str(tmp_path / "t"))
+    return spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "t"))
+
+
+def test_obj_faces_and_merged_corners_are_not_broadcast(spark, tmp_path):
+    from geotab.operators import mesh
+    from geotab.sources import text
+
+    p, t = _mesh(spark, tmp_path)
+    faces = text.obj_lines(p, t).where("part = 1").select("uid", "value")
+    assert not _nodes(faces, "BroadcastHashJoin")
+    assert sorted(r.value for r in faces.collect()) == ["f 1 2 4", "f 1 4 3"]
+    merged = mesh.clean_topology(p, t)[1].select("cell_id", "p0", "p1", "p2")
+    assert _nodes(merged, "SortMergeJoin") >= 3
+    assert sorted(map(tuple, merged.collect())) == [(0, 0, 1, 3), (1, 0, 3, 2)]
