@@ -24,7 +24,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ STEP = 64
 END = 1
 #: Words cached at most within a task (some 200 bytes a word); its end gives the memory back to later stages.
 CACHE = 200_000
+#: Pieces of words cached at most within a task; words with other marks around them share theirs, and they outlive the words.
+PARTS = 250_000
 #: Bytes of text, or else a single document, that are tokenised at once.
-TEXTS = 1 << 19
+TEXTS = 1 << 20
 
 # Fixed value: how the word tokenizer splits normalised text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,11 +53,44 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 
 
+class Known:
+    """Strings with their ids, held in a row."""
+
+    def __init__(self, kind: np.dtype):
+        self.number, self.flat, self.used = {}, np.empty(1 << 16, kind), 0
+        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+
+    def find(self, strings: list[str], most: int) -> tuple[np.ndarray, list[str]]:
+        """Number of each of these distinct strings, and those that are new and are to be added next; of more than most, all but these are forgotten."""
+        if len(self.number) + len(strings) > most:
+            self.__init__(self.flat.dtype)
+        n = np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(n < 0)
+        n[new] = len(self.number) + np.arange(len(new))
+        return n, [strings[i] for i in new.tolist()]
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.number)
+        self.number.update(zip(strings, range(first, first + len(strings))))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while first + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(sizes)] = sizes
+        self.used += len(ids)
+
+    def ids(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings of these numbers in a row, and where those of each end."""
+        return gather(self.flat, self.start, self.size, chosen)
+
+
 class Tokens:
     """Ids of texts by the tokenizer of a file.
 
     Where the file splits text by _SPLIT, spaces and line feeds end words, and each distinct word of a batch is
-    looked up once in a cache. Words without ids yet are split into pieces, and each distinct piece
+    looked up once in a cache. Words without ids yet are split into pieces, and each distinct piece that isn't cached
     goes through the file's BPE alone, as normalising and splitting is done by then; words of other letters
     than _PLAIN, or with special tokens, go through the whole tokenizer. For other files all texts do.
     """
@@ -83,18 +118,7 @@ class Tokens:
         return bool(same and kinds == ["NFC", "Replace", "Lowercase"] and file["model"].get("end_of_word_suffix") == "</w>")
 
     def clear(self):
-        self.words, self.flat, self.used = {}, np.empty(1 << 16, self.kind), 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
-
-    def _add(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        while first + len(sizes) > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first : first + len(sizes)] = sizes
-        self.used += len(ids)
+        self.words, self.pieces = Known(self.kind), Known(self.kind)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in a row and their number in each, by the plain call."""
@@ -135,17 +159,16 @@ class Tokens:
             if space >= 0:
                 del pieces[space]
                 piece = piece - (piece > space)
-            ids, sizes = self._pieces(pieces)
-            ids, to = gather(ids, np.cumsum(sizes) - sizes, sizes, piece)
+            n, more = self.pieces.find(pieces, PARTS)
+            self.pieces.add(more, *self._pieces(more))
+            ids, to = self.pieces.ids(n[piece])
             ends = np.concatenate(([0], to))[edge.astype(np.int64)]
             odd_ids, odd_sizes = self._whole(words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist())
             sizes, begin = np.empty(len(part), np.int32), np.empty(len(part), np.int64)
             sizes[plain], sizes[~plain] = np.diff(ends), odd_sizes
             begin[plain], begin[~plain] = ends[:-1], len(ids) + np.cumsum(odd_sizes) - odd_sizes
             ids, _ = gather(np.concatenate((ids, odd_ids)), begin, sizes, np.arange(len(part)))
-            first = len(self.words)
-            self.words.update(zip(part, range(first, first + len(part))))
-            self._add(first, ids, sizes)
+            self.words.add(part, ids, sizes)
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where those of each text begin, with the end of the last."""
@@ -156,11 +179,9 @@ class Tokens:
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) + len(distinct) > CACHE:
-            self.clear()
-        self._learn([w for w in distinct if w not in self.words])
-        n = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        ids, to = gather(self.flat, self.start[n], self.size[n], coded.indices.to_numpy())
+        n, new = self.words.find(distinct, CACHE)
+        self._learn(new)
+        ids, to = self.words.ids(n[coded.indices.to_numpy()])
         return ids, np.concatenate(([0], to))[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
     def encode(self, text: str | None) -> np.ndarray:
