@@ -41,30 +41,33 @@ class Splits:
 
     def leaf(self, p: np.ndarray) -> np.ndarray:
         """Leaf of each point."""
+        axis, value = np.array(self.axis, np.int64), np.array(self.value, float)
         at = np.full(len(p), self.root)
-        while (at >= 0).any():
-            some = np.flatnonzero(at >= 0)
-            for node in np.unique(at[some]):
-                mine = some[at[some] == node]
-                at[mine] = self.child[node][(p[mine, self.axis[node]] >= self.value[node]).astype(int)]
+        some = np.flatnonzero(at >= 0)
+        while len(some):
+            node = at[some]
+            at[some] = self.child[node, (p[some, axis[node]] >= value[node]).astype(int)]
+            some = some[at[some] >= 0]
         return ~at
 
     def near(self, p: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
         """Leaves that the ball of each point may meet."""
-        out: list[list[int]] = [[] for _ in p]
+        rows, leaves = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         todo = [(self.root, np.arange(len(p)))]
         while todo:
             node, some = todo.pop()
             if not len(some):
                 continue
             if node < 0:
-                for i in some:
-                    out[i].append(~node)
+                rows.append(some)
+                leaves.append(np.full(len(some), ~node))
                 continue
             x, v = p[some, self.axis[node]], self.value[node]
             low, high = self.child[node]
             todo += [(low, some[x - r[some] < v]), (high, some[x + r[some] >= v])]
-        return [np.array(x, np.int64) for x in out]
+        row = np.concatenate(rows)
+        order = np.argsort(row, kind="stable")
+        return np.split(np.concatenate(leaves)[order], np.searchsorted(row[order], np.arange(1, len(p)))) if len(p) else []
 
 
 def splits_of(points: DataFrame, leaf_rows: int) -> dict:
